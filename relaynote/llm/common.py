@@ -51,14 +51,22 @@ def bit_filter(keys: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
     )
 
 
-def may_contain(df: DataFrame, key: Column, pages: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """Rows of df whose key may be in the filter. The filter is broadcast: its size has the fixed bound `bits` / 8 bytes."""
+def flag_contained(df: DataFrame, key: Column, pages: DataFrame, flag: str, bits: int = 1 << 24) -> DataFrame:
+    """df with a boolean `flag`: false if the filter surely lacks the key or the key is null.
+
+    The filter is broadcast: its size has the fixed bound `bits` / 8 bytes.
+    """
     slot = F.pmod(F.xxhash64(key), F.lit(bits))
-    page, bit = F.floor(slot / PAGE_BITS), slot % PAGE_BITS
-    names = df.columns
-    probed = df.withColumns({"_page": page, "_bit": bit}).join(F.broadcast(pages.withColumnsRenamed({"page": "_page", "bitmap": "_bitmap"})), "_page")
-    byte = F.conv(F.hex(F.expr("substring(_bitmap, int(_bit div 8) + 1, 1)")), 16, 10).cast("int")
-    return probed.filter(F.expr("1") == F.call_function("shiftright", byte, (F.col("_bit") % 8).cast("int")).bitwiseAND(F.lit(1))).select(*names)
+    probed = df.withColumns({"_page": F.when(key.isNotNull(), F.floor(slot / PAGE_BITS)), "_bit": (slot % PAGE_BITS).cast("int")})
+    probed = probed.join(F.broadcast(pages.withColumnsRenamed({"page": "_page", "bitmap": "_bitmap"})), "_page", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bitmap, _bit div 8 + 1, 1)")), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, F.col("_bit") % 8).bitwiseAND(F.lit(1))
+    return probed.select(*df.columns, F.coalesce(bit == 1, F.lit(False)).alias(flag))
+
+
+def may_contain(df: DataFrame, key: Column, pages: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """Rows of df whose key may be in the filter."""
+    return flag_contained(df, key, pages, "_may", bits).filter("_may").drop("_may")
 
 
 def rank_within(df: DataFrame, keys: list[str], order: Column, rows_per_bucket: int = 4096) -> DataFrame:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, packing, simhash, toxicity
+from . import exact_dedup, langid, line_dedup, lm_score, mixing, packing, simhash, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,14 +26,30 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -72,5 +87,28 @@ from (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 """
 
 
+ORACLE_OP5 = """
+with q as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+           where embedding is not null and not list_contains(list_transform(embedding, lambda x: x is null or not isfinite(x)), true)),
+scored as (select a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) as bigint) as score
+           from q a join q b on a.vec_id % 100 = 0 and b.vec_id <> a.vec_id)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 10
+"""
+
+ORACLE_OP6 = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+s as (select *, strlen(html) as payload_bytes, sha1(html) as payload_digest, max(page_id) over (partition by html) as keep from p)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+       case when payload_bytes >= 1000 and page_id <> keep then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id <> keep then keep end as refers_to
+from s
+"""
+
+ORACLE_SQL_BY_QUERY = {
+    "op5_exact_topk": ORACLE_OP5, "op6_warc_zip": ORACLE_OP6, "op7_line_dedup": ORACLE_OP7, "op10_exact_dedup": ORACLE_OP10,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": ORACLE_OP7, "op10_exact_dedup": ORACLE_OP10}
+    return dict(ORACLE_SQL_BY_QUERY)
