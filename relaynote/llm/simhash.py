@@ -23,6 +23,8 @@ from .common import components, save
 SEED = 42
 #: Partial fingerprints: shingles sampled for them at most, and classes they are dealt to.
 SAMPLED, CLASSES = 192, 32
+#: Orders in which rows that share a partial fingerprint take their turn as the row that the others are compared with.
+ORDERS = 8
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -170,7 +172,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     """Links (a, b) of texts whose sets of `words`-word shingles have a Jaccard similarity of `similarity` or more.
 
     docs has a unique row_key (long) and text; each text occurs once. Candidates are the pairs from anchors, and each
-    row with the least row_key among those that share a partial fingerprint. All candidates are compared exactly.
+    row with one row of those that share a partial fingerprint. All candidates are compared exactly.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +191,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     ends = marks.select(F.col("mark").alias("a"), F.col("least").alias("x")), marks.select(F.col("mark").alias("b"), F.col("least").alias("y"))
     by_anchor = pairs.join(ends[0], "a").join(ends[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     parts = marked.select("row_key", F.explode("parts").alias("part"))
-    first = save(parts.groupBy("part").agg(F.min("row_key").alias("a"), F.count("*").alias("n")).filter("n > 1").select("part", "a"), "parts")
+    # The centre of a part's rows is the first in one of ORDERS orders, so rows alike meet even if a third row is in between.
+    centre = F.struct(F.xxhash64("row_key", F.pmod("part", F.lit(ORDERS))), F.col("row_key").alias("a"))
+    first = save(parts.groupBy("part").agg(F.min(centre)["a"].alias("a"), F.count("*").alias("n")).filter("n > 1").select("part", "a"), "parts")
     by_part = parts.join(first, "part").select(F.col("row_key").alias("b"), "a")
     candidates = by_mark.unionByName(by_anchor).unionByName(by_part).filter("a <> b")
     candidates = save(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
