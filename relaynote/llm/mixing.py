@@ -28,24 +28,42 @@ def fit(lengths: list[int], counts: list[int], budget: float, dp_words: int = DP
     share = min(1.0, budget / total)
     take = [int(n * share) if x else 0 for n, x in zip(counts, lengths)]
     rest = budget - sum(k * x for k, x in zip(take, lengths))
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    order = sorted((i for i, x in enumerate(lengths) if x), key=lambda i: -lengths[i])
     for i in order:
         if rest <= dp_words:
             break
-        if lengths[i]:
-            more = min(counts[i] - take[i], int((rest - dp_words // 2) // lengths[i]))
-            if more > 0:
-                take[i] += more
-                rest -= more * lengths[i]
-    room = int(2 * min(max(rest, 0), dp_words))
-    if not room:
-        return take
-    # reach has a bit for each sum that can be made; an item is 1, 2, 4, ... documents of a length.
+        more = min(counts[i] - take[i], int((rest - dp_words // 2) // lengths[i]))
+        if more > 0:
+            take[i] += more
+            rest -= more * lengths[i]
+    more = _subset(lengths, [n - k for n, k in zip(counts, take)], rest, dp_words)
+    take = [k + m for k, m in zip(take, more)]
+    rest -= sum(m * x for m, x in zip(more, lengths))
+    if rest <= -1:  # too many words: give some back
+        back = _subset(lengths, take, -rest, dp_words)
+        over = rest + sum(m * x for m, x in zip(back, lengths))
+        if abs(over) < -rest:
+            take, rest = [k - m for k, m in zip(take, back)], over
+    # Where what is left is too long: one document more, and others back until the words fit.
+    last = min((i for i in order if take[i] < counts[i] and lengths[i] > rest), key=lambda i: lengths[i], default=None)
+    if rest >= 1 and last is not None:
+        back = _subset(lengths, take, lengths[last] - rest, dp_words)
+        over = rest - lengths[last] + sum(m * x for m, x in zip(back, lengths))
+        if abs(over) < rest:
+            take = [k - m for k, m in zip(take, back)]
+            take[last] += 1
+    return take
+
+
+def _subset(lengths: list[int], counts: list[int], goal: float, most: int) -> list[int]:
+    """Counts, up to those given, whose words come nearest to the goal: a bounded knapsack up to 2 * `most` words."""
+    take = [0] * len(lengths)
+    room, aim = int(2 * min(max(goal, 0), most)), int(max(goal, 0))
+    # A bit of reach for each sum that can be made; an item is 1, 2, 4, ... documents of a length.
     reach, mask, steps = 1, (1 << (room + 1)) - 1, []
-    goal = int(rest)
-    for i in sorted(order, key=lambda i: lengths[i]):
-        left, pack, x = counts[i] - take[i], 1, lengths[i]
-        while x and left > 0 and pack * x <= room:
+    for i in sorted((i for i, x in enumerate(lengths) if x), key=lambda i: lengths[i]):
+        left, pack, x = counts[i], 1, lengths[i]
+        while left > 0 and pack * x <= room:
             n = min(pack, left)
             new = (reach | reach << n * x) & mask
             if new != reach:
@@ -53,18 +71,14 @@ def fit(lengths: list[int], counts: list[int], budget: float, dp_words: int = DP
                 reach = new
             left -= n
             pack *= 2
-        if reach >> goal & 1:
+        if reach >> aim & 1:
             break
-    nearest = min((s for s in (_highest(reach & ((1 << (goal + 1)) - 1)), goal + 1 + _lowest(reach >> (goal + 1))) if s is not None and s <= room), key=lambda s: (abs(s - rest), s))
-    rest -= nearest
+    sums = [_highest(reach & ((1 << (aim + 1)) - 1)), *([aim + 1 + _lowest(reach >> (aim + 1))] if reach >> (aim + 1) else [])]
+    nearest = min(sums, key=lambda s: (abs(s - goal), s))
     for i, n, before in reversed(steps):
         if not before >> nearest & 1:
             take[i] += n
             nearest -= n * lengths[i]
-    # Only lengths beyond the program's reach are left if much is missing.
-    last = min((i for i in order if take[i] < counts[i] and lengths[i]), key=lambda i: (abs(rest - lengths[i]), i), default=None)
-    if last is not None and abs(rest - lengths[last]) < abs(rest):
-        take[last] += 1
     return take
 
 
@@ -73,7 +87,7 @@ def _highest(bits: int) -> int:
 
 
 def _lowest(bits: int) -> int:
-    return (bits & -bits).bit_length() - 1 if bits else 1 << 62
+    return (bits & -bits).bit_length() - 1
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
