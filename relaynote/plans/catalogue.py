@@ -1,11 +1,393 @@
-"""All queries of the library over the tables of a folder, and their SQL equivalents."""
+"""All queries of the library over the tables of a folder: (spark, sf_dir) -> DataFrame."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import config
+from ..functions import scores as S
+from ..functions import text as T
+from ..operators import assemble, chunks, classify, correct, coverage, placement, repair, segment, serving, sessions
+from . import oracles
+from .tables import document_sentences, sections, segments, table, turns
+
+#: Similarities of invented prose are low: thresholds at which all routes occur.
+ACCEPT = config.Policy(confidence_accept_threshold=0.12)
+SCORING = config.Scoring(similarity_threshold=0.10)
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _round(column: str, as_name: str | None = None) -> F.Column:
+    return F.round(F.col(column), 6).alias(as_name or column.rpartition(".")[2])
+
+
+def _joined(column: str) -> F.Column:
+    return F.array_join(F.col(column), "|").alias(column)
+
+
+def _classified(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    return classify.classify(rows, sections(spark, sf_dir), SCORING)
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.route(_classified(spark, sf_dir, document_sentences(spark, sf_dir)), ACCEPT)
+
+
+def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"))
+    rows = classify.ranked(classify.with_context(document_sentences(spark, sf_dir), sections(spark, sf_dir), SCORING), sections(spark, sf_dir), SCORING)
+    return coverage.section_coverage(rows, jobs, sections(spark, sf_dir))
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.place(_routed(spark, sf_dir))
+
+
+def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.best_section(chunks.chunk_documents(table(spark, sf_dir, "documents")), sections(spark, sf_dir), 0.05)
+
+
+def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"))
+    return chunks.section_analysis(_best(spark, sf_dir), jobs, sections(spark, sf_dir))
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = segments(spark, sf_dir).select("job_id", F.col("seg_idx").alias("line_id"), "text")
+    return placement.register_units(placement.place_lines(lines, sections(spark, sf_dir), accept=0.05))
+
+
+# Text
+
+
+@_query
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_sentences(spark, sf_dir).select("job_id", "sent_idx", "text")
+
+
+@_query
+def long_sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.pack_sentences(document_sentences(spark, sf_dir)).select("job_id", "sent_idx", "part_idx", "text")
+
+
+@_query
+def segment_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segment.align_segments(segments(spark, sf_dir), most=1 << 30)
+    return rows.select("job_id", "sent_idx", "text", "start", "end", "speaker", _round("audio_confidence"), F.array_join(F.transform("segment_ids", lambda i: i.cast("string")), "|").alias("segment_ids"))
+
+
+@_query
+def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.chunk_documents(table(spark, sf_dir, "documents"))
+
+
+@_query
+def clause_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_sentences(spark, sf_dir).select("job_id", "sent_idx", F.posexplode(T.clauses(F.col("text"))).alias("clause_idx", "clause"))
+
+
+@_query
+def url_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("job_id"), F.lit(0).alias("sent_idx"), F.concat(F.lit("see "), F.col("url"), F.lit(" and https://grafana.example/d/1")).alias("text"))
+    return assemble.assets(rows).select("job_id", "content", "detected_component")
+
+
+@_query
+def text_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = document_sentences(spark, sf_dir)
+    return rows.select("job_id", "sent_idx", T.is_causal("text").alias("is_causal"), T.is_protected("text").alias("is_protected"), T.is_referential("text").alias("is_referential"), T.is_implementation("text").alias("is_implementation"), F.array_join(T.evidence("text"), "|").alias("evidence"))
+
+
+@_query
+def glossary_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns(spark, sf_dir).withColumn("text", F.concat(F.lit("The API near a customer. "), F.col("text")))
+    return rows.select("job_id", "sent_idx", F.array_join(T.ambiguity_warnings("text", config.Glossary(terms=("API", "The"), acronyms=())), "|").alias("warnings"))
+
+
+# Scores
+
+
+@_query
+def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns(spark, sf_dir).withColumn("base", classify.section_scores("text", sections(spark, sf_dir)))
+    return rows.select("job_id", "sent_idx", F.posexplode("base").alias("section_ord", "base")).withColumn("base", F.round("base", 6))
+
+
+@_query
+def context_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = classify.with_context(turns(spark, sf_dir), sections(spark, sf_dir))
+    rows = rows.select("job_id", "sent_idx", F.posexplode(F.arrays_zip("context", "boost", "combined")).alias("section_ord", "x"))
+    return rows.select("job_id", "sent_idx", "section_ord", _round("x.context"), _round("x.boost"), _round("x.combined"))
+
+
+@_query
+def classify_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    secs = sections(spark, sf_dir)
+    rows = classify.ranked(classify.with_context(document_sentences(spark, sf_dir), secs, SCORING), secs, SCORING)
+    second = F.array_join(F.transform("secondary", lambda s: s["section_id"]), "|")
+    return rows.select("job_id", "sent_idx", F.col("primary.section_id").alias("section_id"), _round("primary.confidence"), second.alias("secondary"))
+
+
+@_query
+def policy_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routed(spark, sf_dir).select("job_id", "sent_idx", F.col("primary.section_id").alias("section_id"), "route", "is_inferred")
+
+
+@_query
+def explainability_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = serving.explainability_log(_classified(spark, sf_dir, turns(spark, sf_dir)), 3)
+    return log.select("job_id", "sentence_id", "section_id", _round("confidence"), _joined("alternatives"))
+
+
+@_query
+def transcript_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(S.transcript_quality("text"))))
+    return rows.select("doc_id", F.col("total_length").cast("long").alias("total_length"), F.col("word_count").cast("long").alias("word_count"), _joined("issues"), F.col("confidence_score").cast("long").alias("confidence_score"), "status")
+
+
+@_query
+def transcription_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(S.transcription_accuracy("text", "small"), 6).alias("accuracy"))
+
+
+@_query
+def sentence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = document_sentences(spark, sf_dir).select("job_id", "sent_idx", F.inline(F.array(S.sentence_quality("text"))))
+    return rows.select("job_id", "sent_idx", F.col("quality_score").cast("long").alias("quality_score"), F.col("word_count").cast("long").alias("word_count"), _round("avg_word_length"), _joined("issues"), "status")
+
+
+@_query
+def vector_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    parts = rows.select(F.col("label").cast("long").alias("section"), F.posexplode("embedding").alias("i", "x")).groupBy("section", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centroids = parts.groupBy("section").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("v"))
+    out = chunks.nearest_sections(rows.select(F.col("vec_id"), "embedding"), centroids)
+    return out.select("vec_id", "section", _round("confidence"), F.array_join(F.transform("alternatives", lambda a: a.cast("string")), "|").alias("alternatives"), "requires_review")
+
+
+# Coverage
+
+
+@_query
+def section_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coverage(spark, sf_dir).select("job_id", "section_id", "required", "sentence_count", _round("confidence"), "status", "risk_score")
+
+
+@_query
+def job_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.job_overview(_coverage(spark, sf_dir)).select("job_id", _round("overall_coverage_percent"), _round("overall_risk_score"), "progress", _joined("missing_required_sections"))
+
+
+@_query
+def coverage_endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.coverage_endpoint(_coverage(spark, sf_dir)).select("job_id", _round("coverage_percent"), "missing_required", "requires_attention")
+
+
+# Assembly
+
+
+@_query
+def sentence_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, sf_dir).select("job_id", "sent_idx", "destination", "to_idx")
+
+
+@_query
+def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.cross_references(_placed(spark, sf_dir)).select("job_id", "from_index", "to_index", "section_id", "note", "from_sentence", "to_sentence")
+
+
+@_query
+def section_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = assemble.ordered_content(assemble.section_content(_placed(spark, sf_dir)))
+    return content.select("job_id", "section_id", "sentence_count", _round("confidence"), "appearance", "bucket_name", "position", F.array_join("sentences_preview", "|").alias("preview"))
+
+
+@_query
+def flow_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flow = assemble.flow_coherence(assemble.section_content(_placed(spark, sf_dir)))
+    return flow.select("job_id", _round("flow_coherence_score"), F.size("flow_issues").cast("long").alias("issues"))
+
+
+@_query
+def ordered_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.markdown(assemble.section_content(_placed(spark, sf_dir)))
+
+
+@_query
+def review_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.review_list(_placed(spark, sf_dir), 5).select("job_id", "sent_idx", "text")
+
+
+@_query
+def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = repair.repair(_placed(spark, sf_dir))
+    cover = _coverage(spark, sf_dir)
+    return assemble.documents(placed, cover, coverage.job_overview(cover))
+
+
+@_query
+def repair_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.repair(turns(spark, sf_dir))
+    return rows.select("job_id", "sent_idx", "enhanced_text", F.col("repair").isNotNull().alias("repaired"))
+
+
+@_query
+def multi_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _placed(spark, sf_dir).select("job_id", "sent_idx", "text", F.col("primary.section_id").alias("section_id")).filter("section_id is not null")
+    return serving.multi_section(rows, 3, 10).select("job_id", "text_key", _joined("sections"))
+
+
+# Correction of transcripts
+
+
+@_query
+def correct_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = correct.correct_segments(segments(spark, sf_dir))
+    return rows.select("job_id", "seg_idx", "text", F.size("corrections").cast("long").alias("corrections"), F.round(S.correction_confidence("original_text", F.size("corrections")), 6).alias("confidence"))
+
+
+@_query
+def correction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correct.correction_stats(correct.correct_segments(segments(spark, sf_dir)))
+
+
+# Chunks
+
+
+@_query
+def chunk_best_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _best(spark, sf_dir).select("job_id", "chunk_idx", "section_id", _round("score"), "has_hint")
+
+
+@_query
+def chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.dedup_chunks(_best(spark, sf_dir)).select("job_id", "chunk_idx", "section_id")
+
+
+@_query
+def section_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analysis(spark, sf_dir).select("job_id", "section_id", "chunk_count", _round("confidence"), "status")
+
+
+@_query
+def required_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = coverage.required_summary(_analysis(spark, sf_dir))
+    return out.select("job_id", _round("coverage_percentage"), _round("confidence_score"), _round("risk_score"), _joined("missing_required_sections"), "recommended_state")
+
+
+@_query
+def heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.heatmap(_analysis(spark, sf_dir)).select("job_id", "section_id", _round("heat"))
+
+
+@_query
+def explainability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunks.explainability(_analysis(spark, sf_dir), sections(spark, sf_dir))
+    return out.select("job_id", "section_id", "status", _joined("expected_hints"), "matched_count", _round("top_score"))
+
+
+# Lines and clauses
+
+
+@_query
+def clause_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _units(spark, sf_dir).select("job_id", "unit_id", "text", "is_split", "start_char", "section_id", _round("similarity"), _round("confidence"))
+
+
+@_query
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.paragraphs(_units(spark, sf_dir)).select("job_id", "section_id", "paragraph", _round("coherence_score"), "unit_count")
+
+
+@_query
+def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = _units(spark, sf_dir)
+    out = placement.quality_metrics(units, placement.paragraphs(units))
+    return out.select("job_id", "total_sentences", "assigned_sentences", "unclassified_sentences", "duplicate_count", _round("avg_confidence"), _round("min_confidence"), _round("max_confidence"), "split_sentences", _round("coherence_score"))
+
+
+@_query
+def feedback_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.learned_factors(_corrections(spark, sf_dir)).select("section_id", F.round("factor", 6).alias("factor"))
+
+
+@_query
+def training_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = placement.training_stats(_corrections(spark, sf_dir))
+    return out.select("total_corrections", _joined("sections_corrected"), "last_correction")
+
+
+def _corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels")
+    return rows.select(
+        F.col("doc_id").alias("job_id"), F.lit(0).alias("sent_idx"),
+        F.concat(F.lit("s"), F.col("doc_id") % 13).alias("original_section"), F.concat(F.lit("s"), (F.col("doc_id") + F.col("quality") + 1) % 13).alias("corrected_section"),
+        F.lit(0.01).alias("confidence_boost"), F.concat(F.lit("u"), F.col("toxic")).alias("user"), F.col("doc_id").alias("timestamp"), F.col("doc_id").alias("at"),
+    )
+
+
+# Sessions and service
+
+
+@_query
+def session_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns(spark, sf_dir).withColumns({"start": F.col("sent_idx") * 5.0, "end": F.col("sent_idx") * 5.0 + 5})
+    merged = sessions.merge_sentences(rows.filter("sent_idx % 2 = 0"), rows.filter("sent_idx % 2 = 1"))
+    return merged.select("job_id", "sent_idx", "session", "start", "end", "text")
+
+
+@_query
+def coverage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    secs, rows = sections(spark, sf_dir), turns(spark, sf_dir)
+    ranked = classify.ranked(classify.with_context(rows, secs, SCORING), secs, SCORING)
+    part = lambda k: coverage.section_coverage(ranked.filter(F.col("sent_idx") % 2 == k), rows, secs).select("job_id", "section_id", "status", "sentence_count", "confidence", "risk_score")
+    return sessions.merge_coverage(part(0), part(1)).select("job_id", "section_id", "status", "sentence_count", _round("confidence"), "risk_score", "from_child")
+
+
+@_query
+def review_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _routed(spark, sf_dir).select("job_id", "sent_idx", "route", F.col("primary.section_id").alias("section_id"), "audio_confidence")
+    fixed = sessions.apply_corrections(rows, _corrections(spark, sf_dir))
+    return sessions.recount_coverage(fixed, _coverage(spark, sf_dir)).select("job_id", "section_id", "status", "sentence_count", _round("confidence"), "risk_score")
+
+
+@_query
+def jobs_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.lit("completed").alias("status"), F.col("text").alias("transcript"))
+    return serving.recent_jobs(jobs)
+
+
+@_query
+def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.stores import lines_of
+
+    return lines_of(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@_query
+def job_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    return rows.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", _round("value"))
+
+
+@_query
+def audit_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(200)
+    return rows.select("event_id", "user_id", "event_type", "props")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracles.ORACLES.items() if k in _QUERIES}
