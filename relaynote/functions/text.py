@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, however often f refers to it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def strip(x: str | Column) -> Column:
     """Without white space, of any kind, at either end."""
     return F.regexp_replace(c(x), r"(?U)^\s+|\s+$", "")
@@ -169,19 +176,24 @@ def glossary_corrected(x: str | Column, confidence: str | Column, glossary: conf
 
 def ambiguity_warnings(x: str | Column, glossary: config.Glossary = config.Glossary()) -> Column:
     """A warning for each glossary term or acronym with an ambiguous word within three tokens."""
-    toks = tokens(x)
     nearby = F.array(*[F.lit(a) for a in config.AMBIGUOUS_NEARBY])
-
-    def near(i: Column) -> Column:
-        start = F.greatest(i - 3, F.lit(0))
-        window = F.slice(toks, start + 1, i + 4 - start)
-        return F.get(F.filter(nearby, lambda a: F.array_contains(window, a)), F.lit(0))
-
-    names = [*glossary.terms, *[a for a, _ in glossary.acronyms]]
-    table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(n.lower()).alias("low")) for n in names])
-    hit = F.transform(toks, lambda t, i: F.struct(F.filter(table, lambda n: n["low"] == t).alias("names"), near(i).alias("near")))
-    lines = F.flatten(F.transform(F.filter(hit, lambda h: (F.size(h["names"]) > 0) & h["near"].isNotNull()), lambda h: F.transform(h["names"], lambda n: F.concat(F.lit("Glossary term '"), n["name"], F.lit("' appears near ambiguous word '"), h["near"], F.lit("'")))))
-    return F.array_distinct(lines)
+    names: dict[str, list[str]] = {}
+    for n in [*glossary.terms, *[a for a, _ in glossary.acronyms]]:
+        names.setdefault(n.lower(), []).append(n)
+    if not names:
+        return F.array().cast("array<string>")
+    table = F.create_map(*[v for low, of in names.items() for v in (F.lit(low), F.array(*[F.lit(n) for n in of]))])
+
+    def warn(toks: Column) -> Column:
+        def of(t: Column, i: Column) -> Column:
+            start = F.greatest(i - 3, F.lit(0))
+            word = F.get(F.array_intersect(nearby, F.slice(toks, start + 1, i + 4 - start)), F.lit(0))
+            line = lambda n: F.concat(F.lit("Glossary term '"), n, F.lit("' appears near ambiguous word '"), word, F.lit("'"))
+            return F.when(F.map_contains_key(table, t), F.filter(F.transform(F.element_at(table, t), line), lambda x: x.isNotNull()))
+
+        return F.array_distinct(F.flatten(F.array_compact(F.transform(toks, of))))
+
+    return bound(tokens(x), warn)
 
 
 def connector(x: str | Column) -> Column:

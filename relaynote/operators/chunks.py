@@ -50,10 +50,10 @@ def best_section(chunks: DataFrame, sections: Sequence[config.Section], threshol
     """chunks with section_ord, section_id, score, has_hint: a section with a hint in the chunk beats any without,
     then the higher score, then the earlier section. Without a hint the score must pass threshold - 0.01."""
     lower = F.lower("chunk")
-    rows = chunks.withColumn("scores", chunk_scores(sections) if "scores" not in chunks.columns else F.col("scores"))
-    entries = [F.struct((~T.contains_any(lower, hints_of(s))).alias("no_hint"), (-F.round(F.get("scores", F.lit(i)), 9)).alias("down"), F.lit(s.section_ord).alias("section_ord"), F.lit(s.section_id).alias("section_id"), F.get("scores", F.lit(i)).alias("score")) for i, s in enumerate(sections)]
-    fit = F.filter(F.array(*entries), lambda e: ~e["no_hint"] | (e["score"] > threshold - 0.01))
-    rows = rows.withColumn("best", F.array_min(fit))
+    found = F.col("scores") if "scores" in chunks.columns else chunk_scores(sections)
+    entry = lambda f, i, s: F.struct((~T.contains_any(lower, hints_of(s))).alias("no_hint"), (-F.round(F.get(f, F.lit(i)), 9)).alias("down"), F.lit(s.section_ord).alias("section_ord"), F.lit(s.section_id).alias("section_id"), F.get(f, F.lit(i)).alias("score"))
+    fit = T.bound(found, lambda f: F.filter(F.array(*[entry(f, i, s) for i, s in enumerate(sections)]), lambda e: ~e["no_hint"] | (e["score"] > threshold - 0.01)))
+    rows = chunks.withColumn("best", F.array_min(fit))
     return rows.select("job_id", "chunk_idx", "chunk", F.col("best.section_ord").alias("section_ord"), F.col("best.section_id").alias("section_id"), F.col("best.score").alias("score"), (~F.col("best.no_hint")).alias("has_hint"))
 
 

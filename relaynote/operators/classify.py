@@ -42,15 +42,15 @@ def with_context(sentences: DataFrame, sections: Sequence[config.Section], scori
     order = Window.partitionBy("job_id").orderBy("sent_idx")
     near = [f(F.col("base"), k).over(order) for k in range(1, scoring.context + 1) for f in (F.lag, F.lead)]
     rows = base.withColumn("near", F.array_compact(F.array(*near)))
-    count = F.size("near")
-    mean = lambda i: F.when(count == 0, 0.0).otherwise(F.aggregate("near", F.lit(0.0), lambda s, n: s + F.get(n, i)) / count)
-    places = F.array(*[F.lit(i) for i in range(len(sections))])
-    rows = rows.withColumn("context", F.transform(places, mean))
+    # Arrays are combined whole, never by their places: an expression that Spark folds into a lambda runs once per place.
+    zero = F.array(*[F.lit(0.0)] * len(sections))
+    total = F.aggregate("near", zero, lambda s, n: F.zip_with(s, n, lambda x, y: x + y), lambda s: s)
+    rows = rows.withColumn("context", F.zip_with(total, F.array_repeat(F.greatest(F.size("near"), F.lit(1)), len(sections)), lambda s, n: s / n))
     lower = F.lower("text")
     boost = F.array(*[S.keyword_boost(lower, s.hints, scoring.boost_step, scoring.boost_most) for s in sections])
     rows = rows.drop("near").withColumn("boost", boost)
-    combined = F.transform(places, lambda i: scoring.alpha * F.get("base", i) + scoring.beta * F.get("context", i) + F.get("boost", i))
-    return rows.withColumn("combined", combined)
+    blend = F.zip_with("base", "context", lambda b, c: scoring.alpha * b + scoring.beta * c)
+    return rows.withColumn("combined", F.zip_with(blend, F.col("boost"), lambda x, b: x + b))
 
 
 def ranked(rows: DataFrame, sections: Sequence[config.Section], scoring: config.Scoring = config.Scoring()) -> DataFrame:
@@ -60,9 +60,10 @@ def ranked(rows: DataFrame, sections: Sequence[config.Section], scoring: config.
     reaches it, else both. Empty sentences have neither.
     """
     table = F.array(*[F.struct(F.lit(s.section_ord).alias("ord"), F.lit(s.section_id).alias("section_id"), F.lit(s.title).alias("title"), F.lit(s.required).alias("required")) for s in sections])
-    entry = lambda t, i: F.struct((-F.round(F.get("combined", i), 9)).alias("place"), i.alias("i"), t.alias("of"))
-    best = F.slice(F.sort_array(F.transform(table, entry)), 1, scoring.top_k)
-    full = F.transform(best, lambda x: F.struct(x["of"]["ord"].alias("ord"), x["of"]["section_id"].alias("section_id"), x["of"]["title"].alias("title"), x["of"]["required"].alias("required"), F.get("combined", x["i"]).alias("confidence"), F.get("base", x["i"]).alias("similarity"), F.get("context", x["i"]).alias("context"), F.get("boost", x["i"]).alias("boost")))
+    each = F.arrays_zip(F.col("combined").alias("combined"), F.col("base").alias("base"), F.col("context").alias("context"), F.col("boost").alias("boost"), table.alias("of"))
+    entry = lambda x, i: F.struct((-F.round(x["combined"], 9)).alias("place"), i.alias("i"), x.alias("x"))
+    best = F.slice(F.sort_array(F.transform(each, entry)), 1, scoring.top_k)
+    full = F.transform(best, lambda e: F.struct(e["x"]["of"]["ord"].alias("ord"), e["x"]["of"]["section_id"].alias("section_id"), e["x"]["of"]["title"].alias("title"), e["x"]["of"]["required"].alias("required"), e["x"]["combined"].alias("confidence"), e["x"]["base"].alias("similarity"), e["x"]["context"].alias("context"), e["x"]["boost"].alias("boost")))
     rows = rows.withColumn("best", F.when(T.strip("text") != "", full))
     first = F.get("best", F.lit(0))
     rest = F.slice("best", 2, scoring.top_k)

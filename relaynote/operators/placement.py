@@ -32,8 +32,8 @@ def scores(text: str | Column, sections: Sequence[config.Section], factors: dict
 
 def best(found: Column, sections: Sequence[config.Section]) -> Column:
     """struct(section_id, similarity) of the highest score, the earlier section at ties."""
-    entries = [F.struct((-F.round(F.get(found, F.lit(i)), 9)).alias("down"), F.lit(i).alias("i"), F.lit(s.section_id).alias("section_id"), F.get(found, F.lit(i)).alias("similarity")) for i, s in enumerate(sections)]
-    return F.array_min(F.array(*entries))
+    entry = lambda f, i, s: F.struct((-F.round(F.get(f, F.lit(i)), 9)).alias("down"), F.lit(i).alias("i"), F.lit(s.section_id).alias("section_id"), F.get(f, F.lit(i)).alias("similarity"))
+    return T.bound(found, lambda f: F.array_min(F.array(*[entry(f, i, s) for i, s in enumerate(sections)])))
 
 
 def learned_factors(corrections: DataFrame) -> DataFrame:
