@@ -95,7 +95,7 @@ final as (select *, route = 'accepted' and causal and len(evidence) = 0 as is_in
 """
 COVERAGE = f"""
 every as (select d.job_id, s.ord, s.section_id, s.required from (select distinct doc_id as job_id from documents) d cross join sec s),
-counts as (select job_id, section_id, count(distinct lower({_collapse('text')})) as n, avg(audio) as c from prim group by all),
+counts as (select job_id, section_id, count(distinct lower({_collapse('text')})) as n, round(avg(audio), 9) as c from prim group by all),
 cover0 as (select e.*, coalesce(n, 0) as sentence_count, coalesce(c, 0.0::double) as confidence from every e left join counts c on e.job_id = c.job_id and e.section_id = c.section_id),
 cover1 as (select *, case when sentence_count = 0 then 'missing' when sentence_count <= 1 then 'weak' else 'covered' end as status from cover0),
 cover as (select *, case status when 'missing' then case when required then 1.0::double else 0.5 end when 'weak' then case when required then 0.6 else 0.2 end
