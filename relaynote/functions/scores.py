@@ -13,7 +13,9 @@ from . import text as T
 
 def audio_confidence(avg_logprob: str | Column) -> Column:
     """Clamped (x + 2) / 2; 0.5 without a value."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (T.c(avg_logprob) + 2) / 2)), F.lit(0.5))
+    x = T.c(avg_logprob)
+    # greatest and least skip nulls, so they can't tell that there is no value
+    return F.when(x.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x + 2) / 2)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
