@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,17 @@ CACHED_WORDS = 400_000
 SEED = 11
 
 
+@lru_cache(maxsize=1)
+def load_tokenizer(path: str) -> tuple:
+    """The tokenizer and its cache of words, which a Python worker keeps from task to task."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path), {}
+
+
 def word_ids(texts: list[str], tokenizer, cache: dict[bytes, tuple[int, ...]]) -> Iterator[list[int]]:  # noqa: ANN001
     """Token ids of each text. The tokenizer drops white space and treats what lies between by itself, so words are cached."""
     split = [t.encode().split() for t in texts]
@@ -45,12 +57,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_i
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, and row, the hash of doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer, cache = Tokenizer.from_file(tokenizer_path), {}
+        tokenizer, cache = load_tokenizer(tokenizer_path)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
