@@ -28,7 +28,10 @@ from .common import bit_filter, flag_contained, save, shared_path
 LEAST_BYTES = 1000
 PACKAGE_BYTES = 64 << 20
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
-READ_BYTES = 4 << 20
+#: A package is read in ranges of READ_BYTES; a task reads TASK_BYTES on average where there is that much.
+READ_BYTES, TASK_BYTES = 4 << 20, 128 << 20
+#: Packages whose index a task reads, where there are that many.
+TASK_PACKAGES = 16
 FILTER_BITS = 1 << 24
 
 
@@ -188,7 +191,7 @@ def with_references(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 
 
 def write_packages(pages: DataFrame, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """Write a record for each page; one row (path, records) for each package of the tasks that succeeded."""
+    """Write a record for each page; one row (path, records, bytes) for each package of the tasks that succeeded."""
     folder = shared_path(pages.sparkSession, "packages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,14 +208,14 @@ def write_packages(pages: DataFrame, package_bytes: int = PACKAGE_BYTES) -> Data
                 writer.add(format_record(page, url.as_py(), payload.as_py(), keep, keep is not None and keep != page))
                 if writer.at >= package_bytes:
                     writer.close()
-                    done.append((f"{folder}/{name}", len(writer.lines)))
+                    done.append((f"{folder}/{name}", len(writer.lines), writer.at))
                     writer = None
         if writer is not None:
             writer.close()
-            done.append((f"{folder}/{name}", len(writer.lines)))
-        yield pa.record_batch({"path": pa.array([x[0] for x in done], pa.string()), "records": pa.array([x[1] for x in done], pa.int64())})
+            done.append((f"{folder}/{name}", len(writer.lines), writer.at))
+        yield pa.record_batch({"path": pa.array([x[0] for x in done], pa.string()), "records": pa.array([x[1] for x in done], pa.int64()), "bytes": pa.array([x[2] for x in done], pa.int64())})
 
-    return save(pages.mapInArrow(run, "path string, records long"), "manifest")
+    return save(pages.mapInArrow(run, "path string, records long, bytes long"), "manifest")
 
 
 def read_packages(manifest: DataFrame) -> DataFrame:
@@ -238,10 +241,14 @@ def read_packages(manifest: DataFrame) -> DataFrame:
                 columns = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_digest": pa.string(), "payload": pa.binary()}
                 yield pa.record_batch({k: pa.array([x[k] for x in found], t) for k, t in columns.items()})
 
-    paths = manifest.select("path")
-    places = paths.repartition(F.col("path")).mapInArrow(directories, "path string, at long, length long")
+    # Rows with places are small and what lies there is large: the numbers of tasks follow from the bytes to be read.
+    sums = manifest.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    slots = manifest.sparkSession.sparkContext.defaultParallelism
+    finders = max(1, min(slots, sums["n"]), -(-sums["n"] // TASK_PACKAGES))
+    readers = max(1, min(slots, -(-sums["bytes"] // READ_BYTES)), -(-sums["bytes"] // TASK_BYTES))
+    places = manifest.select("path").repartition(finders, "path").mapInArrow(directories, "path string, at long, length long")
     # Ranges of a package are dealt out, so that a large package is read by many tasks.
-    dealt = places.repartition("path", F.floor(F.col("at") / READ_BYTES)).sortWithinPartitions("path", "at")
+    dealt = places.repartition(readers, "path", F.floor(F.col("at") / READ_BYTES)).sortWithinPartitions("path", "at")
     return dealt.mapInArrow(records, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload binary")
 
 
