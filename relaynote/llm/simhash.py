@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import components, save
 
@@ -25,6 +26,8 @@ SEED = 42
 SAMPLED, CLASSES = 192, 32
 #: Orders in which rows that share a partial fingerprint take their turn as the row that the others are compared with.
 ORDERS = 8
+#: Rows of a group that are compared with all others in the first round after that; the number doubles.
+FIRST_CENTRES = 8
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -168,35 +171,8 @@ def _marks_of(text: str | None, words: int) -> tuple[int, list[int]]:
     return whole, list(dict.fromkeys(marks))
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 2) -> DataFrame:
-    """Links (a, b) of texts whose sets of `words`-word shingles have a Jaccard similarity of `similarity` or more.
-
-    docs has a unique row_key (long) and text; each text occurs once. Candidates are the pairs from anchors, and each
-    row with one row of those that share a partial fingerprint. All candidates are compared exactly.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, found = batch.column("row_key").to_pylist(), [_marks_of(t.as_py(), words) for t in batch.column("text")]
-            yield pa.record_batch({
-                "row_key": pa.array(keys, pa.int64()),
-                "mark": pa.array(np.array([x[0] for x in found], np.uint64).view(np.int64)),
-                "parts": pa.array([np.array(x[1], np.uint64).view(np.int64) for x in found], pa.list_(pa.int64())),
-            })
-
-    marked = save(docs.select("row_key", "text").mapInArrow(run, "row_key long, mark long, parts array<long>"), "marked")
-    marks = save(marked.groupBy("mark").agg(F.min("row_key").alias("least")), "marks")
-    by_mark = marked.select("row_key", "mark").join(marks, "mark").select(F.col("row_key").alias("b"), F.col("least").alias("a"))
-    pairs = near_marks(marks, bits)
-    ends = marks.select(F.col("mark").alias("a"), F.col("least").alias("x")), marks.select(F.col("mark").alias("b"), F.col("least").alias("y"))
-    by_anchor = pairs.join(ends[0], "a").join(ends[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    parts = marked.select("row_key", F.explode("parts").alias("part"))
-    # The centre of a part's rows is the first in one of ORDERS orders, so rows alike meet even if a third row is in between.
-    centre = F.struct(F.xxhash64("row_key", F.pmod("part", F.lit(ORDERS))), F.col("row_key").alias("a"))
-    first = save(parts.groupBy("part").agg(F.min(centre)["a"].alias("a"), F.count("*").alias("n")).filter("n > 1").select("part", "a"), "parts")
-    by_part = parts.join(first, "part").select(F.col("row_key").alias("b"), "a")
-    candidates = by_mark.unionByName(by_anchor).unionByName(by_part).filter("a <> b")
-    candidates = save(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+def _alike(candidates: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The candidates (a, b) whose texts have the similarity, by their exact sets of shingles."""
 
     @F.pandas_udf("boolean")
     def alike(left, right):  # noqa: ANN001, ANN202
@@ -225,6 +201,123 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     return two.filter(alike("left", "right")).select("a", "b")
 
 
+def _rooted(rows: DataFrame, key: str, roots: DataFrame, root: str) -> DataFrame:
+    """rows with the component of the row named by `key`; a row without a link is its own."""
+    named = roots.select(F.col("node").alias(key), F.col("root").alias("_root"))
+    return rows.join(named, key, "left").withColumn(root, F.coalesce("_root", key)).drop("_root")
+
+
+def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(token, row_key, n): rows by the shingles of their prefix; n is the number of the text's distinct shingles.
+
+    With the rarest shingles of docs first, two texts of the similarity share one of the first
+    n - ceil(similarity * n) + 1 of either. Shingles of one text only fill a prefix and name no group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                found = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column("text")]
+                sizes = [len(x) for x in found]
+                yield pa.record_batch({
+                    "row_key": pa.array(np.repeat(batch.column("row_key").to_numpy(zero_copy_only=False), sizes), pa.int64()),
+                    "n": pa.array(np.repeat(np.array(sizes, np.int32), sizes), pa.int32()),
+                    "token": pa.array(np.concatenate([*found, np.zeros(0, "<u8")]).astype(np.uint64).view(np.int64), pa.int64()),
+                })
+
+    tokens = docs.select("row_key", "text").mapInArrow(run, "row_key long, n int, token long")
+    often = save(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "often")
+    shared = tokens.join(often, "token")
+    # The small slack keeps a prefix from ending early where similarity * n is an integer but for rounding.
+    length = F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1
+    by = Window.partitionBy("row_key")
+    placed = shared.withColumns({"place": F.row_number().over(by.orderBy("df", "token")), "common": F.count("*").over(by)})
+    return placed.filter(F.col("place") + F.col("n") - F.col("common") <= length).select("token", "row_key", "n")
+
+
+def _rest_of_links(docs: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join what roots leaves apart, so that all texts of docs with the similarity get connected.
+
+    Rows that share a shingle of their prefixes make a group. In rounds, some rows outside a group's largest component
+    are compared with all rows of the group in other components, and are then done with. A group is left when it is
+    one component or none of its rows remains; the rows taken at once double, so a group of n rows has log n rounds.
+    """
+    groups = save(_prefixes(docs, words, similarity), "groups")
+    links, most = None, FIRST_CENTRES
+    for k in range(64):
+        members = _rooted(groups, "row_key", roots, "root")
+        parts = members.groupBy("token", "root").agg(F.count("*").alias("size"))
+        open_ = parts.groupBy("token").agg(F.max(F.struct("size", "root"))["root"].alias("main"), (F.sum("size") - F.max("size")).alias("outside")).filter("outside > 0")
+        # One hash for all groups: groups with the same rows take the same ones.
+        part = F.shiftrightunsigned(F.xxhash64("row_key", F.lit(k)), 33).cast("double") / float(1 << 31)
+        members = save(members.join(open_, "token").withColumn("taken", (F.col("root") != F.col("main")) & (part * F.col("outside") < most)), "members")
+        if members.isEmpty():
+            return links
+        centre = members.filter("taken").select("token", F.col("row_key").alias("x"), F.col("root").alias("of"), F.col("n").alias("nx"))
+        sizes = F.least("n", "nx") >= F.greatest("n", "nx") * similarity - 1e-6
+        pairs = members.join(centre, "token").filter((F.col("root") != F.col("of")) & sizes)
+        candidates = save(pairs.select(F.least("x", "row_key").alias("a"), F.greatest("x", "row_key").alias("b")).distinct(), "candidates")
+        found = save(_alike(candidates, docs, words, similarity), "links")
+        links = found if links is None else links.unionByName(found)
+        groups = members.filter("not taken").select("token", "row_key", "n")
+        if not found.isEmpty():
+            ends = _rooted(_rooted(found, "a", roots, "x"), "b", roots, "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            joined = components(ends)
+            old = roots.select(F.col("node").alias("row_key"), "root").unionByName(joined.select(F.col("node").alias("row_key"), F.col("node").alias("root"))).groupBy("row_key").agg(F.min_by("root", F.col("root") == F.col("row_key")).alias("root"))
+            roots = save(_rooted(old, "root", joined, "to").select(F.col("row_key").alias("node"), F.col("to").alias("root")), "roots")
+        most *= 2
+    raise RuntimeError("groups of similar texts are not done")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 2) -> DataFrame:
+    """Links (a, b) of texts whose sets of `words`-word shingles have a Jaccard similarity of `similarity` or more.
+
+    docs has a unique row_key (long) and text; each text occurs once. Texts meet that share a partial fingerprint, or
+    whose SimHashes are equal or near. The links connect all texts that meet and have the similarity: each is compared
+    with one text of those it meets first, and where that leaves texts that meet in different components, the texts
+    concerned are compared by their prefixes (`_rest_of_links`). Every link is decided exactly.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, found = batch.column("row_key").to_pylist(), [_marks_of(t.as_py(), words) for t in batch.column("text")]
+            yield pa.record_batch({
+                "row_key": pa.array(keys, pa.int64()),
+                "mark": pa.array(np.array([x[0] for x in found], np.uint64).view(np.int64)),
+                "parts": pa.array([np.array(x[1], np.uint64).view(np.int64) for x in found], pa.list_(pa.int64())),
+            })
+
+    marked = save(docs.select("row_key", "text").mapInArrow(run, "row_key long, mark long, parts array<long>"), "marked")
+    marks = save(marked.groupBy("mark").agg(F.min("row_key").alias("least"), F.count("*").alias("n")), "marks")
+    by_mark = marked.select("row_key", "mark").join(marks.filter("n > 1"), "mark").select(F.xxhash64("mark", F.lit(1)).alias("part"), F.col("row_key").alias("b"), F.col("least").alias("a"))
+    pairs = near_marks(marks, bits)
+    ends = marks.select(F.col("mark").alias("a"), F.col("least").alias("x"), F.col("n").alias("nx")), marks.select(F.col("mark").alias("b"), F.col("least").alias("y"), F.col("n").alias("ny"))
+    anchored = save(pairs.join(ends[0], "a").join(ends[1], "b"), "anchored")
+    by_anchor = anchored.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # All rows of two near SimHashes meet, not only the first of each.
+    many = anchored.filter("nx > 1 or ny > 1").select(F.xxhash64("a", "b", F.lit(2)).alias("part"), F.col("x").alias("first"), F.explode(F.array("a", "b")).alias("mark"))
+    by_pair = many.join(marked.select("row_key", "mark"), "mark").select("part", F.col("row_key").alias("b"), F.col("first").alias("a"))
+    parts = marked.select("row_key", F.explode("parts").alias("part"))
+    # The centre of a part's rows is the first in one of ORDERS orders, so rows alike meet even if a third row is in between.
+    centre = F.struct(F.xxhash64("row_key", F.pmod("part", F.lit(ORDERS))), F.col("row_key").alias("a"))
+    first = save(parts.groupBy("part").agg(F.min(centre)["a"].alias("a"), F.count("*").alias("n")).filter("n > 1").select("part", "a"), "parts")
+    by_part = parts.join(first, "part").select("part", F.col("row_key").alias("b"), "a")
+    stars = save(by_mark.unionByName(by_pair).unionByName(by_part), "stars")
+    candidates = stars.select("a", "b").unionByName(by_anchor).filter("a <> b")
+    candidates = save(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    links = save(_alike(candidates, docs, words, similarity), "links")
+    roots = components(links)
+    # A star whose rows are not all in its centre's component has rows that have not been compared.
+    apart = _rooted(_rooted(stars.filter("a <> b"), "a", roots, "x"), "b", roots, "y").filter("x <> y").select("part").distinct()
+    met = stars.join(apart, "part", "left_semi").groupBy("part").agg(F.count("*").alias("n")).filter("n > 2").select("part")  # two rows are one pair
+    open_rows = save(stars.join(met, "part", "left_semi").select(F.col("b").alias("row_key")).distinct(), "open")
+    if open_rows.isEmpty():
+        return links
+    rest = _rest_of_links(docs.select("row_key", "text").join(open_rows, "row_key", "left_semi"), roots, words, similarity)
+    return links if rest is None else links.unionByName(rest)
+
+
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 2) -> DataFrame:
     """The rows of docs, all columns, of which one of each group of exact and near copies stays: the smallest doc_id.
 

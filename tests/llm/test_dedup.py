@@ -173,3 +173,31 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert sorted((r["doc_id"] for r in got.collect()), key=repr) == want
     assert got.columns == [c.split()[0] for c in DOCS.split(", ")]
     assert simhash.near_dedup(table(spark, [])).count() == 0
+
+
+def test_near_dedup_connects_a_hot_group_near_the_threshold(spark):
+    rnd = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base = [rnd.choice(vocabulary) for _ in range(300)]
+    rows = []
+    for i in range(250):
+        t = list(base)
+        for at in rnd.sample(range(300), 4):
+            t[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(t), "s"))
+    sets = [shingles(t) for _, t, _ in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if len(s & sets[j]) >= 0.8 * len(s | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    want = [i for i in range(len(rows)) if find(i) == i]
+    got = simhash.near_dedup(table(spark, rows))
+    assert sorted(r["doc_id"] for r in got.collect()) == want
