@@ -34,12 +34,13 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return far.unionByName(exact.filter(F.col("n") >= min_sites).select("line_hash"))
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float | None = MAX_SHARE) -> DataFrame:
     """docs with `text` freed of spread lines, plus n_lines and n_removed (long; names of docs that clash give way).
 
     A line is spread if at least min_sites sources hold it (a null source is the site named by the empty string). Blank
     lines stay. Where spread lines make up more than max_share of the characters of a document's lines, the document is
-    a copy rather than a page with boilerplate and stays as it is, so no document is emptied. A null text has no lines
+    a copy rather than a page with boilerplate and stays as it is, so no document is emptied. Without a max_share only
+    documents that have no other lines but blank ones stay as they are. A null text has no lines
     and stays null; repeated rows are all treated alike; an empty table gives an empty result.
     """
     own = ["n_lines", "n_removed", "row_doc", "row_key", "cut"]
@@ -52,7 +53,11 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = M
     joined = rows.join(cuts, ["row_doc", "row_key"], "left")
     parts = F.split("text", "\n")
     chars = F.char_length("text") - F.size(parts) + 1
-    cut = F.col("cut").isNotNull() & (F.col("cut_chars") <= chars * max_share)
+    if max_share is None:
+        small = F.size(F.filter(parts, lambda line: F.trim(line) != "")) > F.size("cut")
+    else:
+        small = F.col("cut_chars") <= chars * max_share
+    cut = F.col("cut").isNotNull() & small
     clean = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("cut", i)), "\n")
     out = joined.withColumns({
         "text": F.when(cut, clean).otherwise(F.col("text")),

@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from relaynote.llm import common, exact_dedup, line_dedup, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, digest string, size int"
@@ -65,6 +66,13 @@ def test_spread_lines_go_and_copies_stay_whole(spark):
     assert line_dedup.line_dedup(table(spark, [])).count() == 0
 
 
+def test_pipeline_frees_short_pages_of_long_boilerplate(spark):
+    long = "a line of boilerplate that is longer than all else on the page"
+    rows = [(i, f"own {i}\n{long}\n\n{long}", f"s{i}") for i in range(12)] + [(100, f"{long}\n\n{long}", "s1"), (101, None, "s1")]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_spread_lines(spark, table(spark, rows), "").collect()}
+    assert got == {i: f"own {i}\n" for i in range(12)} | {100: f"{long}\n\n{long}", 101: None}
+
+
 def test_near_threshold_lines_are_counted_exactly(spark):
     lines = spark.createDataFrame([(f"l{n}", f"s{k}") for n in range(1, 40) for k in range(n) for _ in range(3)], "line_hash string, site string")
     assert {r[0] for r in line_dedup.spread_lines(lines, 20).collect()} == {f"l{n}" for n in range(20, 40)}
