@@ -58,13 +58,19 @@ def _parts(width: int, lists: int) -> list[slice]:
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best: highest score, then smallest id."""
+    """Places of the k best: highest score, then smallest id. Of places with equal id and score one counts."""
+
+    def first(some: np.ndarray) -> np.ndarray:
+        some = some[np.lexsort((ids[some], -scores[some]))]
+        new = np.ones(len(some), bool)
+        new[1:] = (ids[some][1:] != ids[some][:-1]) | (scores[some][1:] != scores[some][:-1])
+        return some[new][:k]
+
     if len(ids) > 4 * k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.nonzero(scores >= least)[0]
-    else:
-        some = np.arange(len(ids))
-    return some[np.lexsort((ids[some], -scores[some]))[:k]]
+        if len(best := first(np.nonzero(scores >= least)[0])) == k:
+            return best
+    return first(np.arange(len(ids)))
 
 
 def _scan(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, lists: int, cutoffs: np.ndarray | None) -> DataFrame:

@@ -195,6 +195,16 @@ def test_top_k_is_exact_with_ties_and_odd_vectors(spark):
     assert topk.top_k(spark.createDataFrame([(0, [1.0], 0)], vectors.schema)).count() == 0
 
 
+def test_top_k_is_whole_where_all_rows_repeat(spark):
+    rnd = np.random.default_rng(9)
+    rows = [(i, rnd.normal(size=6).astype("float32").tolist()) for i in range(60)]
+    good = {d: [math.floor(1024 * float(x)) for x in v] for d, v in rows}
+    scored = sorted((-sum(a * b for a, b in zip(good[0], v)), d) for d, v in good.items() if d)[:10]
+    for copies in (2, 12):
+        vectors = spark.createDataFrame(rows * copies, "vec_id long, embedding array<float>").coalesce(1)
+        assert rows_of(topk.top_k(vectors), "rank", "vec_id", "score") == sorted([(k + 1, d, -s) for k, (s, d) in enumerate(scored)], key=repr)
+
+
 # Web archives
 
 PAGES = "page_id long, url string, html string, payload string, key int"
