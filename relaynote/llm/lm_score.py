@@ -1,21 +1,23 @@
-"""Language-model scores of whole texts by a weighted backoff automaton.
-
-Word counts of the whole training corpus give the base distribution. Frequent n-grams become states: a state has an arc
-for each frequent continuation, with its smoothed probability, and a failure arc to the state of the shorter history,
-with the backoff weight. A text is read once from left to right; the traversal carries the state and adds up
-log-probabilities. Only words and n-grams of at least a fixed share of the corpus are in the automaton, which bounds
-its size; the probabilities of all other words come from the full counts by a join.
+"""Language-model scores of whole texts by a weighted backoff automaton, held as a distributed table.
+
+All words and all n-grams that occur LEAST_COUNT times, at every size of the corpus, are in the automaton. A history is
+a state: it has an arc for each such continuation, with its smoothed probability, and a failure arc to the shorter
+history, with the backoff weight. The traversal of a text takes the arc of the longest history that has one, after the
+failure arcs of the longer histories. So a text's score is a sum over its n-grams: each word brings its base
+log-probability, each n-gram with an arc the difference to what the failure arc would give, and each n-gram that is a
+state the weight of its failure arc. These values make one table, keyed by hashes of the n-grams, to which the n-grams
+of the texts are joined. The most frequent n-grams are also broadcast, CACHED at most, so that fewer are shuffled; the
+result is the same without.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +25,17 @@ from .common import save
 from .toxicity import fold
 
 ORDER = 3
-#: Shares of all training tokens: at most 1 / share words, and n-grams of each order, are in the automaton.
-WORD_SHARE, GRAM_SHARE, LEAST_COUNT = 1e-6, 1e-6, 2
+#: n-grams of two words and more are arcs from this count on, whatever the share of the corpus.
+GRAM_SHARE, LEAST_COUNT = 0.0, 2
 DISCOUNT = 0.75
 END = b""  # no word is empty
-FLUSH = 300_000
+BEGIN = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word holds a space
 #: Tokens whose n-grams are counted together before they leave a task.
 KEYS = 800_000
+#: Values that are broadcast, and bits of the filter of all n-grams that have one: fixed sizes.
+CACHED, BITS, PAGE = 500_000, 1 << 26, 1 << 15
+#: Words whose hashes a task keeps.
+WORDS = 200_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -38,101 +44,61 @@ def tokens(text: str | None) -> list[bytes]:
     return words
 
 
-@dataclass
-class Automaton:
-    ids: dict[bytes, int]
-    unigram: list[float]
-    width: int
-    begin: int
-    arcs: dict[int, tuple[float, int]] = field(default_factory=dict)  # state * width + word -> log10 probability, next state
-    back: list[float] = field(default_factory=lambda: [0.0])  # state -> backoff weight (log10)
-    fail: list[int] = field(default_factory=lambda: [0])
-    root_back: list[float] = field(default_factory=lambda: [0.0])  # all weights on the way to the root
-    history: dict[tuple[int, ...], int] = field(default_factory=lambda: {(): 0})
-    root: list[tuple[float, int]] = field(default_factory=list)  # the arcs of state 0, by word
-    base: np.ndarray | None = None
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
 
-    def start(self) -> int:
-        return self.history.get((self.begin,), 0)
 
-    def add_state(self, history: tuple[int, ...], total: int, arcs: list[tuple[int, int]]) -> None:
-        """A state with its arcs (word, count); total counts the history. All shorter histories are there already."""
-        down = self.state_of(history[1:])
-        kept = sum(n - DISCOUNT for _, n in arcs)
-        weight = math.log10(max(1 - kept / total, 1e-12))
-        state = len(self.back)
-        self.history[history] = state
-        self.back.append(weight)
-        self.fail.append(down)
-        self.root_back.append(weight + self.root_back[down])
-        for word, n in arcs:
-            lower = 10 ** (weight + self.log_probability(down, word))
-            self.arcs[state * self.width + word] = (math.log10((n - DISCOUNT) / total + lower), -1)
+def _row(text: str | None, of: _Hashes) -> np.ndarray:
+    """The begin of a text and the hashes of its tokens."""
+    return np.array([int(BEGIN), *map(of.__getitem__, tokens(text))], np.uint64)
 
-    def state_of(self, history: tuple[int, ...]) -> int:
-        """The state of the longest end of the history that has one."""
-        while history not in self.history:
-            history = history[1:]
-        return self.history[history]
 
-    def log_probability(self, state: int, word: int) -> float:
-        out = 0.0
-        while state and (key := state * self.width + word) not in self.arcs:
-            out += self.back[state]
-            state = self.fail[state]
-        return out + (self.arcs[key][0] if state else self.unigram[word])
+def _ngrams(row: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(places of the last words, keys, keys without the last word, keys without the first) of each length of n-gram."""
+    begin = row == BEGIN
+    yield np.arange(len(row)), row, np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
+    keys, valid = row, np.ones(len(row), bool)
+    for n in range(2, order + 1):
+        longer = np.zeros(len(row), np.uint64)
+        h = keys[:-1] * np.uint64(0x9E3779B97F4A7C15) + row[1:] + np.uint64(n)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        longer[1:] = h ^ (h >> np.uint64(29))
+        now = np.zeros(len(row), bool)
+        now[1:] = valid[:-1] & ~begin[1:]
+        at = np.nonzero(now)[0]
+        yield at, longer[at], keys[at - 1], keys[at]
+        keys, valid = longer, now
 
-    def close(self) -> None:
-        """Give every arc its next state, once all states are there."""
-        self.root = [(p, self.state_of((word,))) for word, p in enumerate(self.unigram)]
-        self.base = np.array(self.unigram, float)
-        for history, state in self.history.items():
-            self.fail[state] = self.state_of(history[1:]) if history else 0
-        names = {state: history for history, state in self.history.items()}
-        for key, (p, nxt) in self.arcs.items():
-            if nxt < 0:
-                self.arcs[key] = (p, self.state_of((*names[key // self.width], key % self.width)))
 
-    def read(self, words: list[bytes]) -> tuple[float, float, int, dict[bytes, int]]:
-        """(score, base score, known tokens) of the words in the automaton, and the counts of the words that are not."""
-        arc, back, fail, width, root = self.arcs.get, self.back, self.fail, self.width, self.root
-        of = self.ids.get
-        row = [of(w, -1) for w in words]
-        state, score = self.start(), 0.0
-        for i in row:
-            if i < 0:
-                score += self.root_back[state]
-                state = 0
-                continue
-            while state:
-                if (x := arc(state * width + i)) is not None:
-                    break
-                score += back[state]
-                state = fail[state]
-            else:
-                x = root[i]
-            score += x[0]
-            state = x[1]
-        places = np.array(row, np.int64)
-        known = places[places >= 0]
-        rare = Counter(w for w, i in zip(words, row) if i < 0) if len(known) < len(row) else {}
-        return score, float(self.base[known].sum()), len(known), rare
+def gram_counts(training: DataFrame, order: int) -> DataFrame:
+    """key, hist, tail, size (words) and count n of all n-grams; the begin of a text is a word of its own."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _Hashes()
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """word (bytes) and its count c over all texts, ends included."""
+        def counted(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for size, (_, key, hist, tail) in enumerate(_ngrams(np.concatenate(rows), order), 1):
+                key, at, n = np.unique(key, return_index=True, return_counts=True)
+                long = lambda x: pa.array(x.view(np.int64))
+                yield pa.record_batch({"key": long(key), "hist": long(hist[at]), "tail": long(tail[at]), "size": pa.array(np.full(len(key), size, np.int8)), "n": pa.array(n, pa.int64())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
+        rows, have = [], 0
         for batch in batches:
             for text in batch.column("text"):
-                found.update(tokens(text.as_py()))
-                if len(found) > FLUSH:
-                    yield pa.record_batch({"word": pa.array(list(found), pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
-                    found.clear()
-        yield pa.record_batch({"word": pa.array(list(found), pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
+                rows.append(_row(text.as_py(), of))
+                have += len(rows[-1])
+                if have > KEYS:
+                    yield from counted(rows)
+                    rows, have = [], 0
+        if rows:
+            yield from counted(rows)
 
-    return training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    found = training.select("text").mapInArrow(run, "key long, hist long, tail long, size byte, n long")
+    return found.groupBy("size", "key", "hist", "tail").agg(F.sum("n").alias("n"))
 
 
 def places_in(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -143,78 +109,30 @@ def places_in(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(known[at] == wanted, at, -1)
 
 
-def extension_counts(training: DataFrame, ids: dict[bytes, int], prefixes: list[np.ndarray], width: int, begin: int) -> DataFrame:
-    """key (index of the history * width + word) and count n of the n-grams of order len(prefixes) + 2.
+def automaton(grams: DataFrame, total: int, kinds: int, order: int) -> DataFrame:
+    """key, n, value, and for words base: what an n-gram adds to the score, and a word to the base score.
 
-    The index of a history of one word is the word, or the begin of a text. Longer histories have sorted keys of the
-    same form, one array for each length, and their places there are their indexes.
+    grams has all words and the n-grams that are arcs. As each occurrence of an n-gram is one of its history and of its
+    shorter form, these are there too.
     """
-    spark = training.sparkSession
-    shared = spark.sparkContext.broadcast((ids, prefixes))  # bounded by the shares
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, known = shared.value
-        end = of.get(END, -1)
-        find = of.get
-
-        def counted(rows: list[int]) -> pa.RecordBatch:
-            row = np.array(rows, np.int64)
-            word = np.where(row == begin, -1, row)
-            history = np.where(row == end, -1, row)
-            for keys in known:
-                both = np.nonzero((history[:-1] >= 0) & (word[1:] >= 0))[0]
-                longer = np.full(len(row), -1, np.int64)
-                longer[both + 1] = places_in(keys, history[both] * width + word[both + 1])
-                history = longer
-            both = np.nonzero((history[:-1] >= 0) & (word[1:] >= 0))[0]
-            key, n = np.unique(history[both] * width + word[both + 1], return_counts=True)
-            return pa.record_batch({"key": pa.array(key, pa.int64()), "n": pa.array(n, pa.int64())})
-
-        rows: list[int] = []
-        for batch in batches:
-            for text in batch.column("text"):
-                rows.append(begin)
-                rows += [find(w, -1) for w in tokens(text.as_py())]
-                if len(rows) > KEYS:
-                    yield counted(rows)
-                    rows = []
-        if rows:
-            yield counted(rows)
-
-    return training.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def build(training: DataFrame, counts: DataFrame, total: int, kinds: int, order: int = ORDER) -> Automaton:
-    """The automaton of all n-grams up to the order that have their share of the training tokens."""
-    words = counts.filter(F.col("c") >= math.ceil(WORD_SHARE * total)).orderBy(F.desc("c"), "word").toPandas()
-    ids = {bytes(w): i for i, w in enumerate(words["word"])}
-    begin, width = len(ids), len(ids) + 1
-    unigram = (np.log10(words["c"].to_numpy(float) + 1) - math.log10(total + kinds + 1)).tolist()
-    model = Automaton(ids, unigram, width, begin)
-    totals: dict[tuple[int, ...], int] = {(i,): int(c) for i, c in enumerate(words["c"])}
-    if END in ids:
-        totals[(begin,)] = totals[(ids[END],)]
-    prefixes: list[np.ndarray] = []
-    names: list[tuple[int, ...]] | None = None
-    least = max(LEAST_COUNT, math.ceil(GRAM_SHARE * total))
-    for n in range(2, order + 1):
-        found = extension_counts(training, ids, prefixes, width, begin).filter(F.col("n") >= least).orderBy("key").toPandas()
-        by: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for key, count in zip(found["key"].tolist(), found["n"].tolist()):
-            history = (key // width,) if names is None else names[key // width]
-            by.setdefault(history, []).append((key % width, count))
-        for history, arcs in by.items():
-            model.add_state(history, totals[history], arcs)
-        # No history holds an end. The keys of the others are in order, and so are their names.
-        kept = found[found["key"] % width != ids.get(END, -1)]
-        keys = kept["key"].to_numpy(np.int64)
-        names = [((k // width,) if names is None else names[k // width]) + (k % width,) for k in keys.tolist()]
-        totals = dict(zip(names, kept["n"].tolist()))
-        prefixes.append(keys)
-        if not names:
-            break
-    model.close()
-    return model
+    begin = F.col("key") == int(BEGIN.view(np.int64))
+    p = F.when(~begin, F.log10(F.col("n") + 1.0) - math.log10(total + kinds + 1))
+    level = grams.filter("size = 1").select("key", "n", F.coalesce(p, F.lit(0.0)).alias("p"), F.coalesce(p, F.lit(0.0)).alias("delta"), p.alias("base"))
+    out = None
+    for size in range(2, order + 2):
+        arcs = grams.filter(F.col("size") == size)
+        spent = arcs.groupBy("hist").agg(F.sum(F.col("n") - DISCOUNT).alias("spent")).withColumnRenamed("hist", "key")
+        back = F.when(F.col("spent").isNull(), 0.0).otherwise(F.log10(F.greatest(1 - F.col("spent") / F.col("n"), F.lit(1e-12))))
+        level = save(level.join(spent, "key", "left").withColumn("back", back).drop("spent"), "level")
+        done = level.select("key", "n", (F.col("delta") + F.col("back")).alias("value"), "base")
+        out = done if out is None else out.unionByName(done)
+        histories = level.select(F.col("key").alias("hist"), F.col("n").alias("of"), "back")
+        shorter = level.select(F.col("key").alias("tail"), F.col("p").alias("lower"))
+        one = arcs.join(histories, "hist").join(shorter, "tail")
+        low = F.col("back") + F.col("lower")
+        p = F.log10((F.col("n") - DISCOUNT) / F.col("of") + F.pow(F.lit(10.0), low))
+        level = one.select("key", "n", p.alias("p"), (p - low).alias("delta"), F.lit(None).cast("double").alias("base"))
+    return out
 
 
 def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, order: int = ORDER) -> DataFrame:
@@ -228,45 +146,76 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, order: int = ORDE
     held = F.coalesce(fold("doc_id", folds) == held_fold, F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
     training = rows.filter(~F.col("held_out"))
-    counts = save(word_counts(training), "words")
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    grams = save(gram_counts(training, order).filter((F.col("size") == 1) | (F.col("n") >= LEAST_COUNT)), "grams")
+    words = grams.filter((F.col("size") == 1) & (F.col("key") != int(BEGIN.view(np.int64))))
+    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, kinds = sums["n"], sums["v"]
-    model = spark.sparkContext.broadcast(build(training, counts, total, kinds, order))
+    table = save(automaton(grams, total, kinds, order), "automaton")
+    often = table.orderBy(F.desc("n"), "key").limit(CACHED).toPandas().sort_values("key")
+    slot = F.col("key").bitwiseAND(F.lit(BITS - 1))
+    pages = table.groupBy(F.floor(slot / PAGE).alias("page")).agg(F.bitmap_construct_agg(slot % PAGE).alias("bits")).collect()  # BITS / 8 bytes
+    bits = np.zeros((BITS // PAGE, PAGE // 8), np.uint8)
+    for r in pages:
+        bits[r["page"]] = np.frombuffer(r["bits"], np.uint8)[: PAGE // 8]
+    columns = [often[c].to_numpy(t) for c, t in (("key", np.int64), ("value", float), ("base", float))]
+    shared = spark.sparkContext.broadcast((*columns, bits.reshape(-1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        automaton, at = model.value, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
+        keys, value, base, bits = shared.value
+        is_word, base = ~np.isnan(base), np.nan_to_num(base)
+        at, of = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33, _Hashes()
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 batch = whole.slice(i, 500)
-                texts = [tokens(t.as_py()) for t in batch.column("text")]
-                found = [automaton.read(w) for w in texts]
+                texts = [_row(t.as_py(), of) for t in batch.column("text")]
+                sizes, count = np.array([len(t) for t in texts]), len(texts)
+                owner = np.repeat(np.arange(count), sizes)
+                own, plain, known, left = np.zeros(count), np.zeros(count), np.zeros(count), []
+                for place, key, _, _ in _ngrams(np.concatenate(texts), order):
+                    row, key = owner[place], key.view(np.int64)
+                    there = places_in(keys, key)
+                    hit, got = there >= 0, there[there >= 0]
+                    own += np.bincount(row[hit], value[got], count)
+                    plain += np.bincount(row[hit], base[got], count)
+                    known += np.bincount(row[hit], is_word[got], count)
+                    row, key = row[~hit], key[~hit]
+                    bit = key & (BITS - 1)
+                    may = bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0
+                    left.append((row[may], key[may]))
+                row, key = (np.concatenate(x) for x in zip(*left))
+                sort = np.lexsort((key, row))
+                row, key = row[sort], key[sort]
+                start = np.nonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])))[: len(row)])[0]
+                times = np.diff(np.append(start, len(row)))
+                ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row[start], minlength=count)))), pa.int32())
                 yield pa.record_batch({
-                    "row": pa.array(range(at, at + len(found)), pa.int64()),
+                    "row": pa.array(range(at, at + count), pa.int64()),
                     "doc_id": batch.column("doc_id"),
                     "held_out": batch.column("held_out"),
-                    "n_tokens": pa.array([len(w) for w in texts], pa.int64()),
-                    "known": pa.array([x[2] for x in found], pa.int64()),
-                    "base": pa.array([x[1] for x in found], pa.float64()),
-                    "own": pa.array([x[0] for x in found], pa.float64()),
-                    "words": pa.array([list(x[3]) for x in found], pa.list_(pa.binary())),
-                    "times": pa.array([list(x[3].values()) for x in found], pa.list_(pa.int64())),
+                    "n_tokens": pa.array(sizes - 1, pa.int64()),
+                    "known": pa.array(known.astype(np.int64)),
+                    "base": pa.array(plain),
+                    "own": pa.array(own),
+                    "keys": pa.ListArray.from_arrays(ends, pa.array(key[start], pa.int64())),
+                    "times": pa.ListArray.from_arrays(ends, pa.array(times, pa.int64())),
                 })
-                at += len(found)
+                at += count
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, words array<binary>, times array<long>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, keys array<long>, times array<long>"
     read = save(rows.mapInArrow(run, schema), "read")
-    rare = read.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
-    looked = rare.join(counts, "word", "left")
-    each = F.log10(F.coalesce("c", F.lit(0)) + 1.0) - math.log10(total + kinds + 1)
-    sums = looked.groupBy("row").agg(F.sum(F.col("n") * each).alias("rare"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"))
-    out = read.drop("words", "times").join(sums, "row", "left")
-    add = F.coalesce("rare", F.lit(0.0))
+    rest = read.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
+    looked = rest.join(table.drop("n"), "key")
+    word = F.when(F.col("base").isNotNull(), F.col("times")).otherwise(0)
+    sums = looked.groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more"), F.sum(F.col("times") * F.coalesce("base", F.lit(0.0))).alias("more_base"), F.sum(word).alias("more_known"))
+    out = read.drop("keys", "times").join(sums, "row", "left")
+    n_known = F.col("known") + F.coalesce("more_known", F.lit(0))
+    unseen = (F.col("n_tokens") - n_known) * -math.log10(total + kinds + 1)
     return out.select(
         "doc_id", "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        n_known.alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + add).alias("base_score"),
-        (F.col("own") + add).alias("score"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + unseen).alias("base_score"),
+        (F.col("own") + F.coalesce("more", F.lit(0.0)) + unseen).alias("score"),
     )

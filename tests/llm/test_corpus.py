@@ -313,3 +313,20 @@ def test_automaton_scores_like_the_plain_model(spark):
     assert lm_score.score(table(spark, [])).count() == 0
     alone = lm_score.score(table(spark, [(d, "a", "en", "s") for d in range(40) if held(d)][:1])).collect()
     assert [(r["train_tokens"], r["score"]) for r in alone] == [(0, 0.0)]
+
+
+@pytest.mark.parametrize("cached", [500_000, 2])
+def test_rare_ngrams_count_in_a_large_corpus(spark, monkeypatch, cached):
+    monkeypatch.setattr(lm_score, "CACHED", cached)
+    own = [d for d in range(60) if zlib.crc32(str(d).encode()) % 7 != 2]
+    rows = [(own[0], "a " * 2_200_000, "en", "s"), (own[1], "xx yy", "en", "s"), (own[2], "xx yy", "en", "s")]
+    got = {r["doc_id"]: r for r in lm_score.score(table(spark, rows)).collect()}
+    total, kinds = 2_200_007, 4  # with an end for each text
+    base = [math.log10((n + 1) / (total + kinds + 1)) for n in (2, 2, 3)]
+    d = lm_score.DISCOUNT
+    # the begin has one arc that occurs twice; xx, yy and both longer histories have one continuation that occurs twice
+    first = (2 - d) / 3 + (1 - (2 - d) / 3) * 10 ** base[0]
+    arc, rest = (2 - d) / 2, 1 - (2 - d) / 2
+    second, third = (arc + rest * (arc + rest * 10 ** b) for b in base[1:])
+    assert got[own[1]]["base_score"] == pytest.approx(sum(base))
+    assert got[own[1]]["score"] == pytest.approx(sum(map(math.log10, (first, second, third))))
