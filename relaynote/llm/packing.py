@@ -8,12 +8,15 @@ their rank among the remainders of their length.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,53 +24,131 @@ from .common import rank_within, save
 
 SEQUENCE = 4096
 END_ID = 2
-CACHED_WORDS = 400_000
 SEED = 11
+#: Bytes of words and their ids that a Python worker keeps, words and pre-tokens each.
+CACHED_BYTES = 96 << 20
+#: Pre-tokens that are encoded in one call.
+JOINED = 512
 
+# The tokenizer's own split into pre-tokens (after the line feed, which parts the words here), and words
+# with other characters than those for which Python's and the tokenizer's normalisation and classes surely agree:
+# visible ones below U+0180 but for soft hyphen and dotted capital I. Words that may hold a special token are among them.
+_PRE_TOKENS = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_ODD = regex.compile(r"[^\n]*?(?:[^\n!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f]|<\|)[^\n]*")
+_CUT = 0xFFFFFFFF  # no token
 
-@lru_cache(maxsize=1)
-def load_tokenizer(path: str) -> tuple:
-    """The tokenizer and its cache of words, which a Python worker keeps from task to task."""
-    import os
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class _Kept(dict):
+    """A cache of ids that is emptied beyond CACHED_BYTES."""
+
+    size = 0
+
+    def add(self, keys: list[bytes] | list[str], ids: list[bytes]) -> None:
+        self.update(zip(keys, ids))
+        self.size += 150 * len(keys) + sum(map(len, keys)) + sum(map(len, ids))  # with the objects' own size, about
+
+    def bound(self) -> None:
+        if self.size > CACHED_BYTES:
+            self.clear()
+            self.size = 0
+
+
+def _cut(ids: np.ndarray, before: np.ndarray) -> list[bytes]:
+    """Parts of ids, as bytes, that begin at 0 and at `before`."""
+    data, cuts = ids.astype("<u4").tobytes(), [0, *(before * 4).tolist(), 4 * len(ids)]
+    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
 
-    return Tokenizer.from_file(path), {}
+class WordIds:
+    """Ids of texts, as little-endian unsigned 32-bit integers, word by word.
+
+    The tokenizer drops white space and treats what lies between by itself, so words are kept, and so are pre-tokens,
+    for words that differ in case or punctuation only. New pre-tokens are encoded together: the last token of each ends
+    in the suffix of word ends. Words with odd characters go whole to the tokenizer.
+    """
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.split = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.split.normalizer = normalizers.Sequence([])
+        self.split.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = self.whole.model.end_of_word_suffix
+        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+        for token, i in self.whole.get_vocab().items():
+            self.ends[i] = token.endswith(suffix)
+        self.words, self.pre_tokens = _Kept(), _Kept()
+
+    def _encode(self, pre_tokens: list[str]) -> None:
+        for at in range(0, len(pre_tokens), JOINED):
+            some = pre_tokens[at : at + JOINED]
+            ids = np.array(self.split.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            found = _cut(ids, np.nonzero(self.ends[ids[:-1]])[0] + 1)
+            if len(found) != len(some):
+                raise ValueError("the tokenizer does not end each pre-token with its suffix")
+            self.pre_tokens.add(some, found)
+
+    def _add(self, words: list[bytes]) -> None:
+        joined = b"\n".join(words).decode()
+        odd = list(set(_ODD.findall(joined)))
+        for at in range(0, len(odd), JOINED):
+            found = self.whole.encode_batch_fast(odd[at : at + JOINED], add_special_tokens=False)
+            self.words.add([w.encode() for w in odd[at : at + JOINED]], [np.array(e.ids, "<u4").tobytes() for e in found])
+        if odd:
+            words = [w for w in words if w not in self.words]
+            joined = b"\n".join(words).decode()
+        if not words:
+            return
+        pre = _PRE_TOKENS.findall(joined.lower())
+        self.pre_tokens.bound()
+        self.pre_tokens["\n"] = np.array([_CUT], "<u4").tobytes()
+        self._encode([p for p in set(pre) if p not in self.pre_tokens])
+        ids = np.frombuffer(b"".join(map(self.pre_tokens.__getitem__, pre)), "<u4")
+        whole = ids != _CUT
+        self.words.add(words, _cut(ids[whole], np.cumsum(whole)[~whole]))
+
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        self.words.bound()
+        split = [t.encode().split() for t in texts]
+        known = self.words
+        if missing := set().union(*split).difference(known):
+            self._add(list(missing))
+        for words in split:
+            yield b"".join(map(known.__getitem__, words))
+
+
+@lru_cache(maxsize=1)
+def load_tokenizer(path: str) -> WordIds:
+    """The tokenizer and its words, which a Python worker keeps from task to task."""
+    return WordIds(path)
 
 
-def word_ids(texts: list[str], tokenizer, cache: dict[bytes, tuple[int, ...]]) -> Iterator[list[int]]:  # noqa: ANN001
-    """Token ids of each text. The tokenizer drops white space and treats what lies between by itself, so words are cached."""
-    split = [t.encode().split() for t in texts]
-    if len(cache) > CACHED_WORDS:
-        cache.clear()
-    missing = list({w for words in split for w in words if w not in cache})
-    for at in range(0, len(missing), 10_000):
-        some = missing[at : at + 10_000]
-        for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-            cache[w] = e.ids
-    for words in split:
-        ids: list[int] = []
-        for w in words:
-            ids += cache[w]
-        yield ids
+def _slices(batch: pa.RecordBatch, rows: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of `rows` rows, and of about `most` bytes of text unless a single text is longer."""
+    sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(sizes, before + most))))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, and row, the hash of doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, cache = load_tokenizer(tokenizer_path)
+        tokenizer, end = load_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in _slices(whole, 500, 4 << 20):
                 doc, row, out = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), []
-                for d, r, ids in zip(doc, row, word_ids(batch.column("text").to_pylist(), tokenizer, cache)):
-                    ids.append(end_id)
-                    data = np.array(ids, "<u4")
-                    for start in range(0, len(data), sequence):
-                        part = data[start : start + sequence]
-                        out.append((d, r, start, len(part), zlib.crc32(part.tobytes()), len(data)))
+                for d, r, ids in zip(doc, row, tokenizer.of(batch.column("text").to_pylist())):
+                    data = ids + end
+                    n = len(data) // 4
+                    for start in range(0, n, sequence):
+                        part = data[4 * start : 4 * (start + sequence)]
+                        out.append((d, r, start, len(part) // 4, zlib.crc32(part), n))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text", F.lit(SEED)).alias("row"))

@@ -126,6 +126,25 @@ def test_pack_covers_every_token_once(spark):
     assert packing.pack(table(spark, []), path).count() == 0
 
 
+def test_word_ids_are_those_of_whole_texts():
+    tokenizer = packing.WordIds(queries.tokenizer_path())
+    rnd = random.Random(12)
+    odd = ["It's I'LL 's't '' x²³ 1234 a<|endoftext|>b <|startoftext|> <|x ñandú ÉCOLE İstanbul ǅ ΣΑΣ é 日本語", "a\xa0b a\x85b \x1cq ﬁ ſtraße ª º µ ŉ € — …“q” soft\xadhy \x00", "", " \n"]
+    texts = odd + ["".join(rnd.choice("abÉñ'sS <|>.,!9½\t\x1f\u0301Ω") for _ in range(60)) for _ in range(300)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.whole.encode_batch(texts, add_special_tokens=False)]
+    assert list(tokenizer.of(texts)) == want
+    tokenizer.words.size = tokenizer.pre_tokens.size = 1 << 40  # both caches are emptied
+    assert list(tokenizer.of(texts)) == want and len(tokenizer.words) < 5000
+
+
+def test_packing_leaves_little_padding(spark):
+    rnd = random.Random(13)
+    docs = table(spark, [(i, "word " * int(rnd.paretovariate(0.9) * 10 % 3000), "en", "s") for i in range(400)])
+    got = packing.pack(docs, queries.tokenizer_path(), sequence=512).collect()
+    filled = sum(r["length"] for r in got)
+    assert len({r["sequence_id"] for r in got}) <= math.ceil(filled / 512 * 1.02) + 1
+
+
 # Language ID
 
 
