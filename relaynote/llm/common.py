@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,11 +28,51 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_saved: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def save(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Cut the lineage: write df once as Parquet to the shared folder and read it back."""
     path = shared_path(df.sparkSession, label)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _saved[out] = path
+    return out
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Delete the files of frames that save() returned, once nothing will read them any more."""
+    for df in frames:
+        path = _saved.pop(df, None) if df is not None else None
+        if path is not None:
+            jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(session.sessionState().newHadoopConf()).delete(where, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores in front as no column of df has them."""
+    there, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in there:
+            name = f"_{name}"
+        there.add(name.lower())
+        out.append(name)
+    return out
+
+
+class WordHashes(dict):
+    """XXH64 of words; emptied beyond about `most` bytes."""
+
+    size, most = 0, 32 << 20
+
+    def __missing__(self, word: bytes) -> int:
+        if self.size > self.most:
+            self.clear()
+            self.size = 0
+        self.size += 200 + len(word)
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
 
 
 def ascii_lower(text: Column) -> Column:
@@ -41,6 +83,11 @@ def ascii_lower(text: Column) -> Column:
 PAGE_BITS = 32768
 
 
+def filter_bits(keys: int) -> int:
+    """Bits of a filter for so many keys: eight a key, 2 MB at least and 16 MB at most. Beyond, more keys pass it."""
+    return min(1 << 27, max(1 << 24, 1 << (8 * keys).bit_length()))
+
+
 def bit_filter(keys: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
     """Pages of a bitmap with one bit for each hashed key: `bits` / 8 bytes at most, whatever the number of keys."""
     slot = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
@@ -57,16 +104,18 @@ def flag_contained(df: DataFrame, key: Column, pages: DataFrame, flag: str, bits
     The filter is broadcast: its size has the fixed bound `bits` / 8 bytes.
     """
     slot = F.pmod(F.xxhash64(key), F.lit(bits))
-    probed = df.withColumns({"_page": F.when(key.isNotNull(), F.floor(slot / PAGE_BITS)), "_bit": (slot % PAGE_BITS).cast("int")})
-    probed = probed.join(F.broadcast(pages.withColumnsRenamed({"page": "_page", "bitmap": "_bitmap"})), "_page", "left")
-    byte = F.conv(F.hex(F.expr("substring(_bitmap, _bit div 8 + 1, 1)")), 16, 10).cast("int")
-    bit = F.call_function("shiftright", byte, F.col("_bit") % 8).bitwiseAND(F.lit(1))
+    page, place, bitmap = unused(df, "page", "place", "bitmap")
+    probed = df.withColumns({page: F.when(key.isNotNull(), F.floor(slot / PAGE_BITS)), place: (slot % PAGE_BITS).cast("int")})
+    probed = probed.join(F.broadcast(pages.select(F.col("page").alias(page), F.col("bitmap").alias(bitmap))), page, "left")
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(F.col(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, F.col(place) % 8).bitwiseAND(F.lit(1))
     return probed.select(*df.columns, F.coalesce(bit == 1, F.lit(False)).alias(flag))
 
 
 def may_contain(df: DataFrame, key: Column, pages: DataFrame, bits: int = 1 << 24) -> DataFrame:
     """Rows of df whose key may be in the filter."""
-    return flag_contained(df, key, pages, "_may", bits).filter("_may").drop("_may")
+    flag = unused(df, "may")[0]
+    return flag_contained(df, key, pages, flag, bits).filter(F.col(flag)).drop(flag)
 
 
 def rank_within(df: DataFrame, keys: list[str], order: Column, rows_per_bucket: int = 4096) -> DataFrame:
@@ -105,20 +154,21 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("id"))
-        points = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min(rank("b")), F.first(rank("a")))["id"].alias("to"))
-        points = save(points, "points")
+        first = save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min(rank("b")), F.first(rank("a")))["id"].alias("to")), "points")
+        points = first
         for _ in range(2):
             nxt = points.select(F.col("node").alias("to"), F.col("to").alias("further"))
             points = points.join(nxt, "to").select("node", F.col("further").alias("to"))
-        points = save(points, "points")
+        points, old, before = save(points, "points"), mapping, edges
         if mapping is None:
-            mapping = points.select("node", F.col("to").alias("root"))
+            mapping = save(points.select("node", F.col("to").alias("root")), "mapping")
         else:
             step = points.select(F.col("node").alias("root"), "to")
             mapping = save(mapping.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "mapping")
         one = edges.join(points.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
         two = one.join(points.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
         edges = save(two.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        forget(first, points, old, before)
     else:
         raise RuntimeError("components did not converge")
     if mapping is None:

@@ -9,23 +9,23 @@ within covering radius plus threshold, and replicas are compared with the homes
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import components, save
+from .common import LOWER, UPPER, WordHashes, bit_filter, components, filter_bits, flag_contained, forget, may_contain, save, unused
 
 SEED = 42
-#: Partial fingerprints: shingles sampled for them at most, and classes they are dealt to.
-SAMPLED, CLASSES = 192, 32
-#: Orders in which rows that share a partial fingerprint take their turn as the row that the others are compared with.
-ORDERS = 8
+#: Least hashes of a text, and bands that they make: texts of Jaccard similarity 0.64 share none in 3 of 1000 cases.
+BINS, BANDS = 128, 32
 #: Rows of a group that are compared with all others in the first round after that; the number doubles.
 FIRST_CENTRES = 8
 
@@ -147,197 +147,206 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFr
 # Near copies by the similarity of word shingles
 
 
-def _marks_of(text: str | None, words: int) -> tuple[int, list[int]]:
-    """The fingerprint, and partial fingerprints of classes of shingles.
+def window_hashes(text: str | None, words: int, of: WordHashes) -> np.ndarray:
+    """A hash of each window of `words` words, repeats included. Fewer words make one window, none makes none."""
+    found = (text or "").encode().lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(of.__getitem__, found), np.uint64, len(found))
+    n = max(len(h) - words + 1, 1)
+    out = np.full(n, min(words, len(h)), np.uint64)
+    for k in range(min(words, len(h))):
+        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out * np.uint64(0xBF58476D1CE4E5B9)
 
-    Shingles are thinned by their hash to SAMPLED at most on average, and dealt by another part of it to classes of 2
-    to 6. Texts alike have most classes in common. As either number follows from the text's size class, texts whose
-    size class differs by one are given the marks of both.
+
+@cache
+def _lenders() -> np.ndarray:
+    """For each bin an order of all bins, in which an empty one looks for a filled one: the same for all texts."""
+    order = np.random.default_rng(1)
+    return np.array([order.permutation(BINS) for _ in range(BINS)])
+
+
+def band_keys(distinct: np.ndarray) -> np.ndarray:
+    """Keys of BANDS bands of the text's sorted window hashes; texts of Jaccard similarity J share each with J ^ (BINS / BANDS).
+
+    One pass of min-wise hashing: the range of the hashes is cut into BINS bins, each with its least hash. An empty bin
+    borrows from another.
     """
-    hashes = shingle_hashes(text, words)
-    whole = simhash(hashes)
-    distinct = np.unique(hashes)
     if not len(distinct):
-        return whole, []
-    marks, low = [], int(np.log2(len(distinct)))
-    for size in (low, low + 1):
-        thin = max(0, size - 7)
-        kept = distinct[distinct >> np.uint64(64 - thin) == 0] if thin else distinct
-        classes = np.uint64(max(1, min(CLASSES, (1 << size) // 3)))
-        of = (kept >> np.uint64(8)) % classes
-        for c in np.unique(of):
-            part = kept[of == c]
-            marks.append(xxhash.xxh64_intdigest(part.tobytes(), size << 8 | int(c)))
-    return whole, list(dict.fromkeys(marks))
-
-
-def _alike(candidates: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The candidates (a, b) whose texts have the similarity, by their exact sets of shingles."""
+        return np.zeros(0, np.int64)
+    start = np.searchsorted(distinct, np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1))
+    filled = start < np.append(start[1:], len(distinct))
+    least = distinct[np.minimum(start, len(distinct) - 1)]
+    if not filled.all():
+        empty = np.nonzero(~filled)[0]
+        lenders = _lenders()[empty]
+        least[empty] = least[lenders[np.arange(len(empty)), filled[lenders].argmax(axis=1)]]
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, -1).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, body (a digest of the words, A-Z lower-cased), mark (SimHash), n (distinct windows) and bands of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = WordHashes()
+        for batch in batches:
+            body, mark, n, bands = [], [], [], []
+            for text in batch.column("text"):
+                text = text.as_py() or ""
+                windows = window_hashes(text, words, of)
+                distinct = np.unique(windows)
+                body.append(hashlib.sha256(b" ".join(text.encode().lower().split())).digest()[:16])
+                mark.append(simhash(windows))
+                n.append(len(distinct))
+                bands.append(band_keys(distinct))
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "body": pa.array(body, pa.binary()), "mark": pa.array(np.array(mark, np.uint64).view(np.int64)), "n": pa.array(n, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, body binary, mark long, n long, bands array<long>")
+
+
+def body_of(text: Column) -> Column:
+    """The `body` of sketches() without Python."""
+    plain = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x20\x09-\x0D]+", " "))
+    return F.unhex(F.substring(F.sha2(plain, 256), 1, 32))
+
+
+def _groups(classes: DataFrame, bits: int) -> DataFrame:
+    """(part, row_key, n): classes that meet, as they share a band or a SimHash or have SimHashes at `bits` or fewer bits."""
+    marks = save(classes.groupBy("mark").agg(F.count("*").alias("rows")), "marks")
+    near = near_marks(marks.select("mark"), bits).select(F.xxhash64("a", "b", F.lit(2)).alias("part"), F.explode(F.array("a", "b")).alias("mark"))
+    same = marks.filter("rows > 1").select(F.xxhash64("mark", F.lit(1)).alias("part"), "mark")
+    by_mark = near.unionByName(same).join(classes.select("mark", "row_key", "n"), "mark").select("part", "row_key", "n")
+    by_band = classes.select(F.explode("bands").alias("part"), "row_key", "n")
+    many = save(by_band.groupBy("part").agg(F.count("*").alias("rows")).filter("rows > 1").select("part"), "bands")
+    count = filter_bits(many.count())
+    by_band = may_contain(by_band, F.col("part"), bit_filter(many, "part", count), count).join(many, "part", "left_semi")
+    groups = save(by_mark.unionByName(by_band), "groups")
+    forget(marks, many)
+    return groups
+
+
+def _similar(similarity: float, measure: str):  # noqa: ANN202
+    """Whether texts of n and m distinct windows, `both` of them common, are similar; and whether they could be."""
+    if measure == "jaccard":
+        return lambda n, m, both: both >= similarity * (n + m - both), lambda n, m: F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6
+    if measure == "cosine":
+        return lambda n, m, both: both >= similarity * math.sqrt(n * m) - 1e-9, lambda n, m: F.least(n, m) >= F.greatest(n, m) * similarity**2 - 1e-6
+    raise ValueError(f"no such measure: {measure}")
+
+
+def _alike(candidates: DataFrame, texts: DataFrame, words: int, similarity: float, measure: str) -> DataFrame:
+    """The candidates (a, b) whose texts have the similarity, by their exact sets of windows."""
+    similar = _similar(similarity, measure)[0]
 
     @F.pandas_udf("boolean")
     def alike(left, right):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        seen: dict[str, np.ndarray] = {}
+        seen, of = {}, WordHashes()
 
-        def of(t: str) -> np.ndarray:
-            if t not in seen:
+        def windows(text: str) -> np.ndarray:
+            if text not in seen:
                 if len(seen) > 64:
                     seen.clear()
-                seen[t] = np.unique(shingle_hashes(t, words))
-            return seen[t]
+                seen[text] = np.unique(window_hashes(text, words, of))
+            return seen[text]
 
         out = []
         for x, y in zip(left, right):
-            s, t = of(x), of(y)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(bool(both >= similarity * (len(s) + len(t) - both)))
+            s, t = windows(x), windows(y)
+            out.append(bool(similar(len(s), len(t), len(np.intersect1d(s, t, assume_unique=True)))))
         return pd.Series(out, dtype=bool)
 
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("row_key")).distinct()
-    texts = save(docs.select("row_key", F.coalesce("text", F.lit("")).alias("text")).join(wanted, "row_key", "left_semi"), "texts")
-    one = candidates.join(texts.select(F.col("row_key").alias("a"), F.col("text").alias("left")), "a")
-    two = one.join(texts.select(F.col("row_key").alias("b"), F.col("text").alias("right")), "b")
+    one = candidates.join(texts.select(F.col("row_key").alias("b"), F.col("text").alias("right")), "b")
+    two = one.join(texts.select(F.col("row_key").alias("a"), F.col("text").alias("left")), "a")
     return two.filter(alike("left", "right")).select("a", "b")
 
 
-def _rooted(rows: DataFrame, key: str, roots: DataFrame, root: str) -> DataFrame:
-    """rows with the component of the row named by `key`; a row without a link is its own."""
-    named = roots.select(F.col("node").alias(key), F.col("root").alias("_root"))
-    return rows.join(named, key, "left").withColumn(root, F.coalesce("_root", key)).drop("_root")
-
+def _links(groups: DataFrame, texts: DataFrame, words: int, similarity: float, measure: str) -> DataFrame:
+    """Links (a, b) of similar texts that connect all texts which meet in a group and are similar, directly or by a chain.
 
-def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(token, row_key, n): rows by the shingles of their prefix; n is the number of the text's distinct shingles.
-
-    With the rarest shingles of docs first, two texts of the similarity share one of the first
-    n - ceil(similarity * n) + 1 of either. Shingles of one text only fill a prefix and name no group.
+    First the rows of a group are compared with one of them, the first in an order that all groups share, so rows alike
+    have the same one in most groups. Then, in rounds, some rows outside a group's largest component are compared with
+    all its rows in other components, and are then done with. A group is left when it is one component or none of its
+    rows remains; the rows taken at once double, so a group of n rows has log n rounds. No pair is compared twice.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                found = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column("text")]
-                sizes = [len(x) for x in found]
-                yield pa.record_batch({
-                    "row_key": pa.array(np.repeat(batch.column("row_key").to_numpy(zero_copy_only=False), sizes), pa.int64()),
-                    "n": pa.array(np.repeat(np.array(sizes, np.int32), sizes), pa.int32()),
-                    "token": pa.array(np.concatenate([*found, np.zeros(0, "<u8")]).astype(np.uint64).view(np.int64), pa.int64()),
-                })
-
-    tokens = docs.select("row_key", "text").mapInArrow(run, "row_key long, n int, token long")
-    often = save(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "often")
-    shared = tokens.join(often, "token")
-    # The small slack keeps a prefix from ending early where similarity * n is an integer but for rounding.
-    length = F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1
-    by = Window.partitionBy("row_key")
-    placed = shared.withColumns({"place": F.row_number().over(by.orderBy("df", "token")), "common": F.count("*").over(by)})
-    return placed.filter(F.col("place") + F.col("n") - F.col("common") <= length).select("token", "row_key", "n")
-
-
-def _rest_of_links(docs: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) that join what roots leaves apart, so that all texts of docs with the similarity get connected.
-
-    Rows that share a shingle of their prefixes make a group. In rounds, some rows outside a group's largest component
-    are compared with all rows of the group in other components, and are then done with. A group is left when it is
-    one component or none of its rows remains; the rows taken at once double, so a group of n rows has log n rounds.
-    """
-    groups = save(_prefixes(docs, words, similarity), "groups")
-    links, most = None, FIRST_CENTRES
+    could = _similar(similarity, measure)[1]
+    first = groups.groupBy("part").agg(F.min(F.struct(F.xxhash64("row_key"), F.col("row_key").alias("x"), F.col("n").alias("nx")))["x"].alias("x"), F.min(F.struct(F.xxhash64("row_key"), F.col("n").alias("nx")))["nx"].alias("nx"))
+    stars = groups.join(first, "part")
+    new = stars.filter((F.col("x") != F.col("row_key")) & could(F.col("n"), F.col("nx")))
+    groups = save(stars.filter("x <> row_key").select("part", "row_key", "n"), "groups")
+    tested = links = roots = None
+    most = FIRST_CENTRES
     for k in range(64):
-        members = _rooted(groups, "row_key", roots, "root")
-        parts = members.groupBy("token", "root").agg(F.count("*").alias("size"))
-        open_ = parts.groupBy("token").agg(F.max(F.struct("size", "root"))["root"].alias("main"), (F.sum("size") - F.max("size")).alias("outside")).filter("outside > 0")
+        pairs = new.select(F.least("x", "row_key").alias("a"), F.greatest("x", "row_key").alias("b")).distinct()
+        candidates = save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
+        found = save(_alike(candidates, texts, words, similarity, measure), "links")
+        tested = candidates if tested is None else tested.unionByName(candidates)
+        links = found if links is None else links.unionByName(found)
+        if k == 0 or not found.isEmpty():
+            forget(roots)
+            roots = components(links)
+        named = roots.select(F.col("node").alias("row_key"), "root")
+        members = groups.join(named, "row_key", "left").withColumn("root", F.coalesce("root", "row_key"))
+        parts = members.groupBy("part", "root").agg(F.count("*").alias("size"))
+        open_ = parts.groupBy("part").agg(F.max(F.struct("size", "root"))["root"].alias("main"), (F.sum("size") - F.max("size")).alias("outside")).filter("outside > 0")
         # One hash for all groups: groups with the same rows take the same ones.
-        part = F.shiftrightunsigned(F.xxhash64("row_key", F.lit(k)), 33).cast("double") / float(1 << 31)
-        members = save(members.join(open_, "token").withColumn("taken", (F.col("root") != F.col("main")) & (part * F.col("outside") < most)), "members")
+        place = F.shiftrightunsigned(F.xxhash64("row_key", F.lit(k)), 33).cast("double") / float(1 << 31)
+        before, members = groups, save(members.join(open_, "part").withColumn("taken", (F.col("root") != F.col("main")) & (place * F.col("outside") < most)), "members")
+        forget(before)
         if members.isEmpty():
             return links
-        centre = members.filter("taken").select("token", F.col("row_key").alias("x"), F.col("root").alias("of"), F.col("n").alias("nx"))
-        sizes = F.least("n", "nx") >= F.greatest("n", "nx") * similarity - 1e-6
-        pairs = members.join(centre, "token").filter((F.col("root") != F.col("of")) & sizes)
-        candidates = save(pairs.select(F.least("x", "row_key").alias("a"), F.greatest("x", "row_key").alias("b")).distinct(), "candidates")
-        found = save(_alike(candidates, docs, words, similarity), "links")
-        links = found if links is None else links.unionByName(found)
-        groups = members.filter("not taken").select("token", "row_key", "n")
-        if not found.isEmpty():
-            ends = _rooted(_rooted(found, "a", roots, "x"), "b", roots, "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-            joined = components(ends)
-            old = roots.select(F.col("node").alias("row_key"), "root").unionByName(joined.select(F.col("node").alias("row_key"), F.col("node").alias("root"))).groupBy("row_key").agg(F.min_by("root", F.col("root") == F.col("row_key")).alias("root"))
-            roots = save(_rooted(old, "root", joined, "to").select(F.col("row_key").alias("node"), F.col("to").alias("root")), "roots")
+        centre = members.filter("taken").select("part", F.col("row_key").alias("x"), F.col("root").alias("of"), F.col("n").alias("nx"))
+        new = members.join(centre, "part").filter((F.col("root") != F.col("of")) & could(F.col("n"), F.col("nx")))
+        groups = save(members.filter("not taken").select("part", "row_key", "n"), "groups")
         most *= 2
     raise RuntimeError("groups of similar texts are not done")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 2) -> DataFrame:
-    """Links (a, b) of texts whose sets of `words`-word shingles have a Jaccard similarity of `similarity` or more.
-
-    docs has a unique row_key (long) and text; each text occurs once. Texts meet that share a partial fingerprint, or
-    whose SimHashes are equal or near. The links connect all texts that meet and have the similarity: each is compared
-    with one text of those it meets first, and where that leaves texts that meet in different components, the texts
-    concerned are compared by their prefixes (`_rest_of_links`). Every link is decided exactly.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, found = batch.column("row_key").to_pylist(), [_marks_of(t.as_py(), words) for t in batch.column("text")]
-            yield pa.record_batch({
-                "row_key": pa.array(keys, pa.int64()),
-                "mark": pa.array(np.array([x[0] for x in found], np.uint64).view(np.int64)),
-                "parts": pa.array([np.array(x[1], np.uint64).view(np.int64) for x in found], pa.list_(pa.int64())),
-            })
-
-    marked = save(docs.select("row_key", "text").mapInArrow(run, "row_key long, mark long, parts array<long>"), "marked")
-    marks = save(marked.groupBy("mark").agg(F.min("row_key").alias("least"), F.count("*").alias("n")), "marks")
-    by_mark = marked.select("row_key", "mark").join(marks.filter("n > 1"), "mark").select(F.xxhash64("mark", F.lit(1)).alias("part"), F.col("row_key").alias("b"), F.col("least").alias("a"))
-    pairs = near_marks(marks, bits)
-    ends = marks.select(F.col("mark").alias("a"), F.col("least").alias("x"), F.col("n").alias("nx")), marks.select(F.col("mark").alias("b"), F.col("least").alias("y"), F.col("n").alias("ny"))
-    anchored = save(pairs.join(ends[0], "a").join(ends[1], "b"), "anchored")
-    by_anchor = anchored.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    # All rows of two near SimHashes meet, not only the first of each.
-    many = anchored.filter("nx > 1 or ny > 1").select(F.xxhash64("a", "b", F.lit(2)).alias("part"), F.col("x").alias("first"), F.explode(F.array("a", "b")).alias("mark"))
-    by_pair = many.join(marked.select("row_key", "mark"), "mark").select("part", F.col("row_key").alias("b"), F.col("first").alias("a"))
-    parts = marked.select("row_key", F.explode("parts").alias("part"))
-    # The centre of a part's rows is the first in one of ORDERS orders, so rows alike meet even if a third row is in between.
-    centre = F.struct(F.xxhash64("row_key", F.pmod("part", F.lit(ORDERS))), F.col("row_key").alias("a"))
-    first = save(parts.groupBy("part").agg(F.min(centre)["a"].alias("a"), F.count("*").alias("n")).filter("n > 1").select("part", "a"), "parts")
-    by_part = parts.join(first, "part").select("part", F.col("row_key").alias("b"), "a")
-    stars = save(by_mark.unionByName(by_pair).unionByName(by_part), "stars")
-    candidates = stars.select("a", "b").unionByName(by_anchor).filter("a <> b")
-    candidates = save(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    links = save(_alike(candidates, docs, words, similarity), "links")
-    roots = components(links)
-    # A star whose rows are not all in its centre's component has rows that have not been compared.
-    apart = _rooted(_rooted(stars.filter("a <> b"), "a", roots, "x"), "b", roots, "y").filter("x <> y").select("part").distinct()
-    met = stars.join(apart, "part", "left_semi").groupBy("part").agg(F.count("*").alias("n")).filter("n > 2").select("part")  # two rows are one pair
-    open_rows = save(stars.join(met, "part", "left_semi").select(F.col("b").alias("row_key")).distinct(), "open")
-    if open_rows.isEmpty():
-        return links
-    rest = _rest_of_links(docs.select("row_key", "text").join(open_rows, "row_key", "left_semi"), roots, words, similarity)
-    return links if rest is None else links.unionByName(rest)
-
-
-def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 2) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 3, measure: str = "jaccard") -> DataFrame:
     """The rows of docs, all columns, of which one of each group of exact and near copies stays: the smallest doc_id.
 
-    Texts with the same words in the same order, A-Z lower-cased, are copies; so are the texts that similar_documents
-    links, directly or by a chain. Null and empty texts are copies of each other. Among rows that repeat doc_id and
-    text one stays. A null doc_id goes last. An empty table gives an empty result.
+    Texts with the same words in the same order, A-Z lower-cased, are copies; so are texts whose sets of windows of
+    `words` words have the similarity, directly or by a chain. measure is "jaccard" or "cosine", which is what a SimHash
+    estimates. Texts are compared that meet: their SimHashes differ in at most `bits` bits (anchors), or they share a
+    band of least hashes, as most texts of such a similarity do. Every link is decided by the exact sets. Null and empty
+    texts are copies of each other. Among rows that repeat doc_id and text one stays. A null doc_id goes last. A very
+    long text is one row like any other. An empty table gives an empty result. Columns of docs may have any names.
     """
-    own = ["row_key", "body", "root"]
-    base = docs.drop(*[c for c in docs.columns if c in own])
-    body = F.unhex(F.sha2(F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " ")), 256))
-    rows = save(base.withColumn("body", body), "rows")
-    order = lambda d: F.struct(F.col(d).isNull().alias("none"), F.col(d).alias("id"))
-    classes = rows.groupBy("body").agg(F.min(order("doc_id")).alias("least"))
+    rows = save(sketches(docs, words), "sketches")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    classes = rows.groupBy("body").agg(F.min(order).alias("least"), F.count("*").alias("copies"), F.first("mark").alias("mark"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     # A class is named by a number that follows from its text, so reruns agree.
-    classes = save(classes.withColumn("row_key", F.xxhash64("body")), "bodies")
-    keepers = rows.withColumn("least", order("doc_id")).join(classes, ["body", "least"]).dropDuplicates(["body"])
-    keepers = save(keepers, "keepers")
-    links = save(similar_documents(keepers, words, similarity, bits), "links")
+    classes = save(classes.withColumn("row_key", F.xxhash64("body")), "classes")
+    groups = _groups(classes, bits)
+
+    # The texts of classes that meet others, each by the row of its least doc_id.
+    number = lambda c: F.coalesce(c, F.lit(-1))
+    wanted = save(groups.select("row_key").distinct().join(classes.select("row_key", "body", number(F.col("least.id")).alias("number")), "row_key"), "wanted")
+    size = filter_bits(wanted.count())
+    some = docs.select(number(F.col("doc_id").cast("long")).alias("number"), F.coalesce("text", F.lit("")).alias("text"))
+    some = may_contain(some, F.col("number"), bit_filter(wanted, "number", size), size).withColumn("body", body_of(F.col("text")))
+    texts = save(some.join(wanted, ["number", "body"]).dropDuplicates(["row_key"]).select("row_key", "text"), "texts")
+    links = save(_links(groups, texts, words, similarity, measure), "all-links")
     roots = components(links).withColumnRenamed("node", "row_key")
-    grouped = classes.join(roots, "row_key")
-    best = grouped.groupBy("root").agg(F.min("least").alias("least"))
-    dropped = grouped.join(best.withColumnRenamed("least", "best"), "root").filter("least > best").select("row_key")
-    return keepers.join(dropped, "row_key", "left_anti").select(*base.columns)
+    grouped = classes.select("row_key", "least").join(roots, "row_key")
+    best = grouped.groupBy("root").agg(F.min("least").alias("best"))
+    dropped = save(grouped.join(best, "root").filter("least > best").select("row_key", F.lit(True).alias("dropped")), "dropped")
+
+    # Only rows of doc_ids with a row that goes or repeats are looked at again.
+    marked = classes.select("row_key", "body", "least", "copies").join(dropped, "row_key", "left").filter("dropped or copies > 1")
+    judged = rows.select("doc_id", "body").join(marked, "body").select(number(F.col("doc_id")).alias("number"), "body", ((order == F.col("least")) & F.col("dropped").isNull()).alias("stays"))
+    judged = save(judged.groupBy("number", "body").agg(F.max("stays").alias("stays")), "judged")
+    forget(rows, classes, groups, wanted, texts, links, dropped)
+    size = filter_bits(judged.count())
+    own, flag, body, stays = unused(docs, "number", "flag", "body", "stays")
+    flagged = flag_contained(docs.withColumn(own, number(F.col("doc_id").cast("long"))), F.col(own), bit_filter(judged, "number", size), flag, size)
+    again = flagged.filter(F.col(flag)).withColumn(body, body_of(F.col("text"))).join(judged.withColumnsRenamed({"number": own, "body": body, "stays": stays}), [own, body], "left")
+    again = again.filter(F.coalesce(F.col(stays), F.lit(True))).dropDuplicates([own, body])
+    return flagged.filter(~F.col(flag)).select(*docs.columns).unionByName(again.select(*docs.columns))

@@ -209,3 +209,42 @@ def test_near_dedup_connects_a_hot_group_near_the_threshold(spark):
     want = [i for i in range(len(rows)) if find(i) == i]
     got = simhash.near_dedup(table(spark, rows))
     assert sorted(r["doc_id"] for r in got.collect()) == want
+
+
+def test_columns_with_the_operators_own_names_stay(spark):
+    names = ["row_key", "BODY", "least", "root", "number", "flag", "page", "bitmap", "cut", "row_doc", "stays", "_flag"]
+    rows = [(1, "one text of a few words", "a"), (2, "One text of a few  words", "b"), (3, None, None), (4, "", "c"), (5, "x\ny", "a"), (5, "x\ny", "a")]
+    docs = spark.createDataFrame([(d, t, s, *[f"{d}{n}" for n in names]) for d, t, s in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    got = simhash.near_dedup(docs)
+    assert got.columns == docs.columns
+    assert rows_of(got, "doc_id", *names) == sorted(((d, *[f"{d}{n}" for n in names]) for d in (1, 3, 5)), key=repr)
+    got = line_dedup.line_dedup(docs, min_sites=3)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"] and got.count() == 6
+    assert rows_of(got, "doc_id", *names) == rows_of(docs, "doc_id", *names)
+
+
+def test_near_dedup_by_cosine_finds_planted_copies(spark):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(120):
+        base = [f"v{rnd.randrange(3000)}" for _ in range(rnd.choice([12, 40, 300, 1500]))]
+        copy = list(base)
+        for at in rnd.sample(range(len(base)), max(1, len(base) * 3 // 100)):
+            copy[at] = "changed"
+        rows += [(2 * i, " ".join(base), "s"), (2 * i + 1, " ".join(copy), "s")]
+    near = lambda s, t: len(s & t) >= 0.8 * (len(s) * len(t)) ** 0.5
+    want = {2 * i + 1 for i in range(120) if near(shingles(rows[2 * i][1]), shingles(rows[2 * i + 1][1]))}
+    kept = {r["doc_id"] for r in simhash.near_dedup(table(spark, rows), measure="cosine").collect()}
+    gone = {d for d, _, _ in rows} - kept
+    assert gone <= want and len(gone) >= 0.97 * len(want) and len(want) > 40
+
+
+def test_band_keys_meet_as_often_as_the_similarity_says():
+    rnd = np.random.default_rng(3)
+    met = 0
+    for _ in range(400):
+        n = int(rnd.choice([20, 100, 600, 5000]))
+        common_part, own = rnd.integers(0, 1 << 63, n, np.uint64) * np.uint64(2), rnd.integers(0, 1 << 63, (2, n // 4), np.uint64) * np.uint64(2)
+        x, y = (np.unique(np.concatenate([common_part, o])) for o in own)  # Jaccard similarity 2 / 3
+        met += bool(set(simhash.band_keys(x)) & set(simhash.band_keys(y)))
+    assert met >= 396
