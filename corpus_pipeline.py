@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from relaynote.llm.common import save
+from relaynote.llm.common import save, unused
 from relaynote.llm.line_dedup import line_dedup
 from relaynote.llm.mixing import mixed_rows
 from relaynote.llm.packing import pack
@@ -13,19 +16,27 @@ from relaynote.llm.simhash import near_dedup
 from relaynote.llm.toxicity import toxicity
 
 
+def _beside(docs: DataFrame, names: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that the stage returns, with the columns of docs, those too that have names of the stage's own."""
+    clash = [c for c in docs.columns if c.lower() in names]
+    aside = dict(zip(clash, unused(docs, *clash)))
+    return stage(docs.withColumnsRenamed(aside)).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model accepts (predicted = 0)."""
-    return toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("predicted = 0").select(*docs.columns)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _beside(docs, ("held_out", "score", "predicted"), lambda d: toxicity(d, labels).filter("predicted = 0"))
 
 
 def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that many sources share; those of nothing else stay for the near dedup."""
-    return line_dedup(docs, max_share=None).select(*docs.columns)
+    return _beside(docs, ("n_lines", "n_removed"), line_dedup)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies."""
-    return near_dedup(docs).select(*docs.columns)
+    """One document of each group of exact and near copies: five words, a cosine similarity of 0.8, as SimHash estimates it."""
+    return near_dedup(docs, measure="cosine").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, unused
 
 MIN_SITES = 10
-MAX_SHARE = 0.5
 LG_K = 12
 BAND = 0.25
 
@@ -34,34 +33,30 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return far.unionByName(exact.filter(F.col("n") >= min_sites).select("line_hash"))
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float | None = MAX_SHARE) -> DataFrame:
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """docs with `text` freed of spread lines, plus n_lines and n_removed (long; names of docs that clash give way).
 
     A line is spread if at least min_sites sources hold it (a null source is the site named by the empty string). Blank
-    lines stay. Where spread lines make up more than max_share of the characters of a document's lines, the document is
-    a copy rather than a page with boilerplate and stays as it is, so no document is emptied. Without a max_share only
-    documents that have no other lines but blank ones stay as they are. A null text has no lines
-    and stays null; repeated rows are all treated alike; an empty table gives an empty result.
+    lines stay. A document that has no other lines but spread and blank ones is a copy rather than a page with
+    boilerplate and stays as it is, so no document is emptied. A null text has no lines and stays null; repeated rows
+    are all treated alike; ties cannot occur; the work on a text grows with its lines, however long it is; an empty
+    table gives an empty result.
     """
-    own = ["n_lines", "n_removed", "row_doc", "row_key", "cut"]
-    base = docs.drop(*[c for c in docs.columns if c in own])
+    base = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed")])
     lines = _lines(base)
     spread = save(spread_lines(lines, min_sites), "spread")
-    found = lines.drop("site").join(spread, "line_hash").groupBy("row_doc", "row_key", "pos").agg(F.first("chars").alias("chars"))
-    cuts = save(found.groupBy("row_doc", "row_key").agg(F.collect_set("pos").alias("cut"), F.sum("chars").alias("cut_chars")), "cuts")
-    rows = base.withColumns({"row_doc": F.coalesce("doc_id", F.lit(-1)), "row_key": F.xxhash64("doc_id", "text")})
-    joined = rows.join(cuts, ["row_doc", "row_key"], "left")
+    found = lines.drop("site").join(spread, "line_hash").groupBy("row_doc", "row_key", "pos").agg(F.first("line_hash"))
+    row_doc, row_key, cut = unused(base, "row_doc", "row_key", "cut")
+    cuts = save(found.groupBy(F.col("row_doc").alias(row_doc), F.col("row_key").alias(row_key)).agg(F.collect_set("pos").alias(cut)), "cuts")
+    rows = base.withColumns({row_doc: F.coalesce("doc_id", F.lit(-1)), row_key: F.xxhash64("doc_id", "text")})
+    joined = rows.join(cuts, [row_doc, row_key], "left")
     parts = F.split("text", "\n")
-    chars = F.char_length("text") - F.size(parts) + 1
-    if max_share is None:
-        small = F.size(F.filter(parts, lambda line: F.trim(line) != "")) > F.size("cut")
-    else:
-        small = F.col("cut_chars") <= chars * max_share
-    cut = F.col("cut").isNotNull() & small
-    clean = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("cut", i)), "\n")
+    goes = F.col(cut).isNotNull() & (F.size(F.filter(parts, lambda line: F.trim(line) != "")) > F.size(cut))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(cut))
+    clean = F.array_join(F.transform(left, lambda i: F.element_at(parts, i + 1)), "\n")
     out = joined.withColumns({
-        "text": F.when(cut, clean).otherwise(F.col("text")),
-        "n_lines": F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"),
-        "n_removed": F.when(cut, F.size("cut")).otherwise(0).cast("long"),
+        "text": F.when(goes, clean).otherwise(F.col("text")),
+        "n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"),
+        "n_removed": F.when(goes, F.size(cut)).otherwise(0).cast("long"),
     })
     return out.select(*base.columns, "n_lines", "n_removed")

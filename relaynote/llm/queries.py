@@ -66,10 +66,10 @@ ORACLE_OP7 = """
 with docs as (select doc_id, text, coalesce(source, '') as site, string_split(text, chr(10)) as parts from documents),
 lines as (select doc_id, site, unnest(parts) as line from docs),
 spread as (select line from lines where trim(line) <> '' group by line having count(distinct site) >= 10),
-marked as (select l.doc_id, sum(length(l.line)) as chars, count(*) as n from lines l join spread s on l.line = s.line group by l.doc_id),
+marked as (select l.doc_id, count(*) as n from lines l join spread s on l.line = s.line group by l.doc_id),
 judged as (
   select d.doc_id, d.text, d.parts, coalesce(len(d.parts), 0) as n_lines, coalesce(m.n, 0) as n,
-         m.n is not null and m.chars <= 0.5 * (length(d.text) - len(d.parts) + 1) as cut
+         m.n is not null and m.n < len(list_filter(d.parts, lambda x: trim(x) <> '')) as cut
   from docs d left join marked m on d.doc_id = m.doc_id),
 kept as (
   select j.doc_id, string_agg(p.line, chr(10) order by p.i) as text
