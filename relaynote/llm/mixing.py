@@ -1,8 +1,9 @@
 """Mixing of sources to target weights by subset-sum budget fitting.
 
 Rows are counted by exact length within each source. A source's target takes whole passes over the source first. The
-rest is a budget: every length gives its share of documents, and a bounded-knapsack dynamic program over what is left
-of the length counts fits the remaining words. The documents of a length are those with the least seeded hashes.
+rest is a budget: every length gives its share of documents, rounded so that less than the longest document remains,
+and a bounded-knapsack dynamic program over what is left of the length counts fits all of the remaining budget. The
+documents of a length are those with the least seeded hashes.
 """
 
 from __future__ import annotations
@@ -16,38 +17,31 @@ from .common import WORD, rank_within, save
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = 7
-#: Words that the dynamic program fits at most; lengths are first taken long to short down to that.
-DP_WORDS = 1 << 13
 
 
-def fit(lengths: list[int], counts: list[int], budget: float, dp_words: int = DP_WORDS) -> list[int]:
+def fit(lengths: list[int], counts: list[int], budget: float) -> list[int]:
     """How many documents of each length to take so that the words come as near to the budget as the program finds."""
     total = sum(n * x for n, x in zip(counts, lengths))
     if total == 0 or budget <= 0:
         return [0] * len(lengths)
-    share = min(1.0, budget / total)
-    take = [int(n * share) if x else 0 for n, x in zip(counts, lengths)]
-    rest = budget - sum(k * x for k, x in zip(take, lengths))
+    share, rest, take = min(1.0, budget / total), 0.0, [0] * len(lengths)
     order = sorted((i for i, x in enumerate(lengths) if x), key=lambda i: -lengths[i])
-    for i in order:
-        if rest <= dp_words:
-            break
-        more = min(counts[i] - take[i], int((rest - dp_words // 2) // lengths[i]))
-        if more > 0:
-            take[i] += more
-            rest -= more * lengths[i]
-    more = _subset(lengths, [n - k for n, k in zip(counts, take)], rest, dp_words)
+    for i in order:  # words short of the share so far are carried on to the next length
+        rest += share * counts[i] * lengths[i]
+        take[i] = min(counts[i], int(rest // lengths[i]))
+        rest -= take[i] * lengths[i]
+    more = _subset(lengths, [n - k for n, k in zip(counts, take)], rest)
     take = [k + m for k, m in zip(take, more)]
     rest -= sum(m * x for m, x in zip(more, lengths))
     if rest <= -1:  # too many words: give some back
-        back = _subset(lengths, take, -rest, dp_words)
+        back = _subset(lengths, take, -rest)
         over = rest + sum(m * x for m, x in zip(back, lengths))
         if abs(over) < -rest:
             take, rest = [k - m for k, m in zip(take, back)], over
     # Where what is left is too long: one document more, and others back until the words fit.
     last = min((i for i in order if take[i] < counts[i] and lengths[i] > rest), key=lambda i: lengths[i], default=None)
     if rest >= 1 and last is not None:
-        back = _subset(lengths, take, lengths[last] - rest, dp_words)
+        back = _subset(lengths, take, lengths[last] - rest)
         over = rest - lengths[last] + sum(m * x for m, x in zip(back, lengths))
         if abs(over) < rest:
             take = [k - m for k, m in zip(take, back)]
@@ -55,10 +49,10 @@ def fit(lengths: list[int], counts: list[int], budget: float, dp_words: int = DP
     return take
 
 
-def _subset(lengths: list[int], counts: list[int], goal: float, most: int) -> list[int]:
-    """Counts, up to those given, whose words come nearest to the goal: a bounded knapsack up to 2 * `most` words."""
+def _subset(lengths: list[int], counts: list[int], goal: float) -> list[int]:
+    """Counts, up to those given, whose words come nearest to the goal: a bounded knapsack up to twice the goal."""
     take = [0] * len(lengths)
-    room, aim = int(2 * min(max(goal, 0), most)), int(max(goal, 0))
+    room, aim = int(2 * max(goal, 0)), int(max(goal, 0))
     # A bit of reach for each sum that can be made; an item is 1, 2, 4, ... documents of a length.
     reach, mask, steps = 1, (1 << (room + 1)) - 1, []
     for i in sorted((i for i, x in enumerate(lengths) if x), key=lambda i: lengths[i]):
@@ -150,10 +144,16 @@ def row_hash(seed: int = SEED) -> Column:
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """The rows of docs as the mix takes them: a row taken k times occurs k times, a row not taken is left out."""
-    own = ["mix_doc", "mix_hash", "passes"]
-    base = docs.drop(*[c for c in docs.columns if c in own])
-    taken = mix(base, weights, most, seed).filter("passes > 0").groupBy(F.coalesce("doc_id", F.lit(-1)).alias("mix_doc"), F.col("hash").alias("mix_hash")).agg(F.sum("passes").alias("passes"))
-    rows = base.withColumns({"mix_doc": F.coalesce("doc_id", F.lit(-1)), "mix_hash": row_hash(seed)}).dropDuplicates(["mix_doc", "mix_hash"])
-    joined = rows.join(taken, ["mix_doc", "mix_hash"])
-    return joined.withColumn("passes", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*base.columns)
+    """The rows of docs as the mix takes them: a row taken k times occurs k times, a row not taken is left out.
+
+    Rows that repeat doc_id, source and text share their passes: they are alike, so it is the same which of them gets
+    more. Rows of equal doc_id and text but different sources are taken each by its own source.
+    """
+    planned = mix(docs, weights, most, seed).select(F.xxhash64("doc_id", F.col("source").isNull(), "source", "hash").alias("key"), "passes")
+    alike = planned.groupBy("key").agg(F.sum("passes").alias("passes"), F.count("*").alias("_n")).filter("passes > 0")
+    key = F.xxhash64("doc_id", F.col("source").isNull(), "source", row_hash(seed))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).join(alike, "key")
+    several = rank_within(rows.filter("_n > 1"), ["key"], F.xxhash64("key", F.monotonically_increasing_id()))
+    several = several.withColumn("passes", F.floor(F.col("passes") / F.col("_n")) + (F.col("_rank") < F.col("passes") % F.col("_n")).cast("long"))
+    taken = rows.filter("_n = 1").select("row", "passes").unionByName(several.select("row", "passes")).filter("passes > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int")))).select("row.*")

@@ -59,24 +59,53 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     again = mixing.mix(table(spark, rows).repartition(3))
     assert rows_of(again, "doc_id", "size", "taken") == sorted(((r["doc_id"], r["size"], r["taken"]) for r in got), key=repr)
     assert mixing.mix(table(spark, [])).count() == 0
-    mixed = Counter((r["doc_id"], r["text"]) for r in mixing.mixed_rows(table(spark, rows)).collect())
+    mixed = Counter((r["doc_id"], r["source"], r["text"]) for r in mixing.mixed_rows(table(spark, rows)).collect())
+    text = {d: t for d, t, _, _ in rows}
     kept = Counter()
     for r in got:
-        kept[r["doc_id"]] += r["taken"] // r["size"] if r["size"] else 0
-    for (d, _), n in mixed.items():
-        assert n == kept[d]
+        kept[r["doc_id"], r["source"], text[r["doc_id"]]] += r["taken"] // r["size"] if r["size"] else 0
+    assert mixed == +kept
+
+
+def test_mixed_rows_keeps_rows_alike_apart(spark):
+    names = "doc_id long, text string, source string, mix_hash string, key string, row string, passes int, _n int, _rank int"
+    rows = [(1, "same text", s, f"{s}{k}", "k", f"r{k}", k, 1, 2) for s in ("a", "b", None) for k in range(4)] + [(2, "other words here", "a", "x", "k", "r", 9, 1, 2)]
+    docs = spark.createDataFrame(rows, names)
+    got = mixing.mixed_rows(docs)
+    assert got.columns == docs.columns
+    counts = Counter(tuple(r) for r in got.collect())
+    planned = Counter()
+    for r in mixing.mix(docs).collect():
+        planned[r["doc_id"], r["source"]] += r["passes"]
+    by = Counter()
+    for r, n in counts.items():
+        by[r[0], r[2]] += n
+    assert by == +planned and set(counts) <= set(rows)
+    for s in ("a", "b", None):  # rows alike are taken as often, or once more
+        taken = [counts[r] for r in rows if r[0] == 1 and r[2] == s]
+        assert max(taken) - min(taken) <= 1
 
 
 def test_fit_is_as_near_as_brute_force():
-    rnd = random.Random(9)
-    for _ in range(60):
+    from itertools import product
+
+    rnd, exact = random.Random(9), 0
+    for _ in range(200):
         lengths = sorted(rnd.sample(range(1, 60), rnd.randrange(1, 5)))
         counts = [rnd.randrange(1, 4) for _ in lengths]
         budget = rnd.uniform(0, sum(n * x for n, x in zip(counts, lengths)))
         take = mixing.fit(lengths, counts, budget)
         assert all(0 <= k <= n for k, n in zip(take, counts))
-        assert abs(sum(k * x for k, x in zip(take, lengths)) - budget) <= max(lengths) / 2 + 1
+        off = abs(sum(k * x for k, x in zip(take, lengths)) - budget)
+        best = min(abs(sum(k * x for k, x in zip(c, lengths)) - budget) for c in product(*(range(n + 1) for n in counts)))
+        assert off <= max(lengths) / 2 + 1
+        exact += off <= best + 1e-9
+    assert exact >= 150
     assert mixing.fit([5, 7], [2, 1], 12.0) == [1, 1] and mixing.fit([100], [1], 90.0) == [1] and mixing.fit([10**6], [1], 4e5) == [0]
+    # With short documents left over, the words come out exactly, however large the budget and the longest document.
+    for budget in (10_000_001.0, 1_234_567_890.0):
+        lengths, counts = [1, 3, 500, 70_001, 2_000_003], [50, 900, 90_000, 9_000, 1_000]
+        assert sum(k * x for k, x in zip(mixing.fit(lengths, counts, budget), lengths)) == budget
 
 
 # Packing
