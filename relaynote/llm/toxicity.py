@@ -20,8 +20,9 @@ from .common import save
 
 #: The model is fitted on this many labelled rows at most (on average: rows are picked by a hash threshold).
 SAMPLE_ROWS = 20_000
-#: Words or word beginnings of the lexicon at most, and labelled toxic texts that must hold one.
-LEXICON, LEAST_TEXTS = 3000, 4
+#: What makes a feature of the model, not a bound on the data: entries of the lexicon, labelled toxic texts that must
+#: hold one, and its least log odds.
+LEXICON, LEAST_TEXTS, LEAST_ODDS = 3000, 4, 1.5
 NEAR = 5
 TREES, DEPTH = 20, 3
 
@@ -139,31 +140,34 @@ def fit_toxicity(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int
 
     Rows with a null label are left out. If either label is missing, every score is the share of label 1, 0 without rows.
     """
-    known = labelled.filter("toxic is not null").select(F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"), F.xxhash64("text").alias("key"))
+    known = labelled.filter("toxic is not null").select(F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    known = known.withColumn("key", F.unhex(F.sha2("text", 256)))
     n = labelled.filter("toxic is not null").count()
     share = min(1.0, sample_rows / max(n, 1))
-    sample = known.filter(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["text"])
-    sample = save(sample.repartition(6, "key"), "sample")
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
+    picked = known.filter(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # Equal texts are one row, toxic if any of them is, whatever the order in which rows come.
+    held = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(4)) == 0
+    sample = save(picked.groupBy("key").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).withColumn("held", held).repartition(6, "key"), "sample")
+    sizes = {(r["held"], r["toxic"]): r["n"] for r in sample.groupBy("held", "toxic").agg(F.count("*").alias("n")).collect()}
+    bad, good = (sum(n for (_, toxic), n in sizes.items() if toxic == of) for of in (1, 0))
     if not bad or not good:
         return ToxicityModel({}, None, None, bad / max(bad + good, 1))
+    # A quarter is held back from lexicon and trees for the calibration, unless a label would be missing on either side.
+    apart = len(sizes) == 4
+    learned = sample.filter("not held") if apart else sample
+    bad, good = (sum(n for (of_held, toxic), n in sizes.items() if toxic == of and not (apart and of_held)) for of in (1, 0))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    counts = unit_counts(sample).filter(F.col("bad") >= LEAST_TEXTS).withColumn("odds", odds).filter("odds > 1.5")
+    counts = unit_counts(learned).filter(F.col("bad") >= LEAST_TEXTS).withColumn("odds", odds).filter(F.col("odds") > LEAST_ODDS)
     lexicon = {r["unit"]: r["odds"] for r in counts.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "unit").limit(LEXICON).collect()}
     model = ToxicityModel(lexicon, None, None, 0.0)
-    held = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(4)) == 0
-    table = save(sample.select((F.col("toxic") * 1.0).alias("_label"), model.features("text").alias("_array"), held.alias("_held")).coalesce(2), "features")
+    table = save(sample.select((F.col("toxic") * 1.0).alias("_label"), model.features("text").alias("_array"), (F.col("held") & apart).alias("_held")), "features")
     table = table.withColumn("_features", array_to_vector("_array"))
-    both = table.groupBy("_held").agg(F.min("_label").alias("a"), F.max("_label").alias("b")).collect()
-    if any(r["a"] == r["b"] for r in both) or len(both) < 2:  # too few rows to hold some back
-        table = table.withColumn("_held", F.lit(None))
     gbt = GBTClassifier(featuresCol="_features", labelCol="_label", predictionCol="_prediction", maxIter=trees, maxDepth=depth, stepSize=0.3, maxBins=32, seed=1)
     gbt.setRawPredictionCol("_rawPrediction").setProbabilityCol("_probability")
-    model.trees = gbt.fit(table.filter("coalesce(not _held, true)"))
-    apart = model.trees.transform(table.filter("coalesce(_held, true)").select("_label", "_features"))
-    apart = apart.select("_label", vector_to_array("_probability")[1].alias("_raw"))
-    model.calibration = IsotonicRegression(featuresCol="_raw", labelCol="_label", predictionCol="_step").fit(apart)
+    model.trees = gbt.fit(table.filter("not _held"))
+    fresh = model.trees.transform(table.filter(F.col("_held") | F.lit(not apart)).select("_label", "_features"))
+    fresh = fresh.select("_label", vector_to_array("_probability")[1].alias("_raw"))
+    model.calibration = IsotonicRegression(featuresCol="_raw", labelCol="_label", predictionCol="_step").fit(fresh)
     return model
 
 
@@ -171,12 +175,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """docs with held_out, score and predicted (columns of docs with these names give way).
 
     Labels are learned from rows whose crc32(doc_id as text) mod folds is not 0; the others are held out. A null
-    doc_id counts as held out. Null texts are scored as empty ones. Repeated rows are scored each, alike; repeated
-    labels count each. An empty table gives an empty result.
+    doc_id counts as held out. Null texts are scored as empty ones. Repeated rows are scored each, alike; of texts with
+    both labels the toxic one counts. Very long texts are read whole. An empty table gives an empty result.
     """
-    base = docs.drop(*[c for c in docs.columns if c in ("held_out", "score", "predicted", "_score", "_features", "_raw", "_step")])
-    names = base.columns
+    names = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
     held = F.coalesce(fold("doc_id", folds) == 0, F.lit(True))
-    known = base.filter(~held).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
-    scored = fit_toxicity(known).score(base)
-    return scored.select(*names, held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    known = docs.filter(~held).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
+    rows = docs.select(F.struct(*names).alias("row"), "text", held.alias("held_out"))  # no name can clash inside
+    scored = fit_toxicity(known).score(rows)
+    return scored.select("row.*", "held_out", F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
