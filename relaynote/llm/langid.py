@@ -16,17 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import PAGE_BITS, save
 from .toxicity import fold
 
-#: The filters are learned from this many rows at most (on average: rows are picked by a hash threshold).
-SAMPLE_ROWS = 20_000
+#: A language's filter is learned from this many of its rows at most (on average: rows are picked by a hash threshold).
+SAMPLE_ROWS = 5_000
 SIZES = (3, 4)
-#: A language's filter holds the n-grams with at least this share of its n-grams: not more than 1 / LEAST_SHARE per size.
-LEAST_SHARE = 2e-5
-#: ... and at least this part of the share in the language where the n-gram is most frequent.
-LEAST_PART = 0.25
-ROWS, HASHES = 1 << 21, 3
+#: Rows of the filters and bits that an n-gram sets: a language takes ROWS / 8 bytes, whatever the number of its n-grams.
+ROWS, HASHES = 1 << 22, 3
+#: Bytes of all filters, which are broadcast: more is an error (over 2000 languages).
+MOST_BYTES = 1 << 30
 CHUNK = 1 << 20
 
 
@@ -61,8 +60,9 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 
 def _places(h: np.ndarray) -> Iterator[np.ndarray]:
+    step = h >> np.uint64(42) | np.uint64(1)
     for k in range(HASHES):
-        yield (h >> np.uint64(21 * k)) & np.uint64(ROWS - 1)
+        yield (h + np.uint64(k) * step) & np.uint64(ROWS - 1)
 
 
 @dataclass
@@ -71,44 +71,52 @@ class LanguageFilter:
     rows: np.ndarray  # ROWS x bytes; bit l of a row is language l
     false_rate: np.ndarray
 
+    def languages_of(self, h: np.ndarray) -> np.ndarray:
+        """For each n-gram the languages whose filter contains it: a row of bytes, bit l of which is language l."""
+        found = None
+        for p in _places(h):
+            found = self.rows[p] if found is None else found & self.rows[p]
+        return found
+
     def shares(self, text: str) -> np.ndarray | None:
         """Each language's share of the text's n-grams, corrected for false positives; None without a letter."""
-        hits, n = np.zeros(len(self.languages)), 0
+        hits, n = np.zeros(8 * self.rows.shape[1]), 0
         for at in range(0, len(text), CHUNK):
             codes = letter_codes(text[at : at + CHUNK])
             if len(codes) < 3:
                 continue
             h = grams(codes)
             n += len(h)
-            places = list(_places(h))
-            for b in range(self.rows.shape[1]):
-                column = self.rows[:, b]
-                mask = column[places[0]]
-                for p in places[1:]:
-                    mask = mask & column[p]
-                counts = np.bincount(mask, minlength=256)
-                for bit, lang in enumerate(range(8 * b, min(8 * b + 8, len(self.languages)))):
-                    hits[lang] += counts[_WITH_BIT[bit]].sum()
+            for b, column in enumerate(self.languages_of(h).T):
+                hits[8 * b : 8 * b + 8] += np.bincount(column, minlength=256) @ _BITS
         if not n:
             return None
-        return np.clip((hits / n - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1)
+        return np.clip((hits[: len(self.languages)] / n - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         shares = self.shares(text) if text else None
         if shares is None or not len(shares):
             return "und", 0.0
-        best, total = int(np.argmax(shares)), float(shares.sum())
+        # of languages with all of a text's n-grams, that with the fewest n-grams
+        best, total = int(np.lexsort((self.false_rate, -shares.round(9)))[0]), float(shares.sum())
         return self.languages[best], float(shares[best]) / total if total else 0.0
 
 
-_WITH_BIT = [np.array([v for v in range(256) if v >> b & 1]) for b in range(8)]
+#: Bits of the numbers up to 255.
+_BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], float)
 
 
-def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFilter:
-    """Filters from rows (text, lang), on a sample of sample_rows at most; rows without text or lang are left out."""
+def sampled(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """lang and text of the rows to learn from: up to sample_rows a language, each text once."""
     known = rows.filter("text is not null and lang is not null").select("text", "lang")
-    share = min(1.0, sample_rows / max(known.count(), 1))
-    sample = known.filter(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), sample_rows / F.col("n")) * float(1 << 30)
+    picked = known.join(sizes, "lang").filter(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) < share)
+    return picked.groupBy("lang", F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text")).select("lang", "text")
+
+
+def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFilter:
+    """Filters of all n-grams of each language from rows (text, lang), on sample_rows a language at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -118,23 +126,22 @@ def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFilter:
                     by.setdefault(lang, []).extend(grams(letter_codes(text[i : i + CHUNK])) for i in range(0, len(text), CHUNK))
                 for lang, found in by.items():
                     if found:
-                        h, n = np.unique(np.concatenate(found), return_counts=True)
-                        yield pa.record_batch({"lang": pa.array([lang] * len(h)), "gram": pa.array(h.view(np.int64)), "n": pa.array(n, pa.int64())})
-
-    counts = save(sample.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    shares = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))  # a row per language
-    shares = shares.filter(F.col("share") >= LEAST_SHARE)
-    most = shares.groupBy("gram").agg(F.max("share").alias("most"))
-    chosen = shares.join(most, "gram").filter(F.col("share") >= LEAST_PART * F.col("most")).select("lang", "gram").toPandas()  # bounded by LEAST_SHARE
-    languages = sorted(chosen["lang"].unique())
+                        places = np.unique(np.concatenate(list(_places(np.unique(np.concatenate(found))))))
+                        yield pa.record_batch({"lang": pa.array([lang] * len(places)), "place": pa.array(places.view(np.int64))})
+
+    places = sampled(rows, sample_rows).mapInArrow(run, "lang string, place long")
+    pages = places.groupBy("lang", F.floor(F.col("place") / PAGE_BITS).alias("page")).agg(F.bitmap_construct_agg(F.col("place") % PAGE_BITS).alias("bits"))
+    pages = save(pages, "filters")
+    languages = [r["lang"] for r in pages.groupBy("lang").count().orderBy("lang").select("lang").limit(MOST_BYTES // (ROWS // 8) + 1).collect()]
+    if len(languages) * ROWS // 8 > MOST_BYTES:
+        raise ValueError("the filters of all languages take over MOST_BYTES; set SAMPLE_ROWS and ROWS lower")
+    filters = {lang: np.zeros((ROWS // PAGE_BITS, PAGE_BITS // 8), np.uint8) for lang in languages}
+    for r in pages.toLocalIterator():  # ROWS / 8 bytes a language
+        filters[r["lang"]][r["page"]] = np.frombuffer(r["bits"], np.uint8)[: PAGE_BITS // 8]
     table = np.zeros((ROWS, max(1, -(-len(languages) // 8))), np.uint8)
-    rate = []
     for k, lang in enumerate(languages):
-        h = chosen["gram"][chosen["lang"] == lang].to_numpy(np.int64).view(np.uint64)
-        for p in _places(h):
-            table[p, k // 8] |= np.uint8(1 << k % 8)
-        rate.append(float((table[:, k // 8] >> (k % 8) & 1).mean()) ** HASHES)
+        table[:, k // 8] |= np.unpackbits(filters[lang].reshape(-1), bitorder="little") << np.uint8(k % 8)
+    rate = [float(np.bitwise_count(filters[lang]).sum() / ROWS) ** HASHES for lang in languages]
     return LanguageFilter(languages, table, np.array(rate))
 
 
@@ -142,13 +149,13 @@ def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score.
 
     Languages are learned from rows with a lang whose crc32(doc_id as text) mod folds is not 0. lang_pred is `und`
-    where the text is null or has no letter, or nothing could be learned; ties go to the first name. score is the
-    language's part of all corrected shares. Repeated rows are alike; a null doc_id counts as held out; an empty table
+    where the text is null or has no letter, or nothing could be learned; ties go to the language with the fewest
+    n-grams, then to the first name. score is the language's part of all corrected shares. Repeated rows are alike; a null doc_id counts as held out; an empty table
     gives an empty result.
     """
     spark = docs.sparkSession
     held = F.coalesce(fold("doc_id", folds) == 0, F.lit(True))
-    model = spark.sparkContext.broadcast(learn(docs.filter(~held)))  # ROWS bytes for every 8 languages
+    model = spark.sparkContext.broadcast(learn(docs.filter(~held)))  # MOST_BYTES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.value

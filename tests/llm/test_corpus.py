@@ -193,9 +193,61 @@ def test_languages_are_told_apart(spark):
     assert [r["lang_pred"] for r in langid.identify(table(spark, [(2, "abc", None, "s")])).collect()] == ["und"]
 
 
+def test_filters_hold_all_ngrams_of_each_language(spark):
+    rnd = random.Random(16)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "яюэьыъщш"}
+    rows = [(i, " ".join("".join(rnd.choice(letters[lang]) for _ in range(rnd.randrange(1, 9))) for _ in range(30)), lang, "s") for i, lang in enumerate(list(letters) * 40)]
+    rows += rows[:20] + [(900, None, "aa", "s"), (901, "abcd", None, "s")]
+    model = langid.learn(table(spark, rows))
+    own = {lang: set(np.concatenate([langid.grams(langid.letter_codes(t)) for _, t, of, _ in rows if of == lang and t]).tolist()) for lang in letters}
+    assert model.languages == sorted(own)
+    for h in own.values():
+        h = np.array(sorted(h), np.uint64)
+        said = np.unpackbits(model.languages_of(h), axis=1, bitorder="little")
+        for k, lang in enumerate(model.languages):
+            there = np.array([x in own[lang] for x in h.tolist()])
+            assert said[there, k].all()  # no n-gram is missed
+            assert said[~there, k].mean() <= 0.01 if (~there).any() else True
+    none = np.random.default_rng(1).integers(0, 1 << 63, 200_000, np.uint64)
+    rates = np.unpackbits(model.languages_of(none), axis=1, bitorder="little")[:, :3].mean(axis=0)
+    assert np.allclose(rates, model.false_rate, atol=2e-4)
+
+
+def test_each_language_is_sampled(spark):
+    rows = [(i, f"common {i}", "big", "s") for i in range(4000)] + [(i, "one text of many copies", "big", "s") for i in range(2000)] + [(i, f"rare {i}", "small", "s") for i in range(30)]
+    got = Counter(r["lang"] for r in langid.sampled(table(spark, rows), 1000).collect())
+    assert got["small"] == 30 and 500 <= got["big"] <= 1000
+
+
 # Toxicity
 
 
+def test_features_are_what_they_say():
+    of = toxicity.feature_function({"vile": 2.0, "grub~": 3.0})
+    text = "You VILE grubblob! w0rd v*le, a.b you you far far far far far vile"
+    got = dict(zip("words mean share hits kinds most near near_share capitals marks stops masked unmasked".split(), of(text)))
+    lower_words = ["you", "vile", "grubblob", "w0rd", "v", "le", "a", "b", "you", "you", "far", "far", "far", "far", "far", "vile"]
+    n, size = len(lower_words), len(text)
+    assert got["words"] == pytest.approx(math.log1p(n)) and got["mean"] == pytest.approx((2 + 3 + 2) / n)
+    assert got["share"] == pytest.approx(3 / n) and got["hits"] == pytest.approx(math.log1p(3)) and got["kinds"] == pytest.approx(math.log1p(2)) and got["most"] == 3
+    assert got["near"] == pytest.approx(2 / n) and got["near_share"] == pytest.approx(2 / 3)
+    assert got["capitals"] == pytest.approx(5 / size) and got["marks"] == pytest.approx(1 / size) and got["stops"] == pytest.approx(2 / size)
+    assert got["masked"] == pytest.approx(3 / n) and got["unmasked"] == pytest.approx(0 / n)
+    assert of("") == [0.0] * 13
+
+
+def test_toxic_scores_do_not_depend_on_the_order_of_rows(spark):
+    rnd = random.Random(17)
+    docs = [(i, " ".join(rnd.choice(["vilewort", "you", *(f"w{k}" for k in range(60))]) for _ in range(30)), "en", "s") for i in range(200)]
+    docs += [(1000 + i, docs[i][1], "en", "s") for i in range(60)]
+    labels = [(d, 0, int("vilewort" in t) if d < 1000 else d % 2) for d, t, _, _ in docs]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one = toxicity.toxicity(table(spark, docs).repartition(3, "doc_id"), marks)
+    two = toxicity.toxicity(table(spark, docs[::-1]).repartition(5, "text"), marks.repartition(2))
+    near = lambda df: sorted((r["doc_id"], round(r["score"], 6)) for r in df.collect())
+    assert near(one) == near(two)
+
+
 def test_toxic_texts_are_found(spark):
     rnd = random.Random(7)
     plain, bad = [f"word{i}" for i in range(300)], ["vilewort", "grubblob", "smerkan"]
