@@ -281,13 +281,10 @@ def test_top_k_is_exact_with_ties_and_odd_vectors(spark):
     rows += [(i, rows[3][1], 0) for i in range(400, 460)]  # many copies
     rows += [(460, None, 0), (461, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (462, [float("nan")] * 6, 0), (463, [float("inf")] * 6, 0), (464, [2.0, 1.0], 0), (500, [], 0), (None, rows[0][1], 0), (5, rows[5][1], 0)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
-    good = {}
-    for d, v, _ in rows:
-        if d is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            good[d] = [math.floor(1024 * float(x)) for x in v]
+    good = [(d, [math.floor(1024 * float(x)) for x in v]) for d, v, _ in rows if d is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in sorted(d for d in good if d % 100 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(good[q], v)), d) for d, v in good.items() if d != q)[:10]
+    for q, asks in sorted((d, v) for d, v in good if d % 100 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(asks, v)), d) for d, v in good if d != q)[:10]
         want += [(q, k + 1, d, -s) for k, (s, d) in enumerate(scored)]
     assert rows_of(topk.top_k(vectors), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
     assert rows_of(topk.top_k(vectors, lists=4, block=2), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
@@ -295,14 +292,40 @@ def test_top_k_is_exact_with_ties_and_odd_vectors(spark):
     assert topk.top_k(spark.createDataFrame([(0, [1.0], 0)], vectors.schema)).count() == 0
 
 
-def test_top_k_is_whole_where_all_rows_repeat(spark):
+def test_top_k_takes_every_row_where_rows_repeat(spark):
     rnd = np.random.default_rng(9)
     rows = [(i, rnd.normal(size=6).astype("float32").tolist()) for i in range(60)]
     good = {d: [math.floor(1024 * float(x)) for x in v] for d, v in rows}
-    scored = sorted((-sum(a * b for a, b in zip(good[0], v)), d) for d, v in good.items() if d)[:10]
-    for copies in (2, 12):
-        vectors = spark.createDataFrame(rows * copies, "vec_id long, embedding array<float>").coalesce(1)
-        assert rows_of(topk.top_k(vectors), "rank", "vec_id", "score") == sorted([(k + 1, d, -s) for k, (s, d) in enumerate(scored)], key=repr)
+    for some, copies in ((rows, 2), (rows, 12), (rows[:4], 3)):
+        scored = sorted((-sum(a * b for a, b in zip(good[0], good[d])), d) for d, _ in some * copies if d)[:10]
+        for parts in (1, 5):
+            vectors = spark.createDataFrame(some * copies, "vec_id long, embedding array<float>").repartition(parts)
+            assert rows_of(topk.top_k(vectors), "rank", "vec_id", "score") == sorted([(k + 1, d, -s) for k, (s, d) in enumerate(scored)], key=repr)
+
+
+def test_cutoffs_save_products_and_lose_nothing():
+    rnd = np.random.default_rng(10)
+    centres = rnd.normal(size=(40, 32))
+    x = np.floor(1024 * (centres[rnd.integers(0, 40, 6000)] + 0.3 * rnd.normal(size=(6000, 32)))).astype(np.int64)
+    ids, own = np.arange(6000), np.arange(0, 6000, 100)
+    gathered = topk.Search(own, x[own], 10, 4)
+    gathered.first(ids[: topk.FIRST], ids[: topk.FIRST], x[: topk.FIRST])
+    search = topk.Search(own, x[own], 10, 4, gathered.cut)
+    for at in range(0, 6000, 1000):
+        search.add(ids[at : at + 1000], ids[at : at + 1000], x[at : at + 1000])
+    for i, q in enumerate(own):
+        scores = x @ x[q]
+        best = sorted((-int(scores[j]), j) for j in range(6000) if j != q)[:10]
+        assert list(zip((-search.kept[i][2]).tolist(), search.kept[i][0].tolist())) == best
+    assert gathered.products + search.products < 0.6 * x.size * len(own)
+
+
+def test_large_components_do_not_wrap(spark):
+    rows = [(0, [1e15, 1e15]), (1, [1e15, -1e15]), (2, [1e3, 1.0]), (3, [-1e30, 0.0]), (4, [3e3, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    v = {d: [min(max(math.floor(1024 * x), -(1 << 63)), (1 << 63) - 1) for x in e] for d, e in rows}
+    want = sorted((-min(max(sum(a * b for a, b in zip(v[0], v[d])), -(1 << 63)), (1 << 63) - 1), d) for d in range(1, 5))
+    assert rows_of(got, "rank", "vec_id", "score") == [(k + 1, d, -s) for k, (s, d) in enumerate(want)]
 
 
 # Web archives
