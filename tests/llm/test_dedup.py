@@ -43,6 +43,25 @@ def test_exact_dedup_survives_equal_digests(spark):
     assert rows_of(got, "doc_id", "keep_id", "group_size") == [(1, 6, 3), (2, 6, 3), (3, 4, 2), (4, 4, 2), (5, 5, 1), (6, 6, 3)]
 
 
+def test_compaction_reads_only_what_the_filters_let_pass(spark):
+    rows = [(run, f"d{k}", 100 * run + k) for run in range(7) for k in range(300 * run, 300 * run + 310)] + [(3, "hot", 9_000 + k) for k in range(50)]
+    runs = spark.createDataFrame(rows, "run int, digest string, doc_id long")
+    filters = exact_dedup.run_filters(runs)
+    assert {r["run"] for r in filters.collect()} == set(range(7))
+    read = exact_dedup.contested(runs, filters)
+    groups = defaultdict(list)
+    for _, digest, d in rows:
+        groups[digest].append(d)
+    twice = {k for k, g in groups.items() if len(g) > 1}
+    got = Counter(r["digest"] for r in read.collect())
+    assert twice <= set(got) and len(set(got) - twice) <= 5  # of 2020 digests that occur once
+    assert all(got[k] == len(groups[k]) for k in twice)
+    for fanout in (2, 16):
+        level = {r["digest"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.compacted(read, fanout).collect()}
+        assert {k: v for k, v in level.items() if k in twice} == {k: (max(groups[k]), len(groups[k])) for k in twice}
+    assert exact_dedup.compacted(read.limit(0)).count() == 0
+
+
 def test_exact_dedup_nulls_repeats_and_no_rows(spark):
     rows = [(None, "a", "s"), (3, "a", "s"), (3, "a", "s"), (None, "b", None), (None, "b", "s")]
     got = exact_dedup.exact_dedup(table(spark, rows))
