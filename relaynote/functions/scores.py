@@ -25,6 +25,25 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(both / union)
 
 
+def jaccards(own: Column, known: Sequence[Sequence[str]]) -> Column:
+    """array<double>: the Jaccard similarity of the distinct tokens `own` with each of the known lists; 0 if both are empty.
+
+    Tokens of no list go first, by one look-up in a set of literals for each, so the lists meet short arrays only.
+    """
+    every = sorted({t for k in known for t in k})
+    if not every:
+        return F.array(*[F.lit(0.0)] * len(known))
+    sizes = F.array(*[F.lit(len(k)) for k in known])
+    among = lambda words: lambda t: t.isin(*words)
+
+    def of(x: Column) -> Column:
+        counts = F.array(*[F.size(F.filter(x["some"], among(k))) if k else F.lit(0) for k in known])
+        union = lambda c, n: n + x["n"] - c
+        return F.zip_with(counts, sizes, lambda c, n: F.when(union(c, n) == 0, 0.0).otherwise(c / union(c, n)))
+
+    return T.bound(own, lambda o: T.bound(F.struct(F.size(o).alias("n"), F.filter(o, among(every)).alias("some")), of))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -41,9 +41,7 @@ def section_text(section: config.Section) -> str:
 
 
 def chunk_scores(sections: Sequence[config.Section], text: str = "chunk") -> Column:
-    own = F.array_distinct(T.tokens(text))
-    known = [list(dict.fromkeys(_TOKEN.findall(section_text(s).lower()))) for s in sections]
-    return F.transform(F.array(own), lambda t: F.array(*[S.jaccard(t, S.literal_tokens(k)) for k in known]))[0]
+    return S.jaccards(F.array_distinct(T.tokens(text)), [list(dict.fromkeys(_TOKEN.findall(section_text(s).lower()))) for s in sections])
 
 
 def best_section(chunks: DataFrame, sections: Sequence[config.Section], threshold: float = 0.2) -> DataFrame:
@@ -92,9 +90,10 @@ def explainability(analysis: DataFrame, sections: Sequence[config.Section]) -> D
     )
 
 
-def map_fields(best: DataFrame, sections: Sequence[config.Section], least: float = 0.25) -> DataFrame:
+def map_fields(best: DataFrame, sections: Sequence[config.Section], least: float = 0.25, min_max: bool = False) -> DataFrame:
     """job_id, section_id, field_id, value, confidence, source_chunk_index: each field's most similar chunk of its
-    section, if its score reaches `least`; ties go to the earlier chunk."""
+    section, if its score reaches `least`; ties go to the earlier chunk. With min_max a field's scores over the chunks
+    of its section are scaled to 0 to 1 first."""
     entries = []
     for s in sections:
         for f in s.fields:
@@ -109,6 +108,10 @@ def map_fields(best: DataFrame, sections: Sequence[config.Section], least: float
     fields = F.filter(F.array(*entries), lambda e: e["section_id"] == F.col("section_id"))
     rows = used.select("job_id", "section_id", "chunk_idx", "chunk", "own", F.explode(fields).alias("f"))
     scored = rows.select("job_id", "section_id", F.col("f.field_id").alias("field_id"), "chunk_idx", "chunk", S.jaccard(F.col("own"), F.col("f.known")).alias("confidence"))
+    if min_max:
+        of = Window.partitionBy("job_id", "section_id", "field_id")
+        low, high = F.min("confidence").over(of), F.max("confidence").over(of)
+        scored = scored.withColumn("confidence", (F.col("confidence") - low) / (high - low + 1e-9))
     top = scored.groupBy("job_id", "section_id", "field_id").agg(F.min(F.struct((-F.round("confidence", 9)).alias("down"), "chunk_idx", "chunk", "confidence")).alias("x"))
     out = top.filter(F.col("x.confidence") >= least).select("job_id", "section_id", "field_id", F.col("x.chunk").alias("value"), F.col("x.confidence").alias("confidence"), F.col("x.chunk_idx").alias("source_chunk_index"))
     return out.select(*schema.split(", "))

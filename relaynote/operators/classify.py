@@ -22,8 +22,7 @@ def section_tokens(section: config.Section) -> list[str]:
 
 def section_scores(text: str | Column, sections: Sequence[config.Section]) -> Column:
     """array<double>: the Jaccard similarity with each section, in their order."""
-    own = F.array_distinct(T.tokens(text))
-    return F.transform(F.array(own), lambda t: F.array(*[S.jaccard(t, S.literal_tokens(section_tokens(s))) for s in sections]))[0]
+    return S.jaccards(F.array_distinct(T.tokens(text)), [section_tokens(s) for s in sections])
 
 
 def vector_scores(vector: str | Column, section_vectors: Sequence[Sequence[float]]) -> Column:

@@ -61,6 +61,13 @@ def required_summary(analysis: DataFrame) -> DataFrame:
     return out.select("job_id", "coverage_percentage", "confidence_score", risk.alias("risk_score"), "missing_required_sections", state.alias("recommended_state"))
 
 
+def report(analysis: DataFrame, tenant: str, project: str, team: str) -> DataFrame:
+    """One record per job: whose it is, the summary of the required sections, and the heat of every section in order."""
+    by_job = heatmap(analysis).groupBy("job_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("section_ord", "section_id", "heat"))), lambda x: F.struct(x["section_id"].alias("section_id"), x["heat"].alias("heat"))).alias("heatmap"))
+    who = {"tenant": F.lit(tenant), "project": F.lit(project), "team": F.lit(team)}
+    return required_summary(analysis).join(by_job, "job_id").withColumns(who)
+
+
 def heatmap(analysis: DataFrame) -> DataFrame:
     heat = F.when(F.col("status") == "covered", F.col("confidence")).when(F.col("status") == "partial", 0.5 * F.col("confidence")).otherwise(0.0)
     return analysis.select("job_id", "section_id", "section_ord", heat.alias("heat"))

@@ -24,10 +24,10 @@ def section_text(section: config.Section) -> str:
 
 def scores(text: str | Column, sections: Sequence[config.Section], factors: dict[str, float] | None = None) -> Column:
     """array<double>: Jaccard with each section's text, times the section's learned factor."""
-    own = F.array_distinct(T.tokens(text))
-    known = [list(dict.fromkeys(_TOKEN.findall(section_text(s).lower()))) for s in sections]
-    one = lambda t, s, k: S.jaccard(t, S.literal_tokens(k)) * F.lit((factors or {}).get(s.section_id, 1.0))
-    return F.transform(F.array(own), lambda t: F.array(*[one(t, s, k) for s, k in zip(sections, known)]))[0]
+    found = S.jaccards(F.array_distinct(T.tokens(text)), [list(dict.fromkeys(_TOKEN.findall(section_text(s).lower()))) for s in sections])
+    if not factors:
+        return found
+    return F.zip_with(found, F.array(*[F.lit(float(factors.get(s.section_id, 1.0))) for s in sections]), lambda x, f: x * f)
 
 
 def best(found: Column, sections: Sequence[config.Section]) -> Column:
@@ -44,6 +44,20 @@ def learned_factors(corrections: DataFrame) -> DataFrame:
     return down.unionByName(up).groupBy("section_id").agg(F.product("x").alias("factor"))
 
 
+def place_with_feedback(lines: DataFrame, sections: Sequence[config.Section], factors: DataFrame, accept: float = ACCEPT) -> DataFrame:
+    """lines (job_id, line_id, text) with section_id, similarity: scores times the learned factors, which come as a table.
+
+    A line is joined with the factors by its sections; what is joined is a row per line and section with a common word.
+    """
+    names = F.array(*[F.struct(F.lit(s.section_ord).alias("ord"), F.lit(s.section_id).alias("section_id")) for s in sections])
+    pairs = lines.select("job_id", "line_id", F.inline(F.arrays_zip(names.alias("of"), scores("text", sections).alias("score")))).filter("score > 0")
+    pairs = pairs.select("job_id", "line_id", F.col("of.ord").alias("ord"), F.col("of.section_id").alias("section_id"), "score").join(factors, "section_id", "left")
+    similarity = F.col("score") * F.coalesce("factor", F.lit(1.0))
+    top = pairs.withColumn("similarity", similarity).groupBy("job_id", "line_id").agg(F.min(F.struct((-F.round("similarity", 9)).alias("down"), "ord", "section_id", "similarity")).alias("x"))
+    rows = lines.select("job_id", "line_id").join(top.filter(F.col("x.similarity") >= accept), ["job_id", "line_id"], "left")
+    return rows.select("job_id", "line_id", F.col("x.section_id").alias("section_id"), F.col("x.similarity").alias("similarity"))
+
+
 def training_stats(corrections: DataFrame) -> DataFrame:
     return corrections.agg(F.count("*").alias("total_corrections"), F.sort_array(F.collect_set("corrected_section")).alias("sections_corrected"), F.max("timestamp").alias("last_correction"))
 

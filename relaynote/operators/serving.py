@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import config
+
 
 def job(jobs: DataFrame, job_id: int | str) -> DataFrame:
     """The row of a job; no row is a 404."""
@@ -55,6 +57,11 @@ def quality_report(coverage: DataFrame, classified: DataFrame) -> DataFrame:
     return c.join(s, "job_id", "left").select("job_id", "coverage_percent", F.coalesce("mean", F.lit(0.5)).alias("average_confidence"), F.lit(0.0).alias("duplicate_rate"))
 
 
+def model_info(spark: SparkSession) -> DataFrame:
+    """The transcription models and the accuracy that each is taken to have."""
+    return spark.createDataFrame([*config.MODEL_ACCURACY], "model string, accuracy double")
+
+
 def form(content: DataFrame, fields: DataFrame) -> DataFrame:
     """section_id, field_id, value of form controls from the texts of sections.
 

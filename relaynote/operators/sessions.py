@@ -60,7 +60,7 @@ def apply_corrections(rows: DataFrame, corrections: DataFrame) -> DataFrame:
 
 def recount_coverage(rows: DataFrame, coverage: DataFrame) -> DataFrame:
     """coverage with counts of accepted rows (not of distinct texts), confidences, status and risk after corrections."""
-    counts = rows.filter("route = 'accepted'").groupBy("job_id", "section_id").agg(F.count("*").alias("n"), F.avg(F.coalesce("audio_confidence", F.lit(0.5))).alias("c"))
+    counts = rows.filter("route = 'accepted'").groupBy("job_id", "section_id").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("audio_confidence", F.lit(0.5))), 9).alias("c"))
     out = coverage.join(counts, ["job_id", "section_id"], "left")
     n = F.coalesce("n", F.lit(0))
     out = out.withColumns({"sentence_count": n, "confidence": F.when(n == 0, 0.0).otherwise(F.col("c")), "status": S.coverage_status(n)}).drop("n", "c")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,7 +145,7 @@ def policy_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def explainability_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = serving.explainability_log(_classified(spark, sf_dir, turns(spark, sf_dir)), 3)
+    log = serving.explainability_log(_classified(spark, sf_dir, turns(spark, sf_dir)))
     return log.select("job_id", "sentence_id", "section_id", _round("confidence"), _joined("alternatives"))
 
 
@@ -208,7 +209,7 @@ def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def section_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = assemble.ordered_content(assemble.section_content(_placed(spark, sf_dir)))
-    return content.select("job_id", "section_id", "sentence_count", _round("confidence"), "appearance", "bucket_name", "position", F.array_join("sentences_preview", "|").alias("preview"))
+    return content.select("job_id", "section_id", "sentence_count", F.round(F.col("confidence") + 1e-9, 6).alias("confidence"), "appearance", "bucket_name", "position", F.array_join("sentences_preview", "|").alias("preview"))
 
 
 @_query
@@ -243,7 +244,7 @@ def repair_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def multi_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _placed(spark, sf_dir).select("job_id", "sent_idx", "text", F.col("primary.section_id").alias("section_id")).filter("section_id is not null")
-    return serving.multi_section(rows, 3, 10).select("job_id", "text_key", _joined("sections"))
+    return serving.multi_section(rows).select("job_id", "text_key", _joined("sections"))
 
 
 # Correction of transcripts
@@ -295,6 +296,38 @@ def explainability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("job_id", "section_id", "status", _joined("expected_hints"), "matched_count", _round("top_score"))
 
 
+def _with_fields(spark: SparkSession, sf_dir: str) -> list[config.Section]:
+    """Two form fields for each section, of four of its hints each."""
+    made = lambda s, k: {"id": f"f{s.section_ord}_{k}", "label": " ".join(s.hints[4 * k : 4 * k + 4])}
+    return [replace(s, fields=(made(s, 0), made(s, 1))) for s in sections(spark, sf_dir)]
+
+
+@_query
+def field_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunks.map_fields(_best(spark, sf_dir), _with_fields(spark, sf_dir), 0.01)
+    return out.select("job_id", "section_id", "field_id", "source_chunk_index", _round("confidence"), "value")
+
+
+@_query
+def field_mapping_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunks.map_fields(_best(spark, sf_dir), _with_fields(spark, sf_dir), 0.25, min_max=True)
+    return out.select("job_id", "section_id", "field_id", "source_chunk_index", _round("confidence"))
+
+
+@_query
+def accumulated_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"))
+    parts = [chunks.section_analysis(_best(spark, sf_dir).filter(F.col("chunk_idx") % 2 == k), jobs, sections(spark, sf_dir)) for k in (0, 1)]
+    return chunks.accumulate_sessions(parts[0].unionByName(parts[1])).select("job_id", "section_id", "chunk_count", _round("confidence"), "status")
+
+
+@_query
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = coverage.report(_analysis(spark, sf_dir), "tenant", "project", "team")
+    heat = F.array_join(F.transform("heatmap", lambda x: F.concat(x["section_id"], F.lit("="), F.format_number(F.round(x["heat"], 3), 3))), "|")
+    return out.select("job_id", "tenant", "project", "team", _round("coverage_percentage"), _round("risk_score"), "recommended_state", heat.alias("heatmap"))
+
+
 # Lines and clauses
 
 
@@ -312,7 +345,8 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = _units(spark, sf_dir)
     out = placement.quality_metrics(units, placement.paragraphs(units))
-    return out.select("job_id", "total_sentences", "assigned_sentences", "unclassified_sentences", "duplicate_count", _round("avg_confidence"), _round("min_confidence"), _round("max_confidence"), "split_sentences", _round("coherence_score"))
+    by_section = F.array_join(F.transform(F.map_entries("section_coverage"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "|")
+    return out.select("job_id", "total_sentences", "assigned_sentences", "unclassified_sentences", "duplicate_count", _round("avg_confidence"), _round("min_confidence"), _round("max_confidence"), "split_sentences", _round("coherence_score"), _round("duplicate_rate"), by_section.alias("section_coverage"))
 
 
 @_query
@@ -335,6 +369,13 @@ def _corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def feedback_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = segments(spark, sf_dir).select("job_id", F.col("seg_idx").alias("line_id"), "text")
+    out = placement.place_with_feedback(lines, sections(spark, sf_dir), placement.learned_factors(_corrections(spark, sf_dir)), accept=0.05)
+    return out.select("job_id", "line_id", "section_id", _round("similarity"))
+
+
 # Sessions and service
 
 
@@ -357,7 +398,88 @@ def coverage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _routed(spark, sf_dir).select("job_id", "sent_idx", "route", F.col("primary.section_id").alias("section_id"), "audio_confidence")
     fixed = sessions.apply_corrections(rows, _corrections(spark, sf_dir))
-    return sessions.recount_coverage(fixed, _coverage(spark, sf_dir)).select("job_id", "section_id", "status", "sentence_count", _round("confidence"), "risk_score")
+    return sessions.recount_coverage(fixed, _coverage(spark, sf_dir)).select("job_id", "section_id", "status", "sentence_count", F.round(F.col("confidence") + 1e-9, 6).alias("confidence"), "risk_score")
+
+
+@_query
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = serving.quality_report(_coverage(spark, sf_dir), _classified(spark, sf_dir, document_sentences(spark, sf_dir)))
+    return out.select("job_id", _round("coverage_percent"), _round("average_confidence"), "duplicate_rate")
+
+
+@_query
+def reviews_of_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.reviews(assemble.place(classify.route(_classified(spark, sf_dir, turns(spark, sf_dir)), ACCEPT)), 7).select("job_id", "sent_idx", "text")
+
+
+@_query
+def find_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns(spark, sf_dir)
+    text = F.concat(F.lit("  "), F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" "))
+    asked = rows.select("job_id", F.col("sent_idx").alias("asked"), F.when(F.col("job_id") % 2 == 1, F.col("sent_idx") + 2).alias("sentence_index"), text.alias("sentence_text"))
+    return sessions.find_sentence(asked, rows).select("job_id", "asked", "sent_idx")
+
+
+@_query
+def form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = assemble.place(classify.route(_classified(spark, sf_dir, turns(spark, sf_dir)), ACCEPT))
+    content = assemble.section_content(placed).select("job_id", "section_id", F.transform("sentences", lambda s: s["text"]).alias("texts"))
+    kinds = ("boolean", "single_select", "multi_select", "text")
+    made = [(s.section_id, f"{s.section_id}_{k}", k, list(s.hints)) for s in sections(spark, sf_dir) for k in kinds]
+    fields = spark.createDataFrame(made, "section_id string, field_id string, type string, options array<string>")
+    out = serving.form(content, fields).filter("job_id is not null")
+    return out.select("job_id", "section_id", "field_id", F.get_json_object("value", "$.value").alias("value"))
+
+
+@_query
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), (F.col("event_id") % 103).alias("progress"), (F.col("event_id") % 997 == 0).alias("failed"))
+    return serving.job_states(events)
+
+
+@_query
+def feedback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"))
+    out = sessions.apply_feedback(jobs, _corrections(spark, sf_dir))
+    return out.select("job_id", F.col("human_feedback_count").cast("long").alias("feedback_count"), F.array_join(F.transform(F.coalesce("human_feedback", F.array().cast(out.schema["human_feedback"].dataType)), lambda x: x["corrected_section"]), "|").alias("corrected"))
+
+
+@_query
+def merged_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = segments(spark, sf_dir).filter("seg_idx = 0").select("job_id", "text")
+    child = first.select((F.col("job_id") - 1).alias("parent_job_id"), F.col("job_id").alias("child_job_id"), F.col("text").alias("child_text"))
+    pairs = first.select(F.col("job_id").alias("parent_job_id"), F.col("text").alias("parent_text")).join(child, "parent_job_id")
+    return sessions.merge_transcripts(pairs).select("parent_job_id", "child_job_id", "transcript")
+
+
+@_query
+def ingested_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segments(spark, sf_dir)
+    gaps = rows.select("job_id", "seg_idx", F.when(F.col("seg_idx") % 3 != 0, F.col("text")).alias("text"), F.when(F.col("seg_idx") % 2 == 0, F.col("end")).alias("end"))
+    return segment.ingest(gaps).select("job_id", "seg_idx", "text", "start", "end", "avg_logprob", F.round(S.audio_confidence("avg_logprob"), 6).alias("audio_confidence"), "speaker")
+
+
+@_query
+def recommended_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", S.recommended_model("n_chars").alias("model"))
+
+
+@_query
+def model_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.model_info(spark)
+
+
+@_query
+def vector_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    known = [r["embedding"] for r in rows.filter("vec_id < 5").orderBy("vec_id").collect()]
+    out = rows.select("vec_id", F.posexplode(classify.vector_scores("embedding", known)).alias("section", "score"))
+    return out.select("vec_id", "section", _round("score"))
+
+
+@_query
+def classification_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, turns(spark, sf_dir)).select("job_id", "sent_idx", F.regexp_replace("reason", r" \(score=.*", "").alias("reason"), F.regexp_replace("detail", r"=[0-9.]+", "").alias("detail"))
 
 
 @_query

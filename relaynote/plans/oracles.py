@@ -169,7 +169,7 @@ pc as (select *, regexp_replace(list_reduce(list_prepend('', list_transform(stri
 paragraph as (select job_id, section_id, case when r <> '' and right(r, 1) not in ('.', '!', '?') then r || '.' else r end as paragraph, coherence_score, unit_count from pc)
 """
 CORRECTIONS = """
-corr as (select doc_id as job_id, 0 as sent_idx, 's' || (doc_id % 13) as original_section, 's' || ((doc_id + quality + 1) % 13) as corrected_section, 0.01::double as boost, doc_id as at from labels)
+corr as (select doc_id as job_id, 0 as sent_idx, 's' || (doc_id % 13) as original_section, 's' || ((doc_id + quality + 1) % 13) as corrected_section, 0.01::double as boost, doc_id as stamp from labels)
 """
 
 
@@ -185,9 +185,52 @@ def _corrected(x: str) -> str:
     return x
 
 
+def _glossary_phrases(x: str) -> str:
+    for bad, good in sorted(config.GLOSSARY_PHRASES, key=lambda p: -len(p[0])):
+        x = f"regexp_replace({x}, '{bad}', '{good}', 'gi')"
+    return x
+
+
+def _phrase_steps() -> str:
+    """A step for each pattern: it is counted, and applied as often as it matched."""
+    steps = ["c0 as materialized (select conv_id as job_id, turn as seg_idx, text as original, text as t, cast(0 as bigint) as phrases from conversations)"]
+    for i, (pattern, good) in enumerate(config.PHRASE_PATTERNS):
+        once = f"regexp_replace(t, '{pattern}', '{good}', 'gi')"
+        again = f"list_reduce(list_prepend({once}, list_transform(range(1, n), lambda i: '')), lambda a, b: regexp_replace(a, '{pattern}', '{good}', 'gi'))"
+        steps.append(f"n{i} as materialized (select *, len(regexp_extract_all(t, '{pattern}', 0, 'i')) as n from c{i})")
+        steps.append(f"c{i + 1} as materialized (select job_id, seg_idx, original, case when n = 0 then t when n = 1 then {once} else {again} end as t, phrases + n as phrases from n{i})")
+    return ",\n".join(steps)
+
+
 WORD_MAP = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in config.WORD_CORRECTIONS) + "}"
 ACCURACY = dict(config.MODEL_ACCURACY)["small"]
 
+GLOSSARY_MAP = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in {config.GLOSSARY_TERMS[0].lower(): config.GLOSSARY_TERMS[0], **dict(config.GLOSSARY_ACRONYMS)}.items()) + "}"
+
+
+def _context_steps() -> str:
+    steps, pairs = [], [(trigger, bad, good) for trigger, rules in config.CONTEXT_RULES for bad, good in rules]
+    for i, (trigger, bad, good) in enumerate(pairs):
+        hit = f"regexp_matches(concat_ws(' ', before, text, after), '{trigger}', 'i') and regexp_matches(text, '{bad}', 'i')"
+        steps.append(f"x{i + 1} as materialized (select * exclude (text, contexts), case when {hit} then regexp_replace(text, '{bad}', '{good}', 'gi') else text end as text, contexts + case when {hit} then 1 else 0 end as contexts from x{i})")
+    return ",\n".join([*steps, f"corrected as (select * from x{len(pairs)})"])
+
+
+CORRECTED = rf"""
+{_phrase_steps()},
+w0 as materialized (select *, list_transform({_words('t')}, lambda x: struct_pack(w := x, bare := regexp_replace(x, '[.,!?;:]+$', ''))) as ws from c{len(config.PHRASE_PATTERNS)}),
+x0 as materialized (select job_id, seg_idx, original, phrases, len(list_filter(ws, lambda x: {WORD_MAP}[lower(x.bare)] is not null)) as words, cast(0 as bigint) as contexts,
+       {_collapse(f"array_to_string(list_transform(ws, lambda x: coalesce({WORD_MAP}[lower(x.bare)] || substr(x.w, length(x.bare) + 1), x.w)), ' ')")} as text,
+       coalesce(lag(original) over (partition by job_id order by seg_idx), '') as before, coalesce(lead(original) over (partition by job_id order by seg_idx), '') as after from w0),
+{_context_steps()}
+"""
+FIELDS = rf"""
+fields as (select section_id, 'f' || ord || '_' || k as field_id, {_tokens("array_to_string(hints[k * 4 + 1 : k * 4 + 4], ' ') || ' f' || ord || '_' || k")} as known from sec, unnest([0, 1]) as u(k)),
+ft as (select *, {_tokens('chunk')} as own from best),
+fc as (select b.job_id, b.chunk_idx, b.chunk, b.section_id, f.field_id, len(list_intersect(b.own, f.known))::double / (len(b.own) + len(f.known) - len(list_intersect(b.own, f.known))) as score from ft b join fields f using (section_id)),
+fr as (select *, row_number() over (partition by job_id, section_id, field_id order by round(score, 9) desc, chunk_idx) as place from fc)
+"""
+
 ORACLES: dict[str, str] = {
     "sentence_split": f"with {DOC_SENTENCES} select job_id, sent_idx, text from sent",
     "long_sentence_pack": rf"""
@@ -223,14 +266,17 @@ select job_id, sent_idx, regexp_matches(lower(text), '{config.CAUSAL_PATTERN}')
        coalesce(array_to_string(list_filter({EVIDENCE}, lambda k: contains(lower(text), k)), '|'), '') as evidence from sent""",
     "token_jaccard": f"with {SECTIONS}, {TURNS}, {SCORED} select job_id, sent_idx, ord as section_ord, round(base, 6) as base from sim",
     "context_scores": f"with {SECTIONS}, {TURNS}, {SCORED} select job_id, sent_idx, ord as section_ord, round(context, 6) as context, round(boost, 6) as boost, round(combined, 6) as combined from full_score",
-    "classify_topk": f"""with {SECTIONS}, {DOC_SENTENCES}, {SCORED}
-select s.job_id, s.sent_idx, p.section_id, round(p.combined, 6) as confidence, coalesce(x.secondary, '') as secondary
-from sent s left join prim p using (job_id, sent_idx) left join sec2 x using (job_id, sent_idx)""",
+    "classify_topk": f"""with {SECTIONS}, {DOC_SENTENCES}, {SCORED.partition('prim as')[0].rstrip().rstrip(',')},
+best as (select job_id, sent_idx, max(section_id) filter (where rn = 1) as section_id, max(combined) filter (where rn = 1) as first, list(struct_pack(rn := rn, id := section_id, c := combined)) filter (where rn in (2, 3)) as rest
+         from ranked where rn <= 3 group by all)
+select s.job_id, s.sent_idx, b.section_id, round(b.first, 6) as confidence,
+       coalesce(array_to_string(list_transform(list_filter(list_sort(b.rest), lambda x: b.first < 0.10 or x.c >= 0.6 * 0.10::double), lambda x: x.id), '|'), '') as secondary
+from sent s left join best b using (job_id, sent_idx)""",
     "policy_route": f"with {SECTIONS}, {DOC_SENTENCES}, {SCORED}, {ROUTED} select job_id, sent_idx, section_id, route, is_inferred from final",
     "explainability_log": f"""with {SECTIONS}, {TURNS}, {SCORED},
 log as (select *, row_number() over (partition by job_id order by sent_idx) as place from prim)
 select l.job_id, l.sent_idx as sentence_id, l.section_id, round(l.combined, 6) as confidence, coalesce(x.secondary, '') as alternatives
-from log l left join sec2 x using (job_id, sent_idx) where place <= 3""",
+from log l left join sec2 x using (job_id, sent_idx) where place <= 50""",
     "transcript_quality": rf"""
 with q as (select doc_id, text, {_sentences('text')} as s, {_words('text')} as w,
            len(list_filter(['kubernetes', 'docker', 'aws', 'jenkins', 'terraform'], lambda t: contains(lower(text), t))) as terms, not regexp_matches(text, '\p{{L}}') as wordless from documents),
@@ -270,7 +316,7 @@ select job_id, round(count(*) filter (where status <> 'missing') * 100.0::double
 select p.job_id, p.sent_idx as from_index, p.to_idx as to_index, p.section_id, case p.destination when 'reference' then 'referential_link' else 'duplicate_reference' end as note, p.text as from_sentence, t.text as to_sentence
 from placed p left join placed t on p.job_id = t.job_id and p.to_idx = t.sent_idx where p.destination in ('reference', 'duplicate')""",
     "section_content": f"""with {SECTIONS}, {DOC_SENTENCES}, {SCORED}, {ROUTED}, {PLACED}, {CONTENT}
-select job_id, section_id, sentence_count, round(confidence, 6) as confidence, appearance, {NAMES}[bucket + 1] as bucket_name,
+select job_id, section_id, sentence_count, round(confidence + 1e-9::double, 6) as confidence, appearance, {NAMES}[bucket + 1] as bucket_name,
        row_number() over (partition by job_id order by bucket, b0 is null, appearance) as position, array_to_string(list_transform(texts[1:5], lambda t: substr(t, 1, 100)), '|') as preview from flow""",
     "flow_coherence": f"""with {SECTIONS}, {DOC_SENTENCES}, {SCORED}, {ROUTED}, {PLACED}, {CONTENT},
 o as (select *, lag(bucket) over (partition by job_id order by appearance) as before from flow)
@@ -283,11 +329,92 @@ select job_id, '# KT Report - ' || job_id || chr(10) || chr(10) || string_agg(bo
 select job_id, sent_idx, text from (select *, row_number() over (partition by job_id order by sent_idx) as place from placed where destination = 'review') where place <= 5""",
     "multi_section": f"""with {SECTIONS}, {DOC_SENTENCES}, {SCORED},
 f as (select *, row_number() over (partition by job_id, section_id order by sent_idx) as place from prim)
-select job_id, substr(text, 1, 10) as text_key, string_agg(distinct section_id, '|' order by section_id) as sections from f where place <= 3 group by all having count(distinct section_id) > 1""",
-    "correct_segments": rf"""
-with p as (select conv_id as job_id, turn as seg_idx, text as original, {_corrected('text')} as t from conversations),
-w as (select *, list_transform({_words('t')}, lambda x: struct_pack(w := x, bare := regexp_replace(x, '[.,!?;:]+$', ''))) as ws from p)
-select job_id, seg_idx, regexp_replace(array_to_string(list_transform(ws, lambda x: coalesce({WORD_MAP}[lower(x.bare)] || substr(x.w, length(x.bare) + 1), x.w)), ' '), '\s+', ' ', 'g') as text from w""",
+select job_id, substr(text, 1, 50) as text_key, string_agg(distinct section_id, '|' order by section_id) as sections from f where place <= 3 group by all having count(distinct section_id) > 1""",
+    "correct_segments": f"""with {CORRECTED}
+select job_id, seg_idx, text, phrases + words + contexts as corrections,
+       round(case when original = '' then 0.5::double else greatest(0.0, 1 - 0.5::double * (phrases + words + contexts) / greatest(len({_words('original')}), 1)) end, 6) as confidence from corrected""",
+    "correction_stats": f"""with {CORRECTED}
+select job_id, count(*) as segments, count(*) filter (where phrases + words + contexts > 0) as segments_corrected, cast(sum(phrases + words + contexts) as bigint) as total_corrections,
+       cast(sum(phrases) as bigint) as phrase_corrections, cast(sum(words) as bigint) as word_corrections, cast(sum(contexts) as bigint) as context_corrections from corrected group by job_id""",
+    "glossary_warnings": rf"""
+with t as (select conv_id as job_id, turn as sent_idx, regexp_extract_all(lower('The API near a customer. ' || text), '[\p{{L}}\p{{N}}_]+') as toks from conversations),
+w as (select *, list_transform(toks, lambda x, i: case when x in ('api', 'the') then
+        'Glossary term ' || chr(39) || case x when 'api' then 'API' else 'The' end || chr(39) || ' appears near ambiguous word ' || chr(39) ||
+        list_filter([{', '.join(f"'{a}'" for a in config.AMBIGUOUS_NEARBY)}], lambda a: list_contains(toks[greatest(i - 3, 1) : i + 3], a))[1] || chr(39) end) as said from t),
+f as (select *, list_filter(said, lambda x: x is not null) as found from w)
+select job_id, sent_idx, coalesce(array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), '|'), '') as warnings from f""",
+    "repair_text": rf"""
+with {TURNS},
+g as (select *, text <> '' and (right(text, 1) not in ('.', '!', '?') or contains(text, '  ') or (lower(text[1]) = text[1] and upper(text[1]) <> text[1] and length(text) > 10)) as issue,
+             {_any('lower(text)', config.PROTECTED_KEYWORDS)} as protected, {_collapse(_fix_grammar('text'))} as fixed from sent),
+p as (select *, case when audio < 0.6 then {_glossary_phrases('fixed')} else fixed end as phrased from g),
+c as (select *, {_collapse("array_to_string(list_transform(string_split_regex(phrased, '[[:space:]]+'), lambda w: coalesce(" + GLOSSARY_MAP + "[lower(w)], w)), ' ')")} as improved from p),
+e as (select *, case when (audio < 0.4 or issue) and not protected then improved else text end as enhanced from c)
+select job_id, sent_idx, enhanced as enhanced_text, enhanced <> text as repaired from e""",
+    "coverage_merge": f"""with {SECTIONS}, {TURNS}, {SCORED},
+every as (select j.job_id, s.ord, s.section_id, s.required, k.k as half from (select distinct job_id from sent) j cross join sec s cross join (values (0), (1)) k(k)),
+counts as (select job_id, section_id, sent_idx % 2 as half, count(distinct lower({_collapse('text')})) as n, round(avg(audio), 9) as c from prim group by all),
+c0 as (select e.*, coalesce(n, 0) as sentence_count, coalesce(c, 0.0::double) as confidence from every e left join counts c on e.job_id = c.job_id and e.section_id = c.section_id and e.half = c.half),
+c1 as (select *, case when sentence_count = 0 then 'missing' when sentence_count <= 1 then 'weak' else 'covered' end as status from c0),
+c2 as (select *, case status when 'missing' then case when required then 1.0::double else 0.5 end when 'weak' then case when required then 0.6 else 0.2 end else case when confidence > 0.7 then 0.0 else 0.1 end end as risk_score from c1),
+m as (select p.job_id, p.section_id, k.status = 'covered' or (k.status = 'weak' and p.status = 'missing') as up, p as a, k as b from c2 p join c2 k on p.job_id = k.job_id and p.section_id = k.section_id and p.half = 0 and k.half = 1)
+select job_id, section_id, case when up then b.status else a.status end as status, case when up then b.sentence_count else a.sentence_count end as sentence_count,
+       round(case when up then b.confidence else a.confidence end, 6) as confidence, case when up then b.risk_score else a.risk_score end as risk_score, up as from_child from m""",
+    "review_apply": f"""with {SECTIONS}, {DOC_SENTENCES}, {SCORED}, {ROUTED}, {CORRECTIONS},
+latest as (select job_id, sent_idx, max_by(corrected_section, struct_pack(a := stamp, b := corrected_section)) as corrected_section from corr group by all),
+every as (select d.job_id, s.ord, s.section_id, s.required from (select distinct doc_id as job_id from documents) d cross join sec s),
+r0 as (select s.job_id, s.sent_idx, s.audio, coalesce(l.corrected_section, f.section_id) as section_id, case when l.corrected_section is not null then 'accepted' else f.route end as route
+       from sent s left join final f using (job_id, sent_idx) left join latest l using (job_id, sent_idx)),
+counts as (select job_id, section_id, count(*) as n, round(avg(audio), 9) as c from r0 where route = 'accepted' group by all),
+c0 as (select e.*, coalesce(n, 0) as sentence_count, coalesce(c, 0.0::double) as confidence from every e left join counts c on e.job_id = c.job_id and e.section_id = c.section_id),
+c1 as (select *, case when sentence_count = 0 then 'missing' when sentence_count <= 1 then 'weak' else 'covered' end as status from c0)
+select job_id, section_id, status, sentence_count, round(confidence + 1e-9::double, 6) as confidence,
+       case status when 'missing' then case when required then 1.0::double else 0.5 end when 'weak' then case when required then 0.6 else 0.2 end else case when confidence > 0.7 then 0.0 else 0.1 end end as risk_score from c1""",
+    "feedback_placement": f"""with {SECTIONS}, {CORRECTIONS},
+fx as (select original_section as section_id, 1 - boost as f from corr union all select corrected_section, 1 + boost from corr), fs as (select section_id, product(f) as factor from fx group by section_id),
+l as (select conv_id as job_id, turn as line_id, {_tokens('text')} as tok from conversations),
+p as (select l.job_id, l.line_id, s.ord, s.section_id, len(list_intersect(l.tok, s.line_tok))::double / (len(l.tok) + len(s.line_tok) - len(list_intersect(l.tok, s.line_tok))) * coalesce(f.factor, 1.0) as sim
+      from l cross join sec s left join fs f on f.section_id = s.section_id),
+b as (select *, row_number() over (partition by job_id, line_id order by round(sim, 9) desc, ord) as rn from p where sim > 0)
+select l.job_id, l.line_id, b.section_id, round(b.sim, 6) as similarity from l left join b on l.job_id = b.job_id and l.line_id = b.line_id and b.rn = 1 and b.sim >= 0.05""",
+    "field_mapping": f"with {SECTIONS}, {CHUNKS}, {BEST}, {FIELDS} select job_id, section_id, field_id, chunk_idx as source_chunk_index, round(score, 6) as confidence, chunk as value from fr where place = 1 and score >= 0.01",
+    "field_mapping_scaled": f"""with {SECTIONS}, {CHUNKS}, {BEST}, {FIELDS},
+fm as (select *, (score - min(score) over w) / (max(score) over w - min(score) over w + 1e-9::double) as scaled from fr window w as (partition by job_id, section_id, field_id))
+select job_id, section_id, field_id, chunk_idx as source_chunk_index, round(scaled, 6) as confidence from fm where place = 1 and scaled >= 0.25""",
+    "accumulated_analysis": f"""with {SECTIONS}, {CHUNKS}, {BEST}, {ANALYSIS} select job_id, section_id, chunk_count, round(confidence, 6) as confidence, status from analysis""",
+    "report": f"""with {SECTIONS}, {CHUNKS}, {BEST}, {ANALYSIS},
+s as (select job_id, sum(case status when 'covered' then 1.0::double when 'partial' then 0.5 else 0 end) / count(*) as cov, count(*) filter (where status = 'missing') as gone, count(*) as n from analysis where required group by job_id),
+h as (select job_id, string_agg(section_id || '=' || printf('%.3f', round(case status when 'covered' then confidence when 'partial' then 0.5 * confidence else 0.0 end, 3)), '|' order by ord) as heatmap from analysis group by job_id)
+select job_id, 'tenant' as tenant, 'project' as project, 'team' as team, round(cov, 6) as coverage_percentage, round(greatest(0.0, least(1.0, 1 - cov + gone / n * 0.5::double)), 6) as risk_score,
+       case when gone > 0 then 'Completed with Risk' else 'Pending Review' end as recommended_state, heatmap from s join h using (job_id)""",
+    "quality_report": f"""with {SECTIONS}, {DOC_SENTENCES}, {SCORED}, {COVERAGE},
+a as (select job_id, round(avg(case when status <> 'missing' then 1.0::double else 0 end) * 100, 6) as coverage_percent from cover group by job_id),
+m as (select s.job_id, avg(coalesce(p.combined, 0.5::double)) as mean from sent s left join prim p using (job_id, sent_idx) group by s.job_id)
+select job_id, coverage_percent, round(coalesce(mean, 0.5), 6) as average_confidence, 0.0::double as duplicate_rate from a left join m using (job_id)""",
+    "reviews_of_job": f"with {SECTIONS}, {TURNS}, {SCORED}, {ROUTED}, {PLACED} select job_id, sent_idx, text from placed where destination = 'review' and job_id = 7",
+    "find_sentence": rf"""
+with c as (select conv_id as job_id, turn as sent_idx, lower({_strip('text')}) as k from conversations),
+q as (select conv_id as job_id, turn as asked, case when conv_id % 2 = 1 then turn + 2 end as i, lower({_strip('text')}) as k from conversations)
+select q.job_id, q.asked, coalesce(max(a.sent_idx), min(b.sent_idx)) as sent_idx from q left join c a on a.job_id = q.job_id and a.sent_idx = q.i left join c b on b.job_id = q.job_id and b.k = q.k group by q.job_id, q.asked""",
+    "form": f"""with {SECTIONS}, {TURNS}, {SCORED}, {ROUTED}, {PLACED}, {CONTENT},
+j as (select c.job_id, c.section_id, array_to_string(c.texts, chr(10)) as t, s.hints from content c join sec s using (section_id)),
+o as (select *, list_filter(hints, lambda h: contains(lower(t), lower(h))) as chosen from j)
+select job_id, section_id, section_id || '_' || k as field_id, case k when 'boolean' then 'true' when 'single_select' then chosen[1] when 'multi_select' then '[' || coalesce(array_to_string(list_transform(chosen, lambda x: '"' || x || '"'), ','), '') || ']' else t end as value
+from o, unnest(['boolean', 'single_select', 'multi_select', 'text']) as u(k)""",
+    "job_states": """select user_id as job_id, max(event_id % 103) as progress, case when max(case when event_id % 997 = 0 then 1 else 0 end) = 1 then 'failed' when max(event_id % 103) >= 100 then 'completed' else 'processing' end as status from events group by user_id""",
+    "feedback_counts": f"""with {CORRECTIONS} select d.doc_id as job_id, count(c.job_id) as feedback_count, coalesce(string_agg(c.corrected_section, '|' order by c.stamp, c.corrected_section), '') as corrected
+from (select doc_id from documents) d left join corr c on c.job_id = d.doc_id group by d.doc_id""",
+    "merged_transcripts": """with f as (select conv_id, text from conversations where turn = 0)
+select a.conv_id as parent_job_id, b.conv_id as child_job_id, a.text || chr(10) || chr(10) || '[SESSION 2]' || chr(10) || b.text as transcript from f a join f b on b.conv_id = a.conv_id + 1""",
+    "ingested_segments": """select conv_id as job_id, cast(turn as integer) as seg_idx, case when turn % 3 <> 0 then text else '' end as text, 0.0::double as start, case when turn % 2 = 0 then turn * 5.0::double + 5 else 0 end as end,
+       -1.0::double as avg_logprob, 0.5::double as audio_confidence, cast(null as varchar) as speaker from conversations""",
+    "recommended_models": "select doc_id, case when n_chars <= 1800 then 'base' else 'small' end as model from documents",
+    "model_info": "select * from (values " + ", ".join(f"('{m}', {a}::double)" for m, a in config.MODEL_ACCURACY) + ") as m(model, accuracy)",
+    "vector_classify": """with k as (select vec_id as section, embedding::double[] as v from embeddings where vec_id < 5), e as (select vec_id, embedding::double[] as u from embeddings)
+select e.vec_id, cast(row_number() over (partition by e.vec_id order by k.section) - 1 as integer) as section, round(list_dot_product(u, v) / (sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(v, v)) + 1e-9), 6) as score from e cross join k""",
+    "classification_reasons": f"""with {SECTIONS}, {TURNS}, {SCORED}
+select s.job_id, s.sent_idx, case when p.section_id is not null then 'Matched ' || chr(39) || substr(s.text, 1, 60) || chr(39) || ' to ' || chr(39) || p.title || chr(39) end as reason,
+       case when p.section_id is not null then 'Semantic, Context, Keywords, Combined' end as detail from sent s left join prim p using (job_id, sent_idx)""",
     "chunk_best_section": f"""with {SECTIONS}, {CHUNKS}, {BEST} select c.job_id, c.chunk_idx, b.section_id, round(b.score, 6) as score, b.has_hint from chunk c left join best b using (job_id, chunk_idx)""",
     "chunk_dedup": f"""with {SECTIONS}, {CHUNKS}, {BEST}
 select job_id, chunk_idx, section_id from (select *, row_number() over (partition by job_id, substr(lower({_strip('chunk')}), 1, 100) order by ord, chunk_idx) as place from best) where place = 1""",
@@ -307,12 +434,13 @@ select a.job_id, a.section_id, a.status, case when a.status = 'missing' then arr
 u as (select job_id, count(distinct line_id) as total_sentences, count(*) filter (where registered) as assigned_sentences, count(*) filter (where not registered) as unclassified_sentences,
       count(*) filter (where section_id is not null and not registered) as duplicate_count, coalesce(avg(confidence) filter (where registered), 0.0) as a, coalesce(min(confidence) filter (where registered), 0.0) as lo,
       coalesce(max(confidence) filter (where registered), 0.0) as hi, count(distinct line_id) filter (where is_split) as split_sentences from units group by job_id),
-p as (select job_id, avg(coherence_score) as c from paragraph group by job_id)
-select job_id, total_sentences, assigned_sentences, unclassified_sentences, duplicate_count, round(a, 6) as avg_confidence, round(lo, 6) as min_confidence, round(hi, 6) as max_confidence, split_sentences, round(coalesce(c, 0.0), 6) as coherence_score
+p as (select job_id, avg(coherence_score) as c, string_agg(section_id || '=' || unit_count, '|' order by section_id) as section_coverage from paragraph group by job_id)
+select job_id, total_sentences, assigned_sentences, unclassified_sentences, duplicate_count, round(a, 6) as avg_confidence, round(lo, 6) as min_confidence, round(hi, 6) as max_confidence, split_sentences, round(coalesce(c, 0.0), 6) as coherence_score,
+       round(case when assigned_sentences > 0 then duplicate_count::double / assigned_sentences else 0 end, 6) as duplicate_rate, p.section_coverage
 from u left join p using (job_id)""",
     "feedback_factors": f"""with {CORRECTIONS}, x as (select original_section as section_id, 1 - boost as f from corr union all select corrected_section, 1 + boost from corr)
 select section_id, round(product(f), 6) as factor from x group by section_id""",
-    "training_stats": f"with {CORRECTIONS} select count(*) as total_corrections, string_agg(distinct corrected_section, '|' order by corrected_section) as sections_corrected, max(at) as last_correction from corr",
+    "training_stats": f"with {CORRECTIONS} select count(*) as total_corrections, string_agg(distinct corrected_section, '|' order by corrected_section) as sections_corrected, max(stamp) as last_correction from corr",
     "session_merge": """
 with s as (select conv_id as job_id, turn as sent_idx, text, turn * 5.0::double as start, turn * 5.0::double + 5 as e from conversations),
 m as (select job_id, max(e) as shift, max(sent_idx) + 1 as n from s where sent_idx % 2 = 0 group by job_id)
