@@ -26,7 +26,7 @@ SEQUENCE = 4096
 END_ID = 2
 SEED = 11
 #: Bytes of words and their ids that a Python worker keeps, words and pre-tokens each.
-CACHED_BYTES = 96 << 20
+CACHED_BYTES = 40 << 20
 #: Pre-tokens that are encoded in one call.
 JOINED = 512
 

@@ -26,8 +26,11 @@ from .common import LOWER, UPPER, WordHashes, bit_filter, components, filter_bit
 SEED = 42
 #: Least hashes of a text, and bands that they make: texts of Jaccard similarity 0.64 share none in 3 of 1000 cases.
 BINS, BANDS = 128, 32
-#: Rows of a group that are compared with all others in the first round after that; the number doubles.
+#: Rows of a group that are compared with all others in the first round after the first star; eight times as many follow.
 FIRST_CENTRES = 8
+#: Bands that texts of a larger group have in common to be compared in those rounds: of Jaccard similarity 0.667, 95 of
+#: 100 have, of 0.5 a third, so the many pairs far below the threshold are not read. The first star asks for one band.
+LEAST_BANDS = 3
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -248,13 +251,16 @@ def _alike(candidates: DataFrame, texts: DataFrame, words: int, similarity: floa
     def alike(left, right):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        seen, of = {}, WordHashes()
+        seen, of, held = {}, WordHashes(), 0
 
         def windows(text: str) -> np.ndarray:
+            nonlocal held
             if text not in seen:
-                if len(seen) > 64:
+                if len(seen) > 64 or held > 1 << 20:  # windows of the texts that are kept
                     seen.clear()
+                    held = 0
                 seen[text] = np.unique(window_hashes(text, words, of))
+                held += len(seen[text])
             return seen[text]
 
         out = []
@@ -268,30 +274,50 @@ def _alike(candidates: DataFrame, texts: DataFrame, words: int, similarity: floa
     return two.filter(alike("left", "right")).select("a", "b")
 
 
-def _links(groups: DataFrame, texts: DataFrame, words: int, similarity: float, measure: str) -> DataFrame:
-    """Links (a, b) of similar texts that connect all texts which meet in a group and are similar, directly or by a chain.
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """roots (node, root) of the components after further links (a, b): only ends in different components are looked at."""
+    if roots is None:
+        return components(links)
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = save(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).filter("a <> b"), "ends")
+    joined = components(ends)
+    new = joined.select("node").join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    step = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    out = save(roots.unionByName(new).join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+    forget(roots, ends, joined)
+    return out
+
+
+def _roots(groups: DataFrame, texts: DataFrame, bands: DataFrame, words: int, similarity: float, measure: str) -> DataFrame:
+    """(node, root) of the components of all texts that meet in a group and are similar, directly or by a chain.
 
     First the rows of a group are compared with one of them, the first in an order that all groups share, so rows alike
     have the same one in most groups. Then, in rounds, some rows outside a group's largest component are compared with
     all its rows in other components, and are then done with. A group is left when it is one component or none of its
-    rows remains; the rows taken at once double, so a group of n rows has log n rounds. No pair is compared twice.
+    rows remains; eight times as many rows are taken each time, so a group of n rows has log n rounds. No pair is
+    compared twice, and in the rounds texts are only read of pairs with LEAST_BANDS bands in common.
     """
     could = _similar(similarity, measure)[1]
-    first = groups.groupBy("part").agg(F.min(F.struct(F.xxhash64("row_key"), F.col("row_key").alias("x"), F.col("n").alias("nx")))["x"].alias("x"), F.min(F.struct(F.xxhash64("row_key"), F.col("n").alias("nx")))["nx"].alias("nx"))
-    stars = groups.join(first, "part")
+    first = groups.groupBy("part").agg(F.min(F.struct(F.xxhash64("row_key"), F.col("row_key").alias("x"), F.col("n").alias("nx"))).alias("f"))
+    stars = groups.join(first.select("part", "f.x", "f.nx"), "part")
     new = stars.filter((F.col("x") != F.col("row_key")) & could(F.col("n"), F.col("nx")))
     groups = save(stars.filter("x <> row_key").select("part", "row_key", "n"), "groups")
-    tested = links = roots = None
+    tested = roots = None
     most = FIRST_CENTRES
     for k in range(64):
         pairs = new.select(F.least("x", "row_key").alias("a"), F.greatest("x", "row_key").alias("b")).distinct()
-        candidates = save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
+        pairs = save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        candidates = pairs
+        if k:
+            both = pairs.join(bands.select(F.col("row_key").alias("a"), F.col("bands").alias("x")), "a").join(bands.select(F.col("row_key").alias("b"), F.col("bands").alias("y")), "b")
+            candidates = save(both.filter(F.size(F.array_intersect("x", "y")) >= LEAST_BANDS).select("a", "b"), "candidates")
         found = save(_alike(candidates, texts, words, similarity, measure), "links")
-        tested = candidates if tested is None else tested.unionByName(candidates)
-        links = found if links is None else links.unionByName(found)
-        if k == 0 or not found.isEmpty():
-            forget(roots)
-            roots = components(links)
+        forget(candidates if k else None)
+        if roots is None or not found.isEmpty():
+            roots = _merged(roots, found)
+        forget(found)
         named = roots.select(F.col("node").alias("row_key"), "root")
         members = groups.join(named, "row_key", "left").withColumn("root", F.coalesce("root", "row_key"))
         parts = members.groupBy("part", "root").agg(F.count("*").alias("size"))
@@ -301,11 +327,11 @@ def _links(groups: DataFrame, texts: DataFrame, words: int, similarity: float, m
         before, members = groups, save(members.join(open_, "part").withColumn("taken", (F.col("root") != F.col("main")) & (place * F.col("outside") < most)), "members")
         forget(before)
         if members.isEmpty():
-            return links
+            return roots
         centre = members.filter("taken").select("part", F.col("row_key").alias("x"), F.col("root").alias("of"), F.col("n").alias("nx"))
         new = members.join(centre, "part").filter((F.col("root") != F.col("of")) & could(F.col("n"), F.col("nx")))
         groups = save(members.filter("not taken").select("part", "row_key", "n"), "groups")
-        most *= 2
+        most *= 8
     raise RuntimeError("groups of similar texts are not done")
 
 
@@ -333,9 +359,9 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: i
     some = docs.select(number(F.col("doc_id").cast("long")).alias("number"), F.coalesce("text", F.lit("")).alias("text"))
     some = may_contain(some, F.col("number"), bit_filter(wanted, "number", size), size).withColumn("body", body_of(F.col("text")))
     texts = save(some.join(wanted, ["number", "body"]).dropDuplicates(["row_key"]).select("row_key", "text"), "texts")
-    links = save(_links(groups, texts, words, similarity, measure), "all-links")
-    roots = components(links).withColumnRenamed("node", "row_key")
-    grouped = classes.select("row_key", "least").join(roots, "row_key")
+    bands = save(classes.join(wanted.select("row_key"), "row_key", "left_semi").select("row_key", "bands"), "bands")
+    roots = _roots(groups, texts, bands, words, similarity, measure)
+    grouped = classes.select("row_key", "least").join(roots.withColumnRenamed("node", "row_key"), "row_key")
     best = grouped.groupBy("root").agg(F.min("least").alias("best"))
     dropped = save(grouped.join(best, "root").filter("least > best").select("row_key", F.lit(True).alias("dropped")), "dropped")
 
@@ -343,7 +369,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: i
     marked = classes.select("row_key", "body", "least", "copies").join(dropped, "row_key", "left").filter("dropped or copies > 1")
     judged = rows.select("doc_id", "body").join(marked, "body").select(number(F.col("doc_id")).alias("number"), "body", ((order == F.col("least")) & F.col("dropped").isNull()).alias("stays"))
     judged = save(judged.groupBy("number", "body").agg(F.max("stays").alias("stays")), "judged")
-    forget(rows, classes, groups, wanted, texts, links, dropped)
+    forget(rows, classes, groups, wanted, texts, bands, roots, dropped)
     size = filter_bits(judged.count())
     own, flag, body, stays = unused(docs, "number", "flag", "body", "stays")
     flagged = flag_contained(docs.withColumn(own, number(F.col("doc_id").cast("long"))), F.col(own), bit_filter(judged, "number", size), flag, size)
