@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,46 +27,58 @@ def pack_sentences(sentences: DataFrame, most: int = T.LONG_SENTENCE) -> DataFra
     return sentences.select("job_id", "sent_idx", F.posexplode(T.pack_long(F.col("text"), most)).alias("part_idx", "text"))
 
 
+def running_total(rows: DataFrame, order: str, value: str, bucket: int = 1024) -> DataFrame:
+    """rows with `before`, the sum of value over the rows of the job with a lesser `order` (whole numbers from 0).
+
+    Sums of buckets of the order come first, so that a long session is summed in parts and no task has all its rows.
+    """
+    dealt = rows.withColumn("bucket", F.floor(F.col(order) / bucket))
+    starts = dealt.groupBy("job_id", "bucket").agg(F.sum(value).alias("total"))
+    earlier = Window.partitionBy("job_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("job_id", "bucket", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("start_at"))
+    within = Window.partitionBy("job_id", "bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.withColumn("within", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    out = dealt.join(starts, ["job_id", "bucket"]).withColumn("before", F.col("start_at") + F.col("within"))
+    return out.drop("bucket", "start_at", "within")
+
+
 def align_segments(segments: DataFrame, lossless: bool = True, most: int = T.LONG_SENTENCE) -> DataFrame:
     """job_id, sent_idx, text, raw_text, start, end, speaker, audio_confidence, segment_ids.
 
-    A job's segments are joined by blanks in the order of seg_idx and split to sentences; a sentence takes the times of
-    the segments that it touches, the mean of their confidences and their speaker if they have but one. Chunks of a
-    long sentence have its place; those joined from several comma parts are left out unless lossless, as their text
-    does not occur in the transcript. A job is one recorded session, and its transcript is one row here.
+    A job's segments are read as one text, joined by blanks in the order of seg_idx, and split to sentences; a sentence
+    takes the times of the segments that it touches, the mean of their confidences and their speaker if they have but
+    one. Chunks of a long sentence have its place; those joined from several comma parts are left out unless lossless,
+    as their text does not occur in the transcript.
+
+    Each segment is split where it lies. The number of sentence ends in the segments before tells which sentence a piece
+    belongs to, so pieces meet by job and sentence and no job is gathered.
     """
-    piece = F.struct("seg_idx", F.coalesce("text", F.lit("")).alias("text"), "start", "end", "speaker", S.audio_confidence("avg_logprob").alias("confidence"))
-    jobs = segments.groupBy("job_id").agg(F.sort_array(F.collect_list(piece)).alias("segments"))
-    jobs = jobs.withColumn("full", F.array_join(F.transform("segments", lambda s: s["text"]), " "))
-    jobs = jobs.withColumn("sentences", T.sentences("full"))
-    # Places of segments and sentences in the joined text.
-    spans = F.aggregate("segments", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("out")), lambda s, g: F.struct((s["at"] + F.char_length(g["text"]) + 1).alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("a"), (s["at"] + F.char_length(g["text"])).alias("b")))).alias("out")), lambda s: s["out"])
-    found = F.aggregate("sentences", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), _find, lambda s: s["out"])
-    jobs = jobs.withColumn("spans", spans).withColumn("places", found)
-    rows = jobs.select("job_id", "segments", "spans", "full", F.posexplode(F.arrays_zip("sentences", "places")).alias("long_idx", "x"))
-    rows = rows.select("job_id", "segments", "spans", "full", "long_idx", F.col("x.places").alias("a"), (F.col("x.places") + F.char_length("x.sentences")).alias("b"), F.posexplode(T.pack_long(F.col("x.sentences"), most)).alias("part_idx", "raw_text"))
+    segs = segments.withColumns({"words": F.coalesce("text", F.lit("")), "confidence": S.audio_confidence("avg_logprob")})
+    segs = segs.withColumn("pieces", F.split("words", r"(?<=[.!?])(?U)\s+"))
+    closed = F.substring("words", -1, 1).isin(".", "!", "?").cast("int")
+    segs = segs.withColumn("ends", F.size("pieces") - 1 + closed).select("job_id", "seg_idx", "start", "end", "speaker", "confidence", "pieces", "ends")
+    rows = running_total(segs, "seg_idx", "ends").select("job_id", "seg_idx", "start", "end", "speaker", "confidence", "before", F.posexplode("pieces").alias("place", "piece"))
+    part = F.struct("seg_idx", "piece", "start", "end", "speaker", "confidence")
+    whole = rows.groupBy("job_id", (F.col("before") + F.col("place")).alias("long_idx")).agg(F.sort_array(F.collect_list(part)).alias("of"))
+    # Segments before a sentence's first and behind its last word are not touched; those in between are, if blank.
+    said = F.filter(F.transform("of", lambda x, i: F.when(T.strip(x["piece"]) != "", i)), lambda i: i.isNotNull())
+    whole = whole.withColumn("raw", T.strip(F.array_join(F.transform("of", lambda x: x["piece"]), " "))).withColumn("said", said).filter(F.size("said") > 0)
+    whole = whole.withColumn("of", F.slice("of", F.array_min("said") + 1, F.array_max("said") - F.array_min("said") + 1))
+    whole = whole.withColumn("parts", T.pack_long(F.col("raw"), most))
     if not lossless:
-        rows = rows.filter(F.substr("full", F.col("a") + 1, F.col("b") - F.col("a")).contains(F.col("raw_text")))
-    # A blank between segments belongs to the segment before it; a sentence's last character decides its last segment.
-    touched = F.filter(F.transform("spans", lambda s, i: F.struct(i.alias("i"), s["a"].alias("a"), s["b"].alias("b"))), lambda s: (s["a"] < F.col("b")) & (s["b"] > F.col("a")))
-    rows = rows.withColumn("ids", F.transform(touched, lambda s: s["i"])).filter(F.size("ids") > 0)
-    rows = rows.withColumn("of", F.transform("ids", lambda i: F.get("segments", i)))
+        whole = whole.withColumn("parts", F.filter("parts", lambda x: F.contains(F.col("raw"), x)))
+    numbered = running_total(whole.withColumn("n", F.size("parts")), "long_idx", "n")
     confidence = F.aggregate("of", F.lit(0.0), lambda s, g: s + g["confidence"]) / F.size("of")
     speakers = F.array_distinct(F.filter(F.transform("of", lambda g: g["speaker"]), lambda s: s.isNotNull() & (s != "")))
-    order = Window.partitionBy("job_id").orderBy("long_idx", "part_idx")
-    return rows.select(
+    out = numbered.select("job_id", "of", "before", F.posexplode("parts").alias("part_idx", "raw_text"))
+    return out.select(
         "job_id",
-        (F.row_number().over(order) - 1).alias("sent_idx"),
+        (F.col("before") + F.col("part_idx")).cast("int").alias("sent_idx"),
         T.collapse("raw_text").alias("text"),
         "raw_text",
         F.get("of", F.lit(0))["start"].alias("start"),
         F.element_at("of", -1)["end"].alias("end"),
         F.when(F.size(speakers) == 1, F.get(speakers, F.lit(0))).alias("speaker"),
         confidence.alias("audio_confidence"),
-        F.transform("ids", lambda i: F.get("segments", i)["seg_idx"]).alias("segment_ids"),
+        F.transform("of", lambda g: g["seg_idx"]).alias("segment_ids"),
     )
-
-
-def _find(state: Column, sentence: Column) -> Column:
-    at = F.call_function("locate", sentence, F.col("full"), state["at"] + 1) - 1
-    return F.struct((at + F.char_length(sentence)).alias("at"), F.concat(state["out"], F.array(at)).alias("out"))

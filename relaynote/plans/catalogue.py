@@ -82,7 +82,7 @@ def long_sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def segment_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = segment.align_segments(segments(spark, sf_dir), most=1 << 30)
+    rows = segment.align_segments(segments(spark, sf_dir))
     return rows.select("job_id", "sent_idx", "text", "start", "end", "speaker", _round("audio_confidence"), F.array_join(F.transform("segment_ids", lambda i: i.cast("string")), "|").alias("segment_ids"))
 
 

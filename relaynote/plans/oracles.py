@@ -248,11 +248,16 @@ jobs as (select job_id, string_agg(text, ' ' order by seg_idx) as whole from seg
 pieces as (select job_id, i, p, sum(length(p)) over (partition by job_id order by i) - length(p) as pos0
            from jobs, unnest(string_split(regexp_replace(whole, '([.!?])(\s+)', '\1' || chr(31) || '\2', 'g'), chr(31))) with ordinality as u(p, i)),
 found as (select job_id, i, {_strip('p')} as raw, pos0 + length(p) - length(regexp_replace(p, '^\s+', '')) as a from pieces where {_strip('p')} <> ''),
-sent as (select *, a + length(raw) as b, row_number() over (partition by job_id order by i) - 1 as sent_idx from found),
-hit as (select s.job_id, s.sent_idx, s.raw, g.* exclude (job_id) from sent s join seg g on s.job_id = g.job_id and g.a < s.b and g.a + length(g.text) > s.a)
-select job_id, sent_idx, {_collapse('any_value(raw)')} as text, arg_min(s, seg_idx) as start, arg_max(e, seg_idx) as end,
-       case when count(distinct role) = 1 then max(role) end as speaker, round(avg(conf), 6) as audio_confidence, string_agg(cast(seg_idx as varchar), '|' order by seg_idx) as segment_ids
-from hit group by job_id, sent_idx""",
+sent as (select *, a + length(raw) as b from found),
+hit as (select s.job_id, s.i, g.* exclude (job_id) from sent s join seg g on s.job_id = g.job_id and g.a < s.b and g.a + length(g.text) > s.a),
+facts as (select job_id, i, arg_min(s, seg_idx) as start, arg_max(e, seg_idx) as stop, case when count(distinct role) = 1 then max(role) end as speaker, round(avg(conf), 6) as audio_confidence,
+                 string_agg(cast(seg_idx as varchar), '|' order by seg_idx) as segment_ids from hit group by job_id, i),
+p0 as (select job_id, i, raw, list_filter(list_transform(string_split(raw, ','), lambda q: {_strip('q')}), lambda q: q <> '') as parts from sent),
+p1 as (select job_id, i, case when length(raw) <= 240 then [raw]
+       when len(parts) >= 2 then string_split(list_reduce(parts, lambda a, p: case when length(split_part(a, chr(31), -1)) + length(p) + 2 <= 240 then a || ' ' || p else a || chr(31) || p end), chr(31))
+       else list_transform(range(0, cast(ceil(length(raw) / 240.0) as bigint)), lambda k: substr(raw, k * 240 + 1, 240)) end as parts from p0),
+p2 as (select job_id, i, row_number() over (partition by job_id order by i, k) - 1 as sent_idx, q from p1, unnest(parts) with ordinality as u(q, k))
+select job_id, sent_idx, {_collapse('q')} as text, start, stop as "end", speaker, audio_confidence, segment_ids from p2 join facts using (job_id, i)""",
     "chunk_text": f"with {CHUNKS} select job_id, chunk_idx, chunk from chunk",
     "clause_split": f"with {DOC_SENTENCES} select job_id, sent_idx, i - 1 as clause_idx, c as clause from (select *, {_clauses('text')} as p from sent), unnest(p) with ordinality as u(c, i)",
     "url_assets": """
