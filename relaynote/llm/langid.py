@@ -26,6 +26,7 @@ SIZES = (3, 4)
 ROWS, HASHES = 1 << 22, 3
 #: Bytes of all filters, which are broadcast: more is an error (over 2000 languages).
 MOST_BYTES = 1 << 30
+MOST_LANGUAGES = MOST_BYTES // (ROWS // 8)
 CHUNK = 1 << 20
 
 
@@ -109,8 +110,11 @@ _BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], float)
 def sampled(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """lang and text of the rows to learn from: up to sample_rows a language, each text once."""
     known = rows.filter("text is not null and lang is not null").select("text", "lang")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError("the filters of all languages take over MOST_BYTES; set SAMPLE_ROWS and ROWS lower")
     share = F.least(F.lit(1.0), sample_rows / F.col("n")) * float(1 << 30)
+    sizes = F.broadcast(rows.sparkSession.createDataFrame(sizes, "lang string, n long"))  # MOST_LANGUAGES rows at most
     picked = known.join(sizes, "lang").filter(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) < share)
     return picked.groupBy("lang", F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text")).select("lang", "text")
 
@@ -132,9 +136,7 @@ def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFilter:
     places = sampled(rows, sample_rows).mapInArrow(run, "lang string, place long")
     pages = places.groupBy("lang", F.floor(F.col("place") / PAGE_BITS).alias("page")).agg(F.bitmap_construct_agg(F.col("place") % PAGE_BITS).alias("bits"))
     pages = save(pages, "filters")
-    languages = [r["lang"] for r in pages.groupBy("lang").count().orderBy("lang").select("lang").limit(MOST_BYTES // (ROWS // 8) + 1).collect()]
-    if len(languages) * ROWS // 8 > MOST_BYTES:
-        raise ValueError("the filters of all languages take over MOST_BYTES; set SAMPLE_ROWS and ROWS lower")
+    languages = [r["lang"] for r in pages.select("lang").distinct().orderBy("lang").collect()]  # MOST_LANGUAGES at most
     filters = {lang: np.zeros((ROWS // PAGE_BITS, PAGE_BITS // 8), np.uint8) for lang in languages}
     for r in pages.toLocalIterator():  # ROWS / 8 bytes a language
         filters[r["lang"]][r["page"]] = np.frombuffer(r["bits"], np.uint8)[: PAGE_BITS // 8]
