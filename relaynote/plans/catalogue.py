@@ -404,7 +404,7 @@ def review_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = serving.quality_report(_coverage(spark, sf_dir), _classified(spark, sf_dir, document_sentences(spark, sf_dir)))
-    return out.select("job_id", _round("coverage_percent"), _round("average_confidence"), "duplicate_rate")
+    return out.select("job_id", _round("coverage_percent"), F.round(F.col("average_confidence") + 1e-9, 6).alias("average_confidence"), "duplicate_rate")
 
 
 @_query

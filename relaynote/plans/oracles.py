@@ -395,7 +395,7 @@ select job_id, 'tenant' as tenant, 'project' as project, 'team' as team, round(c
     "quality_report": f"""with {SECTIONS}, {DOC_SENTENCES}, {SCORED}, {COVERAGE},
 a as (select job_id, round(avg(case when status <> 'missing' then 1.0::double else 0 end) * 100, 6) as coverage_percent from cover group by job_id),
 m as (select s.job_id, avg(coalesce(p.combined, 0.5::double)) as mean from sent s left join prim p using (job_id, sent_idx) group by s.job_id)
-select job_id, coverage_percent, round(coalesce(mean, 0.5), 6) as average_confidence, 0.0::double as duplicate_rate from a left join m using (job_id)""",
+select job_id, coverage_percent, round(coalesce(mean, 0.5) + 1e-9::double, 6) as average_confidence, 0.0::double as duplicate_rate from a left join m using (job_id)""",
     "reviews_of_job": f"with {SECTIONS}, {TURNS}, {SCORED}, {ROUTED}, {PLACED} select job_id, sent_idx, text from placed where destination = 'review' and job_id = 7",
     "find_sentence": rf"""
 with c as (select conv_id as job_id, turn as sent_idx, lower({_strip('text')}) as k from conversations),
