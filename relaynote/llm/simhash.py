@@ -28,9 +28,9 @@ SEED = 42
 BINS, BANDS = 128, 32
 #: Rows of a group that are compared with all others in the first round after the first star; eight times as many follow.
 FIRST_CENTRES = 8
-#: Bands that texts of a larger group have in common to be compared in those rounds: of Jaccard similarity 0.667, 95 of
-#: 100 have, of 0.5 a third, so the many pairs far below the threshold are not read. The first star asks for one band.
-LEAST_BANDS = 3
+#: In the rounds after the first star pairs are made only of texts whose sketches agree in as many bins as similar texts
+#: do, less so many standard deviations: 98 of 100 pairs just at the least Jaccard similarity that can do, nearly all above.
+DEVIATIONS = 2.0
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -171,14 +171,13 @@ def _lenders() -> np.ndarray:
     return np.array([order.permutation(BINS) for _ in range(BINS)])
 
 
-def band_keys(distinct: np.ndarray) -> np.ndarray:
-    """Keys of BANDS bands of the text's sorted window hashes; texts of Jaccard similarity J share each with J ^ (BINS / BANDS).
+def least_hashes(distinct: np.ndarray) -> np.ndarray:
+    """The least of the text's sorted window hashes in each of BINS bins; none if the text has no window.
 
-    One pass of min-wise hashing: the range of the hashes is cut into BINS bins, each with its least hash. An empty bin
-    borrows from another.
+    One pass of min-wise hashing: the range of the hashes is cut into bins. An empty bin borrows from another.
     """
     if not len(distinct):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     start = np.searchsorted(distinct, np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1))
     filled = start < np.append(start[1:], len(distinct))
     least = distinct[np.minimum(start, len(distinct) - 1)]
@@ -186,6 +185,14 @@ def band_keys(distinct: np.ndarray) -> np.ndarray:
         empty = np.nonzero(~filled)[0]
         lenders = _lenders()[empty]
         least[empty] = least[lenders[np.arange(len(empty)), filled[lenders].argmax(axis=1)]]
+    return least
+
+
+def band_keys(distinct: np.ndarray) -> np.ndarray:
+    """Keys of BANDS bands of the least hashes; texts of Jaccard similarity J share each with J ^ (BINS / BANDS)."""
+    least = least_hashes(distinct)
+    if not len(least):
+        return np.zeros(0, np.int64)
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
     for column in least.reshape(BANDS, -1).T:
         keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
@@ -193,13 +200,33 @@ def band_keys(distinct: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def small_sketch(distinct: np.ndarray) -> np.ndarray:
+    """Four bits of each bin's least hash, 16 bins in a long. Zeros if the text has no window."""
+    least = least_hashes(distinct)
+    if not len(least):
+        return np.zeros(BINS // 16, np.int64)
+    bits = (least ^ (least >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)
+    return np.bitwise_or.reduce(bits.reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64), axis=1).view(np.int64)
+
+
+def bins_alike(x: Column, y: Column) -> Column:
+    """Bins in which two sketches agree."""
+    out = F.lit(BINS)
+    for i in range(BINS // 16):
+        z = x[i].bitwiseXOR(y[i])
+        for shift in (1, 2):  # the lowest bit of four is set if one of them is
+            z = z.bitwiseOR(F.shiftrightunsigned(z, shift))
+        out = out - F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+    return out
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, body (a digest of the words, A-Z lower-cased), mark (SimHash), n (distinct windows) and bands of each row."""
+    """doc_id, body (a digest of the words, A-Z lower-cased), mark (SimHash), n (distinct windows), bands and sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = WordHashes()
         for batch in batches:
-            body, mark, n, bands = [], [], [], []
+            body, mark, n, bands, sketch = [], [], [], [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 windows = window_hashes(text, words, of)
@@ -208,9 +235,10 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 mark.append(simhash(windows))
                 n.append(len(distinct))
                 bands.append(band_keys(distinct))
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "body": pa.array(body, pa.binary()), "mark": pa.array(np.array(mark, np.uint64).view(np.int64)), "n": pa.array(n, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+                sketch.append(small_sketch(distinct))
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "body": pa.array(body, pa.binary()), "mark": pa.array(np.array(mark, np.uint64).view(np.int64)), "n": pa.array(n, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.list_(pa.int64()))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, body binary, mark long, n long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, body binary, mark long, n long, bands array<long>, sketch array<long>")
 
 
 def body_of(text: Column) -> Column:
@@ -243,6 +271,18 @@ def _similar(similarity: float, measure: str):  # noqa: ANN202
     raise ValueError(f"no such measure: {measure}")
 
 
+def _likely(similarity: float, measure: str):  # noqa: ANN202
+    """Whether texts of n and m distinct windows with sketches x and y agree in as many bins as similar ones do."""
+    least = similarity if measure == "jaccard" else similarity**2  # Jaccard similarity, of any two sizes
+    p = least + (1 - least) / 16
+
+    def likely(n: Column, m: Column, x: Column, y: Column) -> Column:
+        filled = 1 - F.exp(-F.greatest(F.least(n, m), F.lit(1)) / BINS)  # share of bins with a hash of their own
+        return bins_alike(x, y) >= BINS * p - DEVIATIONS * F.sqrt(BINS * p * (1 - p) / filled)
+
+    return likely
+
+
 def _alike(candidates: DataFrame, texts: DataFrame, words: int, similarity: float, measure: str) -> DataFrame:
     """The candidates (a, b) whose texts have the similarity, by their exact sets of windows."""
     similar = _similar(similarity, measure)[0]
@@ -289,16 +329,16 @@ def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return out
 
 
-def _roots(groups: DataFrame, texts: DataFrame, bands: DataFrame, words: int, similarity: float, measure: str) -> DataFrame:
+def _roots(groups: DataFrame, texts: DataFrame, small: DataFrame, words: int, similarity: float, measure: str) -> DataFrame:
     """(node, root) of the components of all texts that meet in a group and are similar, directly or by a chain.
 
     First the rows of a group are compared with one of them, the first in an order that all groups share, so rows alike
     have the same one in most groups. Then, in rounds, some rows outside a group's largest component are compared with
     all its rows in other components, and are then done with. A group is left when it is one component or none of its
     rows remains; eight times as many rows are taken each time, so a group of n rows has log n rounds. No pair is
-    compared twice, and in the rounds texts are only read of pairs with LEAST_BANDS bands in common.
+    compared twice, and in the rounds pairs are only made of texts whose sketches (small: row_key, sketch) are near.
     """
-    could = _similar(similarity, measure)[1]
+    could, likely = _similar(similarity, measure)[1], _likely(similarity, measure)
     first = groups.groupBy("part").agg(F.min(F.struct(F.xxhash64("row_key"), F.col("row_key").alias("x"), F.col("n").alias("nx"))).alias("f"))
     stars = groups.join(first.select("part", "f.x", "f.nx"), "part")
     new = stars.filter((F.col("x") != F.col("row_key")) & could(F.col("n"), F.col("nx")))
@@ -309,12 +349,7 @@ def _roots(groups: DataFrame, texts: DataFrame, bands: DataFrame, words: int, si
         pairs = new.select(F.least("x", "row_key").alias("a"), F.greatest("x", "row_key").alias("b")).distinct()
         pairs = save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        candidates = pairs
-        if k:
-            both = pairs.join(bands.select(F.col("row_key").alias("a"), F.col("bands").alias("x")), "a").join(bands.select(F.col("row_key").alias("b"), F.col("bands").alias("y")), "b")
-            candidates = save(both.filter(F.size(F.array_intersect("x", "y")) >= LEAST_BANDS).select("a", "b"), "candidates")
-        found = save(_alike(candidates, texts, words, similarity, measure), "links")
-        forget(candidates if k else None)
+        found = save(_alike(pairs, texts, words, similarity, measure), "links")
         if roots is None or not found.isEmpty():
             roots = _merged(roots, found)
         forget(found)
@@ -324,12 +359,14 @@ def _roots(groups: DataFrame, texts: DataFrame, bands: DataFrame, words: int, si
         open_ = parts.groupBy("part").agg(F.max(F.struct("size", "root"))["root"].alias("main"), (F.sum("size") - F.max("size")).alias("outside")).filter("outside > 0")
         # One hash for all groups: groups with the same rows take the same ones.
         place = F.shiftrightunsigned(F.xxhash64("row_key", F.lit(k)), 33).cast("double") / float(1 << 31)
-        before, members = groups, save(members.join(open_, "part").withColumn("taken", (F.col("root") != F.col("main")) & (place * F.col("outside") < most)), "members")
+        opened = members.join(open_, "part").withColumn("taken", (F.col("root") != F.col("main")) & (place * F.col("outside") < most))
+        before, members = groups, save(opened.join(small, "row_key"), "members")
         forget(before)
         if members.isEmpty():
             return roots
-        centre = members.filter("taken").select("part", F.col("row_key").alias("x"), F.col("root").alias("of"), F.col("n").alias("nx"))
-        new = members.join(centre, "part").filter((F.col("root") != F.col("of")) & could(F.col("n"), F.col("nx")))
+        centre = members.filter("taken").select("part", F.col("row_key").alias("x"), F.col("root").alias("of"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
+        meets = (F.col("root") != F.col("of")) & could(F.col("n"), F.col("nx")) & likely(F.col("n"), F.col("nx"), F.col("sketch"), F.col("sx"))
+        new = members.join(centre, "part").filter(meets)
         groups = save(members.filter("not taken").select("part", "row_key", "n"), "groups")
         most *= 8
     raise RuntimeError("groups of similar texts are not done")
@@ -347,7 +384,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: i
     """
     rows = save(sketches(docs, words), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
-    classes = rows.groupBy("body").agg(F.min(order).alias("least"), F.count("*").alias("copies"), F.first("mark").alias("mark"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = rows.groupBy("body").agg(F.min(order).alias("least"), F.count("*").alias("copies"), F.first("mark").alias("mark"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     # A class is named by a number that follows from its text, so reruns agree.
     classes = save(classes.withColumn("row_key", F.xxhash64("body")), "classes")
     groups = _groups(classes, bits)
@@ -359,8 +396,8 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: i
     some = docs.select(number(F.col("doc_id").cast("long")).alias("number"), F.coalesce("text", F.lit("")).alias("text"))
     some = may_contain(some, F.col("number"), bit_filter(wanted, "number", size), size).withColumn("body", body_of(F.col("text")))
     texts = save(some.join(wanted, ["number", "body"]).dropDuplicates(["row_key"]).select("row_key", "text"), "texts")
-    bands = save(classes.join(wanted.select("row_key"), "row_key", "left_semi").select("row_key", "bands"), "bands")
-    roots = _roots(groups, texts, bands, words, similarity, measure)
+    small = save(classes.join(wanted.select("row_key"), "row_key", "left_semi").select("row_key", "sketch"), "sketch")
+    roots = _roots(groups, texts, small, words, similarity, measure)
     grouped = classes.select("row_key", "least").join(roots.withColumnRenamed("node", "row_key"), "row_key")
     best = grouped.groupBy("root").agg(F.min("least").alias("best"))
     dropped = save(grouped.join(best, "root").filter("least > best").select("row_key", F.lit(True).alias("dropped")), "dropped")
@@ -369,7 +406,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: i
     marked = classes.select("row_key", "body", "least", "copies").join(dropped, "row_key", "left").filter("dropped or copies > 1")
     judged = rows.select("doc_id", "body").join(marked, "body").select(number(F.col("doc_id")).alias("number"), "body", ((order == F.col("least")) & F.col("dropped").isNull()).alias("stays"))
     judged = save(judged.groupBy("number", "body").agg(F.max("stays").alias("stays")), "judged")
-    forget(rows, classes, groups, wanted, texts, bands, roots, dropped)
+    forget(rows, classes, groups, wanted, texts, small, roots, dropped)
     size = filter_bits(judged.count())
     own, flag, body, stays = unused(docs, "number", "flag", "body", "stays")
     flagged = flag_contained(docs.withColumn(own, number(F.col("doc_id").cast("long"))), F.col(own), bit_filter(judged, "number", size), flag, size)

@@ -267,3 +267,17 @@ def test_band_keys_meet_as_often_as_the_similarity_says():
         x, y = (np.unique(np.concatenate([common_part, o])) for o in own)  # Jaccard similarity 2 / 3
         met += bool(set(simhash.band_keys(x)) & set(simhash.band_keys(y)))
     assert met >= 396
+
+
+def test_sketches_agree_in_as_many_bins_as_the_similarity_says(spark):
+    rnd, rows, alike = np.random.default_rng(4), [], []
+    for n in [20, 60, 200, 3000] * 40:
+        common_part, own = rnd.integers(0, 1 << 63, n, np.uint64) * np.uint64(2), rnd.integers(0, 1 << 63, (2, n // 4), np.uint64) * np.uint64(2)
+        x, y = (simhash.small_sketch(np.unique(np.concatenate([common_part, o]))) for o in own)  # Jaccard similarity 2 / 3
+        nibbles = lambda s: [int(v) >> k & 15 for v in s.view(np.uint64) for k in range(0, 64, 4)]
+        alike.append(sum(a == b for a, b in zip(nibbles(x), nibbles(y))))
+        rows.append((len(rows), n + n // 4, x.tolist(), y.tolist()))
+    table = spark.createDataFrame(rows, "id long, n long, x array<long>, y array<long>")
+    got = table.select("id", simhash.bins_alike(table.x, table.y).alias("same"), simhash._likely(0.8, "cosine")(table.n, table.n, table.x, table.y).alias("likely")).orderBy("id").collect()
+    assert [r["same"] for r in got] == alike
+    assert sum(r["likely"] for r in got) >= 0.97 * len(rows)
