@@ -31,10 +31,19 @@ def shared_path(spark: SparkSession, label: str) -> str:
 _saved: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
+#: Spark's setting that frees a query's shuffle files at its end, not when the driver's garbage is collected.
+FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Cut the lineage: write df once as Parquet to the shared folder and read it back."""
-    path = shared_path(df.sparkSession, label)
-    df.write.options(**options).parquet(path)
+    """Cut the lineage: write df once as Parquet to the shared folder and read it back. Its shuffle files go at once."""
+    conf, path = df.sparkSession.conf, shared_path(df.sparkSession, label)
+    before = conf.get(FREES)
+    conf.set(FREES, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        conf.set(FREES, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _saved[out] = path
     return out

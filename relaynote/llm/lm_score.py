@@ -14,14 +14,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import forget, save
 from .toxicity import fold
 
 ORDER = 3
@@ -33,7 +34,9 @@ BEGIN = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word holds a space
 #: Tokens whose n-grams are counted together before they leave a task.
 KEYS = 800_000
 #: Values that are broadcast, and bits of the filter of all n-grams that have one: fixed sizes.
-CACHED, BITS, PAGE = 500_000, 1 << 26, 1 << 15
+CACHED, BITS, PAGE = 500_000, 1 << 27, 1 << 15
+#: Parts of the keys that are looked up one after the other, so that only one part is shuffled at a time.
+PASSES = 2
 #: Words whose hashes a task keeps.
 WORDS = 200_000
 
@@ -57,6 +60,13 @@ def _row(text: str | None, of: _Hashes) -> np.ndarray:
     return np.array([int(BEGIN), *map(of.__getitem__, tokens(text))], np.uint64)
 
 
+def _joined(hist: np.ndarray, tail: np.ndarray, size: np.ndarray | np.uint64) -> np.ndarray:
+    """Keys of the n-grams of `size` words whose keys without the last and without the first word are given."""
+    h = hist * np.uint64(0x9E3779B97F4A7C15) + tail + size
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
 def _ngrams(row: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(places of the last words, keys, keys without the last word, keys without the first) of each length of n-gram."""
     begin = row == BEGIN
@@ -64,9 +74,7 @@ def _ngrams(row: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarra
     keys, valid = row, np.ones(len(row), bool)
     for n in range(2, order + 1):
         longer = np.zeros(len(row), np.uint64)
-        h = keys[:-1] * np.uint64(0x9E3779B97F4A7C15) + row[1:] + np.uint64(n)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        longer[1:] = h ^ (h >> np.uint64(29))
+        longer[1:] = _joined(keys[:-1], keys[1:], np.uint64(n))
         now = np.zeros(len(row), bool)
         now[1:] = valid[:-1] & ~begin[1:]
         at = np.nonzero(now)[0]
@@ -74,17 +82,43 @@ def _ngrams(row: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarra
         keys, valid = longer, now
 
 
-def gram_counts(training: DataFrame, order: int) -> DataFrame:
-    """key, hist, tail, size (words) and count n of all n-grams; the begin of a text is a word of its own."""
+def key_bits(keyed: DataFrame) -> np.ndarray:
+    """A bitmap of BITS bits with one for each key, as bytes: a fixed size, whatever the number of keys."""
+    slot = F.col("key").bitwiseAND(F.lit(BITS - 1))
+    pages = keyed.groupBy(F.floor(slot / PAGE).alias("page")).agg(F.bitmap_construct_agg(slot % PAGE).alias("bits")).collect()  # BITS / 8 bytes
+    bits = np.zeros((BITS // PAGE, PAGE // 8), np.uint8)
+    for r in pages:
+        bits[r["page"]] = np.frombuffer(r["bits"], np.uint8)[: PAGE // 8]
+    return bits.reshape(-1)
+
+
+def may_have(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has the bit of each key, a signed long."""
+    bit = key & (BITS - 1)
+    return bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0
+
+
+def gram_counts(training: DataFrame, least: int, most: int, of_shorter: np.ndarray | None = None) -> DataFrame:
+    """size (words, `least` to `most`), hist, tail and count n of n-grams; the begin of a text is a word of its own.
+
+    hist is the key without the last word, 0 for a word; tail that without the first, for a word its own. With a bitmap
+    of_shorter only n-grams whose hist and tail may be in it are counted.
+    """
+    shared = training.sparkSession.sparkContext.broadcast(of_shorter) if of_shorter is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _Hashes()
 
         def counted(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for size, (_, key, hist, tail) in enumerate(_ngrams(np.concatenate(rows), order), 1):
+            for size, (_, key, hist, tail) in enumerate(_ngrams(np.concatenate(rows), most), 1):
+                if size < least:
+                    continue
+                if shared is not None:
+                    may = may_have(shared.value, hist.view(np.int64)) & may_have(shared.value, tail.view(np.int64))
+                    key, hist, tail = key[may], hist[may], tail[may]
                 key, at, n = np.unique(key, return_index=True, return_counts=True)
                 long = lambda x: pa.array(x.view(np.int64))
-                yield pa.record_batch({"key": long(key), "hist": long(hist[at]), "tail": long(tail[at]), "size": pa.array(np.full(len(key), size, np.int8)), "n": pa.array(n, pa.int64())})
+                yield pa.record_batch({"size": pa.array(np.full(len(key), size, np.int8)), "hist": long(hist[at]), "tail": long(tail[at] if size > 1 else key), "n": pa.array(n, pa.int64())})
 
         rows, have = [], 0
         for batch in batches:
@@ -97,8 +131,33 @@ def gram_counts(training: DataFrame, order: int) -> DataFrame:
         if rows:
             yield from counted(rows)
 
-    found = training.select("text").mapInArrow(run, "key long, hist long, tail long, size byte, n long")
-    return found.groupBy("size", "key", "hist", "tail").agg(F.sum("n").alias("n"))
+    found = training.select("text").mapInArrow(run, "size byte, hist long, tail long, n long")
+    return found.groupBy("size", "hist", "tail").agg(F.sum("n").alias("n"))
+
+
+def with_keys(counts: DataFrame) -> DataFrame:
+    """key, hist, tail, size, n: hist and tail name an n-gram, so only they are shuffled to count it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hist, tail, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hist", "tail", "size"))
+            key = np.where(size > 1, _joined(hist.view(np.uint64), tail.view(np.uint64), size.astype(np.uint64)), tail.view(np.uint64))
+            yield pa.record_batch({"key": pa.array(key.view(np.int64)), **{c: batch.column(c) for c in ("hist", "tail", "size", "n")}})
+
+    return counts.mapInArrow(run, "key long, hist long, tail long, size byte, n long")
+
+
+def arcs_and_words(training: DataFrame, order: int) -> list[DataFrame]:
+    """key, hist, tail, size and count n of all words, and of all n-grams up to `order` that occur LEAST_COUNT times.
+
+    An n-gram occurs at most as often as its two shorter forms, so one whose forms are too rare is not counted at all.
+    """
+    often = (F.col("size") == 1) | (F.col("n") >= LEAST_COUNT)
+    out = [save(with_keys(gram_counts(training, 1, min(2, order)).filter(often)), "grams")]
+    for size in range(3, order + 1):
+        shorter = key_bits(out[-1].filter(F.col("size") == size - 1))
+        out.append(save(with_keys(gram_counts(training, size, size, shorter).filter(often)), "grams"))
+    return out
 
 
 def places_in(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -109,21 +168,24 @@ def places_in(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(known[at] == wanted, at, -1)
 
 
-def automaton(grams: DataFrame, total: int, kinds: int, order: int) -> DataFrame:
+def automaton(parts: list[DataFrame], total: int, kinds: int, order: int) -> DataFrame:
     """key, n, value, and for words base: what an n-gram adds to the score, and a word to the base score.
 
-    grams has all words and the n-grams that are arcs. As each occurrence of an n-gram is one of its history and of its
+    parts, from arcs_and_words, are forgotten once they are used. As each occurrence of an n-gram is one of its history and of its
     shorter form, these are there too.
     """
     begin = F.col("key") == int(BEGIN.view(np.int64))
     p = F.when(~begin, F.log10(F.col("n") + 1.0) - math.log10(total + kinds + 1))
-    level = grams.filter("size = 1").select("key", "n", F.coalesce(p, F.lit(0.0)).alias("p"), F.coalesce(p, F.lit(0.0)).alias("delta"), p.alias("base"))
+    levels, level = [], parts[0].filter("size = 1").select("key", "n", F.coalesce(p, F.lit(0.0)).alias("p"), F.coalesce(p, F.lit(0.0)).alias("delta"), p.alias("base"))
     out = None
     for size in range(2, order + 2):
-        arcs = grams.filter(F.col("size") == size)
+        arcs = parts[min(size - 2, len(parts) - 1)].filter(F.col("size") == size)
         spent = arcs.groupBy("hist").agg(F.sum(F.col("n") - DISCOUNT).alias("spent")).withColumnRenamed("hist", "key")
         back = F.when(F.col("spent").isNull(), 0.0).otherwise(F.log10(F.greatest(1 - F.col("spent") / F.col("n"), F.lit(1e-12))))
         level = save(level.join(spent, "key", "left").withColumn("back", back).drop("spent"), "level")
+        levels.append(level)
+        if size > 2:
+            forget(parts[size - 3])
         done = level.select("key", "n", (F.col("delta") + F.col("back")).alias("value"), "base")
         out = done if out is None else out.unionByName(done)
         histories = level.select(F.col("key").alias("hist"), F.col("n").alias("of"), "back")
@@ -132,9 +194,28 @@ def automaton(grams: DataFrame, total: int, kinds: int, order: int) -> DataFrame
         low = F.col("back") + F.col("lower")
         p = F.log10((F.col("n") - DISCOUNT) / F.col("of") + F.pow(F.lit(10.0), low))
         level = one.select("key", "n", p.alias("p"), (p - low).alias("delta"), F.lit(None).cast("double").alias("base"))
+    out = save(out, "automaton")
+    forget(*parts, *levels)
     return out
 
 
+def _step() -> Column:
+    """Steps of the logarithm of a count: a few hundred at most."""
+    return F.floor(F.log2("n") * 8)
+
+
+def cached_from(table: DataFrame) -> int:
+    """The least step of counts from which on at most CACHED rows have such a count."""
+    steps = table.groupBy(_step().alias("step")).agg(F.count("*").alias("rows")).collect()
+    have, least = 0, 1 << 20
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        have += r["rows"]
+        if have > CACHED:
+            break
+        least = r["step"]
+    return least
+
+
 def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, order: int = ORDER) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -146,19 +227,16 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, order: int = ORDE
     held = F.coalesce(fold("doc_id", folds) == held_fold, F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
     training = rows.filter(~F.col("held_out"))
-    grams = save(gram_counts(training, order).filter((F.col("size") == 1) | (F.col("n") >= LEAST_COUNT)), "grams")
-    words = grams.filter((F.col("size") == 1) & (F.col("key") != int(BEGIN.view(np.int64))))
+    parts = arcs_and_words(training, order)
+    words = parts[0].filter((F.col("size") == 1) & (F.col("key") != int(BEGIN.view(np.int64))))
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, kinds = sums["n"], sums["v"]
-    table = save(automaton(grams, total, kinds, order), "automaton")
-    often = table.orderBy(F.desc("n"), "key").limit(CACHED).toPandas().sort_values("key")
-    slot = F.col("key").bitwiseAND(F.lit(BITS - 1))
-    pages = table.groupBy(F.floor(slot / PAGE).alias("page")).agg(F.bitmap_construct_agg(slot % PAGE).alias("bits")).collect()  # BITS / 8 bytes
-    bits = np.zeros((BITS // PAGE, PAGE // 8), np.uint8)
-    for r in pages:
-        bits[r["page"]] = np.frombuffer(r["bits"], np.uint8)[: PAGE // 8]
+    table = automaton(parts, total, kinds, order)
+    least = cached_from(table)
+    often = table.filter(_step() >= least).toPandas().sort_values("key")
+    bits = key_bits(table)
     columns = [often[c].to_numpy(t) for c, t in (("key", np.int64), ("value", float), ("base", float))]
-    shared = spark.sparkContext.broadcast((*columns, bits.reshape(-1)))
+    shared = spark.sparkContext.broadcast((*columns, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -173,17 +251,18 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, order: int = ORDE
                 sizes, count = np.array([len(t) for t in texts]), len(texts)
                 owner = np.repeat(np.arange(count), sizes)
                 own, plain, known, left = np.zeros(count), np.zeros(count), np.zeros(count), []
-                for place, key, _, _ in _ngrams(np.concatenate(texts), order):
+                for size, (place, key, hist, tail) in enumerate(_ngrams(np.concatenate(texts), order), 1):
                     row, key = owner[place], key.view(np.int64)
+                    may = may_have(bits, key)
+                    if size > 1:  # an n-gram has a value only if both shorter ones have
+                        may &= may_have(bits, hist.view(np.int64)) & may_have(bits, tail.view(np.int64))
+                    row, key = row[may], key[may]
                     there = places_in(keys, key)
                     hit, got = there >= 0, there[there >= 0]
                     own += np.bincount(row[hit], value[got], count)
                     plain += np.bincount(row[hit], base[got], count)
                     known += np.bincount(row[hit], is_word[got], count)
-                    row, key = row[~hit], key[~hit]
-                    bit = key & (BITS - 1)
-                    may = bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0
-                    left.append((row[may], key[may]))
+                    left.append((row[~hit], key[~hit]))
                 row, key = (np.concatenate(x) for x in zip(*left))
                 sort = np.lexsort((key, row))
                 row, key = row[sort], key[sort]
@@ -206,9 +285,15 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, order: int = ORDE
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, keys array<long>, times array<long>"
     read = save(rows.mapInArrow(run, schema), "read")
     rest = read.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
-    looked = rest.join(table.drop("n"), "key")
     word = F.when(F.col("base").isNotNull(), F.col("times")).otherwise(0)
-    sums = looked.groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more"), F.sum(F.col("times") * F.coalesce("base", F.lit(0.0))).alias("more_base"), F.sum(word).alias("more_known"))
+    known = table.filter(_step() < least).drop("n")
+    sums = []
+    for k in range(PASSES):
+        own = F.pmod("key", F.lit(PASSES)) == k
+        looked = rest.filter(own).join(known.filter(own), "key")
+        sums.append(save(looked.groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more"), F.sum(F.col("times") * F.coalesce("base", F.lit(0.0))).alias("more_base"), F.sum(word).alias("more_known")), "sums"))
+    forget(table)
+    sums = reduce(DataFrame.unionByName, sums).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more", "more_base", "more_known")))
     out = read.drop("keys", "times").join(sums, "row", "left")
     n_known = F.col("known") + F.coalesce("more_known", F.lit(0))
     unseen = (F.col("n_tokens") - n_known) * -math.log10(total + kinds + 1)
