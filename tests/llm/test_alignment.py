@@ -71,7 +71,7 @@ def test_a_large_group_has_its_links_counted_by_pair():
     rnd = np.random.default_rng(3)
     len_a, len_b = np.array([2, 4]), np.array([3, 9])
     a = rnd.integers(0, 2, 30)
-    a = np.append(a, [0] * ((-len_a[a].sum() % 6) // 2))
+    a = np.append(a, np.zeros((-len_a[a].sum() % 6) // 2, np.int64))
     b = np.zeros(len_a[a].sum() // 3, np.int64)
     found = []
     for most in (1 << 16, 3):
