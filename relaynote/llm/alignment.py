@@ -25,9 +25,9 @@ from .common import forget, save
 #: Bytes of a document whose end events make one row a side.
 BLOCK = 1 << 20
 #: Bytes of segments and their ids that a Python worker keeps.
-CACHED_BYTES = 64 << 20
-#: Texts whose segments are encoded together, in bytes, and tokens that are swept together.
-TOGETHER, SWEPT = 4 << 20, 1 << 20
+CACHED_BYTES = 160 << 20
+#: Texts whose segments are encoded together, in characters; segments that one call encodes; tokens that are swept together.
+TOGETHER, JOINED, SWEPT = 4 << 20, 512, 1 << 20
 #: Links of one group that are written out one by one; beyond, equal ids of the group are counted first.
 WRITTEN = 1 << 16
 #: Pairs of ids, with their counts, that are broadcast at once: 13 bytes each.
@@ -52,23 +52,53 @@ class Encoder:
         self.unequal: set[str] = set()
         self.size = 0
         self.bytes_b = piece_bytes(self.b)
+        self.lengths = byte_lengths(self.a, self.b)
 
-    def _learn(self, keys: list[str]) -> None:
+    def _learn(self, keys: set[str]) -> None:
         if self.size > CACHED_BYTES:
             self.ids_a.clear()
             self.ids_b.clear()
             self.unequal.clear()
             self.size = 0
-        for at in range(0, len(keys), 4096):
-            some = keys[at : at + 4096]
-            found_a = [e.ids for e in self.a.encode_batch_fast([f" {k}" for k in some], add_special_tokens=False)]
-            found_b = self.b.encode(some, num_threads=1)
-            for key, a, b in zip(some, found_a, found_b):
-                b = b if key else [self.b.piece_to_id(_SPACE)]
-                if _SPACE in key or b"".join(map(self.bytes_b.__getitem__, b)) != f" {key}".encode():
-                    self.unequal.add(key)
-                self.ids_a[key], self.ids_b[key] = np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes()
-                self.size += 400 + 4 * len(key) + 2 * len(a) + 2 * len(b)
+        keys = [k for k in keys if k not in self.ids_a]
+        for k in keys:
+            self.size += 350 + 8 * len(k)
+        whole = [k for k in keys if k and not k[-1].isspace()]  # what follows these does not change them
+        for at in range(0, len(whole), JOINED):
+            some = whole[at : at + JOINED]
+            if not self._learn_joined(some):
+                self._learn_alone(some)
+        self._learn_alone([k for k in keys if not k or k[-1].isspace()])
+
+    def _learn_joined(self, keys: list[str]) -> bool:
+        """Encode keys as one text, cut where they end. False, with nothing learned, if B does not make up that text."""
+        text = f" {' '.join(keys)}"
+        joined = text.encode()
+        ends = np.cumsum([1 + len(k) for k in joined[1:].split(b" ")] if joined.count(b" ") == len(keys) else [1 + len(k.encode()) for k in keys])
+        ids_a = np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        ids_b = self.b.encode(text[1:], num_threads=1)
+        if b"".join(map(self.bytes_b.__getitem__, ids_b)) != joined:
+            return False
+        cuts = []
+        for ids, lengths in zip((ids_a, np.array(ids_b, np.int64)), self.lengths):
+            at = np.cumsum(lengths[ids])
+            to = np.searchsorted(at, ends)
+            if not np.array_equal(at[np.minimum(to, len(at) - 1)], ends):
+                return False
+            data, to = ids.astype("<u2").tobytes(), (2 * to + 2).tolist()
+            cuts.append([data[i:j] for i, j in zip([0, *to], to)])
+        self.ids_a.update(zip(keys, cuts[0]))
+        self.ids_b.update(zip(keys, cuts[1]))
+        return True
+
+    def _learn_alone(self, keys: list[str]) -> None:
+        found_a = [e.ids for e in self.a.encode_batch_fast([f" {k}" for k in keys], add_special_tokens=False)]
+        found_b = self.b.encode(keys, num_threads=1)
+        for key, a, b in zip(keys, found_a, found_b):
+            b = b if key else [self.b.piece_to_id(_SPACE)]
+            if _SPACE in key or b"".join(map(self.bytes_b.__getitem__, b)) != f" {key}".encode():
+                self.unequal.add(key)
+            self.ids_a[key], self.ids_b[key] = np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes()
 
     def of(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Ids of A and of B of each text, as unsigned 16-bit integers; none where joined tokens are not the text."""
@@ -80,9 +110,7 @@ class Encoder:
                 new.update(split[end])
                 size += len(texts[end])
                 end += 1
-            self._learn([k for k in new if k not in self.ids_a])
-            missing = [k for k in new if k not in self.ids_a]  # the cache was emptied meanwhile
-            self._learn(missing)
+            self._learn(new)
             for keys in split[at:end]:
                 if self.unequal and not self.unequal.isdisjoint(keys):
                     yield b"", b""
@@ -100,17 +128,13 @@ def piece_bytes(b) -> list[bytes]:
     return out
 
 
-def byte_lengths(a_path: str, b_path: str) -> tuple[np.ndarray, np.ndarray]:
+def byte_lengths(of_a, of_b) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of each token of A (one for each character of its byte-level form) and of B."""
-    import sentencepiece
-    from tokenizers import Tokenizer
-
-    vocabulary = Tokenizer.from_file(a_path).get_vocab()
+    vocabulary = of_a.get_vocab()
     a = np.zeros(max(vocabulary.values()) + 1, np.int64)
     for token, i in vocabulary.items():
         a[i] = len(token)
-    b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-    return a, np.array([len(x) for x in piece_bytes(b)], np.int64)
+    return a, np.array([len(x) for x in piece_bytes(of_b)], np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -120,7 +144,10 @@ def _encoder(a_path: str, b_path: str) -> Encoder:
 
 @lru_cache(maxsize=1)
 def _lengths(a_path: str, b_path: str) -> tuple[np.ndarray, np.ndarray]:
-    return byte_lengths(a_path, b_path)
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    return byte_lengths(Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path))
 
 
 EVENTS = "one long, two long, doc_id long, offset long, side int, ids binary"
@@ -133,7 +160,7 @@ def end_events(docs: DataFrame, a_path: str, b_path: str, block: int = BLOCK) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, lengths = _encoder(a_path, b_path), _lengths(a_path, b_path)
+        encoder = _encoder(a_path, b_path)
         for batch in batches:
             heads = list(zip(*(batch.column(c).to_pylist() for c in ("one", "two", "doc_id"))))
             out, size = [], 0
@@ -141,7 +168,7 @@ def end_events(docs: DataFrame, a_path: str, b_path: str, block: int = BLOCK) ->
                 for side, ids in enumerate(both):
                     n = len(ids) // 2
                     if n > block // 64:  # may be over a block
-                        at = (np.cumsum(lengths[side][np.frombuffer(ids, "<u2")]) - 1) // block
+                        at = (np.cumsum(encoder.lengths[side][np.frombuffer(ids, "<u2")]) - 1) // block
                         cuts = [0, *(np.nonzero(np.diff(at))[0] + 1).tolist(), n]
                         rows = [(int(at[i]) * block, ids[2 * i : 2 * j]) for i, j in zip(cuts, cuts[1:])]
                         rows += [(0, b"")] * (rows[0][0] > 0)
