@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, exact_dedup, langid, line_dedup, lm_score, mixing, packing, simhash, topk, toxicity, warc
+from . import alignment, decontam, exact_dedup, langid, line_dedup, lm_score, mixing, packing, simhash, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"), *paths)
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -112,8 +116,28 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
 from s
 """
 
+ORACLE_OP13 = r"""
+with d as (select row_number() over () as r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select coalesce(cast(item_id as varchar), '') as item,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bs as (select item, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0),
+bw as (select distinct item, n, array_to_string(w[i : i + n - 1], ' ') as win from bs),
+ds as (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from bw) where len(w) >= n),
+dw as (select r, n, i, array_to_string(w[i : i + n - 1], ' ') as win from ds),
+hits as (select * from dw where win in (select win from bw)),
+places as (select r, unnest(range(i, i + n)) as p from hits),
+n_hits as (select r, count(distinct p) as n_hit from places group by r),
+pairs as (select distinct h.r, bw.item from hits h join bw on h.win = bw.win),
+found as (select r, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as items_sha256 from pairs group by r)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(f.n_items, 0) as n_items,
+       coalesce(f.items_sha256, sha256('')) as items_sha256, h.n_hit is not null as contaminated
+from d left join n_hits h on d.r = h.r left join found f on d.r = f.r
+"""
+
 ORACLE_SQL_BY_QUERY = {
     "op5_exact_topk": ORACLE_OP5, "op6_warc_zip": ORACLE_OP6, "op7_line_dedup": ORACLE_OP7, "op10_exact_dedup": ORACLE_OP10,
+    "op13_decontaminate": ORACLE_OP13,
 }
 
 
