@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import alignment, decontam, exact_dedup, langid, line_dedup, lm_score, mixing, packing, simhash, topk, toxicity, warc
+from . import alignment, conversations, decontam, exact_dedup, langid, line_dedup, lm_score, mixing, packing, simhash, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,17 @@ def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"), *paths)
 
 
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, those too that lose all turns to the damage: zeros, no edits and an empty text."""
+    talks = _table(spark, sf_dir, "conversations")
+    fixed = conversations.repair(conversations.damage(talks))
+    every = talks.select(F.col("conv_id").alias("_of")).distinct()
+    rows = every.join(fixed, every["_of"].eqNullSafe(fixed["conv_id"]), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    text = F.coalesce("repaired", F.lit("")).cast("binary")
+    return rows.select(F.col("_of").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(text, 256).alias("repaired_sha256"))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -116,6 +128,75 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
 from s
 """
 
+def _step(state: str, cost: str, letter: str) -> str:
+    """A state of the fold is its cost in eight digits and its audit, so least() compares both; null is out of reach."""
+    return f"lpad(cast(cast({state}[1:8] as bigint) + {cost} as varchar), 8, '0') || {state}[9:] || {letter}"
+
+
+ORACLE_OP12 = rf"""
+with recursive written as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations),
+-- crc32, bit by bit, of ASCII keys
+bits as (
+  select k, 0 as i, cast(4294967295 as bigint) as h from (select distinct k from written)
+  union all
+  select k, i + 1, case when i % 9 = 0 then xor(h, cast(ascii(k[i // 9 + 1]) as bigint))
+                        when h % 2 = 1 then xor(h // 2, cast(3988292384 as bigint)) else h // 2 end
+  from bits where i < 9 * length(k)),
+kinds as (select k, xor(h, cast(4294967295 as bigint)) % 20 as kind from bits where i = 9 * length(k)),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+         case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(case when kind = 3 then [1, 2] else [1] end) as copy
+  from written join kinds using (k) where kind <> 0),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as pos,
+         row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen from damaged),
+rows as (
+  select *, role[1] as ini, case when not regexp_matches(text, '[^ 	-]') then 'b' when seen > 1 then 'd'
+            when not regexp_matches(text, '[.!?][ 	-]*\z') then 't' else '.' end as fault,
+         lag(role[1]) over (partition by conv_id order by pos) as ini_before
+  from placed),
+counts as (
+  select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank,
+         count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated,
+         count(*) filter (pos > 1 and ini_before || ini not in ('su', 'ua', 'au')) as illegal
+  from rows group by conv_id),
+folds as (
+  select conv_id, cast(0 as bigint) as pos, '00000000' as e, cast(null as varchar) as s, cast(null as varchar) as u, cast(null as varchar) as a from counts
+  union all
+  select conv_id, pos + 1, {_step("e", "3", "'D'")},
+         least({_step("s", "3", "'D'")}, case when stays and ini = 's' then {_step("e", "cut", "'K'")} end),
+         least({_step("u1", "3", "'D'")}, case when stays then {_step("least(e, s, a1)", "cut + case when ini = 'u' then 0 else 2 end", "case when ini = 'u' then 'K' else 'R' end")} end),
+         least({_step("a1", "3", "'D'")}, case when stays then {_step("u1", "cut + case when ini = 'a' then 0 else 2 end", "case when ini = 'a' then 'K' else 'R' end")} end)
+  from (
+    select f.*, r.ini, r.fault not in ('b', 'd') as stays, case when r.fault = 't' then 1 else 0 end as cut,
+           least(u, {_step("e", "2", "'I'")}, {_step("s", "2", "'I'")}, {_step("a", "2", "'I'")}) as u1,
+           least(a, {_step("u", "2", "'I'")}, {_step("e", "4", "'II'")}, {_step("s", "4", "'II'")}) as a1
+    from folds f join rows r on r.conv_id is not distinct from f.conv_id and r.pos = f.pos + 1)),
+best as (
+  select f.conv_id, least(e, a, {_step("u", "2", "'I'")}, {_step("e", "4", "'II'")}, {_step("s", "4", "'II'")}) as b
+  from folds f join counts c on c.conv_id is not distinct from f.conv_id and c.n = f.pos),
+letters as (
+  select conv_id, b[9:] as audit, unnest(range(1, length(b) - 7)) as i from best),
+edits as (
+  select conv_id, audit, i, audit[i] as letter, length(regexp_replace(audit[1:i], 'I', '', 'g')) as pos,
+         length(regexp_replace(audit[1:i-1], 'D', '', 'g')) - length(regexp_replace(audit, 'D', '', 'g')) % 2 as spot from letters),
+lines as (
+  select e.conv_id, e.i, case when letter = 'K' then r.role else case when spot % 2 = 0 then 'user' else 'assistant' end end || ':' ||
+         case when letter = 'I' then '' else r.text end as line
+  from edits e left join rows r on r.conv_id is not distinct from e.conv_id and r.pos = e.pos where letter <> 'D'),
+texts as (select conv_id, string_agg(line, chr(10) order by i) as text from lines group by conv_id)
+select o.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cast(b[1:8] as bigint), 0) as cost,
+       coalesce(b[9:], '') as audit, sha256(coalesce(text, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join counts c on c.conv_id is not distinct from o.conv_id
+left join best on best.conv_id is not distinct from o.conv_id
+left join texts on texts.conv_id is not distinct from o.conv_id
+"""
+
 ORACLE_OP13 = r"""
 with d as (select row_number() over () as r, doc_id,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
@@ -137,7 +218,7 @@ from d left join n_hits h on d.r = h.r left join found f on d.r = f.r
 
 ORACLE_SQL_BY_QUERY = {
     "op5_exact_topk": ORACLE_OP5, "op6_warc_zip": ORACLE_OP6, "op7_line_dedup": ORACLE_OP7, "op10_exact_dedup": ORACLE_OP10,
-    "op13_decontaminate": ORACLE_OP13,
+    "op12_repair_conversations": ORACLE_OP12, "op13_decontaminate": ORACLE_OP13,
 }
 
 
