@@ -35,6 +35,39 @@ def merge_coverage(parent: DataFrame, child: DataFrame) -> DataFrame:
     return both.withColumn("x", won).select("job_id", "section_id", *[F.col(f"x.{n}").alias(n) for n in names], F.coalesce(up, F.lit(False)).alias("from_child"))
 
 
+#: What a merged section may still come to depend on, as structs that begin with the session's number.
+CANDIDATES = ("first_session", "first_weak", "last_covered")
+
+
+def session_candidates(rows: DataFrame) -> DataFrame:
+    """rows (job_id, section_id, session, status, and more) of any number of sessions, as one row per job and section.
+
+    Session 0 is the parent. Merged one after the other, as merge_coverage does with two, a section is that of the last
+    session that covers it, else of the first where it is weak, else of the first. These three are kept, not the winner,
+    so sessions may come in any order, and again, and meet by partial aggregates: no section's rows are sorted.
+    """
+    names = [c for c in rows.columns if c not in ("job_id", "section_id", "session")]
+    entry = F.struct("session", *names)
+    return rows.groupBy("job_id", "section_id").agg(
+        F.min(entry).alias("first_session"),
+        F.min(F.when(F.col("status") == "weak", entry)).alias("first_weak"),
+        F.max(F.when(F.col("status") == "covered", entry)).alias("last_covered"),
+    )
+
+
+def merge_candidates(one: DataFrame, two: DataFrame) -> DataFrame:
+    """The candidates of both; merging the same sessions again changes nothing."""
+    first, weak, covered = CANDIDATES
+    return one.unionByName(two).groupBy("job_id", "section_id").agg(F.min(first).alias(first), F.min(weak).alias(weak), F.max(covered).alias(covered))
+
+
+def merged_sessions(candidates: DataFrame) -> DataFrame:
+    """job_id, section_id, the winning session's columns, and from_child."""
+    names = [f.name for f in candidates.schema["first_session"].dataType.fields if f.name != "session"]
+    won = candidates.withColumn("x", F.coalesce("last_covered", "first_weak", "first_session"))
+    return won.select("job_id", "section_id", *[F.col(f"x.{n}").alias(n) for n in names], (F.col("x.session") > 0).alias("from_child"))
+
+
 def latest_corrections(corrections: DataFrame) -> DataFrame:
     """The latest correction of each sentence (job_id, sent_idx, corrected_section, user, at)."""
     newest = F.max_by(F.struct("corrected_section", "user"), F.struct("at", "corrected_section")).alias("x")

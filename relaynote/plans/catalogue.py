@@ -12,6 +12,8 @@ from .. import config
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators import assemble, chunks, classify, correct, coverage, placement, repair, segment, serving, sessions
+from ..sources import versions
+from ..streaming import folds
 from . import oracles
 from .tables import document_sentences, sections, segments, table, turns
 
@@ -394,6 +396,23 @@ def coverage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.merge_coverage(part(0), part(1)).select("job_id", "section_id", "status", "sentence_count", _round("confidence"), "risk_score", "from_child")
 
 
+@_query
+def coverage_merge_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """coverage_merge, with the two halves of each conversation arriving as files of a stream, the later half first."""
+    secs, rows = sections(spark, sf_dir), turns(spark, sf_dir)
+    ranked = versions.written(classify.ranked(classify.with_context(rows, secs, SCORING), secs, SCORING), "ranked")
+    arrivals = versions.shared_folder(spark, "arrivals")
+    for k in (1, 0):
+        part = coverage.section_coverage(ranked.filter(F.col("sent_idx") % 2 == k), rows, secs)
+        part.select("job_id", "section_id", F.lit(k).alias("session"), "status", "sentence_count", "confidence", "risk_score").coalesce(2).write.mode("append").parquet(arrivals)
+    schema = spark.read.parquet(arrivals).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
+    merged = folds.coverage_versions(spark, versions.shared_folder(spark, "coverage"), 8)
+    folds.merge_stream(stream, merged, versions.shared_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    out = sessions.merged_sessions(merged.read("coverage"))
+    return out.select("job_id", "section_id", "status", "sentence_count", _round("confidence"), "risk_score", "from_child")
+
+
 @_query
 def review_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _routed(spark, sf_dir).select("job_id", "sent_idx", "route", F.col("primary.section_id").alias("section_id"), "audio_confidence")

@@ -456,3 +456,6 @@ union all select job_id, cast(sent_idx + coalesce(n, 0) as integer), 2, start +
     "job_activity": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type, count(*) as n, round(sum(value), 6) as value from events group by all",
     "audit_tail": "select event_id, user_id, event_type, props from events order by ts desc, event_id desc limit 200",
 }
+
+#: Streams have the rows of the batch query over the same tables.
+ORACLES["coverage_merge_stream"] = ORACLES["coverage_merge"]

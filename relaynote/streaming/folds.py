@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from .. import config
 from ..operators import chunks as C
+from ..operators import sessions
+from ..sources.versions import Versions
 
 
 def section_stream(documents: DataFrame, sections: Sequence[config.Section], covered: int = 2, threshold: float = 0.2) -> DataFrame:
@@ -30,9 +32,35 @@ def audit_stream(events: DataFrame, path: str, checkpoint: str) -> DataStreamWri
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
 
 
-def merge_stream(children: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
-    """Merge follow-up sessions batch by batch; `merge` must be safe to repeat for a batch id."""
-    return children.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+def coverage_versions(spark: SparkSession, path: str, buckets: int = 32) -> Versions:
+    """The table of merged coverage, by job."""
+    entry = "struct<session:int,status:string,sentence_count:bigint,confidence:double,risk_score:double>"
+    return Versions(spark, path, ["job_id"], {"coverage": f"job_id long, section_id string, {', '.join(f'{c} {entry}' for c in sessions.CANDIDATES)}"}, buckets)
+
+
+def merge_sessions_into(versions: Versions, writer: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a batch of session coverage is merged into a version of its own.
+
+    Only the buckets of the batch's jobs are read and written again. A batch that comes again changes nothing.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        if versions.seen(writer, batch_id):
+            return
+        new = sessions.session_candidates(batch)
+
+        def change(manifest: dict) -> dict[str, tuple[DataFrame, bool]]:
+            old = versions.read("coverage", versions.touched(batch), manifest)
+            return {"coverage": (sessions.merge_candidates(old, new), True)}
+
+        versions.commit(writer, batch_id, change)
+
+    return merge
+
+
+def merge_stream(coverage: DataFrame, versions: Versions, checkpoint: str, writer: str = "sessions") -> DataStreamWriter:
+    """Merge a stream of session coverage (job_id, section_id, session, status, sentence_count, confidence, risk_score)."""
+    return coverage.writeStream.foreachBatch(merge_sessions_into(versions, writer)).option("checkpointLocation", checkpoint)
 
 
 def sentence_stream(segments: DataFrame) -> DataFrame:
