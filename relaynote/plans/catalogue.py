@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import assemble, chunks, classify, correct, coverage, placement, repair, segment, serving, sessions
+from ..operators import asof, assemble, chunks, classify, correct, coverage, placement, repair, segment, serving, sessions
 from ..sources import versions
 from ..streaming import folds
 from . import oracles
@@ -378,6 +378,37 @@ def feedback_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("job_id", "line_id", "section_id", _round("similarity"))
 
 
+def _timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines, at times among those of the corrections."""
+    last = table(spark, sf_dir, "documents").agg(F.max("doc_id").alias("last"))  # one row
+    rows = segments(spark, sf_dir).select("job_id", F.col("seg_idx").alias("line_id"), "text").join(F.broadcast(last))
+    return rows.select("job_id", "line_id", "text", ((F.col("job_id") * 37 + F.col("line_id") * 101) % F.col("last")).alias("at"))
+
+
+def _timed_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections of which some take a section's whole factor (boost 1) and some turn its sign (boost 2)."""
+    boost = F.when(F.col("at") % 91 == 0, 2.0).when(F.col("at") % 401 == 0, 1.0).otherwise(0.01)
+    return _corrections(spark, sf_dir).withColumn("confidence_boost", boost)
+
+
+@_query
+def feedback_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = asof.place_as_of(_timed_lines(spark, sf_dir), sections(spark, sf_dir), _timed_corrections(spark, sf_dir), accept=0.05)
+    return out.select("job_id", "line_id", "section_id", _round("similarity"))
+
+
+@_query
+def feedback_as_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feedback_as_of, with lines that arrive as files of a stream, each batch with the corrections recorded by then."""
+    arrivals = versions.shared_folder(spark, "lines")
+    _timed_lines(spark, sf_dir).repartition(3, "job_id").write.parquet(arrivals)
+    stream = spark.readStream.schema(spark.read.parquet(arrivals).schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
+    placed = versions.Versions(spark, versions.shared_folder(spark, "placed"), ["job_id"], {"placed": "job_id long, line_id int, section_id string, similarity double"}, 4)
+    place = asof.place_into(placed, sections(spark, sf_dir), lambda: _timed_corrections(spark, sf_dir), accept=0.05)
+    stream.writeStream.foreachBatch(place).option("checkpointLocation", versions.shared_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return placed.read("placed").select("job_id", "line_id", "section_id", _round("similarity"))
+
+
 # Sessions and service
 
 

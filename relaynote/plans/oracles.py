@@ -457,5 +457,17 @@ union all select job_id, cast(sent_idx + coalesce(n, 0) as integer), 2, start +
     "audit_tail": "select event_id, user_id, event_type, props from events order by ts desc, event_id desc limit 200",
 }
 
+ORACLES["feedback_as_of"] = f"""with {SECTIONS}, {CORRECTIONS},
+boosts as (select *, case when stamp % 91 = 0 then 2.0::double when stamp % 401 = 0 then 1.0 else 0.01 end as b from corr),
+fx as (select original_section as section_id, stamp, 1 - b as f from boosts union all select corrected_section, stamp, 1 + b from boosts),
+l as (select conv_id as job_id, cast(turn as integer) as line_id, {_tokens('text')} as tok, (conv_id * 37 + turn * 101) % (select max(doc_id) from documents) as stamp from conversations),
+f as (select t.stamp, x.section_id, product(x.f) as factor from (select distinct stamp from l) t join fx x on x.stamp < t.stamp group by all),
+p as (select l.job_id, l.line_id, s.ord, s.section_id, len(list_intersect(l.tok, s.line_tok))::double / (len(l.tok) + len(s.line_tok) - len(list_intersect(l.tok, s.line_tok))) as score,
+             coalesce(f.factor, 1.0) as factor
+      from l cross join sec s left join f on f.section_id = s.section_id and f.stamp = l.stamp),
+b as (select *, score * factor as sim, row_number() over (partition by job_id, line_id order by round(score * factor, 9) desc, ord) as rn from p where score > 0)
+select l.job_id, l.line_id, b.section_id, round(b.sim, 6) as similarity from l left join b on l.job_id = b.job_id and l.line_id = b.line_id and b.rn = 1 and b.sim >= 0.05"""
+ORACLES["feedback_as_of_stream"] = ORACLES["feedback_as_of"]
+
 #: Streams have the rows of the batch query over the same tables.
 ORACLES["coverage_merge_stream"] = ORACLES["coverage_merge"]
