@@ -13,7 +13,7 @@ from ..functions import scores as S
 from ..functions import text as T
 from ..operators import asof, assemble, chunks, classify, correct, coverage, placement, repair, segment, serving, sessions
 from ..sources import versions
-from ..streaming import folds
+from ..streaming import folds, states
 from . import oracles
 from .tables import document_sentences, sections, segments, table, turns
 
@@ -487,6 +487,42 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.job_states(events)
 
 
+def _job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`events` as steps of jobs of ten events each: mostly in order, some repeated, left out or failing."""
+    steps = F.array(*[F.lit(s) for s in states.STEPS])
+    progress = F.get(steps, ((F.col("event_id") + F.when(F.col("user_id") % 11 == 0, 1).otherwise(0)) % 5).cast("int"))
+    return table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 10).alias("job_id"), F.col("ts").cast("timestamp").alias("at"), "event_id", progress.alias("progress"), (F.col("event_id") % 97 == 0).alias("failed"))
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("job_id", "status", "progress", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "reason", "steps")
+
+
+@_query
+def job_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(states.job_states(_job_events(spark, sf_dir)))
+
+
+@_query
+def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """job_state_machine over a stream of three files, in the order of time."""
+    events, arrivals = _job_events(spark, sf_dir), versions.shared_folder(spark, "events")
+    cuts = events.agg(F.percentile_approx(F.unix_micros("at"), [1 / 3, 2 / 3]).alias("c")).first()["c"]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = events.filter(F.lit(low is None) | (F.unix_micros("at") > F.lit(low))).filter(F.lit(high is None) | (F.unix_micros("at") <= F.lit(high)))
+        part.coalesce(1).write.mode("append").parquet(arrivals)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
+    out = versions.shared_folder(spark, "transitions")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", states.PROVIDER)
+    try:
+        writer = states.transition_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", versions.shared_folder(spark, "progress"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return _shown(states.states_of(spark.read.schema(states.TRANSITIONS).parquet(out)))
+
+
 @_query
 def feedback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"))

@@ -469,5 +469,29 @@ b as (select *, score * factor as sim, row_number() over (partition by job_id, l
 select l.job_id, l.line_id, b.section_id, round(b.sim, 6) as similarity from l left join b on l.job_id = b.job_id and l.line_id = b.line_id and b.rn = 1 and b.sim >= 0.05"""
 ORACLES["feedback_as_of_stream"] = ORACLES["feedback_as_of"]
 
+
+
+def _machine() -> str:
+    """A step at a time: the least event that could follow the last accepted one."""
+    ctes = [
+        """e as (select event_id // 10 as job_id, epoch_us(ts) as us, event_id, event_id % 97 = 0 as failed, ([0, 10, 30, 85, 100])[1 + (event_id + case when user_id % 11 = 0 then 1 else 0 end) % 5] as p from events)""",
+        "t0 as (select job_id, arg_min(us, (us, event_id)) as us, arg_min(event_id, (us, event_id)) as id, 0 as progress, 'processing' as status, 'step' as reason, 1 as steps from e where p = 0 and not failed group by job_id)",
+    ]
+    for k, step in enumerate((10, 30, 85, 100)):
+        ctes += [
+            f"""n{k} as (select e.job_id, min((e.us, e.event_id, e.failed)) as m from e join t{k} t on e.job_id = t.job_id
+  where t.status = 'processing' and t.progress = {(0, 10, 30, 85)[k]} and (e.us, e.event_id) > (t.us, t.id) and e.us < t.us + 300000000 and (e.failed or e.p = {step}) group by e.job_id)""",
+            f"""t{k + 1} as (select t.job_id, coalesce(m[1], us) as us, coalesce(m[2], id) as id, case when m[3] = false then {step} else progress end as progress,
+  case when m is null then status when m[3] then 'failed' else '{"completed" if step == 100 else "processing"}' end as status,
+  case when m is null then reason when m[3] then 'failure' else 'step' end as reason, steps + case when m is null then 0 else 1 end as steps from t{k} t left join n{k} n on t.job_id = n.job_id)""",
+        ]
+    return f"""with {', '.join(ctes)},
+f as (select *, status = 'processing' and us + 300000000 <= (select max(us) from e) as out from t4)
+select job_id, case when out then 'failed' else status end as status, cast(progress as integer) as progress,
+       strftime(make_timestamp(case when out then us + 300000000 else us end), '%Y-%m-%d %H:%M:%S.%f') as at, case when out then 'timeout' else reason end as reason, cast(steps as bigint) as steps from f"""
+
+
+ORACLES["job_state_machine"] = ORACLES["job_state_stream"] = _machine()
+
 #: Streams have the rows of the batch query over the same tables.
 ORACLES["coverage_merge_stream"] = ORACLES["coverage_merge"]
