@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import asof, assemble, chunks, classify, correct, coverage, placement, repair, segment, serving, sessions
+from ..operators import asof, assemble, chunks, classify, correct, coverage, placement, registry, repair, segment, serving, sessions
 from ..sources import versions
 from ..streaming import folds, states
 from . import oracles
@@ -523,6 +523,18 @@ def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(states.states_of(spark.read.schema(states.TRANSITIONS).parquet(out)))
 
 
+@_query
+def registry_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First registrations of (user, type) of `events`, and how many later attempts were rejected, in three increments."""
+    attempts = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("seq"))
+    kept = registry.Registry(spark, versions.shared_folder(spark, "registry"), {"user_id": "long", "event_type": "string"}, 8, 1)
+    last = attempts.agg(F.max("seq").alias("last")).first()["last"]
+    for k in range(3):
+        kept.register(attempts.filter(F.floor(F.col("seq") * 3 / (last + 1)) == k), k)
+    times = kept.rejected().groupBy("user_id", "event_type").agg(F.sum("times").alias("rejected"))
+    return kept.registered().join(times, ["user_id", "event_type"], "left").select("user_id", "event_type", "seq", F.coalesce("rejected", F.lit(0)).alias("rejected"))
+
+
 @_query
 def feedback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"))

@@ -469,6 +469,7 @@ b as (select *, score * factor as sim, row_number() over (partition by job_id, l
 select l.job_id, l.line_id, b.section_id, round(b.sim, 6) as similarity from l left join b on l.job_id = b.job_id and l.line_id = b.line_id and b.rn = 1 and b.sim >= 0.05"""
 ORACLES["feedback_as_of_stream"] = ORACLES["feedback_as_of"]
 
+ORACLES["registry_increments"] = "select user_id, event_type, min(event_id) as seq, count(*) - 1 as rejected from events group by all"
 
 
 def _machine() -> str:

@@ -34,7 +34,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 class Versions:
-    """The tables under `path`, with their schemas by name, in `buckets` buckets of the hash of `key`.
+    """The tables under `path`, with their schemas by name, in `buckets` buckets of the hash of `key` (or of bucket_id).
 
     With every version a reader gets all tables as one batch left them. Manifests have a name for each folder of each
     bucket, so their size follows from the number of buckets, and of appended batches since the last compact().
@@ -108,7 +108,8 @@ class Versions:
         """Write rows by bucket; a bucket of many rows is written by several tasks. Returns the folder and its buckets."""
         folder = f"{name}/{batch}-{uuid.uuid4().hex}"
         names = [f.name for f in self.spark.createDataFrame([], self.schemas[name]).schema]
-        rows.select(*names, self.bucket().alias("bucket")).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        bucket = F.col("bucket_id") if "bucket_id" in names else self.bucket()
+        rows.select(*names, bucket.alias("bucket")).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         jvm, fs, _ = self._hadoop()
         there = [f.getPath().getName() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}"))]
         return folder, [int(n.partition("=")[2]) for n in there if n.startswith("bucket=")]

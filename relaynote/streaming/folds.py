@@ -12,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from .. import config
 from ..operators import chunks as C
 from ..operators import sessions
+from ..operators.registry import Registry
 from ..sources.versions import Versions
 
 
@@ -22,9 +23,9 @@ def section_stream(documents: DataFrame, sections: Sequence[config.Section], cov
     return rows.withColumn("status", F.when(F.col("chunk_count") < covered, "partial").otherwise("covered"))
 
 
-def first_registrations(units: DataFrame, at: str, delay: str = "1 hour") -> DataFrame:
-    """Units of a stream, the first of each (job_id, unit_id) within the watermark."""
-    return units.withWatermark(at, delay).dropDuplicatesWithinWatermark(["job_id", "unit_id"])
+def registry_stream(attempts: DataFrame, registry: Registry, checkpoint: str, writer: str = "units") -> DataStreamWriter:
+    """Register a stream of attempts (the registry's key, seq): ids stay known for good, not for a watermark's time."""
+    return attempts.writeStream.foreachBatch(lambda batch, k: registry.register(batch, k, writer)).option("checkpointLocation", checkpoint)
 
 
 def audit_stream(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
