@@ -8,26 +8,79 @@ from pyspark.sql.window import Window
 
 from .. import config
 from ..functions import text as T
+from ..sources.versions import written
+
+
+def token_postings(marked: DataFrame) -> DataFrame:
+    """job_id, token, sent_idx, frequency (sentences of the job with the token), last: the latest earlier one of them."""
+    tokens = marked.select("job_id", "sent_idx", F.explode(F.array_distinct(T.tokens("text"))).alias("token"))
+    order = Window.partitionBy("job_id", "token").orderBy("sent_idx")
+    counts = tokens.groupBy("job_id", "token").agg(F.count("*").alias("frequency"))
+    return tokens.withColumn("last", F.lag("sent_idx").over(order)).join(counts, ["job_id", "token"])
+
+
+def overlap_prefixes(postings: DataFrame, asked: DataFrame, overlap: float, most: int) -> DataFrame:
+    """job_id, from_idx, own (its tokens, the rarest in the job first), needed, last of each asked sentence (job_id, from_idx).
+
+    needed is max(1, min(most, int(overlap * tokens))), last the latest earlier sentence with any of the tokens.
+    """
+    of = postings.join(asked.select("job_id", F.col("from_idx").alias("sent_idx")), ["job_id", "sent_idx"])
+    rows = of.groupBy("job_id", F.col("sent_idx").alias("from_idx")).agg(F.sort_array(F.collect_list(F.struct("frequency", "token"))).alias("ranked"), F.max("last").alias("last"))
+    needed = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.size("ranked") * overlap))).cast("int")
+    return rows.select("job_id", "from_idx", F.col("ranked.token").alias("own"), needed.alias("needed"), "last")
+
+
+def overlap_candidates(prefixes: DataFrame, postings: DataFrame, reach: int | None) -> DataFrame:
+    """(job_id, from_idx, sent_idx), a row for each token that both have, of the prefixes of sentences that need two tokens or more.
+
+    A sentence that shares `needed` of n tokens has one of any n - needed + 1 of them, so the rarest ones of so many are
+    looked up, and the job's most common words meet nothing. With `reach` only the blocks of so many sentences that hold
+    the asked one and the one before are looked at.
+    """
+    probes = prefixes.filter("needed > 1").select("job_id", "from_idx", F.explode(F.slice("own", 1, F.size("own") - F.col("needed") + 1)).alias("token"))
+    held, by = postings.select("job_id", "token", "sent_idx"), ["job_id", "token"]
+    if reach is not None:
+        at = F.floor(F.col("from_idx") / reach)
+        probes, held, by = probes.withColumn("block", F.explode(F.array(at, at - 1))), held.withColumn("block", F.floor(F.col("sent_idx") / reach)), [*by, "block"]
+    return probes.join(held, by).filter("sent_idx < from_idx").select("job_id", "from_idx", "sent_idx")
+
+
+#: Sentences back that are looked at first, then further back by those without a match, at last the whole job.
+REACHES = (64, 1024, None)
+
+
+def latest_overlap(marked: DataFrame, asked: DataFrame, overlap: float = 0.3, most: int = 5) -> DataFrame:
+    """job_id, sent_idx (the asked one), by_tokens: the latest earlier sentence that shares as many tokens as needed.
+
+    Where one token is enough, it is the latest holder of any; else candidates by rare tokens are verified on whole sets,
+    near ones first: the latest match is right whatever lies further back, so only sentences without one look on.
+    """
+    jobs = marked.join(asked.select("job_id").distinct(), "job_id", "left_semi")
+    postings = written(token_postings(jobs), "postings")
+    prefixes = written(overlap_prefixes(postings, asked, overlap, most), "prefixes")
+    sets = postings.groupBy("job_id", "sent_idx").agg(F.collect_list("token").alias("tokens"))  # of one sentence
+    found, left = prefixes.filter("needed = 1 and last is not null").select("job_id", "from_idx", F.col("last").alias("by_tokens")), prefixes
+    for reach in REACHES:
+        pairs = overlap_candidates(left, postings, reach).distinct().join(left.select("job_id", "from_idx", "own", "needed"), ["job_id", "from_idx"])
+        pairs = pairs.join(sets, ["job_id", "sent_idx"]).filter(F.size(F.array_intersect("own", "tokens")) >= F.col("needed"))
+        here = written(pairs.groupBy("job_id", "from_idx").agg(F.max("sent_idx").alias("by_tokens")), "matches")
+        found, left = found.unionByName(here), left.join(here, ["job_id", "from_idx"], "left_anti")
+    return found.withColumnRenamed("from_idx", "sent_idx")
 
 
 def antecedents(rows: DataFrame, overlap: float = 0.3, most: int = 5) -> DataFrame:
     """For referential sentences with a primary section: to_idx, the sentence that they refer to, or null.
 
     That is the latest earlier sentence with the same primary section; without one, the latest earlier sentence that
-    shares max(1, min(most, int(overlap * tokens))) tokens. Only referential sentences without the former enter the
-    join over tokens, which is an equality on job and token rather than a comparison of all pairs.
+    shares max(1, min(most, int(overlap * tokens))) tokens. Only referential sentences without the former, so at most one
+    for each section of a job, are looked up by their tokens.
     """
     section = F.col("primary")["section_id"]
     earlier = Window.partitionBy("job_id", "section").orderBy("sent_idx").rowsBetween(Window.unboundedPreceding, -1)
     marked = rows.select("job_id", "sent_idx", "text", section.alias("section"))
     marked = marked.withColumn("same", F.when(F.col("section").isNotNull(), F.max("sent_idx").over(earlier)))
     refer = marked.filter(T.is_referential("text") & F.col("section").isNotNull())
-    open_ones = refer.filter("same is null").select("job_id", F.col("sent_idx").alias("from_idx"), F.array_distinct(T.tokens("text")).alias("own"))
-    asked = open_ones.select("job_id", "from_idx", F.size("own").alias("n"), F.explode("own").alias("token"))
-    held = marked.join(open_ones.select("job_id").distinct(), "job_id", "left_semi").select("job_id", "sent_idx", F.explode(F.array_distinct(T.tokens("text"))).alias("token"))
-    shared = asked.join(held, ["job_id", "token"]).filter("sent_idx < from_idx").groupBy("job_id", "from_idx", "sent_idx").agg(F.count("*").alias("both"), F.first("n").alias("n"))
-    needed = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("n") * overlap)))
-    last = shared.filter(F.col("both") >= needed).groupBy("job_id", F.col("from_idx").alias("sent_idx")).agg(F.max("sent_idx").alias("by_tokens"))
+    last = latest_overlap(marked, refer.filter("same is null").select("job_id", F.col("sent_idx").alias("from_idx")), overlap, most)
     return refer.join(last, ["job_id", "sent_idx"], "left").select("job_id", "sent_idx", F.coalesce("same", "by_tokens").alias("to_idx"))
 
 
@@ -37,6 +90,7 @@ def place(rows: DataFrame, drop_unmatched_references: bool = False) -> DataFrame
     Review rows come once per text. A referential sentence with an antecedent becomes a reference; one without is
     placed (dropped, if asked for). Of texts alike within a section the first is placed, later ones refer to it.
     """
+    rows = written(rows, "classified")  # scores are computed once
     found = antecedents(rows).withColumnRenamed("to_idx", "ante").withColumn("refers", F.lit(True))
     joined = rows.join(found, ["job_id", "sent_idx"], "left")
     accepted = (F.col("route") == "accepted") & F.col("primary").isNotNull()
