@@ -130,11 +130,15 @@ def is_in_flow(title: Column, section_id: Column) -> Column:
 
 
 def section_content(placed: DataFrame) -> DataFrame:
-    """Per job and section with placed sentences: count, mean confidence, first appearance, sentences in order."""
+    """Per job and section with placed sentences: count, mean confidence, first appearance, sentences in order.
+
+    The mean is of whole millionths, so it does not follow from the order of the sum.
+    """
+    mean = F.sum(F.round(F.col("audio_confidence") * 1_000_000).cast("long")) / F.count("audio_confidence") / 1_000_000
     rows = placed.filter("destination = 'placed'")
     sentence = F.struct("sent_idx", F.col("enhanced_text" if "enhanced_text" in placed.columns else "text").alias("text"), "audio_confidence")
     return rows.groupBy("job_id", F.col("primary.section_id").alias("section_id"), F.col("primary.title").alias("title")).agg(
-        F.count("*").alias("sentence_count"), F.avg("audio_confidence").alias("confidence"), F.min("sent_idx").alias("appearance"), F.sort_array(F.collect_list(sentence)).alias("sentences")
+        F.count("*").alias("sentence_count"), mean.alias("confidence"), F.min("sent_idx").alias("appearance"), F.sort_array(F.collect_list(sentence)).alias("sentences")
     )
 
 
@@ -179,19 +183,3 @@ def review_list(placed: DataFrame, most: int | None = None) -> DataFrame:
     if most is None:
         return out
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy("sent_idx"))).filter(F.col("rank") <= most).drop("rank")
-
-
-def documents(placed: DataFrame, coverage: DataFrame, overview: DataFrame) -> DataFrame:
-    """job_id and `document`, the nested JSON text of each job."""
-    content = section_content(placed)
-    ordered = ordered_content(content)
-    entry = F.struct("section_id", F.col("title").alias("section_title"), "sentence_count", "confidence", "sentences_preview", "sentences")
-    sections = ordered.groupBy("job_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", entry.alias("entry")))), lambda x: x["entry"]).alias("ordered_section_content"))
-    cover = coverage.groupBy("job_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("section_ord", F.struct("section_id", "title", "required", "status", "sentence_count", "confidence", "risk_score").alias("entry")))), lambda x: x["entry"]).alias("coverage"))
-    links = cross_references(placed).groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("from_index", "to_index", "section_id", "note"))).alias("cross_references"))
-    review = review_list(placed, 5).groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("sent_idx", "text", "review_reason"))).alias("unassigned_sentences"))
-    counts = placed.groupBy("job_id").agg(F.count("*").alias("sentence_count"), F.sum((F.col("destination") == "review").cast("int")).alias("unassigned_count"))
-    out = overview
-    for part in (counts, cover, sections, flow_coherence(content), markdown(content), links, review):
-        out = out.join(part, "job_id", "left")
-    return out.select("job_id", F.to_json(F.struct(*[c for c in out.columns])).alias("document"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import asof, assemble, chunks, classify, correct, coverage, placement, registry, repair, segment, serving, sessions
+from ..operators import asof, assemble, chunks, classify, correct, coverage, document, placement, registry, repair, segment, serving, sessions
 from ..sources import versions
 from ..streaming import folds, states
 from . import oracles
@@ -211,7 +211,7 @@ def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def section_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = assemble.ordered_content(assemble.section_content(_placed(spark, sf_dir)))
-    return content.select("job_id", "section_id", "sentence_count", F.round(F.col("confidence") + 1e-9, 6).alias("confidence"), "appearance", "bucket_name", "position", F.array_join("sentences_preview", "|").alias("preview"))
+    return content.select("job_id", "section_id", "sentence_count", _round("confidence"), "appearance", "bucket_name", "position", F.array_join("sentences_preview", "|").alias("preview"))
 
 
 @_query
@@ -230,11 +230,35 @@ def review_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.review_list(_placed(spark, sf_dir), 5).select("job_id", "sent_idx", "text")
 
 
+def _document_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document follows the one before."""
+    parent = F.when(F.col("doc_id") % 10 == 9, F.col("doc_id") - 1).alias("parent_job_id")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), parent, F.col("lang").alias("timestamp"), F.col("text").alias("transcript"))
+
+
 @_query
 def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = repair.repair(_placed(spark, sf_dir))
-    cover = _coverage(spark, sf_dir)
-    return assemble.documents(placed, cover, coverage.job_overview(cover))
+    """Every key of the documents, read back from their JSON text."""
+    whole = document.document(versions.written(_placed(spark, sf_dir), "placed"), versions.written(_coverage(spark, sf_dir), "coverage"), _document_jobs(spark, sf_dir), _corrections(spark, sf_dir))
+    read = document.as_json(whole).select(F.from_json("document", whole.schema).alias("d")).select("d.*")
+    six = lambda x: F.format_string("%.6f", F.round(x, 6))
+    text = lambda *parts: F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts])
+    listed = lambda c, f: F.array_join(F.transform(c, f), "|")
+    by_key = lambda c, f: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: f(e["key"], e["value"]))), "|")
+    return read.select(
+        "job_id", "parent_job_id", "timestamp", F.md5("transcript").alias("transcript"), _round("overall_coverage_percent"), _round("overall_risk_score"), _joined("missing_required_sections"),
+        *[F.col(c).cast("long").alias(c) for c in ("section_count", "sentence_count", "unassigned_count", "asset_count", "explainability_logs_count", "human_feedback_count")],
+        by_key("coverage", lambda k, v: text(k, v["section_title"], v["status"], v["required"], v["sentence_count"], six(v["confidence"]), six(v["risk"]))).alias("coverage"),
+        by_key("section_content", lambda k, v: text(k, v["section_id"], v["section_title"], v["sentence_count"], six(v["confidence"]), F.array_join(v["sentences_preview"], "/"))).alias("section_content"),
+        listed("ordered_section_content", lambda v: text(v["section_id"], v["section_title"], v["sentence_count"], F.array_join(v["sentences_preview"], "/"), F.array_join(F.transform(v["sentences"], lambda s: s["sent_idx"].cast("string")), "/"))).alias("ordered_section_content"),
+        listed("unassigned_sentences", lambda v: v["text"]).alias("unassigned_sentences"),
+        listed("review_required_sentences", lambda v: text(v["text"], v["explainability"]["section_id"], six(v["explainability"]["confidence"]))).alias("review_required_sentences"),
+        listed("evidence", lambda v: text(v["text"], F.array_join(v["evidence"], "/"))).alias("evidence"),
+        listed("assets", lambda v: text(v["type"], v["content"], v["component"])).alias("assets"),
+        listed("top_explainability_logs", lambda v: text(v["section_id"], six(v["confidence"]), F.regexp_replace(v["reasoning"], r" \(score=[0-9.]+\)", ""))).alias("top_explainability_logs"),
+        _round("flow_coherence_score"), _joined("flow_issues"), F.md5("ordered_markdown").alias("ordered_markdown"),
+        listed("cross_references", lambda v: text(v["from_index"], v["from_sentence"], v["to_section"], v["to_sentence"], v["note"])).alias("cross_references"),
+    )
 
 
 @_query

@@ -117,7 +117,7 @@ placed as (select *, case when kind in ('placed', 'review') and f < sent_idx the
 BUCKETS = " ".join(f"when {_any('lower(title)', w)} or {_any('section_id', w)} then {i}" for i, (_, w) in enumerate(config.FLOW_BUCKETS))
 NAMES = "[" + ", ".join(f"'{n}'" for n, _ in config.FLOW_BUCKETS) + "]"
 CONTENT = f"""
-content as (select job_id, section_id, title, count(*) as sentence_count, avg(audio) as confidence, min(sent_idx) as appearance,
+content as (select job_id, section_id, title, count(*) as sentence_count, sum(cast(round(audio * 1000000) as bigint)) / count(audio) / 1000000 as confidence, min(sent_idx) as appearance,
                    list(text order by sent_idx) as texts from placed where destination = 'placed' group by all),
 flow as (select *, case {BUCKETS} end as b0, coalesce(case {BUCKETS} end, {len(config.FLOW_BUCKETS) - 1}) as bucket from content)
 """
@@ -321,7 +321,7 @@ select job_id, round(count(*) filter (where status <> 'missing') * 100.0::double
 select p.job_id, p.sent_idx as from_index, p.to_idx as to_index, p.section_id, case p.destination when 'reference' then 'referential_link' else 'duplicate_reference' end as note, p.text as from_sentence, t.text as to_sentence
 from placed p left join placed t on p.job_id = t.job_id and p.to_idx = t.sent_idx where p.destination in ('reference', 'duplicate')""",
     "section_content": f"""with {SECTIONS}, {DOC_SENTENCES}, {SCORED}, {ROUTED}, {PLACED}, {CONTENT}
-select job_id, section_id, sentence_count, round(confidence + 1e-9::double, 6) as confidence, appearance, {NAMES}[bucket + 1] as bucket_name,
+select job_id, section_id, sentence_count, round(confidence, 6) as confidence, appearance, {NAMES}[bucket + 1] as bucket_name,
        row_number() over (partition by job_id order by bucket, b0 is null, appearance) as position, array_to_string(list_transform(texts[1:5], lambda t: substr(t, 1, 100)), '|') as preview from flow""",
     "flow_coherence": f"""with {SECTIONS}, {DOC_SENTENCES}, {SCORED}, {ROUTED}, {PLACED}, {CONTENT},
 o as (select *, lag(bucket) over (partition by job_id order by appearance) as before from flow)
@@ -494,5 +494,54 @@ select job_id, case when out then 'failed' else status end as status, cast(progr
 
 ORACLES["job_state_machine"] = ORACLES["job_state_stream"] = _machine()
 
+
+
+def _component(x: str) -> str:
+    return "case " + " ".join(f"when regexp_matches({x}, '{p}', 'i') then '{n}'" for n, p in config.COMPONENT_PATTERNS) + " end"
+
+
+def _six(x: str) -> str:
+    return f"printf('%.6f', round({x}, 6))"
+
+
+ORACLES["nested_documents"] = rf"""with {SECTIONS}, {DOC_SENTENCES}, {SCORED}, {ROUTED}, {PLACED}, {CONTENT}, {COVERAGE.replace("counts as", "counts_c as").replace("join counts c", "join counts_c c")}, {CORRECTIONS},
+numbers as (select s.job_id, count(*) as sentence_count, count(p.job_id) filter (where p.destination = 'review') as unassigned_count, count(p.job_id) as logs from sent s left join placed p using (job_id, sent_idx) group by s.job_id),
+cov as (select c.job_id, count(*) filter (where c.status <> 'missing') * 100.0::double / count(*) as percent, avg(c.risk_score) as risk,
+  coalesce(string_agg(c.section_id, '|' order by c.ord) filter (where c.required and c.status = 'missing'), '') as missing,
+  list_sort(list(c.section_id || ':' || s.title || ':' || c.status || ':' || c.required || ':' || coalesce(k.sentence_count, c.sentence_count) || ':' || {_six("c.confidence")} || ':' || {_six("c.risk_score")})) as parts
+  from cover c join sec s using (section_id) left join content k using (job_id, section_id) group by c.job_id),
+pos as (select *, row_number() over (partition by job_id order by bucket, b0 is null, appearance) as position, list_transform(texts, lambda t: substr(t, 1, 100)) as cut from flow),
+idx as (select job_id, section_id, string_agg(sent_idx, '/' order by sent_idx) as ids from placed where destination = 'placed' group by all),
+secs as (select job_id, count(*) as n, list_sort(list(section_id || ':' || section_id || ':' || title || ':' || sentence_count || ':' || {_six("confidence")} || ':' || array_to_string(cut[1:3], '/'))) as parts,
+  string_agg(section_id || ':' || title || ':' || sentence_count || ':' || array_to_string(cut[1:5], '/') || ':' || ids, '|' order by position) as ordered from pos join idx using (job_id, section_id) group by job_id),
+fold as (select job_id, lower({_collapse('text')}) as k, min(sent_idx) as at_first, max_by(text, sent_idx) as text from placed where destination = 'review' group by all),
+una as (select job_id, string_agg(text, '|' order by at_first) as texts from (select *, row_number() over (partition by job_id order by at_first) as rn from fold) where rn <= 5 group by job_id),
+rev0 as (select job_id, text, row_number() over (partition by job_id order by sent_idx) - 1 as k from placed where destination = 'review'),
+rev as (select r.job_id, string_agg(r.text || ':' || coalesce(p.section_id, '-') || ':' || case when p.section_id is null then '-' else {_six("p.combined")} end, '|' order by r.k) as texts
+  from rev0 r left join placed p on p.job_id = r.job_id and p.sent_idx = r.k group by r.job_id),
+evi as (select s.job_id, string_agg(s.text || ':' || coalesce(array_to_string(list_filter({EVIDENCE}, lambda k: contains(lower(s.text), k)), '/'), ''), '|' order by s.sent_idx) as texts from sent s where s.sent_idx < 10 group by s.job_id),
+ass0 as (select s.job_id, s.sent_idx, u.i, u.url from sent s, unnest(regexp_extract_all(s.text, 'https?://[^\s]+')) with ordinality as u(url, i)),
+ass as (select job_id, max(n) as n, string_agg('url:' || url || ':' || coalesce({_component("url")}, '-'), '|' order by sent_idx, i) filter (where rn <= 10) as texts
+  from (select *, row_number() over (partition by job_id order by sent_idx, i) as rn, count(*) over (partition by job_id) as n from ass0) group by job_id),
+lg as (select job_id, string_agg(section_id || ':' || {_six("combined")} || ':Matched ' || chr(39) || substr(text, 1, 60) || chr(39) || ' to ' || chr(39) || title || chr(39) || case when is_inferred then ' [INFERRED]' else '' end, '|' order by sent_idx) as texts
+  from (select *, row_number() over (partition by job_id order by sent_idx) as nth from placed) where nth <= 5 group by job_id),
+fl0 as (select *, lag(bucket) over (partition by job_id order by appearance) as before from flow),
+fl as (select job_id, avg(case when bucket < before then 0.0::double else 1 end) as score,
+  coalesce(string_agg('Section ' || chr(39) || section_id || chr(39) || ' appears out of flow (bucket ' || bucket || ' < prev ' || before || ')', '|' order by appearance) filter (where bucket < before), '') as issues from fl0 group by job_id),
+blocks as (select job_id, coalesce(b0, {len(config.FLOW_BUCKETS)}) as g, {NAMES}[bucket + 1] as name, appearance, '### ' || title || chr(10) || array_to_string(list_transform(texts, lambda t: '- ' || t), chr(10)) || chr(10) as block from flow),
+grp as (select job_id, g, '## ' || name || chr(10) || string_agg(block, chr(10) order by appearance) as body from blocks group by job_id, g, name),
+md as (select job_id, string_agg(body, chr(10) order by g) as body from grp group by job_id),
+xr as (select p.job_id, string_agg(p.sent_idx || ':' || p.text || ':' || p.section_id || ':' || t.text || ':' || case p.destination when 'reference' then 'referential_link' else 'duplicate_reference' end, '|' order by p.sent_idx) as texts
+  from placed p join placed t on p.job_id = t.job_id and p.to_idx = t.sent_idx where p.destination in ('reference', 'duplicate') group by p.job_id),
+fb as (select job_id, count(*) as n from corr group by job_id)
+select d.doc_id as job_id, case when d.doc_id % 10 = 9 then d.doc_id - 1 end as parent_job_id, d.lang as timestamp, md5(d.text) as transcript, round(cov.percent, 6) as overall_coverage_percent, round(cov.risk, 6) as overall_risk_score,
+  cov.missing as missing_required_sections, coalesce(secs.n, 0) as section_count, coalesce(numbers.sentence_count, 0) as sentence_count, coalesce(numbers.unassigned_count, 0) as unassigned_count, coalesce(ass.n, 0) as asset_count,
+  coalesce(numbers.logs, 0) as explainability_logs_count, coalesce(fb.n, 0) as human_feedback_count, array_to_string(cov.parts, '|') as coverage, coalesce(array_to_string(secs.parts, '|'), '') as section_content,
+  coalesce(secs.ordered, '') as ordered_section_content, coalesce(una.texts, '') as unassigned_sentences, coalesce(rev.texts, '') as review_required_sentences, coalesce(evi.texts, '') as evidence, coalesce(ass.texts, '') as assets,
+  coalesce(lg.texts, '') as top_explainability_logs, round(coalesce(fl.score, 1.0), 6) as flow_coherence_score, coalesce(fl.issues, '') as flow_issues,
+  md5('# KT Report - ' || d.doc_id || chr(10) || chr(10) || coalesce(md.body, '')) as ordered_markdown, coalesce(xr.texts, '') as cross_references
+from documents d left join numbers on numbers.job_id = d.doc_id left join cov on cov.job_id = d.doc_id left join secs on secs.job_id = d.doc_id left join una on una.job_id = d.doc_id left join rev on rev.job_id = d.doc_id
+left join evi on evi.job_id = d.doc_id left join ass on ass.job_id = d.doc_id left join lg on lg.job_id = d.doc_id left join fl on fl.job_id = d.doc_id left join md on md.job_id = d.doc_id left join xr on xr.job_id = d.doc_id left join fb on fb.job_id = d.doc_id"""
+
 #: Streams have the rows of the batch query over the same tables.
 ORACLES["coverage_merge_stream"] = ORACLES["coverage_merge"]
