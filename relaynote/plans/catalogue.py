@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import asof, assemble, chunks, classify, correct, coverage, document, placement, registry, repair, segment, serving, sessions
+from ..operators import asof, assemble, chunks, classify, correct, coverage, document, embed, placement, registry, repair, segment, serving, sessions
 from ..sources import versions
 from ..streaming import folds, states
 from . import oracles
@@ -599,6 +599,26 @@ def vector_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "section", _round("score"))
 
 
+_LETTERS = "etaoinshrd"
+
+
+def _letter_counts(letters: str, texts: list[str]) -> list[list[float]]:
+    """A stand-in for a sentence encoder: how often each letter occurs, and one."""
+    return [[1.0, *[float(t.count(x)) for x in letters]] for t in texts]
+
+
+@_query
+def embedding_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns by their cosine with the sections' texts; vectors come from a store, half of which an earlier run has filled."""
+    rows, secs = turns(spark, sf_dir), sections(spark, sf_dir)
+    store = embed.EmbeddingStore(spark, versions.shared_folder(spark, "vectors"), lambda: _LETTERS, _letter_counts, 8)
+    store.add(rows.filter("sent_idx % 2 = 0"))
+    known = _letter_counts(_LETTERS, [s.description for s in secs])
+    found = store.embed(rows).withColumn("scores", classify.vector_scores("vector", known))
+    best = F.array_min(F.transform("scores", lambda x, i: F.struct((-F.round(x, 6)).alias("down"), i.alias("section"))))
+    return found.select("job_id", "sent_idx", best["section"].alias("section"), F.round(-best["down"], 6).alias("score"))
+
+
 @_query
 def classification_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, turns(spark, sf_dir)).select("job_id", "sent_idx", F.regexp_replace("reason", r" \(score=.*", "").alias("reason"), F.regexp_replace("detail", r"=[0-9.]+", "").alias("detail"))

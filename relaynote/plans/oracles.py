@@ -470,6 +470,10 @@ select l.job_id, l.line_id, b.section_id, round(b.sim, 6) as similarity from l l
 ORACLES["feedback_as_of_stream"] = ORACLES["feedback_as_of"]
 
 ORACLES["registry_increments"] = "select user_id, event_type, min(event_id) as seq, count(*) - 1 as rejected from events group by all"
+_COUNTS = "[1.0::double" + "".join(f", (length(text) - length(replace(text, '{x}', '')))::double" for x in "etaoinshrd") + "]"
+ORACLES["embedding_classify"] = f"""with k as (select item_id as section, {_COUNTS} as v from benchmark where item_id < 13), e as (select conv_id as job_id, turn as sent_idx, {_COUNTS} as u from conversations),
+x as (select job_id, cast(sent_idx as integer) as sent_idx, section, round(list_dot_product(u, v) / (sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(v, v)) + 1e-9), 6) as score from e cross join k)
+select job_id, sent_idx, cast(section as integer) as section, score from (select *, row_number() over (partition by job_id, sent_idx order by score desc, section) as rn from x) where rn = 1"""
 
 
 def _machine() -> str:
