@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -267,6 +268,19 @@ def repair_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("job_id", "sent_idx", "enhanced_text", F.col("repair").isNotNull().alias("repaired"))
 
 
+@_query
+def repair_with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repair_text with a hook in Python, which is asked for what was hardly heard and sees two neighbours on each side."""
+
+    @F.pandas_udf("string")
+    def around(text: pd.Series, neighbours: pd.DataFrame, section: pd.Series) -> pd.Series:
+        cut = lambda texts: "/".join(t[:12] for t in texts)
+        return pd.Series([f"{cut(b)} < {t} > {cut(a)} ({len(n)})" for t, b, a, n in zip(text, neighbours["before"], neighbours["after"], neighbours["text"])])
+
+    rows = repair.repair(turns(spark, sf_dir), hook=around)
+    return rows.select("job_id", "sent_idx", "enhanced_text", F.col("repair.confidence").alias("confidence"))
+
+
 @_query
 def multi_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _placed(spark, sf_dir).select("job_id", "sent_idx", "text", F.col("primary.section_id").alias("section_id")).filter("section_id is not null")

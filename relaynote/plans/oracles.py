@@ -474,6 +474,13 @@ _COUNTS = "[1.0::double" + "".join(f", (length(text) - length(replace(text, '{x}
 ORACLES["embedding_classify"] = f"""with k as (select item_id as section, {_COUNTS} as v from benchmark where item_id < 13), e as (select conv_id as job_id, turn as sent_idx, {_COUNTS} as u from conversations),
 x as (select job_id, cast(sent_idx as integer) as sent_idx, section, round(list_dot_product(u, v) / (sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(v, v)) + 1e-9), 6) as score from e cross join k)
 select job_id, sent_idx, cast(section as integer) as section, score from (select *, row_number() over (partition by job_id, sent_idx order by score desc, section) as rn from x) where rn = 1"""
+_cut = "array_to_string(list_transform(list_filter([{}], lambda x: x is not null and x <> ''), lambda x: substr(x, 1, 12)), '/')"
+_near = "[lag(text, 2) over w, lag(text) over w, lead(text) over w, lead(text, 2) over w]"
+ORACLES["repair_with_context"] = ORACLES["repair_text"].rpartition("select job_id, sent_idx, enhanced")[0] + f""",
+near as (select job_id, sent_idx, text, {_cut.format("lag(text, 2) over w, lag(text) over w")} as b, {_cut.format("lead(text) over w, lead(text, 2) over w")} as a,
+                length(array_to_string(list_filter({_near}, lambda x: x is not null and x <> ''), ' ')) as n from sent window w as (partition by job_id order by sent_idx)),
+h as (select e.job_id, e.sent_idx, e.text, case when e.audio < 0.3 and not e.protected then n.b || ' < ' || e.text || ' > ' || n.a || ' (' || n.n || ')' else e.enhanced end as enhanced from e join near n using (job_id, sent_idx))
+select job_id, sent_idx, enhanced as enhanced_text, case when enhanced <> text then 0.85::double end as confidence from h"""
 
 
 def _machine() -> str:
