@@ -16,7 +16,7 @@ from ..operators import asof, assemble, chunks, classify, correct, coverage, doc
 from ..sources import versions
 from ..streaming import folds, states
 from . import oracles
-from .tables import document_sentences, sections, segments, table, turns
+from .tables import document_sentences, documents, sections, segments, table, turns
 
 #: Similarities of invented prose are low: thresholds at which all routes occur.
 ACCEPT = config.Policy(confidence_accept_threshold=0.12)
@@ -57,7 +57,7 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.best_section(chunks.chunk_documents(table(spark, sf_dir, "documents")), sections(spark, sf_dir), 0.05)
+    return chunks.best_section(chunks.chunk_documents(documents(spark, sf_dir)), sections(spark, sf_dir), 0.05)
 
 
 def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def segment_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.chunk_documents(table(spark, sf_dir, "documents"))
+    return chunks.chunk_documents(documents(spark, sf_dir))
 
 
 @_query

@@ -17,6 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows in as many partitions as the session has cores, at least.
+
+    A small file is one split and so one task, and what is done to a text here costs far more than moving it. A table of
+    as many splits as cores stays as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of `documents`, for work on each text."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def sections(spark: SparkSession, sf_dir: str) -> list[config.Section]:
     """The first items of `benchmark` as a section schema; item 2 is optional; hints are the first eight tokens."""
     distinct = F.array_distinct(T.tokens("text"))
@@ -30,7 +45,7 @@ def made_up_confidence() -> Column:
 
 def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of `documents` with a made-up audio confidence."""
-    return segment.split_documents(table(spark, sf_dir, "documents")).withColumn("audio_confidence", made_up_confidence())
+    return segment.split_documents(documents(spark, sf_dir)).withColumn("audio_confidence", made_up_confidence())
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
