@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -132,6 +134,62 @@ def nearest_sections(vectors: DataFrame, centroids: DataFrame, k: int = 3, accep
     return rows.select("vec_id", F.col("best")[0]["section"].alias("section"), top.alias("confidence"), F.transform(others, lambda e: e["section"]).alias("alternatives"), (top < accept).alias("requires_review"))
 
 
+def _block(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return vectors, np.sqrt((vectors**2).sum(1))
+
+
+def _merged_top(scores: np.ndarray, sections: np.ndarray, held: list[list[tuple[float, int]]], k: int) -> list[list[tuple[float, int]]]:
+    """For each row the k highest of the scores and of those held, ties to the lesser section."""
+    n = min(k, scores.shape[1])
+    least = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+    out = []
+    for row, low, before in zip(scores, least, held):
+        at = np.nonzero(row >= low)[0]  # more than k where scores are equal
+        out.append(sorted(before + [(-float(row[j]), int(sections[j])) for j in at])[:k])
+    return out
+
+
+def nearest_of_many(vectors: DataFrame, centroids: DataFrame, k: int = 3, accept: float = 0.65, block_bytes: int = 64 << 20) -> DataFrame:
+    """nearest_sections for thousands of sections (section long, v): products of matrices over Arrow batches.
+
+    Sections are broadcast in blocks of about `block_bytes` at most, a pass over the vectors for each, and a row's k best
+    so far go with it from block to block. Vectors that are null, or of another length than the sections', have no section
+    and require a review. Without sections that is so for all.
+    """
+    spark = vectors.sparkSession
+    sized = centroids.filter("section is not null and v is not null").select(F.col("section").cast("long").alias("section"), F.col("v").cast("array<double>").alias("v"))
+    n, dims = sized.agg(F.count("*"), F.max(F.size("v"))).first()  # one row
+    blocks = max(1, -(-n * (dims or 0) * 8 // block_bytes))
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.array().cast("array<struct<down:double,section:bigint>>").alias("best"))
+    for b in range(blocks if n else 0):
+        # sections are dealt by hash, so a block has about its share of them
+        part = sized.filter(F.pmod(F.xxhash64("section"), F.lit(blocks)) == b).toArrow()
+        if not part.num_rows:
+            continue
+        matrix = np.array(part.column("v").combine_chunks().to_pylist(), np.float64)
+        held = spark.sparkContext.broadcast((*_block(matrix), part.column("section").to_numpy()))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            known, lengths, sections = held.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(at, 1024)
+                    lists, best = batch.column("embedding").to_pylist(), batch.column("best").to_pylist()
+                    fit = [i for i, v in enumerate(lists) if v is not None and len(v) == known.shape[1] and None not in v]
+                    if fit:
+                        own, size = _block(np.array([lists[i] for i in fit], np.float64))
+                        scores = np.round(own @ known.T / (np.outer(size, lengths) + 1e-9), 9)
+                        before = [[(x["down"], x["section"]) for x in best[i]] for i in fit]
+                        for i, top in zip(fit, _merged_top(scores, sections, before, k)):
+                            best[i] = [{"down": d, "section": s} for d, s in top]
+                    yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(best, batch.schema.field("best").type)], names=batch.schema.names)
+
+        rows = rows.mapInArrow(run, rows.schema)
+    first = F.get("best", F.lit(0))
+    others = F.filter(F.slice("best", 2, k), lambda e: -e["down"] > accept * 0.8)
+    return rows.select("vec_id", first["section"].alias("section"), (-first["down"]).alias("confidence"), F.transform(others, lambda e: e["section"]).alias("alternatives"), F.coalesce(-first["down"] < accept, F.lit(True)).alias("requires_review"))
+
+
 def accumulate_sessions(analyses: DataFrame, covered: int = 2) -> DataFrame:
     """Analyses of several transcripts of a job folded to one: counts add up, the best confidence stays."""
     rows = analyses.groupBy("job_id", "section_id", "section_ord", "title", "required").agg(F.sum("chunk_count").alias("chunk_count"), F.max("confidence").alias("confidence"))

@@ -178,6 +178,15 @@ def vector_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "section", _round("confidence"), F.array_join(F.transform("alternatives", lambda a: a.cast("string")), "|").alias("alternatives"), "requires_review")
 
 
+@_query
+def vector_top3_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth vector is a section's; all are placed among them."""
+    rows = table(spark, sf_dir, "embeddings")
+    known = rows.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("section"), F.col("embedding").alias("v"))
+    out = chunks.nearest_of_many(rows, known)
+    return out.select("vec_id", "section", _round("confidence"), F.array_join(F.transform("alternatives", lambda a: a.cast("string")), "|").alias("alternatives"), "requires_review")
+
+
 # Coverage
 
 

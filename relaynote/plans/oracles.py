@@ -481,6 +481,11 @@ near as (select job_id, sent_idx, text, {_cut.format("lag(text, 2) over w, lag(t
                 length(array_to_string(list_filter({_near}, lambda x: x is not null and x <> ''), ' ')) as n from sent window w as (partition by job_id order by sent_idx)),
 h as (select e.job_id, e.sent_idx, e.text, case when e.audio < 0.3 and not e.protected then n.b || ' < ' || e.text || ' > ' || n.a || ' (' || n.n || ')' else e.enhanced end as enhanced from e join near n using (job_id, sent_idx))
 select job_id, sent_idx, enhanced as enhanced_text, case when enhanced <> text then 0.85::double end as confidence from h"""
+ORACLES["vector_top3_sections"] = """with v as (select vec_id, embedding::double[] as u from embeddings),
+x as (select a.vec_id, b.vec_id as section, round(list_dot_product(a.u, b.u) / (sqrt(list_dot_product(a.u, a.u)) * sqrt(list_dot_product(b.u, b.u)) + 1e-9), 9) as c from v a join v b on b.vec_id % 5 = 0),
+t as (select *, row_number() over (partition by vec_id order by c desc, section) as rn from x)
+select vec_id, max(section) filter (where rn = 1) as section, round(max(c) filter (where rn = 1), 6) as confidence,
+       coalesce(string_agg(section, '|' order by rn) filter (where rn in (2, 3) and c > 0.65::double * 0.8), '') as alternatives, max(c) filter (where rn = 1) < 0.65 as requires_review from t where rn <= 3 group by vec_id"""
 
 
 def _machine() -> str:
