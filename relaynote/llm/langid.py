@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from .common import PAGE_BITS, save
 from .toxicity import fold
 
-#: A language's filter is learned from this many of its rows at most (on average: rows are picked by a hash threshold).
+#: A language's filter is learned from this many of its texts at most (rows are picked by a hash threshold).
 SAMPLE_ROWS = 5_000
 SIZES = (3, 4)
 #: Rows of the filters and bits that an n-gram sets: a language takes ROWS / 8 bytes, whatever the number of its n-grams.
 ROWS, HASHES = 1 << 22, 3
-#: Bytes of all filters, which are broadcast: more is an error (over 2000 languages).
-MOST_BYTES = 1 << 30
+#: Bytes of all filters, which the driver holds three times and broadcasts: more is an error (over 256 languages).
+MOST_BYTES = 1 << 27
 MOST_LANGUAGES = MOST_BYTES // (ROWS // 8)
 CHUNK = 1 << 20
 
@@ -46,10 +46,11 @@ def letter_codes(text: str) -> np.ndarray:
     return padded[np.concatenate(([True], (padded[1:] != 32) | (padded[:-1] != 32)))]
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each n-gram of the sizes."""
-    out = []
+def grams(codes: np.ndarray, before: int = 0) -> np.ndarray:
+    """A 64-bit hash of each n-gram of the sizes; of those that lie in the first `before` codes none."""
+    out, every = [], codes
     for n in SIZES:
+        codes = every[max(0, before - n + 1) :]
         if len(codes) < n:
             continue
         h = np.full(len(codes) - n + 1, n, np.uint64)
@@ -82,11 +83,7 @@ class LanguageFilter:
     def shares(self, text: str) -> np.ndarray | None:
         """Each language's share of the text's n-grams, corrected for false positives; None without a letter."""
         hits, n = np.zeros(8 * self.rows.shape[1]), 0
-        for at in range(0, len(text), CHUNK):
-            codes = letter_codes(text[at : at + CHUNK])
-            if len(codes) < 3:
-                continue
-            h = grams(codes)
+        for h in text_grams(text):
             n += len(h)
             for b, column in enumerate(self.languages_of(h).T):
                 hits[8 * b : 8 * b + 8] += np.bincount(column, minlength=256) @ _BITS
@@ -103,6 +100,31 @@ class LanguageFilter:
         return self.languages[best], float(shares[best]) / total if total else 0.0
 
 
+def parts_of(text: str) -> Iterator[str]:
+    """The text in parts of about CHUNK characters, cut at blanks only, so no word ends that does not end in the text."""
+    at = 0
+    while len(text) - at > CHUNK:
+        end = text.rfind(" ", at + 1, at + CHUNK)
+        end = end if end > 0 else text.find(" ", at + CHUNK)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def text_grams(text: str) -> Iterator[np.ndarray]:
+    """The n-grams of a text, as grams() has them, part by part: those that lie over a cut are there as well."""
+    carried = np.zeros(0, np.uint64)
+    for part in parts_of(text):
+        codes = letter_codes(part)
+        codes = np.concatenate((carried, codes[1:])) if len(carried) else codes  # the blank at a cut is there once
+        h = grams(codes, len(carried))
+        carried = codes[1 - max(SIZES) :]
+        if len(h):
+            yield h
+
+
 #: Bits of the numbers up to 255.
 _BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], float)
 
@@ -110,10 +132,12 @@ _BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], float)
 def sampled(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """lang and text of the rows to learn from: up to sample_rows a language, each text once."""
     known = rows.filter("text is not null and lang is not null").select("text", "lang")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    # the draw is by text, so the share follows from the number of different texts, whatever the number of copies
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError("the filters of all languages take over MOST_BYTES; set SAMPLE_ROWS and ROWS lower")
-    share = F.least(F.lit(1.0), sample_rows / F.col("n")) * float(1 << 30)
+    # nine tenths are aimed at, as the number is an estimate and the draw is by chance: the bound holds
+    share = F.least(F.lit(1.0), 0.9 * sample_rows / F.col("n")) * float(1 << 30)
     sizes = F.broadcast(rows.sparkSession.createDataFrame(sizes, "lang string, n long"))  # MOST_LANGUAGES rows at most
     picked = known.join(sizes, "lang").filter(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) < share)
     return picked.groupBy("lang", F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text")).select("lang", "text")
@@ -127,7 +151,7 @@ def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFilter:
             for at in range(0, whole.num_rows, 200):
                 batch, by = whole.slice(at, 200), {}
                 for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                    by.setdefault(lang, []).extend(grams(letter_codes(text[i : i + CHUNK])) for i in range(0, len(text), CHUNK))
+                    by.setdefault(lang, []).extend(text_grams(text))
                 for lang, found in by.items():
                     if found:
                         places = np.unique(np.concatenate(list(_places(np.unique(np.concatenate(found))))))

@@ -142,8 +142,9 @@ def fit_toxicity(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int
     """
     known = labelled.filter("toxic is not null").select(F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     known = known.withColumn("key", F.unhex(F.sha2("text", 256)))
-    n = labelled.filter("toxic is not null").count()
-    share = min(1.0, sample_rows / max(n, 1))
+    # the draw is by text, so the share follows from the number of different texts, whatever the number of copies
+    n = known.agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).first()[0]
+    share = min(1.0, 0.9 * sample_rows / max(n, 1))  # an estimate and a draw by chance stay within the bound
     picked = known.filter(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
     # Equal texts are one row, toxic if any of them is, whatever the order in which rows come.
     held = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(4)) == 0

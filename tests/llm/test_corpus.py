@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from relaynote.llm import langid, lm_score, mixing, packing, queries, topk, toxicity, warc
 
@@ -219,9 +220,40 @@ def test_each_language_is_sampled(spark):
     assert got["small"] == 30 and 500 <= got["big"] <= 1000
 
 
+def test_copies_do_not_shrink_the_sample(spark):
+    """A language of 301 texts, one of which 30,000 rows hold, is learned from all of them."""
+    copies = spark.range(30_000).select(F.lit("held by many").alias("text"), F.lit("few").alias("lang"))
+    own = spark.range(300).select(F.concat(F.lit("own "), F.col("id")).alias("text"), F.lit("few").alias("lang"))
+    assert langid.sampled(copies.unionByName(own), 5000).count() == 301
+    some = langid.sampled(copies.unionByName(own), 100).count()
+    assert 60 <= some <= 100  # about the bound, whatever the copies
+
+
+def test_ngrams_over_a_cut_are_there_once(monkeypatch):
+    rnd = random.Random(1)
+    for _ in range(200):
+        text = "".join(rnd.choice("abé  .\n日") for _ in range(rnd.randrange(80)))
+        want = sorted(langid.grams(langid.letter_codes(text)).tolist())
+        for size in (3, 7):
+            monkeypatch.setattr(langid, "CHUNK", size)
+            assert sorted(h for part in langid.text_grams(text) for h in part.tolist()) == want
+
+
 # Toxicity
 
 
+def test_a_label_of_few_texts_is_learned_beside_many_copies(spark):
+    """40 toxic texts and 20,000 copies of a clean one, with a bound of 200: all 81 texts are in the sample."""
+    few = [(i, f"vilewort you grubblob {i}" if i % 2 else f"fine words of calm {i}", i % 2) for i in range(80)]
+    rows = spark.createDataFrame(few, "doc_id long, text string, toxic int")
+    copies = spark.range(20_000).select(F.col("id"), F.lit("the same clean text").alias("text"), F.lit(0).alias("toxic")).withColumnRenamed("id", "doc_id")
+    model = toxicity.fit_toxicity(rows.unionByName(copies), sample_rows=200)
+    assert model.trees is not None
+    docs = spark.createDataFrame([(1, "vilewort you grubblob again"), (2, "fine words of calm again"), (3, "the same clean text")], "doc_id long, text string")
+    scores = {r["doc_id"]: r["_score"] for r in model.score(docs).collect()}
+    assert scores[1] > 0.5 > scores[2] and scores[3] < 0.5
+
+
 def test_features_are_what_they_say():
     of = toxicity.feature_function({"vile": 2.0, "grub~": 3.0})
     text = "You VILE grubblob! w0rd v*le, a.b you you far far far far far vile"
