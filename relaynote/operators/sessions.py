@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scores as S
 from ..functions import text as T
@@ -105,12 +104,3 @@ def apply_feedback(jobs: DataFrame, feedback: DataFrame) -> DataFrame:
     order = F.struct("at", "sent_idx", F.col("original_section").alias("original_section"), "corrected_section", "user")
     rows = feedback.groupBy("job_id").agg(F.sort_array(F.collect_list(order)).alias("human_feedback"))
     return jobs.join(rows, "job_id", "left").withColumn("human_feedback_count", F.coalesce(F.size("human_feedback"), F.lit(0)))
-
-
-def feedback_counts(feedback: DataFrame) -> DataFrame:
-    return feedback.groupBy("job_id").agg(F.count("*").alias("feedback_count"))
-
-
-def latest_per_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(*[F.desc(o) for o in order])
-    return rows.withColumn("place", F.row_number().over(w)).filter("place = 1").drop("place")

@@ -611,7 +611,18 @@ def recommended_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def model_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.model_info(spark)
+    """The models, their accuracy, and for how many of `documents` each is the one to take."""
+    taken = table(spark, sf_dir, "documents").groupBy(S.recommended_model("n_chars").alias("model")).agg(F.count("*").alias("documents"))
+    return serving.model_info(spark).join(F.broadcast(taken), "model", "left").select("model", "accuracy", F.coalesce("documents", F.lit(0)).alias("documents"))  # a row per model
+
+
+@_query
+def context_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`embeddings` as sentences of jobs of twenty, placed by a blend with their neighbours among five known sections."""
+    rows = table(spark, sf_dir, "embeddings")
+    known = {f"s{r['vec_id']}": r["embedding"] for r in rows.filter("vec_id < 5").orderBy("vec_id").collect()}  # five rows
+    sentences = rows.select(F.floor(F.col("vec_id") / 20).alias("job_id"), (F.col("vec_id") % 20).cast("int").alias("sent_idx"), F.col("embedding").alias("vector"))
+    return placement.infer_from_context(sentences, known).select("job_id", "sent_idx", "section_id", _round("similarity"))
 
 
 @_query

@@ -486,6 +486,14 @@ x as (select a.vec_id, b.vec_id as section, round(list_dot_product(a.u, b.u) / (
 t as (select *, row_number() over (partition by vec_id order by c desc, section) as rn from x)
 select vec_id, max(section) filter (where rn = 1) as section, round(max(c) filter (where rn = 1), 6) as confidence,
        coalesce(string_agg(section, '|' order by rn) filter (where rn in (2, 3) and c > 0.65::double * 0.8), '') as alternatives, max(c) filter (where rn = 1) < 0.65 as requires_review from t where rn <= 3 group by vec_id"""
+ORACLES["model_info"] = "with m(model, accuracy) as (values " + ", ".join(f"('{m}', {a}::double)" for m, a in config.MODEL_ACCURACY) + """),
+d as (select case when n_chars <= 1800 then 'base' else 'small' end as model, count(*) as n from documents group by all)
+select m.model, accuracy, coalesce(n, 0) as documents from m left join d on d.model = m.model"""
+ORACLES["context_inference"] = """with v as (select vec_id, vec_id // 20 as job_id, cast(vec_id % 20 as integer) as sent_idx, embedding::double[] as u from embeddings),
+near as (select *, list_filter([lag(u) over w, lead(u) over w, lag(u, 2) over w, lead(u, 2) over w], lambda x: x is not null) as near from v window w as (partition by job_id order by sent_idx)),
+blend as (select *, case when len(near) = 0 then u else list_transform(u, lambda x, i: 0.6::double * x + 0.4::double * (list_sum(list_transform(near, lambda n: n[i])) / len(near))) end as b from near),
+s as (select a.job_id, a.sent_idx, k.vec_id as k, list_dot_product(a.b, k.u) / (sqrt(list_dot_product(a.b, a.b)) * sqrt(list_dot_product(k.u, k.u)) + 1e-9) as c from blend a join v k on k.vec_id < 5)
+select job_id, sent_idx, case when c > 0.25 then 's' || k end as section_id, round(c, 6) as similarity from (select *, row_number() over (partition by job_id, sent_idx order by c desc, k) as rn from s) where rn = 1"""
 
 
 def _machine() -> str:
