@@ -1,13 +1,14 @@
 """Mixing of sources to target weights by subset-sum budget fitting.
 
 Rows are counted by exact length within each source. A source's target takes whole passes over the source first. The
-rest is a budget: every length gives its share of documents, rounded so that less than the longest document remains,
-and a bounded-knapsack dynamic program over what is left of the length counts fits all of the remaining budget. The
-documents of a length are those with the least seeded hashes.
+rest is a budget: of all but ROOM words of it every length gives its share of documents, and a bounded-knapsack dynamic
+program over what is left of the length counts fits all that remains. A budget of up to ROOM words is fitted by the program
+alone, so no other choice of documents comes nearer. The documents of a length are those with the least seeded hashes.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,19 +18,26 @@ from .common import WORD, rank_within, save
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = 7
+#: Words of a budget that are left to the dynamic program, at every size.
+ROOM = 1 << 16
 
 
-def fit(lengths: list[int], counts: list[int], budget: float) -> list[int]:
-    """How many documents of each length to take so that the words come as near to the budget as the program finds."""
+def fit(lengths: list[int], counts: list[int], budget: float, room: int = ROOM) -> list[int]:
+    """How many documents of each length to take so that the words come as near to the budget as the program finds.
+
+    Up to a budget of `room` that is the nearest sum there is.
+    """
     total = sum(n * x for n, x in zip(counts, lengths))
     if total == 0 or budget <= 0:
         return [0] * len(lengths)
-    share, rest, take = min(1.0, budget / total), 0.0, [0] * len(lengths)
+    early = max(0.0, min(budget, total) - room)
+    share, rest, take = early / total, 0.0, [0] * len(lengths)
     order = sorted((i for i, x in enumerate(lengths) if x), key=lambda i: -lengths[i])
     for i in order:  # words short of the share so far are carried on to the next length
         rest += share * counts[i] * lengths[i]
         take[i] = min(counts[i], int(rest // lengths[i]))
         rest -= take[i] * lengths[i]
+    rest = budget - sum(k * x for k, x in zip(take, lengths))
     more = _subset(lengths, [n - k for n, k in zip(counts, take)], rest)
     take = [k + m for k, m in zip(take, more)]
     rest -= sum(m * x for m, x in zip(more, lengths))
@@ -53,26 +61,32 @@ def _subset(lengths: list[int], counts: list[int], goal: float) -> list[int]:
     """Counts, up to those given, whose words come nearest to the goal: a bounded knapsack up to twice the goal."""
     take = [0] * len(lengths)
     room, aim = int(2 * max(goal, 0)), int(max(goal, 0))
-    # A bit of reach for each sum that can be made; an item is 1, 2, 4, ... documents of a length.
-    reach, mask, steps = 1, (1 << (room + 1)) - 1, []
+    # A bit of reach for each sum that can be made; an item is 1, 2, 4, ... documents of a length. Of each sum the item is
+    # kept that first made it: what it was added to was made by items before, so every item is used once at most.
+    reach, mask, items, first = 1, (1 << (room + 1)) - 1, [], np.full(room + 1, -1, np.int32)
     for i in sorted((i for i, x in enumerate(lengths) if x), key=lambda i: lengths[i]):
         left, pack, x = counts[i], 1, lengths[i]
         while left > 0 and pack * x <= room:
             n = min(pack, left)
-            new = (reach | reach << n * x) & mask
-            if new != reach:
-                steps.append((i, n, reach))
-                reach = new
+            new = reach << n * x & mask & ~reach
+            if new:
+                bits = np.frombuffer(new.to_bytes(room // 8 + 1, "little"), np.uint8)
+                at = np.nonzero(bits)[0]
+                made = np.unpackbits(bits[at], bitorder="little").reshape(-1, 8)
+                byte, bit = np.nonzero(made)
+                first[8 * at[byte] + bit] = len(items)
+                items.append((i, n))
+                reach |= new
             left -= n
             pack *= 2
-        if reach >> aim & 1:
+        if reach >> int(goal + 0.5) & 1:
             break
     sums = [_highest(reach & ((1 << (aim + 1)) - 1)), *([aim + 1 + _lowest(reach >> (aim + 1))] if reach >> (aim + 1) else [])]
     nearest = min(sums, key=lambda s: (abs(s - goal), s))
-    for i, n, before in reversed(steps):
-        if not before >> nearest & 1:
-            take[i] += n
-            nearest -= n * lengths[i]
+    while nearest:
+        i, n = items[first[nearest]]
+        take[i] += n
+        nearest -= n * lengths[i]
     return take
 
 
