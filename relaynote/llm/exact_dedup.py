@@ -57,8 +57,8 @@ def exact_dedup(docs: DataFrame, digest: Column | None = None, fanout: int = FAN
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty. The largest doc_id of a group
     stays. A null doc_id counts in group_size and never stays, unless the whole group has none: then keep_id is null
-    and every row is kept. Rows that repeat doc_id and text count each, and all have the same `kept`. An empty table
-    gives an empty result; other columns are ignored. `digest` (of the column `norm`) is for tests of collisions.
+    and every row is kept. Rows that repeat doc_id and text count each, and all have the same `kept`. Very long texts are
+    compared whole, by their digest and then by their bytes. An empty table gives an empty result; other columns are ignored. `digest` (of the column `norm`) is for tests of collisions.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     norm = ascii_lower(F.col("text"))

@@ -176,8 +176,9 @@ def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
 
     Languages are learned from rows with a lang whose crc32(doc_id as text) mod folds is not 0. lang_pred is `und`
     where the text is null or has no letter, or nothing could be learned; ties go to the language with the fewest
-    n-grams, then to the first name. score is the language's part of all corrected shares. Repeated rows are alike; a null doc_id counts as held out; an empty table
-    gives an empty result.
+    n-grams, then to the first name. score is the language's part of all corrected shares. Repeated rows are alike, and
+    are learned once; a null doc_id counts as held out; very long texts are read whole, in parts; other columns are
+    ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     held = F.coalesce(fold("doc_id", folds) == 0, F.lit(True))

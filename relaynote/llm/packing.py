@@ -205,7 +205,9 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (all long).
 
     A document is its token ids and end_id; a null or empty text is end_id alone. Repeated rows are packed each. A
-    null doc_id is packed like any other. An empty table gives an empty result.
+    null doc_id is packed like any other. Pieces of equal length are placed by a seeded hash of their rows, rows alike in any
+    order; very long texts are cut to as many sequences as they fill. Other columns are ignored. An empty table gives an
+    empty result.
     """
     spark: SparkSession = docs.sparkSession
     found = save(pieces(docs, tokenizer_path, sequence, end_id), "pieces")

@@ -133,7 +133,8 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFr
     Fingerprints of `words`-word shingles link at `bits` or fewer differing bits. component_id is the smallest doc_id
     that links reach. links counts the other distinct fingerprints linked directly. Null and empty texts have the
     fingerprint zero and are linked like any other. A null doc_id never names a component unless it has no other;
-    repeated rows count as rows with an equal fingerprint. An empty table gives an empty result.
+    repeated rows count as rows with an equal fingerprint. A bit that is set in just half of the hashes is 0. Very long
+    texts are read whole, other columns ignored. An empty table gives an empty result.
     """
     rows = save(fingerprints(docs, words), "fingerprints")
     marks = save(rows.groupBy("mark").agg(F.min("doc_id").alias("least")), "marks")

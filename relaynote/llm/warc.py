@@ -258,7 +258,9 @@ def archive(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     A null html is an empty payload. Of records with equal payloads of `least` bytes or more the one with the largest
     page_id is the response, and the others revisit it; rows that repeat its page_id are responses too, and so are all
     where no row has a page_id. A revisit's bytes come from the record that it refers to. A null page_id is kept as
-    null. An empty table gives an empty result.
+    null. Rows alike in page_id and html are a record each, of the same type; pages of one page_id and other payloads are
+    told apart by their digests. A very long page is one record, read whole. Other columns but url are ignored. An empty
+    table gives an empty result.
     """
     read = read_packages(write_packages(with_references(pages, least)))
     records = save(read.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"), "records")
