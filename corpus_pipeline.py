@@ -1,4 +1,8 @@
-"""A training-corpus pipeline of the operators in relaynote.llm: each stage works on what the stage before it kept."""
+"""A training-corpus pipeline of the operators in relaynote.llm: each stage works on what the stage before it kept.
+
+All stages take null and empty texts, null ids and sources, very long texts, repeated rows, extra columns with any names,
+and empty tables, which give empty results.
+"""
 
 from __future__ import annotations
 
@@ -24,7 +28,7 @@ def _beside(docs: DataFrame, names: tuple[str, ...], stage: Callable[[DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model accepts (predicted = 0)."""
+    """Documents that the toxicity model accepts (predicted = 0). Null texts are judged as empty ones, repeated rows alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return _beside(docs, ("held_out", "score", "predicted"), lambda d: toxicity(d, labels).filter("predicted = 0"))
 
@@ -35,17 +39,20 @@ def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies: five words, a cosine similarity of 0.8, as SimHash estimates it."""
+    """One document of each group of exact and near copies: five words, a cosine similarity of 0.8, as SimHash estimates it.
+
+    The least doc_id stays, a null one last; of rows that repeat doc_id and text one; null and empty texts are one group.
+    """
     return near_dedup(docs, measure="cosine").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; a null source is one of its own."""
     return mixed_rows(docs).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences."""
+    """Pieces of the documents and their places in sequences; a null or empty text is one end token."""
     return pack(docs, tokenizer_path())
 
 
