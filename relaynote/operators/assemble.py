@@ -183,3 +183,11 @@ def review_list(placed: DataFrame, most: int | None = None) -> DataFrame:
     if most is None:
         return out
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy("sent_idx"))).filter(F.col("rank") <= most).drop("rank")
+
+
+def documents(placed: DataFrame, coverage: DataFrame, overview: DataFrame) -> DataFrame:
+    """job_id and `document`, the JSON text of each job of `overview`, where no more is known of the jobs."""
+    from .document import as_json, document  # which is built on this module
+
+    jobs = overview.select("job_id", *[F.lit(None).cast(kind).alias(name) for name, kind in (("parent_job_id", coverage.schema["job_id"].dataType), ("timestamp", "string"), ("transcript", "string"))])
+    return as_json(document(placed, coverage, jobs))
