@@ -135,17 +135,23 @@ def fold(column: str, folds: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
 
 
+def draw(text: str) -> Column:
+    """What a text is drawn by. As a column of the documents it is there before they meet their labels, so texts that are
+    not drawn are never shuffled, and none is for the count of different texts."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.lit(3))
+
+
 def fit_toxicity(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, depth: int = DEPTH) -> ToxicityModel:
     """Fit on labelled rows (doc_id, text, toxic), on a sample of sample_rows at most. Texts that repeat count once.
 
     Rows with a null label are left out. If either label is missing, every score is the share of label 1, 0 without rows.
     """
-    known = labelled.filter("toxic is not null").select(F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    known = known.withColumn("key", F.unhex(F.sha2("text", 256)))
+    drawn = labelled if "draw" in labelled.columns else labelled.withColumn("draw", draw("text"))
+    known = drawn.filter("toxic is not null").select(F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"), "draw")
     # the draw is by text, so the share follows from the number of different texts, whatever the number of copies
-    n = known.agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).first()[0]
+    n = known.agg(F.approx_count_distinct("draw", 0.02)).first()[0]
     share = min(1.0, 0.9 * sample_rows / max(n, 1))  # an estimate and a draw by chance stay within the bound
-    picked = known.filter(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    picked = known.filter(F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30))).withColumn("key", F.unhex(F.sha2("text", 256)))
     # Equal texts are one row, toxic if any of them is, whatever the order in which rows come.
     held = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(4)) == 0
     sample = save(picked.groupBy("key").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).withColumn("held", held).repartition(6, "key"), "sample")
@@ -181,7 +187,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """
     names = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
     held = F.coalesce(fold("doc_id", folds) == 0, F.lit(True))
-    known = docs.filter(~held).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
+    known = docs.filter(~held).select("doc_id", "text", draw("text").alias("draw")).join(labels.select("doc_id", "toxic"), "doc_id")
     rows = docs.select(F.struct(*names).alias("row"), "text", held.alias("held_out"))  # no name can clash inside
     scored = fit_toxicity(known).score(rows)
     return scored.select("row.*", "held_out", F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
