@@ -102,12 +102,21 @@ def recommended_model(seconds: str | Column) -> Column:
 
 def sentence_quality(x: str | Column) -> Column:
     """struct(quality_score, word_count, avg_word_length, issues, status)."""
-    w = T.words(x)
-    n = F.size(w)
-    mean = F.when(n > 0, F.aggregate(w, F.lit(0), lambda s, v: s + F.char_length(v)) / n).otherwise(0.0)
-    issues = F.array_compact(F.array(F.when(n < 3, F.lit("too_short")), F.when(n > 100, F.lit("too_long")), F.when(mean > 20, F.lit("unusual_word_length"))))
-    score = F.greatest(F.lit(0), 100 - 10 * F.size(issues))
-    return F.struct(score.alias("quality_score"), n.alias("word_count"), mean.alias("avg_word_length"), issues.alias("issues"), F.when(score > 70, "acceptable").when(score > 40, "warning").otherwise("review_needed").alias("status"))
+
+    # Each step is bound: a text is split to words once, however often its figures are named.
+    def counted(w: Column) -> Column:
+        return F.struct(F.size(w).alias("n"), F.aggregate(w, F.lit(0), lambda s, v: s + F.char_length(v)).alias("chars"))
+
+    def judged(f: Column) -> Column:
+        n, mean = f["n"], F.when(f["n"] > 0, f["chars"] / f["n"]).otherwise(0.0)
+        issues = F.array_compact(F.array(F.when(n < 3, F.lit("too_short")), F.when(n > 100, F.lit("too_long")), F.when(mean > 20, F.lit("unusual_word_length"))))
+        return F.struct(n.alias("n"), mean.alias("mean"), issues.alias("issues"))
+
+    def scored(j: Column) -> Column:
+        score = F.greatest(F.lit(0), 100 - 10 * F.size(j["issues"]))
+        return F.struct(score.alias("quality_score"), j["n"].alias("word_count"), j["mean"].alias("avg_word_length"), j["issues"].alias("issues"), F.when(score > 70, "acceptable").when(score > 40, "warning").otherwise("review_needed").alias("status"))
+
+    return T.bound(T.bound(T.bound(T.words(x), counted), judged), scored)
 
 
 def coverage_status(count: Column, weak: str = "weak", most_weak: int = 1) -> Column:
