@@ -57,11 +57,8 @@ def literal_tokens(tokens: Sequence[str]) -> Column:
 
 
 def keyword_boost(lower_text: Column, hints: Sequence[str], step: float, most: float) -> Column:
-    hits = [F.contains(lower_text, F.lit(h.lower())).cast("int") for h in hints]
-    total = hits[0] if hits else F.lit(0)
-    for h in hits[1:]:
-        total = total + h
-    return F.least(F.lit(most), total * step)
+    hits = F.size(F.filter(literal_tokens([h.lower() for h in hints]), lambda h: F.contains(lower_text, h)))
+    return F.least(F.lit(most), hits * step)
 
 
 def transcript_quality(x: str | Column) -> Column:
