@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import config
+from ..functions import batches
 from ..functions import scores as S
 from ..functions import text as T
 from .coverage import section_list
@@ -43,22 +44,20 @@ def section_text(section: config.Section) -> str:
 
 
 def chunk_scores(sections: Sequence[config.Section], text: str = "chunk") -> Column:
-    return S.jaccards(F.array_distinct(T.tokens(text)), [list(dict.fromkeys(_TOKEN.findall(section_text(s).lower()))) for s in sections])
+    return batches.jaccards(F.array_distinct(T.tokens(text)), [list(dict.fromkeys(_TOKEN.findall(section_text(s).lower()))) for s in sections])
 
 
 def best_section(chunks: DataFrame, sections: Sequence[config.Section], threshold: float = 0.2) -> DataFrame:
     """chunks with section_ord, section_id, score, has_hint: a section with a hint in the chunk beats any without,
     then the higher score, then the earlier section. Without a hint the score must pass threshold - 0.01.
 
-    Scores and the lower-cased chunk are bound, and the best section comes by a generator: a filter on it is not pushed
-    below, where all would be computed again.
+    The best section comes by a generator: a filter on it is not pushed below, where all would be computed again.
     """
     found = F.col("scores") if "scores" in chunks.columns else chunk_scores(sections)
-    no_hint = lambda lower, s: ~F.exists(S.literal_tokens(hints_of(s)), lambda h: F.contains(lower, h))
-    entry = lambda x, i, s: F.struct(no_hint(x["lower"], s).alias("no_hint"), (-F.round(F.get(x["f"], F.lit(i)), 9)).alias("down"), F.lit(s.section_ord).alias("section_ord"), F.lit(s.section_id).alias("section_id"), F.get(x["f"], F.lit(i)).alias("score"))
-    fit = lambda x: F.filter(F.array(*[entry(x, i, s) for i, s in enumerate(sections)]), lambda e: ~e["no_hint"] | (e["score"] > threshold - 0.01))
-    best = T.bound(F.struct(found.alias("f"), F.lower("chunk").alias("lower")), lambda x: F.array_min(fit(x)))
-    rows = chunks.select("job_id", "chunk_idx", "chunk", F.explode(F.array(best)).alias("best"))
+    rows = chunks.select("job_id", "chunk_idx", "chunk", found.alias("found"), batches.contains_each(F.lower("chunk"), [hints_of(s) for s in sections]).alias("hinted"))
+    entry = lambda i, s: F.struct((~F.get("hinted", F.lit(i))).alias("no_hint"), (-F.round(F.get("found", F.lit(i)), 9)).alias("down"), F.lit(s.section_ord).alias("section_ord"), F.lit(s.section_id).alias("section_id"), F.get("found", F.lit(i)).alias("score"))
+    fit = F.filter(F.array(*[entry(i, s) for i, s in enumerate(sections)]), lambda e: ~e["no_hint"] | (e["score"] > threshold - 0.01))
+    rows = rows.select("job_id", "chunk_idx", "chunk", F.explode(F.array(F.array_min(fit))).alias("best"))
     return rows.select("job_id", "chunk_idx", "chunk", F.col("best.section_ord").alias("section_ord"), F.col("best.section_id").alias("section_id"), F.col("best.score").alias("score"), (~F.col("best.no_hint")).alias("has_hint"))
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from relaynote.functions import batches
 from relaynote.functions import scores as S
 from relaynote.functions import text as T
 
@@ -25,3 +26,26 @@ def test_needles_are_sought_without_a_pattern(spark):
     assert "RLIKE" not in plan(spark, T.contains_any(F.col("text"), ["a.b", "c|d", "x"]))
     rows = spark.createDataFrame([("a.b",), ("aab",), ("c|d",), ("c",), (None,), ("ax",)], "text string")
     assert [r[0] for r in rows.select(T.contains_any(F.col("text"), ["a.b", "c|d", "x"])).collect()] == [True, False, True, False, None, True]
+
+
+def test_scores_in_batches_are_those_of_rows(spark):
+    known = [["a", "b"], [], ["b", "c", "d"]]
+    rows = spark.createDataFrame([(0, ["a", "x"]), (1, []), (2, None), (3, ["b", "c", "d"]), (4, ["y"])], "i int, own array<string>").repartition(2)
+    got = {r["i"]: r["x"] for r in rows.select("i", batches.jaccards(F.col("own"), known).alias("x")).collect()}
+    assert got == {r["i"]: r["x"] for r in rows.select("i", S.jaccards(F.col("own"), known).alias("x")).collect()}
+
+
+def test_hints_and_places_in_batches(spark):
+    rows = spark.createDataFrame([(0, "one two"), (1, ""), (2, None)], "i int, text string")
+    assert [r[0] for r in rows.orderBy("i").select(batches.contains_each(F.col("text"), [["wo"], ["three", "ne t"], []])).collect()] == [[True, True, False], [False] * 3, [False] * 3]
+    scores = spark.createDataFrame([(0, [0.1, 0.3, 0.3, 0.2]), (1, [0.0] * 4), (2, None)], "i int, s array<double>")
+    assert [r[0] for r in scores.orderBy("i").select(batches.highest(F.col("s"), 3)).collect()][:2] == [[1, 2, 3], [0, 1, 2]]
+
+
+def test_best_section_is_not_computed_again_by_a_filter(spark):
+    from relaynote import config
+    from relaynote.operators import chunks
+
+    rows = spark.createDataFrame([(1, 0, "one two")], "job_id long, chunk_idx int, chunk string")
+    best = chunks.best_section(rows, [config.Section(0, "s0", "one", hints=("two",))]).filter("section_id is not null")
+    assert best._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1 and [r["section_id"] for r in best.collect()] == ["s0"]
