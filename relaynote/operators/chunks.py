@@ -15,6 +15,7 @@ from .. import config
 from ..functions import batches
 from ..functions import scores as S
 from ..functions import text as T
+from ..sources.versions import written
 from .coverage import section_list
 
 _TOKEN = re.compile(r"\w+")
@@ -148,16 +149,19 @@ def _merged_top(scores: np.ndarray, sections: np.ndarray, held: list[list[tuple[
     least = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
     out = []
     for row, low, before in zip(scores, least, held):
+        if len(before) == k:
+            low = max(low, -before[-1][0])
         at = np.nonzero(row >= low)[0]  # more than k where scores are equal
-        out.append(sorted(before + [(-float(row[j]), int(sections[j])) for j in at])[:k])
+        out.append(sorted(before + [(-float(row[j]), int(sections[j])) for j in at])[:k] if len(at) else before)
     return out
 
 
-def nearest_of_many(vectors: DataFrame, centroids: DataFrame, k: int = 3, accept: float = 0.65, block_bytes: int = 64 << 20) -> DataFrame:
+def nearest_of_many(vectors: DataFrame, centroids: DataFrame, k: int = 3, accept: float = 0.65, block_bytes: int = 64 << 20, tile: int = 4096) -> DataFrame:
     """nearest_sections for thousands of sections (section long, v): products of matrices over Arrow batches.
 
     Sections are broadcast in blocks of about `block_bytes` at most, a pass over the vectors for each, and a row's k best
-    so far go with it from block to block. Vectors that are null, or of another length than the sections', have no section
+    so far go with it from block to block. Rows are saved between the passes, so a task has one block at a time, and it
+    makes the scores of 1024 rows with `tile` sections at once, however many there are. Vectors that are null, or of another length than the sections', have no section
     and require a review. Without sections that is so for all.
     """
     spark = vectors.sparkSession
@@ -171,6 +175,8 @@ def nearest_of_many(vectors: DataFrame, centroids: DataFrame, k: int = 3, accept
         if not part.num_rows:
             continue
         matrix = np.array(part.column("v").combine_chunks().to_pylist(), np.float64)
+        if b:
+            rows = written(rows, "nearest")  # chained passes would run at once, each with its block in a process of its own
         held = spark.sparkContext.broadcast((*_block(matrix), part.column("section").to_numpy()))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -182,9 +188,12 @@ def nearest_of_many(vectors: DataFrame, centroids: DataFrame, k: int = 3, accept
                     fit = [i for i, v in enumerate(lists) if v is not None and len(v) == known.shape[1] and None not in v]
                     if fit:
                         own, size = _block(np.array([lists[i] for i in fit], np.float64))
-                        scores = np.round(own @ known.T / (np.outer(size, lengths) + 1e-9), 9)
-                        before = [[(x["down"], x["section"]) for x in best[i]] for i in fit]
-                        for i, top in zip(fit, _merged_top(scores, sections, before, k)):
+                        tops = [[(x["down"], x["section"]) for x in best[i]] for i in fit]
+                        for first in range(0, len(known), tile):
+                            of = slice(first, first + tile)
+                            scores = np.round(own @ known[of].T / (np.outer(size, lengths[of]) + 1e-9), 9)
+                            tops = _merged_top(scores, sections[of], tops, k)
+                        for i, top in zip(fit, tops):
                             best[i] = [{"down": d, "section": s} for d, s in top]
                     yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(best, batch.schema.field("best").type)], names=batch.schema.names)
 

@@ -37,3 +37,13 @@ def test_top_three_among_many(spark, block_bytes):
 def test_no_sections(spark):
     got = chunks.nearest_of_many(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>"), spark.createDataFrame([], "section long, v array<double>")).first()
     assert got["section"] is None and got["requires_review"]
+
+
+def test_tiles_and_blocks_have_the_rows_of_one_matrix(spark):
+    """Passes run one after the other: no plan holds two Python stages with a block each."""
+    vectors = spark.createDataFrame([(i, [float((i * 7 + d * 3) % 5) for d in range(4)]) for i in range(60)], "vec_id long, embedding array<double>")
+    known = vectors.filter("vec_id % 2 = 0").selectExpr("vec_id as section", "embedding as v")
+    whole = sorted(map(tuple, chunks.nearest_of_many(vectors, known).collect()))
+    tiled = chunks.nearest_of_many(vectors, known, block_bytes=300, tile=3)
+    assert tiled._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, tiled.collect())) == whole
