@@ -56,11 +56,6 @@ def literal_tokens(tokens: Sequence[str]) -> Column:
     return F.array(*[F.lit(t) for t in tokens]) if tokens else F.array().cast("array<string>")
 
 
-def keyword_boost(lower_text: Column, hints: Sequence[str], step: float, most: float) -> Column:
-    hits = F.size(F.filter(literal_tokens([h.lower() for h in hints]), lambda h: F.contains(lower_text, h)))
-    return F.least(F.lit(most), hits * step)
-
-
 def transcript_quality(x: str | Column) -> Column:
     """struct(total_length, word_count, issues, technical_terms, confidence_score, status)."""
     text = F.coalesce(T.c(x), F.lit(""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
@@ -49,25 +49,39 @@ def job_overview(coverage: DataFrame) -> DataFrame:
     )
 
 
-def required_summary(analysis: DataFrame) -> DataFrame:
-    """Per job over required sections: coverage (a fraction), confidence, risk, missing ones; and the state to recommend."""
-    need = analysis.filter("required")
-    n, partial = F.count("*"), F.sum(F.when(F.col("status") == "partial", 0.5).when(F.col("status") == "covered", 1.0).otherwise(0.0))
-    gone = F.sum((F.col("status") == "missing").cast("int"))
-    names = F.transform(F.sort_array(F.collect_list(F.when(F.col("status") == "missing", F.struct("section_ord", "section_id")))), lambda x: x["section_id"])
-    out = need.groupBy("job_id").agg((partial / n).alias("coverage_percentage"), F.avg("confidence").alias("confidence_score"), (gone / n * 0.5).alias("gap"), names.alias("missing_required_sections"))
+def _summarised(analysis: DataFrame, *more: Column) -> DataFrame:
+    """Per job with required sections what required_summary tells, and `more` aggregates over all its sections."""
+    need = F.col("required")
+    n = F.sum(need.cast("long"))
+    partial = F.sum(F.when(need, F.when(F.col("status") == "partial", 0.5).when(F.col("status") == "covered", 1.0).otherwise(0.0)))
+    gone = F.sum((need & (F.col("status") == "missing")).cast("int"))
+    names = F.transform(F.sort_array(F.collect_list(F.when(need & (F.col("status") == "missing"), F.struct("section_ord", "section_id")))), lambda x: x["section_id"])
+    out = analysis.groupBy("job_id").agg(n.alias("n"), partial.alias("partial"), F.avg(F.when(need, F.col("confidence"))).alias("confidence_score"), gone.alias("gone"), names.alias("missing_required_sections"), *more)
+    out = out.filter("n > 0").withColumn("coverage_percentage", F.col("partial") / F.col("n")).withColumn("gap", F.col("gone") / F.col("n") * 0.5)
     risk = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("coverage_percentage") + F.col("gap")))
     state = F.when(F.size("missing_required_sections") > 0, "Completed with Risk").otherwise("Pending Review")
-    return out.select("job_id", "coverage_percentage", "confidence_score", risk.alias("risk_score"), "missing_required_sections", state.alias("recommended_state"))
+    return out.withColumn("risk_score", risk).withColumn("recommended_state", state)
+
+
+def required_summary(analysis: DataFrame) -> DataFrame:
+    """Per job over required sections: coverage (a fraction), confidence, risk, missing ones; and the state to recommend."""
+    return _summarised(analysis).select("job_id", "coverage_percentage", "confidence_score", "risk_score", "missing_required_sections", "recommended_state")
 
 
 def report(analysis: DataFrame, tenant: str, project: str, team: str) -> DataFrame:
-    """One record per job: whose it is, the summary of the required sections, and the heat of every section in order."""
-    by_job = heatmap(analysis).groupBy("job_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("section_ord", "section_id", "heat"))), lambda x: F.struct(x["section_id"].alias("section_id"), x["heat"].alias("heat"))).alias("heatmap"))
+    """One record per job: whose it is, the summary of the required sections, and the heat of every section in order.
+
+    Both come from one aggregate, so the analysis is computed once.
+    """
+    heats = F.transform(F.sort_array(F.collect_list(F.struct("section_ord", "section_id", _heat().alias("heat")))), lambda x: F.struct(x["section_id"].alias("section_id"), x["heat"].alias("heat")))
     who = {"tenant": F.lit(tenant), "project": F.lit(project), "team": F.lit(team)}
-    return required_summary(analysis).join(by_job, "job_id").withColumns(who)
+    out = _summarised(analysis, heats.alias("heatmap"))
+    return out.select("job_id", "coverage_percentage", "confidence_score", "risk_score", "missing_required_sections", "recommended_state", "heatmap").withColumns(who)
+
+
+def _heat() -> Column:
+    return F.when(F.col("status") == "covered", F.col("confidence")).when(F.col("status") == "partial", 0.5 * F.col("confidence")).otherwise(0.0)
 
 
 def heatmap(analysis: DataFrame) -> DataFrame:
-    heat = F.when(F.col("status") == "covered", F.col("confidence")).when(F.col("status") == "partial", 0.5 * F.col("confidence")).otherwise(0.0)
-    return analysis.select("job_id", "section_id", "section_ord", heat.alias("heat"))
+    return analysis.select("job_id", "section_id", "section_ord", _heat().alias("heat"))

@@ -63,3 +63,15 @@ def test_audit_entries_of_a_stream_are_appended(spark, tmp_path):
         folds.audit_stream(stream, str(tmp_path / "log"), str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
     assert [r["timestamp"] for r in stores.audit_tail(spark, str(tmp_path / "log"), 2).collect()] == ["2024-01-02", "2024-01-03"]
     assert stores.audit_tail(spark, str(tmp_path / "log")).count() == 3
+
+
+def test_report_reads_the_analysis_once(spark):
+    from relaynote.operators import coverage
+
+    schema = "job_id long, section_id string, section_ord int, required boolean, status string, confidence double"
+    rows = [(1, "b", 1, False, "partial", 0.5), (1, "a", 0, True, "covered", 0.25), (1, "c", 2, True, "missing", 0.0), (2, "b", 1, False, "covered", 0.5)]
+    out = coverage.report(spark.createDataFrame(rows, schema), "t", "p", "m")
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    (r,) = out.collect()  # a job without required sections has no report
+    assert (r["job_id"], r["coverage_percentage"], r["confidence_score"], r["risk_score"]) == (1, 0.5, 0.125, 0.75)
+    assert r["missing_required_sections"] == ["c"] and [(h["section_id"], h["heat"]) for h in r["heatmap"]] == [("a", 0.25), ("b", 0.25), ("c", 0.0)]
