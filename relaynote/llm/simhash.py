@@ -264,11 +264,11 @@ def _groups(classes: DataFrame, bits: int) -> DataFrame:
 
 
 def _similar(similarity: float, measure: str):  # noqa: ANN202
-    """Whether texts of n and m distinct windows, `both` of them common, are similar; and whether they could be."""
+    """Whether texts of n and m distinct windows, `both` of them common, are similar; the same of columns, with a margin."""
     if measure == "jaccard":
-        return lambda n, m, both: both >= similarity * (n + m - both), lambda n, m: F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6
+        return lambda n, m, both: both >= similarity * (n + m - both), lambda n, m, both: both >= (n + m - both) * similarity - 1e-6
     if measure == "cosine":
-        return lambda n, m, both: both >= similarity * math.sqrt(n * m) - 1e-9, lambda n, m: F.least(n, m) >= F.greatest(n, m) * similarity**2 - 1e-6
+        return lambda n, m, both: both >= similarity * math.sqrt(n * m) - 1e-9, lambda n, m, both: both >= F.sqrt(n * m) * similarity - 1e-6
     raise ValueError(f"no such measure: {measure}")
 
 
@@ -315,6 +315,29 @@ def _alike(candidates: DataFrame, texts: DataFrame, words: int, similarity: floa
     return two.filter(alike("left", "right")).select("a", "b")
 
 
+def _windows(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(row_key, window) of each distinct window of the texts of the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = WordHashes()
+        for batch in batches:
+            for key, text in zip(batch.column("row_key"), batch.column("text")):
+                windows = np.unique(window_hashes(text.as_py(), words, of))
+                yield pa.record_batch({"row_key": pa.array(np.full(len(windows), key.as_py(), np.int64)), "window": pa.array(windows.view(np.int64))})
+
+    return texts.join(rows, "row_key", "left_semi").select("row_key", "text").mapInArrow(run, "row_key long, window long")
+
+
+def _met(rooted: DataFrame, windows: DataFrame) -> DataFrame:
+    """(row_key, met): how many windows of each row (row_key, root) also occur in a row of another component.
+
+    No text of another component has more of the row's windows, so a row that has met too few of them needs no pairs.
+    """
+    of = windows.join(rooted, "row_key")
+    shared = of.groupBy("window").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("window")
+    return of.join(shared, "window").groupBy("row_key").agg(F.count("*").alias("met"))
+
+
 def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """roots (node, root) of the components after further links (a, b): only ends in different components are looked at."""
     if roots is None:
@@ -337,14 +360,16 @@ def _roots(groups: DataFrame, texts: DataFrame, small: DataFrame, words: int, si
     have the same one in most groups. Then, in rounds, some rows outside a group's largest component are compared with
     all its rows in other components, and are then done with. A group is left when it is one component or none of its
     rows remains; eight times as many rows are taken each time, so a group of n rows has log n rounds. No pair is
-    compared twice, and in the rounds pairs are only made of texts whose sketches (small: row_key, sketch) are near.
+    compared twice, and in the rounds pairs are only made of texts whose sketches (small: row_key, sketch, bands) are near,
+    and of which each has enough windows that occur in other components at all; a row that has too few for any is done
+    with. Two texts that share several bands make one pair, not one in each of their groups.
     """
     could, likely = _similar(similarity, measure)[1], _likely(similarity, measure)
     first = groups.groupBy("part").agg(F.min(F.struct(F.xxhash64("row_key"), F.col("row_key").alias("x"), F.col("n").alias("nx"))).alias("f"))
     stars = groups.join(first.select("part", "f.x", "f.nx"), "part")
-    new = stars.filter((F.col("x") != F.col("row_key")) & could(F.col("n"), F.col("nx")))
+    new = stars.filter((F.col("x") != F.col("row_key")) & could(F.col("n"), F.col("nx"), F.least("n", "nx")))
     groups = save(stars.filter("x <> row_key").select("part", "row_key", "n"), "groups")
-    tested = roots = None
+    tested = roots = windows = None
     most = FIRST_CENTRES
     for k in range(64):
         pairs = new.select(F.least("x", "row_key").alias("a"), F.greatest("x", "row_key").alias("b")).distinct()
@@ -358,15 +383,25 @@ def _roots(groups: DataFrame, texts: DataFrame, small: DataFrame, words: int, si
         members = groups.join(named, "row_key", "left").withColumn("root", F.coalesce("root", "row_key"))
         parts = members.groupBy("part", "root").agg(F.count("*").alias("size"))
         open_ = parts.groupBy("part").agg(F.max(F.struct("size", "root"))["root"].alias("main"), (F.sum("size") - F.max("size")).alias("outside")).filter("outside > 0")
+        opened = save(members.join(open_, "part"), "opened")
+        rows = save(opened.select("row_key", "root").distinct(), "rows")
+        if windows is None:
+            windows = save(_windows(rows, texts, words), "windows")
+        # The least partner that a row can have is one whose windows are all in the row.
+        enough = F.col("met") >= F.col("n") * (similarity if measure == "jaccard" else similarity**2) - 1e-6
         # One hash for all groups: groups with the same rows take the same ones.
         place = F.shiftrightunsigned(F.xxhash64("row_key", F.lit(k)), 33).cast("double") / float(1 << 31)
-        opened = members.join(open_, "part").withColumn("taken", (F.col("root") != F.col("main")) & (place * F.col("outside") < most))
-        before, members = groups, save(opened.join(small, "row_key"), "members")
-        forget(before)
+        met = opened.join(_met(rows, windows), "row_key").filter(enough).withColumn("taken", (F.col("root") != F.col("main")) & (place * F.col("outside") < most))
+        before, members = groups, save(met.join(small, "row_key"), "members")
+        forget(before, opened, rows)
         if members.isEmpty():
+            forget(windows)
             return roots
-        centre = members.filter("taken").select("part", F.col("row_key").alias("x"), F.col("root").alias("of"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
-        meets = (F.col("root") != F.col("of")) & could(F.col("n"), F.col("nx")) & likely(F.col("n"), F.col("nx"), F.col("sketch"), F.col("sx"))
+        centre = members.filter("taken").select("part", F.col("row_key").alias("x"), F.col("root").alias("of"), F.col("n").alias("nx"), F.col("sketch").alias("sx"), F.col("bands").alias("bx"), F.col("met").alias("mx"))
+        meets = (F.col("root") != F.col("of")) & could(F.col("n"), F.col("nx"), F.least("met", "mx", "n", "nx")) & likely(F.col("n"), F.col("nx"), F.col("sketch"), F.col("sx"))
+        # Texts that share several bands make a pair in the group of the least one only. Each group is carried on to its
+        # end, so the pair is made there, in this round or a later one.
+        meets = meets & (~F.array_contains("bands", F.col("part")) | (F.array_min(F.array_intersect("bands", "bx")) == F.col("part")))
         new = members.join(centre, "part").filter(meets)
         groups = save(members.filter("not taken").select("part", "row_key", "n"), "groups")
         most *= 8
@@ -397,7 +432,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: i
     some = docs.select(number(F.col("doc_id").cast("long")).alias("number"), F.coalesce("text", F.lit("")).alias("text"))
     some = may_contain(some, F.col("number"), bit_filter(wanted, "number", size), size).withColumn("body", body_of(F.col("text")))
     texts = save(some.join(wanted, ["number", "body"]).dropDuplicates(["row_key"]).select("row_key", "text"), "texts")
-    small = save(classes.join(wanted.select("row_key"), "row_key", "left_semi").select("row_key", "sketch"), "sketch")
+    small = save(classes.join(wanted.select("row_key"), "row_key", "left_semi").select("row_key", "sketch", "bands"), "sketch")
     roots = _roots(groups, texts, small, words, similarity, measure)
     grouped = classes.select("row_key", "least").join(roots.withColumnRenamed("node", "row_key"), "row_key")
     best = grouped.groupBy("root").agg(F.min("least").alias("best"))

@@ -281,3 +281,24 @@ def test_sketches_agree_in_as_many_bins_as_the_similarity_says(spark):
     got = table.select("id", simhash.bins_alike(table.x, table.y).alias("same"), simhash._likely(0.8, "cosine")(table.n, table.n, table.x, table.y).alias("likely")).orderBy("id").collect()
     assert [r["same"] for r in got] == alike
     assert sum(r["likely"] for r in got) >= 0.97 * len(rows)
+
+
+def test_near_dedup_makes_no_pairs_of_texts_whose_own_windows_are_too_many(spark, monkeypatch):
+    rnd, places = random.Random(9), range(10, 290, 20)
+    base = [f"v{rnd.randrange(4000)}" for _ in range(300)]
+    rows = []
+    for i in range(120):  # just below the threshold: all others have the other windows too
+        t = list(base)
+        for at in places:
+            t[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(t), "s"))
+    sets, compared, alike = [shingles(t) for _, t, _ in rows], [], simhash._alike
+    assert 0.75 < len(sets[0] & sets[1]) / len(sets[0]) < 0.8
+
+    def counted(candidates, *rest):
+        compared.append(candidates.count())
+        return alike(candidates, *rest)
+
+    monkeypatch.setattr(simhash, "_alike", counted)
+    assert simhash.near_dedup(table(spark, rows), measure="cosine").count() == 120
+    assert sum(compared) < 10 * 120, compared  # those of the stars; there are 7140
