@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,6 +59,17 @@ def quality_report(coverage: DataFrame, classified: DataFrame) -> DataFrame:
     return c.join(s, "job_id", "left").select("job_id", "coverage_percent", F.coalesce("mean", F.lit(0.5)).alias("average_confidence"), F.lit(0.0).alias("duplicate_rate"))
 
 
+def sentence_report(ranked: DataFrame, jobs: DataFrame, sections: Sequence[config.Section]) -> DataFrame:
+    """quality_report from sentences with their primary section, in one aggregate, so that they are scored once."""
+    covered = F.collect_set(F.col("primary.section_id"))
+    s = ranked.groupBy("job_id").agg(covered.alias("covered"), F.avg(F.coalesce(F.col("primary.confidence"), F.lit(0.5))).alias("mean"))
+    of = F.filter(F.array(*[F.lit(x.section_id) for x in sections]).cast("array<string>"), lambda x: F.array_contains("covered", x))
+    percent = F.size(of) / max(1, len(sections)) * 100
+    every = jobs.select("job_id").distinct().filter(F.lit(len(sections) > 0))
+    out = every.join(s.withColumn("coverage_percent", percent), "job_id", "left")
+    return out.select("job_id", F.coalesce("coverage_percent", F.lit(0.0)).alias("coverage_percent"), F.coalesce("mean", F.lit(0.5)).alias("average_confidence"), F.lit(0.0).alias("duplicate_rate"))
+
+
 def model_info(spark: SparkSession) -> DataFrame:
     """The transcription models and the accuracy that each is taken to have."""
     return spark.createDataFrame([*config.MODEL_ACCURACY], "model string, accuracy double")

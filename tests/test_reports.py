@@ -3,8 +3,12 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from relaynote.operators import placement, serving
+from relaynote import config
+from relaynote.functions import text as T
+from relaynote.operators import classify, coverage, placement, serving
+from relaynote.plans import catalogue
 from relaynote.sources import stores
 from relaynote.streaming import folds
 
@@ -75,3 +79,19 @@ def test_report_reads_the_analysis_once(spark):
     (r,) = out.collect()  # a job without required sections has no report
     assert (r["job_id"], r["coverage_percentage"], r["confidence_score"], r["risk_score"]) == (1, 0.5, 0.125, 0.75)
     assert r["missing_required_sections"] == ["c"] and [(h["section_id"], h["heat"]) for h in r["heatmap"]] == [("a", 0.25), ("b", 0.25), ("c", 0.0)]
+
+
+def test_sentence_report_scores_once_and_equals_the_report_of_coverage_and_classified(spark):
+    secs = [config.Section(0, "s0", "Deploy steps", True, "deploy the service", ("deploy",)), config.Section(1, "s1", "Alerts", False, "alert rules", ("alert",))]
+    rows = spark.createDataFrame([(1, 0, "Deploy the service now.", 0.5), (1, 1, "  ", 0.5), (1, 2, "An alert rule.", 0.5), (2, 0, "", 0.5), (None, 0, "Deploy.", 0.5)], "job_id long, sent_idx int, text string, audio_confidence double")
+    jobs = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "job_id long")
+    want = serving.quality_report(coverage.section_coverage(classify.classify(rows, secs), jobs, secs), classify.classify(rows, secs))
+    scored = classify.scored(rows, secs).withColumn("text", F.when(T.strip("text") != "", "said").otherwise(""))
+    got = serving.sentence_report(classify.ranked(classify.with_context(scored, secs), secs), jobs, secs)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert serving.sentence_report(classify.ranked(classify.with_context(scored, secs), secs), jobs, []).count() == 0
+
+
+def test_quality_report_reads_the_texts_once(spark):
+    plan = catalogue.queries()["quality_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Generate posexplode" in line]) == 1
