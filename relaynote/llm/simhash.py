@@ -28,6 +28,8 @@ SEED = 42
 BINS, BANDS = 128, 32
 #: Rows of a group that are compared with all others in the first round after the first star; eight times as many follow.
 FIRST_CENTRES = 8
+#: Rows of a group that is compared without counting its rows' windows first: it makes so many pairs a row at most.
+SMALL_GROUP = 16
 #: In the rounds after the first star pairs are made only of texts whose sketches agree in as many bins as similar texts
 #: do, less so many standard deviations: 98 of 100 pairs just at the least Jaccard similarity that can do, nearly all above.
 DEVIATIONS = 2.0
@@ -316,26 +318,26 @@ def _alike(candidates: DataFrame, texts: DataFrame, words: int, similarity: floa
 
 
 def _windows(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(row_key, window) of each distinct window of the texts of the rows."""
+    """(row_key, root, window) of each distinct window of the texts of the rows (row_key, root)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = WordHashes()
         for batch in batches:
-            for key, text in zip(batch.column("row_key"), batch.column("text")):
+            for key, root, text in zip(batch.column("row_key"), batch.column("root"), batch.column("text")):
                 windows = np.unique(window_hashes(text.as_py(), words, of))
-                yield pa.record_batch({"row_key": pa.array(np.full(len(windows), key.as_py(), np.int64)), "window": pa.array(windows.view(np.int64))})
+                same = lambda x: pa.array(np.full(len(windows), x.as_py(), np.int64))
+                yield pa.record_batch({"row_key": same(key), "root": same(root), "window": pa.array(windows.view(np.int64))})
 
-    return texts.join(rows, "row_key", "left_semi").select("row_key", "text").mapInArrow(run, "row_key long, window long")
+    return texts.join(rows, "row_key").select("row_key", "root", "text").mapInArrow(run, "row_key long, root long, window long")
 
 
-def _met(rooted: DataFrame, windows: DataFrame) -> DataFrame:
-    """(row_key, met): how many windows of each row (row_key, root) also occur in a row of another component.
+def _met(windows: DataFrame) -> DataFrame:
+    """(row_key, met): how many windows of each row (row_key, root, window) also occur in a row of another component.
 
     No text of another component has more of the row's windows, so a row that has met too few of them needs no pairs.
     """
-    of = windows.join(rooted, "row_key")
-    shared = of.groupBy("window").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("window")
-    return of.join(shared, "window").groupBy("row_key").agg(F.count("*").alias("met"))
+    shared = windows.groupBy("window").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("window")
+    return windows.join(shared, "window", "left_semi").groupBy("row_key").agg(F.count("*").alias("met"))
 
 
 def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -361,15 +363,15 @@ def _roots(groups: DataFrame, texts: DataFrame, small: DataFrame, words: int, si
     all its rows in other components, and are then done with. A group is left when it is one component or none of its
     rows remains; eight times as many rows are taken each time, so a group of n rows has log n rounds. No pair is
     compared twice, and in the rounds pairs are only made of texts whose sketches (small: row_key, sketch, bands) are near,
-    and of which each has enough windows that occur in other components at all; a row that has too few for any is done
-    with. Two texts that share several bands make one pair, not one in each of their groups.
+    and, in groups of over SMALL_GROUP rows, of which each has enough windows that occur in other components of such groups
+    at all; a row that has too few for any is done with there. Two texts that share several bands make one pair, not one in each of their groups.
     """
     could, likely = _similar(similarity, measure)[1], _likely(similarity, measure)
     first = groups.groupBy("part").agg(F.min(F.struct(F.xxhash64("row_key"), F.col("row_key").alias("x"), F.col("n").alias("nx"))).alias("f"))
     stars = groups.join(first.select("part", "f.x", "f.nx"), "part")
     new = stars.filter((F.col("x") != F.col("row_key")) & could(F.col("n"), F.col("nx"), F.least("n", "nx")))
     groups = save(stars.filter("x <> row_key").select("part", "row_key", "n"), "groups")
-    tested = roots = windows = None
+    tested = roots = None
     most = FIRST_CENTRES
     for k in range(64):
         pairs = new.select(F.least("x", "row_key").alias("a"), F.greatest("x", "row_key").alias("b")).distinct()
@@ -382,20 +384,18 @@ def _roots(groups: DataFrame, texts: DataFrame, small: DataFrame, words: int, si
         named = roots.select(F.col("node").alias("row_key"), "root")
         members = groups.join(named, "row_key", "left").withColumn("root", F.coalesce("root", "row_key"))
         parts = members.groupBy("part", "root").agg(F.count("*").alias("size"))
-        open_ = parts.groupBy("part").agg(F.max(F.struct("size", "root"))["root"].alias("main"), (F.sum("size") - F.max("size")).alias("outside")).filter("outside > 0")
-        opened = save(members.join(open_, "part"), "opened")
-        rows = save(opened.select("row_key", "root").distinct(), "rows")
-        if windows is None:
-            windows = save(_windows(rows, texts, words), "windows")
+        open_ = parts.groupBy("part").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.sum("size").alias("all"), (F.sum("size") - F.max("size")).alias("outside")).filter("outside > 0")
+        opened = save(members.join(open_, "part").withColumn("large", F.col("all") > SMALL_GROUP).drop("all"), "opened")
+        windows = save(_windows(opened.filter("large").select("row_key", "root").distinct(), texts, words), "windows")
         # The least partner that a row can have is one whose windows are all in the row.
         enough = F.col("met") >= F.col("n") * (similarity if measure == "jaccard" else similarity**2) - 1e-6
         # One hash for all groups: groups with the same rows take the same ones.
         place = F.shiftrightunsigned(F.xxhash64("row_key", F.lit(k)), 33).cast("double") / float(1 << 31)
-        met = opened.join(_met(rows, windows), "row_key").filter(enough).withColumn("taken", (F.col("root") != F.col("main")) & (place * F.col("outside") < most))
+        met = opened.join(_met(windows), "row_key", "left").withColumn("met", F.when(F.col("large"), F.coalesce("met", F.lit(0))).otherwise(F.col("n")))
+        met = met.filter(enough).withColumn("taken", (F.col("root") != F.col("main")) & (place * F.col("outside") < most))
         before, members = groups, save(met.join(small, "row_key"), "members")
-        forget(before, opened, rows)
+        forget(before, opened, windows)
         if members.isEmpty():
-            forget(windows)
             return roots
         centre = members.filter("taken").select("part", F.col("row_key").alias("x"), F.col("root").alias("of"), F.col("n").alias("nx"), F.col("sketch").alias("sx"), F.col("bands").alias("bx"), F.col("met").alias("mx"))
         meets = (F.col("root") != F.col("of")) & could(F.col("n"), F.col("nx"), F.least("met", "mx", "n", "nx")) & likely(F.col("n"), F.col("nx"), F.col("sketch"), F.col("sx"))

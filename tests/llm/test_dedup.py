@@ -163,6 +163,29 @@ def test_components_of_paths_and_stars(spark):
     assert len(set(got.values())) == 3
 
 
+@pytest.mark.parametrize("local", [0, 100, 1 << 18])
+def test_components_are_the_same_by_rounds_and_in_one_task(spark, monkeypatch, local):
+    monkeypatch.setattr(common, "LOCAL_EDGES", local)
+    saves, save = [], common.save
+    monkeypatch.setattr(common, "save", lambda df, label, **options: saves.append(label) or save(df, label, **options))
+    rnd = random.Random(5)
+    edges = [(i, i + 1) for i in range(400)] + [(rnd.randrange(1000, 1600), rnd.randrange(1000, 1600)) for _ in range(250)]
+    root = {n: n for e in edges for n in e if e[0] != e[1]}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        if a != b:
+            root[find(a)] = find(b)
+    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got) == set(root)
+    assert len({(got[n], find(n)) for n in got}) == len(set(got.values())) == len({find(n) for n in root})
+    assert local < 1000 or len(saves) == 2  # small graphs need no rounds
+
+
 def shingles(text, n=5):
     w = lower(text).encode().split()
     return {tuple(w[i : i + n]) for i in range(max(len(w) - n + 1, 1))} if w else set()
@@ -302,3 +325,23 @@ def test_near_dedup_makes_no_pairs_of_texts_whose_own_windows_are_too_many(spark
     monkeypatch.setattr(simhash, "_alike", counted)
     assert simhash.near_dedup(table(spark, rows), measure="cosine").count() == 120
     assert sum(compared) < 10 * 120, compared  # those of the stars; there are 7140
+
+
+def test_near_dedup_counts_windows_of_large_groups_only(spark, monkeypatch):
+    rnd, rows, counted, met = random.Random(10), [], [], simhash._met
+    for family in range(20):  # six texts each, near one another and below the threshold
+        base = [f"v{rnd.randrange(4000)}" for _ in range(300)]
+        for k in range(6):
+            t = list(base)
+            for at in range(10, 290, 18):
+                t[at] = f"own{family}x{k}x{at}"
+            rows.append((family * 10 + k, " ".join(t), "s"))
+
+    def seen(windows):
+        counted.append(windows.count())
+        return met(windows)
+
+    monkeypatch.setattr(simhash, "_met", seen)
+    got = simhash.near_dedup(table(spark, rows), measure="cosine")
+    assert got.count() == len(rows)
+    assert counted and not sum(counted)
