@@ -9,6 +9,7 @@ their rank among the remainders of their length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,7 +17,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,31 +26,31 @@ SEQUENCE = 4096
 END_ID = 2
 SEED = 11
 #: Bytes of words and their ids that a Python worker keeps, words and pre-tokens each.
-CACHED_BYTES = 40 << 20
+CACHED_BYTES = 80 << 20
 #: Pre-tokens that are encoded in one call.
 JOINED = 512
 
 # The tokenizer's own split into pre-tokens (after the line feed, which parts the words here), and words
 # with other characters than those for which Python's and the tokenizer's normalisation and classes surely agree:
 # visible ones below U+0180 but for soft hyphen and dotted capital I. Words that may hold a special token are among them.
-_PRE_TOKENS = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_ODD = regex.compile(r"[^\n]*?(?:[^\n!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f]|<\|)[^\n]*")
+# Of those characters, in lower case, the letters and the numbers are written out.
+_LETTERS, _NUMBERS = r"A-Za-zªµºÀ-ÖØ-öø-ſ", r"0-9²³¹¼-¾"
+_PRE_TOKENS = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\n{_LETTERS}{_NUMBERS}]+")
+_ODD = re.compile(r"[^\n!-~¡-¬®-įı-ſ]|<\|")
 _CUT = 0xFFFFFFFF  # no token
 
 
 class _Kept(dict):
-    """A cache of ids that is emptied beyond CACHED_BYTES."""
+    """A cache that is emptied beyond CACHED_BYTES."""
 
     size = 0
 
-    def add(self, keys: list[bytes] | list[str], ids: list[bytes]) -> None:
-        self.update(zip(keys, ids))
-        self.size += 150 * len(keys) + sum(map(len, keys)) + sum(map(len, ids))  # with the objects' own size, about
-
-    def bound(self) -> None:
-        if self.size > CACHED_BYTES:
-            self.clear()
-            self.size = 0
+    def full(self) -> bool:
+        if self.size <= CACHED_BYTES:
+            return False
+        self.clear()
+        self.size = 0
+        return True
 
 
 def _cut(ids: np.ndarray, before: np.ndarray) -> list[bytes]:
@@ -59,11 +59,35 @@ def _cut(ids: np.ndarray, before: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
+class _Runs:
+    """Runs of ids one after the other, by their numbers; run 0 is empty."""
+
+    def __init__(self) -> None:
+        self.ids, self.ends, self.n, self.runs = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), 0, 1
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.n + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.runs + len(lengths) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[self.n : self.n + len(ids)] = ids
+        self.ends[self.runs : self.runs + len(lengths)] = self.n + np.cumsum(lengths)
+        self.n, self.runs = self.n + len(ids), self.runs + len(lengths)
+
+    def joined(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the runs in a row, and the length of each."""
+        start = self.ends[np.maximum(of - 1, 0)]
+        lengths = self.ends[of] - start
+        before = np.cumsum(lengths) - lengths
+        return self.ids[np.repeat(start - before, lengths) + np.arange(lengths.sum())], lengths
+
+
 class WordIds:
     """Ids of texts, as little-endian unsigned 32-bit integers, word by word.
 
     The tokenizer drops white space and treats what lies between by itself, so words are kept, and so are pre-tokens,
-    for words that differ in case or punctuation only. New pre-tokens are encoded together: the last token of each ends
+    for words that differ in case or punctuation only. A batch of texts is split, and its different words are found,
+    by Arrow; only those are looked up one by one. New pre-tokens are encoded together: the last token of each ends
     in the suffix of word ends. Words with odd characters go whole to the tokenizer.
     """
 
@@ -78,7 +102,7 @@ class WordIds:
         self.ends = np.zeros(self.whole.get_vocab_size(), bool)
         for token, i in self.whole.get_vocab().items():
             self.ends[i] = token.endswith(suffix)
-        self.words, self.pre_tokens = _Kept(), _Kept()
+        self.words, self.pre_tokens, self.runs = _Kept({"": 0}), _Kept(), _Runs()
 
     def _encode(self, pre_tokens: list[str]) -> None:
         for at in range(0, len(pre_tokens), JOINED):
@@ -87,35 +111,53 @@ class WordIds:
             found = _cut(ids, np.nonzero(self.ends[ids[:-1]])[0] + 1)
             if len(found) != len(some):
                 raise ValueError("the tokenizer does not end each pre-token with its suffix")
-            self.pre_tokens.add(some, found)
-
-    def _add(self, words: list[bytes]) -> None:
-        joined = b"\n".join(words).decode()
-        odd = list(set(_ODD.findall(joined)))
-        for at in range(0, len(odd), JOINED):
-            found = self.whole.encode_batch_fast(odd[at : at + JOINED], add_special_tokens=False)
-            self.words.add([w.encode() for w in odd[at : at + JOINED]], [np.array(e.ids, "<u4").tobytes() for e in found])
-        if odd:
+            self.pre_tokens.update(zip(some, found))
+            self.pre_tokens.size += 150 * len(some) + sum(map(len, some)) + sum(map(len, found))  # with the objects' own size, about
+
+    def _keep(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.words.update(zip(words, range(self.runs.runs, self.runs.runs + len(words))))
+        self.words.size += 170 * len(words) + 2 * sum(map(len, words)) + 4 * len(ids)
+        self.runs.add(ids, lengths)
+
+    def _add(self, words: list[str]) -> None:
+        joined = "\n".join(words)
+        if _ODD.search(joined):
+            odd = [w for w in words if _ODD.search(w)]
+            for at in range(0, len(odd), JOINED):
+                found = [e.ids for e in self.whole.encode_batch_fast(odd[at : at + JOINED], add_special_tokens=False)]
+                self._keep(odd[at : at + JOINED], np.array([i for x in found for i in x], "<u4"), np.array([len(x) for x in found]))
             words = [w for w in words if w not in self.words]
-            joined = b"\n".join(words).decode()
+            joined = "\n".join(words)
         if not words:
             return
         pre = _PRE_TOKENS.findall(joined.lower())
-        self.pre_tokens.bound()
+        self.pre_tokens.full()
         self.pre_tokens["\n"] = np.array([_CUT], "<u4").tobytes()
         self._encode([p for p in set(pre) if p not in self.pre_tokens])
         ids = np.frombuffer(b"".join(map(self.pre_tokens.__getitem__, pre)), "<u4")
-        whole = ids != _CUT
-        self.words.add(words, _cut(ids[whole], np.cumsum(whole)[~whole]))
+        ends = np.append(np.nonzero(ids == _CUT)[0], len(ids))
+        self._keep(words, ids[ids != _CUT], np.diff(ends, prepend=-1) - 1)
+
+    def runs_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has."""
+        if self.words.full():
+            self.words[""], self.runs = 0, _Runs()
+        split = pc.ascii_split_whitespace(texts)  # an empty word at an end that is white space
+        words = split.flatten().dictionary_encode()
+        known, n = words.dictionary, len(words.dictionary)
+        kinds = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), known), "\n")[0].as_py().split("\n") if n else []
+        if missing := [w for w in kinds if w not in self.words]:
+            self._add(missing)
+        number = np.fromiter(map(self.words.__getitem__, kinds), np.int64, n)
+        ids, lengths = self.runs.joined(number[words.indices.to_numpy()] if n else np.zeros(0, np.int64))
+        before = np.concatenate(([0], np.cumsum(lengths)))
+        offsets = split.offsets.to_numpy()
+        return ids, np.diff(before[offsets - offsets[0]])
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
-        self.words.bound()
-        split = [t.encode().split() for t in texts]
-        known = self.words
-        if missing := set().union(*split).difference(known):
-            self._add(list(missing))
-        for words in split:
-            yield b"".join(map(known.__getitem__, words))
+        ids, lengths = self.runs_of(pa.array(texts, pa.string()))
+        for end, n in zip(np.cumsum(lengths), lengths):
+            yield ids[end - n : end].tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -139,16 +181,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_i
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, and row, the hash of doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = load_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        tokenizer = load_tokenizer(tokenizer_path)
         for whole in batches:
-            for batch in _slices(whole, 500, 4 << 20):
+            for batch in _slices(whole, 2000, 6 << 20):
                 doc, row, out = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), []
-                for d, r, ids in zip(doc, row, tokenizer.of(batch.column("text").to_pylist())):
-                    data = ids + end
-                    n = len(data) // 4
+                ids, lengths = tokenizer.runs_of(batch.column("text"))
+                ids = np.insert(ids, np.cumsum(lengths), end_id)
+                data, at = ids.data.cast("B"), 0
+                for d, r, n in zip(doc, row, (lengths + 1).tolist()):
                     for start in range(0, n, sequence):
-                        part = data[4 * start : 4 * (start + sequence)]
-                        out.append((d, r, start, len(part) // 4, zlib.crc32(part), n))
+                        length = min(sequence, n - start)
+                        out.append((d, r, start, length, zlib.crc32(data[4 * (at + start) : 4 * (at + start + length)]), n))
+                    at += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text", F.lit(SEED)).alias("row"))

@@ -168,6 +168,23 @@ def test_word_ids_are_those_of_whole_texts():
     assert list(tokenizer.of(texts)) == want and len(tokenizer.words) < 5000
 
 
+def test_word_ids_look_up_each_word_of_a_batch_once():
+    class Counted(packing._Kept):
+        looked = 0
+
+        def __getitem__(self, word):
+            self.looked += 1
+            return super().__getitem__(word)
+
+    tokenizer = packing.WordIds(queries.tokenizer_path())
+    tokenizer.words = Counted(tokenizer.words)
+    texts = [" ñandú, the cat\x1f's  " * 300, "", "the cat\n" * 500, " "]
+    got = list(tokenizer.of(texts))
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.whole.encode_batch(texts, add_special_tokens=False)]
+    assert 0 < tokenizer.words.looked <= 5
+    assert list(tokenizer.of([])) == [] and list(tokenizer.of([""])) == [b""]
+
+
 def test_packing_leaves_little_padding(spark):
     rnd = random.Random(13)
     docs = table(spark, [(i, "word " * int(rnd.paretovariate(0.9) * 10 % 3000), "en", "s") for i in range(400)])
