@@ -12,7 +12,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rank_within, save
+from .common import kept, rank_within, save
 
 SEQUENCE = 4096
 END_ID = 2
@@ -160,10 +159,9 @@ class WordIds:
             yield ids[end - n : end].tobytes()
 
 
-@lru_cache(maxsize=1)
 def load_tokenizer(path: str) -> WordIds:
     """The tokenizer and its words, which a Python worker keeps from task to task."""
-    return WordIds(path)
+    return kept(f"tokenizer {path}", lambda: WordIds(path))
 
 
 def _slices(batch: pa.RecordBatch, rows: int, most: int) -> Iterator[pa.RecordBatch]:

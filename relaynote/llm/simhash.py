@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WordHashes, bit_filter, components, filter_bits, flag_contained, forget, may_contain, save, unused
+from .common import LOWER, UPPER, WordHashes, bit_filter, components, filter_bits, flag_contained, forget, give_back, may_contain, save, unused
 
 SEED = 42
 #: Least hashes of a text, and bands that they make: texts of Jaccard similarity 0.64 share none in 3 of 1000 cases.
@@ -227,6 +227,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, body (a digest of the words, A-Z lower-cased), mark (SimHash), n (distinct windows), bands and sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         of = WordHashes()
         for batch in batches:
             body, mark, n, bands, sketch = [], [], [], [], []
@@ -294,6 +295,7 @@ def _alike(candidates: DataFrame, texts: DataFrame, words: int, similarity: floa
     def alike(left, right):  # noqa: ANN001, ANN202
         import pandas as pd
 
+        give_back()
         seen, of, held = {}, WordHashes(), 0
 
         def windows(text: str) -> np.ndarray:
@@ -321,6 +323,7 @@ def _windows(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(row_key, root, window) of each distinct window of the texts of the rows (row_key, root)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         of = WordHashes()
         for batch in batches:
             for key, root, text in zip(batch.column("row_key"), batch.column("root"), batch.column("text")):

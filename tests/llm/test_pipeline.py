@@ -102,3 +102,33 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_worker_gives_back_what_the_packing_kept(spark):
+    """Workers are used by one stage after the other: the words that the packing keeps must not add to what the next one needs."""
+    import weakref
+
+    from relaynote.llm import packing, queries, simhash, toxicity
+
+    class Plan:  # stands for a DataFrame, so that the task's function runs here
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            self.run = run
+            return self
+
+        def groupBy(self, *columns):  # noqa: N802
+            return self
+
+        def agg(self, *columns):
+            return self
+
+    for stage in (lambda p: simhash.sketches(p, 5), lambda p: simhash._windows(p, p, 5), toxicity.unit_counts):
+        kept = weakref.ref(packing.load_tokenizer(queries.tokenizer_path()))
+        assert packing.load_tokenizer(queries.tokenizer_path()) is kept()  # from task to task of the packing
+        plan = Plan()
+        plan.join = lambda *_: plan
+        stage(plan)
+        assert list(plan.run(iter([]))) == []
+        assert kept() is None
