@@ -7,7 +7,8 @@ failure arcs of the longer histories. So a text's score is a sum over its n-gram
 log-probability, each n-gram with an arc the difference to what the failure arc would give, and each n-gram that is a
 state the weight of its failure arc. These values make one table, keyed by hashes of the n-grams, to which the n-grams
 of the texts are joined. The most frequent n-grams are also broadcast, CACHED at most, so that fewer are shuffled; the
-result is the same without.
+result is the same without. N-grams are shuffled in blocks: a row holds all those of a batch of texts whose keys begin
+with the same bits, as arrays, so Spark deals and sorts few rows.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, save
+from .common import forget, give_back, save
+from .packing import slices
 from .toxicity import fold
 
 ORDER = 3
@@ -31,12 +35,16 @@ GRAM_SHARE, LEAST_COUNT = 0.0, 2
 DISCOUNT = 0.75
 END = b""  # no word is empty
 BEGIN = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word holds a space
-#: Tokens whose n-grams are counted together before they leave a task.
-KEYS = 800_000
+#: Bytes and rows of text whose n-grams are counted together before they leave a task; rows have 16-bit numbers there.
+BLOCK_BYTES, BLOCK_ROWS = 5 << 19, 1 << 15
+#: N-grams are dealt by the first bits of their keys. Values that are brought into one block.
+PART_BITS, BLOCK_VALUES = 10, 500_000
 #: Values that are broadcast, and bits of the filter of all n-grams that have one: fixed sizes.
 CACHED, BITS, PAGE = 500_000, 1 << 27, 1 << 15
-#: Parts of the keys that are looked up one after the other, so that only one part is shuffled at a time.
-PASSES = 2
+#: Parts of the documents that are looked up one after the other, so that the n-grams of one part only are shuffled at a time.
+PASSES = 3
+#: Documents whose sums a task holds.
+HELD = 1 << 21
 #: Words whose hashes a task keeps.
 WORDS = 200_000
 
@@ -55,9 +63,27 @@ class _Hashes(dict):
         return h
 
 
-def _row(text: str | None, of: _Hashes) -> np.ndarray:
-    """The begin of a text and the hashes of its tokens."""
-    return np.array([int(BEGIN), *map(of.__getitem__, tokens(text))], np.uint64)
+def _rows(texts: pa.Array, of: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the tokens of all texts, each after the begin of its text, and how many each text has with its begin.
+
+    Arrow splits the texts and finds their different words; only those are hashed.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # an empty word at an end that is white space
+    words = split.flatten().dictionary_encode()
+    hashes = np.fromiter(map(of.__getitem__, words.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(words.dictionary))
+    found = hashes[words.indices.to_numpy()]
+    some = found != np.uint64(of[END])
+    before = np.concatenate(([0], np.cumsum(some)))
+    offsets = split.offsets.to_numpy()
+    n = np.diff(before[offsets - offsets[0]])
+    sizes = n + 2
+    last = np.cumsum(sizes) - 1
+    out = np.empty(int(sizes.sum()), np.uint64)
+    inner = np.ones(len(out), bool)
+    out[last], out[last - n - 1] = np.uint64(of[END]), BEGIN
+    inner[last] = inner[last - n - 1] = False
+    out[inner] = found[some]
+    return out, sizes
 
 
 def _joined(hist: np.ndarray, tail: np.ndarray, size: np.ndarray | np.uint64) -> np.ndarray:
@@ -98,53 +124,78 @@ def may_have(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0
 
 
-def gram_counts(training: DataFrame, least: int, most: int, of_shorter: np.ndarray | None = None) -> DataFrame:
-    """size (words, `least` to `most`), hist, tail and count n of n-grams; the begin of a text is a word of its own.
+def _cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of parts of the values, which lie one after the other from 0 to each of the ends."""
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((np.append(0, ends) * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
-    hist is the key without the last word, 0 for a word; tail that without the first, for a word its own. With a bitmap
-    of_shorter only n-grams whose hist and tail may be in it are counted.
-    """
-    shared = training.sparkSession.sparkContext.broadcast(of_shorter) if of_shorter is not None else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _Hashes()
+def _parts(key: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Numbers and ends of the parts of sorted keys that begin with the same PART_BITS bits; none is empty."""
+    first = key >> np.uint64(64 - PART_BITS)
+    ends = np.append(np.nonzero(first[1:] != first[:-1])[0] + 1, len(key))[: len(key)]
+    return pa.array(first[ends - 1].astype(np.int32)), ends
 
-        def counted(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for size, (_, key, hist, tail) in enumerate(_ngrams(np.concatenate(rows), most), 1):
-                if size < least:
-                    continue
-                if shared is not None:
-                    may = may_have(shared.value, hist.view(np.int64)) & may_have(shared.value, tail.view(np.int64))
-                    key, hist, tail = key[may], hist[may], tail[may]
-                key, at, n = np.unique(key, return_index=True, return_counts=True)
-                long = lambda x: pa.array(x.view(np.int64))
-                yield pa.record_batch({"size": pa.array(np.full(len(key), size, np.int8)), "hist": long(hist[at]), "tail": long(tail[at] if size > 1 else key), "n": pa.array(n, pa.int64())})
-
-        rows, have = [], 0
-        for batch in batches:
-            for text in batch.column("text"):
-                rows.append(_row(text.as_py(), of))
-                have += len(rows[-1])
-                if have > KEYS:
-                    yield from counted(rows)
-                    rows, have = [], 0
-        if rows:
-            yield from counted(rows)
 
-    found = training.select("text").mapInArrow(run, "size byte, hist long, tail long, n long")
-    return found.groupBy("size", "hist", "tail").agg(F.sum("n").alias("n"))
+def _part_of(at: int) -> int:
+    """A part for the documents of a batch of texts, whose sums go through the look-up as they are."""
+    return hash((at,)) % (1 << PART_BITS)
+
 
+def _whole(blocks: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(blocks), kind)
 
-def with_keys(counts: DataFrame) -> DataFrame:
-    """key, hist, tail, size, n: hist and tail name an n-gram, so only they are shuffled to count it."""
 
+def gram_counts(training: DataFrame, least: int, most: int, of_shorter: Broadcast[np.ndarray] | None = None) -> DataFrame:
+    """key, hist, tail, size (words, `least` to `most`) and count n of all words, and of n-grams that occur LEAST_COUNT times.
+
+    hist is the key without the last word, 0 for a word; tail that without the first, for a word its own. The begin of a text
+    is a word of its own. With a bitmap of_shorter only n-grams whose hist and tail may be in it are counted. hist and tail name
+    an n-gram, so only they are shuffled.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        of = _Hashes()
+        for whole in batches:
+            for batch in slices(whole, BLOCK_ROWS, BLOCK_BYTES):
+                for size, (_, key, hist, tail) in enumerate(_ngrams(_rows(batch.column("text"), of)[0], most), 1):
+                    if size < least:
+                        continue
+                    if of_shorter is not None:
+                        may = may_have(of_shorter.value, hist.view(np.int64)) & may_have(of_shorter.value, tail.view(np.int64))
+                        key, hist, tail = key[may], hist[may], tail[may]
+                    key, at, n = np.unique(key, return_index=True, return_counts=True)
+                    part, ends = _parts(key)
+                    tails = tail[at] if size > 1 else key
+                    yield pa.record_batch({"part": part, "size": pa.array(np.full(len(ends), size, np.int8)), "hist": _cut(hist[at], ends), "tail": _cut(tails, ends), "n": _cut(n.astype(np.uint32), ends)})
+
+    def counted(size: int, blocks: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        hist, tail, n = (_whole(x, kind) for x, kind in zip(zip(*blocks), ("<u8", "<u8", "<u4")))
+        key = _joined(hist, tail, np.uint64(size)) if size > 1 else tail
+        order = np.argsort(key)
+        key = key[order]
+        start = np.nonzero(np.append(True, key[1:] != key[:-1]))[0]
+        n = np.add.reduceat(n[order].astype(np.int64), start)
+        often = (n >= LEAST_COUNT) | (size == 1)
+        at, key = order[start[often]], key[start[often]]
+        long = lambda x: pa.array(x.view(np.int64))
+        return pa.record_batch({"key": long(key), "hist": long(hist[at]), "tail": long(tail[at]), "size": pa.array(np.full(len(key), size, np.int8)), "n": pa.array(n[often])})
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        now, blocks = None, []
         for batch in batches:
-            hist, tail, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hist", "tail", "size"))
-            key = np.where(size > 1, _joined(hist.view(np.uint64), tail.view(np.uint64), size.astype(np.uint64)), tail.view(np.uint64))
-            yield pa.record_batch({"key": pa.array(key.view(np.int64)), **{c: batch.column(c) for c in ("hist", "tail", "size", "n")}})
+            for part, size, *block in zip(*(batch.column(c).to_pylist() for c in ("part", "size", "hist", "tail", "n"))):
+                if now != (part, size):
+                    if blocks:
+                        yield counted(now[1], blocks)
+                    now, blocks = (part, size), []
+                blocks.append(block)
+        if blocks:
+            yield counted(now[1], blocks)
 
-    return counts.mapInArrow(run, "key long, hist long, tail long, size byte, n long")
+    found = training.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "part int, size byte, hist binary, tail binary, n binary")
+    return found.repartition("part").sortWithinPartitions("part", "size").mapInArrow(reduced, "key long, hist long, tail long, size byte, n long")
 
 
 def arcs_and_words(training: DataFrame, order: int) -> list[DataFrame]:
@@ -152,11 +203,11 @@ def arcs_and_words(training: DataFrame, order: int) -> list[DataFrame]:
 
     An n-gram occurs at most as often as its two shorter forms, so one whose forms are too rare is not counted at all.
     """
-    often = (F.col("size") == 1) | (F.col("n") >= LEAST_COUNT)
-    out = [save(with_keys(gram_counts(training, 1, min(2, order)).filter(often)), "grams")]
+    out = [save(gram_counts(training, 1, min(2, order)), "grams")]
     for size in range(3, order + 1):
-        shorter = key_bits(out[-1].filter(F.col("size") == size - 1))
-        out.append(save(with_keys(gram_counts(training, size, size, shorter).filter(often)), "grams"))
+        shorter = training.sparkSession.sparkContext.broadcast(key_bits(out[-1].filter(F.col("size") == size - 1)))
+        out.append(save(gram_counts(training, size, size, shorter), "grams"))
+        shorter.destroy()
     return out
 
 
@@ -216,6 +267,106 @@ def cached_from(table: DataFrame) -> int:
     return least
 
 
+def _value_blocks(table: DataFrame) -> DataFrame:
+    """part, keys, values, bases: the table's values in blocks, by the keys' first bits."""
+
+    def block(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        key, value, base = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches]) for c in ("key", "value", "base"))
+        key = key.view(np.uint64)
+        order = np.argsort(key)
+        part, ends = _parts(key[order])
+        return pa.record_batch({"part": part, "keys": _cut(key[order], ends), "values": _cut(value[order].astype("<f8"), ends), "bases": _cut(base[order].astype("<f8"), ends)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, have = [], 0
+        for batch in batches:
+            some.append(batch)
+            have += batch.num_rows
+            if have >= BLOCK_VALUES:
+                yield block(some)
+                some, have = [], 0
+        if have:
+            yield block(some)
+
+    return table.select("key", "value", "base").mapInArrow(run, "part int, keys binary, values binary, bases binary")
+
+
+def _looked_up(blocks: DataFrame) -> DataFrame:
+    """at, kind, docs, rows, own, base, known: sums of the values of the n-grams of each batch of texts.
+
+    blocks: part, kind, at, docs, a, b, c. Kind 0 are keys, values and bases; kind 1 the keys of a batch, how many rows
+    have each, and those rows; others are handed on. A task holds the values of one part, and sums of HELD documents.
+    """
+
+    def sums(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for at, (own, base, known) in held.items():
+            rows = np.nonzero((own != 0) | (known != 0))[0]
+            data = [rows.astype("<u2"), own[rows], base[rows], known[rows].astype("<u4")]
+            yield pa.record_batch({"at": pa.array([at], pa.int64()), "kind": pa.array([1], pa.int8()), "docs": pa.array([len(own)], pa.int32()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("rows", "own", "base", "known"), data)}})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        now, parts, ready, held, have = None, [], None, {}, 0
+        for batch in batches:
+            for part, kind, at, docs, a, b, c in zip(*(batch.column(x).to_pylist() for x in ("part", "kind", "at", "docs", "a", "b", "c"))):
+                if part != now:
+                    now, parts, ready = part, [], None
+                if kind == 0:
+                    parts.append((a, b, c))
+                    continue
+                if kind == 2:
+                    yield pa.record_batch({"at": pa.array([at], pa.int64()), "kind": pa.array([0], pa.int8()), "docs": pa.array([docs], pa.int32()), "rows": pa.array([a], pa.binary()), **{x: pa.array([b""], pa.binary()) for x in ("own", "base", "known")}})
+                    continue
+                if not parts:
+                    continue
+                if ready is None:
+                    keys, value, base = (_whole(x, t) for x, t in zip(zip(*parts), ("<u8", "<f8", "<f8")))
+                    order = np.argsort(keys)
+                    ready = keys[order], value[order], np.nan_to_num(base[order]), ~np.isnan(base[order])
+                if at not in held:
+                    if have > HELD:
+                        yield from sums(held)
+                        held, have = {}, 0
+                    held[at] = np.zeros((3, docs))
+                    have += docs
+                there, times = places_in(ready[0], np.frombuffer(a, "<u8")), np.frombuffer(b, "<u4").astype(np.int64)
+                row, there = np.frombuffer(c, "<u2"), np.repeat(there, times)
+                row, there = row[there >= 0], there[there >= 0]
+                for total, values in zip(held[at], ready[1:]):
+                    np.add.at(total, row, values[there])
+        yield from sums(held)
+
+    return blocks.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, "at long, kind byte, docs int, rows binary, own binary, base binary, known binary")
+
+
+def _summed(sums: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, known, base, own of each document, from the sums of its batch of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = docs = more = None
+
+        def done() -> pa.RecordBatch:
+            add = {c: pa.array(docs.column(c).to_numpy() + x.astype(docs.column(c).to_numpy().dtype)) for c, x in zip(("own", "base", "known"), more)}
+            return pa.record_batch({c: add.get(c, docs.column(c)) for c in docs.schema.names})
+
+        for batch in batches:
+            for at, kind, n, rows, own, base, known in zip(*(batch.column(c).to_pylist() for c in ("at", "kind", "docs", "rows", "own", "base", "known"))):
+                if kind == 0:
+                    if docs is not None:
+                        yield done()
+                    now, docs, more = at, pa.ipc.open_stream(rows).read_next_batch(), np.zeros((3, n))
+                    continue
+                if at != now:
+                    raise ValueError("sums without their documents")
+                row = np.frombuffer(rows, "<u2")
+                for total, data, t in zip(more, (own, base, known), ("<f8", "<f8", "<u4")):
+                    total[row] += np.frombuffer(data, t)
+        if docs is not None:
+            yield done()
+
+    return sums.repartition("at").sortWithinPartitions("at", "kind").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, own double")
+
+
 def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, order: int = ORDER) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -225,7 +376,7 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, order: int = ORDE
     """
     spark = docs.sparkSession
     held = F.coalesce(fold("doc_id", folds) == held_fold, F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     training = rows.filter(~F.col("held_out"))
     parts = arcs_and_words(training, order)
     words = parts[0].filter((F.col("size") == 1) & (F.col("key") != int(BEGIN.view(np.int64))))
@@ -237,70 +388,71 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, order: int = ORDE
     bits = key_bits(table)
     columns = [often[c].to_numpy(t) for c, t in (("key", np.int64), ("value", float), ("base", float))]
     shared = spark.sparkContext.broadcast((*columns, bits))
+    del often, columns, bits
+    give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        give_back()
         keys, value, base, bits = shared.value
         is_word, base = ~np.isnan(base), np.nan_to_num(base)
+        is_word = is_word.astype(float)
         at, of = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33, _Hashes()
         for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                batch = whole.slice(i, 500)
-                texts = [_row(t.as_py(), of) for t in batch.column("text")]
-                sizes, count = np.array([len(t) for t in texts]), len(texts)
-                owner = np.repeat(np.arange(count), sizes)
-                own, plain, known, left = np.zeros(count), np.zeros(count), np.zeros(count), []
-                for size, (place, key, hist, tail) in enumerate(_ngrams(np.concatenate(texts), order), 1):
-                    row, key = owner[place], key.view(np.int64)
-                    may = may_have(bits, key)
+            for batch in slices(whole, BLOCK_ROWS, BLOCK_BYTES):
+                tokens_, sizes = _rows(batch.column("text"), of)
+                count = len(sizes)
+                owner = np.repeat(np.arange(count, dtype=np.uint16), sizes)
+                wanted = []
+                for size, (place, key, hist, tail) in enumerate(_ngrams(tokens_, order), 1):
+                    may = may_have(bits, key.view(np.int64))
                     if size > 1:  # an n-gram has a value only if both shorter ones have
                         may &= may_have(bits, hist.view(np.int64)) & may_have(bits, tail.view(np.int64))
-                    row, key = row[may], key[may]
-                    there = places_in(keys, key)
-                    hit, got = there >= 0, there[there >= 0]
-                    own += np.bincount(row[hit], value[got], count)
-                    plain += np.bincount(row[hit], base[got], count)
-                    known += np.bincount(row[hit], is_word[got], count)
-                    left.append((row[~hit], key[~hit]))
-                row, key = (np.concatenate(x) for x in zip(*left))
-                sort = np.lexsort((key, row))
-                row, key = row[sort], key[sort]
-                start = np.nonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])))[: len(row)])[0]
-                times = np.diff(np.append(start, len(row)))
-                ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row[start], minlength=count)))), pa.int32())
-                yield pa.record_batch({
-                    "row": pa.array(range(at, at + count), pa.int64()),
+                    wanted.append((key[may], owner[place[may]]))
+                key, row = (np.concatenate(x) for x in zip(*wanted))
+                order_ = np.argsort(key)
+                key, row = key[order_], row[order_]
+                start = np.nonzero(np.append(True, key[1:] != key[:-1])[: len(key)])[0]
+                key, times = key[start], np.diff(np.append(start, len(row)))
+                there = places_in(keys, key.view(np.int64))
+                each = np.repeat(there, times)
+                hit = each >= 0
+                own, plain, known = (np.bincount(row[hit], x[each[hit]], count) for x in (value, base, is_word))
+                docs_ = pa.record_batch({
                     "doc_id": batch.column("doc_id"),
                     "held_out": batch.column("held_out"),
                     "n_tokens": pa.array(sizes - 1, pa.int64()),
                     "known": pa.array(known.astype(np.int64)),
-                    "base": pa.array(plain),
-                    "own": pa.array(own),
-                    "keys": pa.ListArray.from_arrays(ends, pa.array(key[start], pa.int64())),
-                    "times": pa.ListArray.from_arrays(ends, pa.array(times, pa.int64())),
+                    "base": pa.array(plain, pa.float64()),
+                    "own": pa.array(own, pa.float64()),
                 })
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, docs_.schema) as writer:
+                    writer.write_batch(docs_)
+                same = lambda x, n, t: pa.array(np.full(n, x, t))
+                yield pa.record_batch({"part": same(_part_of(at), 1, np.int32), "kind": same(2, 1, np.int8), "at": same(at, 1, np.int64), "docs": same(count, 1, np.int32), "a": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "b": pa.array([b""], pa.binary()), "c": pa.array([b""], pa.binary())})
+                key, times, row = key[there < 0], times[there < 0], row[~hit]
+                part, ends = _parts(key)
+                n = len(ends)
+                yield pa.record_batch({"part": part, "kind": same(1, n, np.int8), "at": same(at, n, np.int64), "docs": same(count, n, np.int32), "a": _cut(key, ends), "b": _cut(times.astype("<u4"), ends), "c": _cut(row.astype("<u2"), np.cumsum(times)[ends - 1])})
                 at += count
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, keys array<long>, times array<long>"
-    read = save(rows.mapInArrow(run, schema), "read")
-    rest = read.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
-    word = F.when(F.col("base").isNotNull(), F.col("times")).otherwise(0)
-    known = table.filter(_step() < least).drop("n")
-    sums = []
-    for k in range(PASSES):
-        own = F.pmod("key", F.lit(PASSES)) == k
-        looked = rest.filter(own).join(known.filter(own), "key")
-        sums.append(save(looked.groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more"), F.sum(F.col("times") * F.coalesce("base", F.lit(0.0))).alias("more_base"), F.sum(word).alias("more_known")), "sums"))
+    known_blocks = save(_value_blocks(table.filter(_step() < least)), "values")
     forget(table)
-    sums = reduce(DataFrame.unionByName, sums).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more", "more_base", "more_known")))
-    out = read.drop("keys", "times").join(sums, "row", "left")
-    n_known = F.col("known") + F.coalesce("more_known", F.lit(0))
-    unseen = (F.col("n_tokens") - n_known) * -math.log10(total + kinds + 1)
-    return out.select(
+    known = known_blocks.select("part", F.lit(0).cast("byte").alias("kind"), F.lit(0).cast("long").alias("at"), F.lit(0).alias("docs"), F.col("keys").alias("a"), F.col("values").alias("b"), F.col("bases").alias("c"))
+    done = []
+    for k in range(PASSES):
+        some = rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(PASSES)) == k)
+        found = some.mapInArrow(run, "part int, kind byte, at long, docs int, a binary, b binary, c binary")
+        done.append(save(_summed(_looked_up(known.unionByName(found))), "sums"))
+    shared.destroy()
+    forget(known_blocks)
+    unseen = (F.col("n_tokens") - F.col("known")) * -math.log10(total + kinds + 1)
+    return reduce(DataFrame.unionByName, done).select(
         "doc_id", "held_out", "n_tokens",
-        n_known.alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + unseen).alias("base_score"),
-        (F.col("own") + F.coalesce("more", F.lit(0.0)) + unseen).alias("score"),
+        (F.col("base") + unseen).alias("base_score"),
+        (F.col("own") + unseen).alias("score"),
     )

@@ -164,7 +164,7 @@ def load_tokenizer(path: str) -> WordIds:
     return kept(f"tokenizer {path}", lambda: WordIds(path))
 
 
-def _slices(batch: pa.RecordBatch, rows: int, most: int) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, rows: int, most: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of `rows` rows, and of about `most` bytes of text unless a single text is longer."""
     sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
     at = 0
@@ -181,7 +181,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(tokenizer_path)
         for whole in batches:
-            for batch in _slices(whole, 2000, 6 << 20):
+            for batch in slices(whole, 2000, 6 << 20):
                 doc, row, out = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), []
                 ids, lengths = tokenizer.runs_of(batch.column("text"))
                 ids = np.insert(ids, np.cumsum(lengths), end_id)

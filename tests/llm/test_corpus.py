@@ -503,3 +503,31 @@ def test_rare_ngrams_count_in_a_large_corpus(spark, monkeypatch, cached):
     second, third = (arc + rest * (arc + rest * 10 ** b) for b in base[1:])
     assert got[own[1]]["base_score"] == pytest.approx(sum(base))
     assert got[own[1]]["score"] == pytest.approx(sum(map(math.log10, (first, second, third))))
+
+
+def test_ngrams_are_shuffled_in_blocks(spark):
+    """A row holds the n-grams of a batch of texts whose keys begin alike; before, each n-gram of a batch was a row."""
+    rnd = random.Random(3)
+    rows = [(i, " ".join(f"w{rnd.randrange(9000)}" for _ in range(600)), "en", "s") for i in range(100)]
+    context, group = spark.sparkContext, f"blocks {rnd.random()}"
+    context.setJobGroup(group, group)
+    try:
+        got = lm_score.gram_counts(table(spark, rows).coalesce(1), 1, 2).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    pairs = Counter(p for _, t, _, _ in rows for w in [lm_score.tokens(t)] for p in zip([None, *w], w))
+    assert sorted(r["n"] for r in got if r["size"] == 2) == sorted(n for n in pairs.values() if n > 1)
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    assert 0 < sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) <= 2 << lm_score.PART_BITS < len(pairs)
+
+
+def test_tokens_found_by_arrow():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["", " ", "a", "  A\x0bb\x0c\r\nC \t", "É é\xa0x\x1cy", "a  a", "\ta"]
+    of = lm_score._Hashes()
+    got, sizes = lm_score._rows(pa.array(["cut off", *texts])[1:], of)
+    want = [[int(lm_score.BEGIN), *map(of.__getitem__, lm_score.tokens(t))] for t in texts]
+    assert sizes.tolist() == list(map(len, want)) and np.array_equal(got, np.array(sum(want, []), np.uint64))
