@@ -110,7 +110,10 @@ def home_anchors(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_marks(marks: DataFrame, bits: int = 2) -> DataFrame:
-    """Pairs (a, b), a < b as signed longs, of the distinct fingerprints `mark` that differ in 1 to `bits` bits."""
+    """Pairs (a, b), a < b as signed longs, of the distinct fingerprints `mark` that differ in 1 to `bits` bits.
+
+    A mark has tens of replicas, which Spark's estimate of a table's size does not count: left to it, they are broadcast.
+    """
     reach = 1 + bits // 2
 
     def spread(home: bool):
@@ -125,7 +128,7 @@ def near_marks(marks: DataFrame, bits: int = 2) -> DataFrame:
     homes = marks.select("mark").mapInArrow(spread(True), "anchor long, a long")
     replicas = marks.select("mark").mapInArrow(spread(False), "anchor long, b long")
     close = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    pairs = homes.join(replicas, "anchor").filter(close)
+    pairs = homes.join(replicas.hint("merge"), "anchor").filter(close)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

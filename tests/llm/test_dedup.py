@@ -345,3 +345,14 @@ def test_near_dedup_counts_windows_of_large_groups_only(spark, monkeypatch):
     got = simhash.near_dedup(table(spark, rows), measure="cosine")
     assert got.count() == len(rows)
     assert counted and not sum(counted)
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_replicas_of_marks_are_not_broadcast(spark):
+    marks = spark.createDataFrame([(k * 977,) for k in range(50)] + [(977 ^ 3,)], "mark long")
+    pairs = simhash.near_marks(marks)
+    assert "Broadcast" not in executed(pairs)
+    assert (977, 977 ^ 3) in {tuple(r) for r in pairs.collect()}
