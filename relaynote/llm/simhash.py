@@ -150,7 +150,7 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFr
     degree = pairs.select(F.explode(F.array("a", "b")).alias("mark")).groupBy("mark").agg(F.count("*").alias("links"))
     linked = named.join(least, "root").join(degree, "mark").select("mark", "of_root", "links")
     classes = save(marks.join(linked, "mark", "left").select("mark", F.coalesce("of_root", "least").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
-    return rows.join(classes, "mark").select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id", "links")
+    return rows.join(classes.hint("merge"), "mark").select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
 
 # Near copies by the similarity of word shingles

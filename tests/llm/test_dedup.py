@@ -356,3 +356,9 @@ def test_replicas_of_marks_are_not_broadcast(spark):
     pairs = simhash.near_marks(marks)
     assert "Broadcast" not in executed(pairs)
     assert (977, 977 ^ 3) in {tuple(r) for r in pairs.collect()}
+
+
+def test_classes_of_marks_are_not_broadcast(spark):
+    found = simhash.simhash_components(table(spark, [(1, "a b c d", "s"), (2, "a b c d", "s"), (3, "x y z", "s"), (4, None, "s")]))
+    assert "Broadcast" not in executed(found)
+    assert [(r["doc_id"], r["component_id"]) for r in found.orderBy("doc_id").collect()] == [(1, 1), (2, 1), (3, 3), (4, 4)]
