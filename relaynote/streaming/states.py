@@ -8,14 +8,15 @@ not another event comes. Other events are rejected: repeated, illegal, late, or
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STEPS = (0, 10, 30, 85, 100)
 TIMEOUT = 300
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 TRANSITIONS = "job_id long, at timestamp, progress int, status string, reason string, accepted boolean"
 #: The store that holds timers and values of transformWithState.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -26,7 +27,11 @@ def status_of(progress: int) -> str:
 
 
 class JobMachine(StatefulProcessor):
-    """A value for each job (progress, time of the last accepted event, its id, status) and a timer while it is processing."""
+    """A value for each job (progress, time of the last accepted event, its id, status) and a timer while it is processing.
+
+    Rows come and go in batches over many jobs. Each question to the store is a message from Python to Spark and back, so a
+    job's value is read once and written once, and timers are only asked for where one can be.
+    """
 
     def __init__(self, timeout: int = TIMEOUT) -> None:
         self.timeout = timeout * 1000
@@ -35,30 +40,30 @@ class JobMachine(StatefulProcessor):
         self.handle = handle
         self.job = handle.getValueState("job", "progress int, micros long, event_id long, status string")
 
-    def _rearm(self, micros: int | None) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+    def _rearm(self, was: tuple | None, micros: int | None) -> None:
+        if was is not None and was[3] == "processing":
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
         if micros is not None:
             self.handle.registerTimer(micros // 1000 + self.timeout)
 
-    def _timed_out(self, key: tuple, job: tuple) -> tuple:
-        progress, micros, event_id, _ = job
-        self.job.update((progress, micros, event_id, "failed"))
+    def _timeout(self, key: tuple, job: tuple) -> tuple:
+        progress, micros, _, _ = job
         return (key[0], micros + 1000 * self.timeout, progress, "failed", "timeout", True)
 
     @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["job_id", "at", "progress", "status", "reason", "accepted"])
-        out["at"] = pd.to_datetime(out["at"], unit="us")
-        return out
+    def _row(job_id: int, micros: int, progress: int, status: str, reason: str, accepted: bool) -> Row:
+        return Row(job_id=job_id, at=EPOCH + timedelta(microseconds=micros), progress=progress, status=status, reason=reason, accepted=accepted)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        events = pd.concat(list(rows))  # of one job in one batch; sorted, as a batch's rows have no order
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        # of one job in one batch; sorted, as a batch's rows have no order
+        events = sorted((r["micros"], r["event_id"], r["progress"], r["failed"]) for r in rows)
         out, armed, changed = [], None, False
-        job = tuple(self.job.get()) if self.job.exists() else None
-        for micros, event_id, progress, failed in sorted(zip(events["micros"], events["event_id"], events["progress"], events["failed"])):
+        found = self.job.get()
+        job = was = tuple(found) if found is not None else None
+        for micros, event_id, progress, failed in events:
             if job is not None and job[3] == "processing" and micros >= job[1] + 1000 * self.timeout:
-                out.append(self._timed_out(key, job))
+                out.append(self._timeout(key, job))
                 job, armed, changed = (*job[:3], "failed"), None, True
             done = job is not None and job[3] != "processing"
             at = STEPS.index(job[0]) if job is not None else -1
@@ -80,13 +85,14 @@ class JobMachine(StatefulProcessor):
             out.append((key[0], int(micros), job[0] if accepted else int(progress), job[3] if job is not None else "unknown", reason, accepted))
         if changed:
             self.job.update(job)
-            self._rearm(armed)
-        yield self._frame(out)
+            self._rearm(was, armed)
+        yield from (self._row(*x) for x in out)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        job = tuple(self.job.get()) if self.job.exists() else None
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        job = self.job.get()
         if job is not None and job[3] == "processing":
-            yield self._frame([self._timed_out(key, job)])
+            self.job.update((*tuple(job)[:3], "failed"))
+            yield self._row(*self._timeout(key, tuple(job)))
 
     def close(self) -> None:
         pass
@@ -100,7 +106,7 @@ def transition_stream(events: DataFrame, timeout: int = TIMEOUT, delay: str = "0
     """
     rows = events.withColumn("at", F.col("at").cast("timestamp")).select(F.col("job_id").cast("long").alias("job_id"), "at", F.unix_micros("at").alias("micros"), "event_id", "progress", "failed")
     machine = rows.withWatermark("at", delay).groupBy("job_id")
-    return machine.transformWithStateInPandas(JobMachine(timeout), TRANSITIONS, "Append", "eventTime")
+    return machine.transformWithState(JobMachine(timeout), TRANSITIONS, "Append", "eventTime")
 
 
 def states_of(transitions: DataFrame) -> DataFrame:

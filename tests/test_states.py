@@ -108,3 +108,33 @@ def test_late_repeated_and_illegal_events_are_rejected_and_timers_fire_alone(spa
 def test_no_events(spark):
     assert states.job_states(table(spark, [])).collect() == []
     assert states.job_states(table(spark, [(1, 5, 1, 10, False), (2, 5, 2, 0, True)])).collect() == []
+
+
+class Counted:
+    """A store of one job that counts what it is asked."""
+
+    def __init__(self, value=None):
+        self.value, self.asked = value, []
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.asked.append(name)
+            self.value = args[0] if name == "update" else self.value
+            return {"get": self.value, "exists": self.value is not None, "listTimers": iter([1])}.get(name)
+
+        return call
+
+
+def test_a_job_asks_the_store_no_more_than_it_needs():
+    machine, event = states.JobMachine(), lambda k, p: {"micros": k, "event_id": k, "progress": p, "failed": False}
+    for value, steps, asked in [
+        (None, states.STEPS, ["get", "update"]), (None, (0, 10), ["get", "update", "registerTimer"]), (None, (30,), ["get"]),
+        ((0, 0, 0, "processing"), (10,), ["get", "update", "listTimers", "deleteTimer", "registerTimer"]), ((100, 0, 0, "completed"), (10,), ["get"]),
+    ]:
+        store = Counted(value)
+        machine.init(store)
+        rows = list(machine.handleInputRows((1,), iter([event(k + 1, p) for k, p in enumerate(steps)]), None))
+        assert store.asked == asked and len(rows) == len(steps)
