@@ -49,3 +49,14 @@ def test_best_section_is_not_computed_again_by_a_filter(spark):
     rows = spark.createDataFrame([(1, 0, "one two")], "job_id long, chunk_idx int, chunk string")
     best = chunks.best_section(rows, [config.Section(0, "s0", "one", hints=("two",))]).filter("section_id is not null")
     assert best._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1 and [r["section_id"] for r in best.collect()] == ["s0"]
+
+
+def test_the_first_section_is_made_without_lists_of_the_others(spark):
+    from relaynote import config
+    from relaynote.operators import classify
+
+    arrays = ", ".join(f"{c} array<double>" for c in ("base", "context", "boost", "combined"))
+    rows = spark.createDataFrame([("x", *[[0.1, 0.3]] * 4), (" ", *[[0.1, 0.3]] * 4)], f"text string, {arrays}")
+    ranked = classify.ranked(rows, [config.Section(k, f"s{k}", f"t{k}") for k in range(2)])
+    assert "transform(" not in ranked.select("primary")._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["primary"] and r["primary"]["section_id"], [x["section_id"] for x in r["secondary"]]) for r in ranked.collect()] == [("s1", []), (None, [])]
